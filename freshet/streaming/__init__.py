@@ -1,0 +1 @@
+"""No streaming operators: every input this library reads is a complete file (see README)."""
