@@ -36,13 +36,16 @@ def fan(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[in
     return out.select(*keys, "date", "min", *picks, "max", "mean", "n_values")
 
 
-def bands(df: DataFrame, keys: Sequence[str], value: str, event_filter: bool = False) -> DataFrame:
-    """Fan rows kept where at least half the runs (any run under an event filter) have data."""
+def bands(df: DataFrame, keys: Sequence[str], value: str, event_filter: bool = False, n_runs: int | None = None) -> DataFrame:
+    """Fan rows kept where at least half the runs (any run under an event filter) have data.
+
+    Without ``n_runs`` the runs are counted, which reads the ensemble a second time.
+    """
     out = fan(df, keys, value, BAND_PERCENTILES)
     if event_filter:
         return out
-    n_runs = df.agg(F.count_distinct("run_id")).scalar()
-    return out.where(F.col("n_values") >= F.greatest(F.lit(1), F.floor(n_runs / 2)))
+    runs = df.agg(F.count_distinct("run_id")).scalar() if n_runs is None else F.lit(n_runs)
+    return out.where(F.col("n_values") >= F.greatest(F.lit(1), F.floor(runs / 2)))
 
 
 def mean_daily_flow(sim: DataFrame, flow: str = "flow_cms") -> DataFrame:

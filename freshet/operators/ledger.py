@@ -32,9 +32,10 @@ TRANSFORMS = ["transform_compute_base_soil_vars", "transform_perturb_relative",
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON lines to records; blank and broken lines are left out."""
-    rec = lines.where(F.length(F.trim(column)) > 0).select(
-        F.from_json(column, LEDGER_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    return rec.where(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
+    record = F.from_json(column, LEDGER_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # inline is a generator: each line is parsed once, however many fields are used
+    rec = lines.where(F.length(F.trim(column)) > 0).select(F.inline(F.array(record)))
+    return rec.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def timestamp(text: Column | str) -> Column:
@@ -99,7 +100,8 @@ def choices(ledger: DataFrame) -> DataFrame:
     last such step winning, else from themselves. A value copied from a source column is NULL.
     """
     typed = F.transform("steps", lambda s: F.struct(s["name"].alias("name"), F.from_json(s["args"], ARGS_SCHEMA).alias("a")))
-    r = ledger.select("id", _run_id().alias("run_id"), typed.alias("_s"))
+    # explode of a one-element array keeps the parsed arguments from being parsed again per use
+    r = ledger.select("id", _run_id().alias("run_id"), F.explode(F.array(typed)).alias("_s"))
     scale = F.filter("_s", lambda s: (s["name"] == "transform_scale_variable") & (s["a"]["lower"].isNotNull() | s["a"]["upper"].isNotNull()))
     split = F.flatten(F.transform(F.filter("_s", lambda s: s["name"] == "transform_split_with_bounds"),
                                   lambda s: F.coalesce(s["a"]["outputs"], F.array().cast(f"array<{_CHOICE}>"))))

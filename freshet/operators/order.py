@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 1 << 16
+SALTS = 64
 
 
 def bounded_quantiles(value: Column | str, probs: Sequence[float]) -> Column:
@@ -59,18 +60,24 @@ def exact_rank(
     df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str] = (),
     descending: bool = False, cells: int = CELLS,
 ) -> DataFrame:
-    """Attach ``rank`` (1..n by value, ties by ``tiebreak``) and ``n`` per group."""
-    celled = with_cell(df.where(F.col(value).isNotNull()), keys, value, cells)
-    starts = _cell_starts(celled, keys, F.lit(1), descending).drop("_in_cell")
+    """Attach ``rank`` (1..n by value) and ``n`` per group.
+
+    Equal values are counted before anything is ordered and are split over ``SALTS`` parts by
+    a hash of their ``tiebreak`` columns, so a value held by a third of all rows (zeros often
+    are) is ranked by many tasks. Ties rank in the order of that hash, then of the columns.
+    """
+    keys = list(keys)
+    tie = list(tiebreak) or [c for c in df.columns if c not in keys]
+    rows = df.where(F.col(value).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(SALTS)).cast("int"))
+    part = [*keys, value, "_salt"]
+    tally = with_cell(rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")), keys, value, cells)
+    starts = _cell_starts(tally, keys, F.col("_n"), descending).drop("_in_cell")
     first = F.col(value).desc() if descending else F.col(value)
-    w = Window.partitionBy(*keys, "_cell").orderBy(first, *tiebreak)
-    return (
-        celled.withColumn("_rn", F.row_number().over(w))
-        .join(starts, [*keys, "_cell"])
-        .withColumn("rank", (F.col("_start") + F.col("_rn")).cast("long"))
-        .withColumnRenamed("_total", "n")
-        .drop("_cell", "_rn", "_start")
-    )
+    before = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(first, "_salt")) - F.col("_n")
+    placed = tally.withColumn("_before", before).join(starts, [*keys, "_cell"]).select(
+        *part, (F.col("_start") + F.col("_before")).alias("_from"), F.col("_total").alias("n"))
+    rn = F.row_number().over(Window.partitionBy(*part).orderBy(*tie))
+    return rows.withColumn("_rn", rn).join(placed, part).withColumn("rank", F.col("_from") + F.col("_rn")).drop("_salt", "_rn", "_from")
 
 
 def exact_quantiles(

@@ -86,33 +86,39 @@ def pair_same_day(daily: DataFrame, q: DataFrame, pred: str = "p50", start: str
             .withColumn("pred", F.col(pred)))
 
 
-def _days_around(daily: DataFrame, k: int) -> DataFrame:
-    return (daily.where(F.col("obs").isNotNull())
-            .withColumn("model_date", F.explode(F.sequence(F.date_sub("date", k), F.date_add("date", k)))))
+def neighbourhood(series: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
+    """For every day within k days of a series row: those rows, as an array (at most 2k + 1).
+
+    Built from the series, which has one row per day, so that the samples, the side that
+    grows, are joined once on their own day and neither copied nor grouped.
+    """
+    row = F.struct(F.col("date").alias("model_date"), *columns).alias("row")
+    days = F.explode(F.sequence(F.date_sub("date", k), F.date_add("date", k)))
+    return series.select(row, days.alias("day")).groupBy(F.col("day").alias("date")).agg(F.collect_list("row").alias("_near"))
 
 
-def match_local_window(daily: DataFrame, series: DataFrame, k: int = 1, strategy: str = "nearest",
-                       keys: Sequence[str] = ("station", "analyte"), pred: str = "p50") -> DataFrame:
+def match_local_window(daily: DataFrame, series: DataFrame, k: int = 1, strategy: str = "nearest", pred: str = "p50") -> DataFrame:
     """Model value for each sample within k days: nearest in value (earliest on ties) or the mean."""
-    model = series.where(F.col(pred).isNotNull()).select(F.col("date").alias("model_date"), F.col(pred).alias("_m"))
-    near = _days_around(daily, k).join(model, "model_date")
-    group = near.groupBy(*keys, "date", "obs")
+    near = neighbourhood(series.where(F.col(pred).isNotNull()), k, [F.col(pred).alias("m")])
+    rows = daily.where(F.col("obs").isNotNull()).join(near, "date")
     if strategy == "mean":
-        return group.agg(F.avg("_m").alias("pred"), F.lit(0).alias("k_days"))
-    best = F.min_by(F.struct("_m", "model_date"), F.struct(F.abs(F.col("_m") - F.col("obs")), F.col("model_date")))
-    return (group.agg(best.alias("b"))
-            .select(*keys, "date", "obs", F.col("b._m").alias("pred"),
-                    F.datediff("b.model_date", "date").alias("k_days")))
+        total = F.aggregate("_near", F.lit(0.0), lambda acc, r: acc + r["m"])
+        return rows.withColumn("pred", total / F.size("_near")).withColumn("k_days", F.lit(0)).drop("_near")
+    best = F.array_min(F.transform("_near", lambda r: F.struct(F.abs(r["m"] - F.col("obs")).alias("gap"), r["model_date"], r["m"])))
+    return (rows.withColumn("_b", best).withColumn("pred", F.col("_b.m"))
+            .withColumn("k_days", F.datediff("_b.model_date", "date")).drop("_near", "_b"))
 
 
-def match_nearest_day(daily: DataFrame, series: DataFrame, columns: Sequence[str], tolerance: int = 1,
-                      keys: Sequence[str] = ("station", "analyte")) -> DataFrame:
+def match_nearest_day(daily: DataFrame, series: DataFrame, columns: Sequence[str], tolerance: int = 1) -> DataFrame:
     """Series row nearest in time within a tolerance of days; the later day wins a tie."""
-    model = series.select(F.col("date").alias("model_date"), *columns)
-    near = _days_around(daily, tolerance).join(model, "model_date")
-    apart = F.datediff("model_date", "date")
-    best = F.min_by(F.struct("model_date", *columns), F.struct(F.abs(apart), -apart))
-    return near.groupBy(*keys, "date", "obs").agg(best.alias("b")).select(*keys, "date", "obs", "b.*")
+    near = neighbourhood(series, tolerance, columns)
+    rows = daily.where(F.col("obs").isNotNull()).join(near, "date")
+
+    def order(r: Column) -> Column:
+        apart = F.datediff(r["model_date"], "date")
+        return F.struct(F.abs(apart).alias("gap"), (-apart).alias("later"), r.alias("row"))
+
+    return rows.withColumn("_b", F.array_min(F.transform("_near", order))).select(*daily.columns, "_b.row.*")
 
 
 def pair_scenarios(scenarios: DataFrame, baseline: DataFrame, base: str = "p50", value: str = "value") -> DataFrame:

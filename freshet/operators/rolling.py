@@ -44,10 +44,12 @@ def _scope(df: DataFrame, reaches: Sequence[int] | None, years: Sequence[int] |
     return df
 
 
-def _center(df: DataFrame, keys: Sequence[str], agg: str, value: str, out: str = "center") -> DataFrame:
-    if agg == "mean":
-        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias(out))
-    return exact_quantiles(df, keys, value, {out: 0.5})
+def _center(df: DataFrame, keys: Sequence[str], agg: str, value: str, bounded: bool = False) -> DataFrame:
+    """Mean or median per group; ``bounded`` groups are the reaches (and runs) of one day."""
+    if agg == "mean" or bounded:
+        f = F.avg(value) if agg == "mean" else F.percentile(value, F.lit(0.5))
+        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(f.alias("center"))
+    return exact_quantiles(df, keys, value, {"center": 0.5})
 
 
 def _bands(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -78,7 +80,7 @@ def time_aggregate(df: DataFrame, reaches: Sequence[int] | None = None, years: S
     """Daily centre line across reaches and the spread of the reach means."""
     keys = list(keys)
     s = _scope(df, reaches, years)
-    center = _center(s, [*keys, "date"], agg, value)
+    center = _center(s, [*keys, "date"], agg, value, True)
     means = s.groupBy(*keys, "date", "rch").agg(F.avg(value).alias(value))
     out = center.join(_bands(means, [*keys, "date"], value), [*keys, "date"], "left")
     return _smooth(out, keys, "date", agg, roll)
@@ -88,7 +90,7 @@ def years_overlay(df: DataFrame, reaches: Sequence[int] | None = None, agg: str
                   keys: Sequence[str] = (), value: str = "metric") -> DataFrame:
     """One smoothed daily line per year."""
     keys = list(keys)
-    line = _center(_scope(df, reaches, None), [*keys, "year", "date"], agg, value)
+    line = _center(_scope(df, reaches, None), [*keys, "year", "date"], agg, value, True)
     return rolling(line, [*keys, "year"], "date", ["center"], roll, agg)
 
 

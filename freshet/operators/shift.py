@@ -111,15 +111,13 @@ def baseline_summary(bands: DataFrame, base: str = "p50", keys: Sequence[str] =
         _median(rel).alias("relative_width"), F.avg(rel).alias("relative_width_mean"))
 
 
-def metric_matrix(metrics: DataFrame, scenarios: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Metric by scenario rows with one column per variable, and the cells that are missing.
+def metric_matrix(values: DataFrame, scenarios: DataFrame, metrics: Sequence[str], variables: Sequence[str]) -> DataFrame:
+    """A row per metric and scenario with one column per variable, and the names of missing cells.
 
-    ``metrics`` holds (metric, scenario, variable, value).
+    ``values`` holds (metric, scenario, variable, value).
     """
-    grid = (metrics.select("metric").distinct()
-            .join(scenarios.select("scenario").distinct(), F.lit(True))
-            .select("metric", "scenario"))
-    wide = metrics.groupBy("metric", "scenario").pivot("variable", list(variables)).agg(F.first("value", True))
+    grid = scenarios.select("scenario").distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
+    wide = values.groupBy("metric", "scenario").pivot("variable", list(variables)).agg(F.first("value", True))
     missing = F.array_compact(F.array(*[F.when(F.col(v).isNull(), F.lit(v)) for v in variables]))
     return (grid.join(wide, ["metric", "scenario"], "left")
             .withColumn("missing", F.array_join(missing, ",")))

@@ -269,10 +269,11 @@ def register(r: Registry) -> None:
           lambda s, d: duration.measured_on_paired(fitq.daily(s, d), duration.paired_duration(fitq.reach_fan(s, d), [])),
           f"SELECT station, analyte, d.date AS date, obs, x FROM daily d JOIN ({paired.format(ref='p50')}) p ON p.date = d.date WHERE obs IS NOT NULL",
           f"{fitq.Q3} {fitq.DAILY}", "obs x", "station analyte date")
+    # equal values may take their ranks in any order, so the samples are compared by value
     r.add("w11_samples_on_own_rank", lambda s, d: duration.measured_on_order(fitq.daily(s, d)),
-          """SELECT station, analyte, date, obs, row_number() OVER (ORDER BY obs, date, station, analyte) AS rank, count(*) OVER () AS n,
-                    100.0 * row_number() OVER (ORDER BY obs, date, station, analyte) / (count(*) OVER () + 1) AS x FROM daily WHERE obs IS NOT NULL""",
-          fitq.DAILY, "obs x", "station analyte date rank n")
+          """SELECT obs, row_number() OVER (ORDER BY obs) AS rank, count(*) OVER () AS n,
+                    100.0 * row_number() OVER (ORDER BY obs) / (count(*) OVER () + 1) AS x FROM daily WHERE obs IS NOT NULL""",
+          fitq.DAILY, "obs x", "rank n")
     strat = """
         SELECT round((b - 0.5) * 0.05, 9) AS x_mid, regime, quantile_cont(min, 0.5) AS y_min, quantile_cont(mean, 0.5) AS y_mean,
                quantile_cont(max, 0.5) AS y_max, count(*) AS n_days FROM (

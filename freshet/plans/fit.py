@@ -338,7 +338,7 @@ def register(r: Registry) -> None:
         metrics = m.select("scenario", "variable", F.explode(F.array(
             F.struct(F.lit("mean").alias("metric"), F.col("mean").alias("value")),
             F.struct(F.lit("max").alias("metric"), F.col("max").alias("value")))).alias("e")).select("scenario", "variable", "e.*")
-        return shift.metric_matrix(metrics, m.select("scenario"), ["sed_out", "tot_n", "tot_p"])
+        return shift.metric_matrix(metrics, m.select("scenario"), ["mean", "max"], ["sed_out", "tot_n", "tot_p"])
 
     r.add("m29_metric_matrix", matrix, """
         SELECT metric, scenario, sed_out, tot_n, tot_p, CASE WHEN tot_p IS NULL THEN 'tot_p' ELSE '' END AS missing FROM (

@@ -35,35 +35,40 @@ def ledger_lines(s, d):
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     secs = F.when(F.col("event_type") == "error", -1).otherwise(1) * (F.floor("value").cast("int") + 1)
     end = iso(F.timestamp_seconds(F.unix_seconds(t) + secs))
-    v = F.col("value")
+    v, kind, user = F.col("value"), F.col("event_type"), F.col("user_id")
     S, L = F.struct, F.lit
 
     def step(name, args, timed=False):
-        none = L(None).cast("string")
-        return S(L(name).alias("name"), args.alias("args"), (iso(t) if timed else none).alias("started_at"), (end if timed else none).alias("ended_at"))
+        times = F.concat(L(',"started_at":"'), iso(t), L('","ended_at":"'), end, L('"')) if timed else L("")
+        return F.concat(L(f'{{"name":"{name}","args":'), args, times, L("}"))
 
-    arg_text = lambda *cols: F.to_json(S(*cols))
+    obj = lambda *cols: F.to_json(S(*cols))
     src, out = L("a").alias("src"), L("b").alias("out")
-    steps = F.array(
-        step("transform_scale_variable", arg_text(src, out, (v - 1).alias("lower"), (v + 1).alias("upper")), True),
-        step("scale_choices", arg_text(src, out, v.alias("factor"), F.col("event_type").alias("source"))),
-        step("ops_choices", F.concat(L('{"ops":[{"op":"mul","src":"b","out":"c","lower":0,"upper":100,"source":"random","value":'), k.cast("string"),
-                                     L('},{"op":"set","src":"b","out":"d","value":"from_src"}]}'))),
-        step("point_mgL_choices", F.concat(L('{"mgL_values":{"NO3YR":{"lower":1,"upper":2,"source":"standard","mgL":'), (k * 0.5).cast("string"), L("}}}"))),
-        step("transform_split_with_bounds", F.concat(L('{"src":"c","outputs":[{"name":"e","lower":'), k.cast("string"), L(',"upper":'), (k + 1).cast("string"), L("}]}"))),
+    ops = F.array(S(L("mul").alias("op"), L("b").alias("src"), L("c").alias("out"), L(0).alias("lower"), L(100).alias("upper"),
+                    L("random").alias("source"), k.cast("string").alias("value")),
+                  S(L("set").alias("op"), L("b").alias("src"), L("d").alias("out"), L(None).cast("int").alias("lower"), L(None).cast("int").alias("upper"),
+                    L(None).cast("string").alias("source"), L("from_src").alias("value")))
+    mgl = F.create_map(L("NO3YR"), S(L(1).alias("lower"), L(2).alias("upper"), L("standard").alias("source"), (k * 0.5).alias("mgL")))
+    steps = F.concat_ws(
+        ",",
+        step("transform_scale_variable", obj(src, out, (v - 1).alias("lower"), (v + 1).alias("upper")), True),
+        step("scale_choices", obj(src, out, v.alias("factor"), kind.alias("source"))),
+        step("ops_choices", obj(ops.alias("ops"))),
+        step("point_mgL_choices", obj(mgl.alias("mgL_values"))),
+        step("transform_split_with_bounds", obj(L("c").alias("src"), F.array(S(L("e").alias("name"), k.alias("lower"), (k + 1).alias("upper"))).alias("outputs"))),
         step("split_choices", L('{"src":"c","renormalize":true,"outputs":[{"name":"e","ratio":0.25,"source":"override"}]}')),
-        step("perturbation_choices", arg_text(F.array(S(L("c").alias("name"), (v / 1000).alias("delta"), F.col("event_type").alias("source"))).alias("targets"))))
-    # the args objects are nested JSON in a ledger line, not strings
-    raw = F.to_json(S(
-        F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", F.col("user_id")).alias("run_id"),
-        F.concat(F.col("event_type"), L("_"), F.col("event_id").cast("string")).alias("name"), iso(t).alias("created_at"),
-        S(L("m").alias("module"), F.col("event_type").alias("version"), F.col("user_id").alias("run_id")).alias("engine"),
-        F.array(S(F.concat(L("/in/"), F.col("event_type"), L(".tif")).alias("path")), S(F.concat(L("/in/"), F.col("user_id").cast("string"), L(".csv")).alias("path"))).alias("inputs"),
-        steps.alias("steps"), L("success").alias("status")))
-    line = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r'"args":"', '"args":'), r'\}","started', '},"started'), r'\}"\}', "}}")
-    line = F.regexp_replace(line, r'\\"', '"')
-    broken = F.when(F.col("event_type") == "error", F.array(line, F.substring(line, 1, 40), L("  "))).otherwise(F.array(line))
-    return e.select(F.explode(broken).alias("value"))
+        step("perturbation_choices", obj(F.array(S(L("c").alias("name"), (v / 1000).alias("delta"), kind.alias("source"))).alias("targets"))))
+    head = obj(
+        F.col("event_id").alias("id"), F.when(kind != "error", user).alias("run_id"),
+        F.concat(kind, L("_"), F.col("event_id").cast("string")).alias("name"), iso(t).alias("created_at"),
+        S(L("m").alias("module"), kind.alias("version"), user.alias("run_id")).alias("engine"),
+        F.array(S(F.concat(L("/in/"), kind, L(".tif")).alias("path")), S(F.concat(L("/in/"), user.cast("string"), L(".csv")).alias("path"))).alias("inputs"),
+        L("success").alias("status"))
+    line = F.concat(F.substr(head, L(1), F.length(head) - 1), L(',"steps":['), steps, L("]}"))
+    # a generator computes the line once, however often it is used below
+    lines = e.select("event_type", F.explode(F.array(line)).alias("line"))
+    out_lines = F.when(kind == "error", F.array(F.col("line"), F.substring("line", 1, 40), L("  "))).otherwise(F.array("line"))
+    return lines.select(F.explode(out_lines).alias("value"))
 
 
 def parsed(s, d):
@@ -238,12 +243,13 @@ def register(r: Registry) -> None:
           lambda s, d: _top(resample.resample(balance.join_sub(views.sim(s, d), views.sub(s, d)), ["rch"], ["sed_out"], "M", 1, "sum")),
           """SELECT rch, date, sed_out FROM (SELECT rch, last_day(s.date) AS date, sum(sed_out) AS sed_out FROM sim s GROUP BY 1, 2)
              QUALIFY row_number() OVER (PARTITION BY rch ORDER BY sed_out DESC, date) <= 3""", "sim", "sed_out", "rch date", 2)
-    r.add("w7_rank_of_prices",
-          lambda s, d: order.exact_rank(views.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("v")), [], "v",
-                                        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], True).groupBy("l_linenumber").agg(F.sum("rank").alias("rank_sum"), F.max("n").alias("n")),
-          """SELECT l_linenumber, CAST(sum(rank) AS BIGINT) AS rank_sum, max(n) AS n FROM (SELECT l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank,
-                 count(*) OVER () AS n FROM lineitem) GROUP BY 1""", "", "", "l_linenumber rank_sum n")
-
+    r.add("w7_rank_of_quantities",
+          lambda s, d: order.exact_rank(views.table(s, d, "lineitem").select("l_linenumber", "l_quantity", "l_orderkey", "l_partkey"), ["l_linenumber"], "l_quantity",
+                                        ["l_orderkey", "l_partkey"], True).groupBy("l_linenumber", "l_quantity").agg(
+              F.sum("rank").alias("rank_sum"), F.min("rank").alias("rank_min"), F.count_distinct("rank").alias("ranks"), F.max("n").alias("n")),
+          """SELECT l_linenumber, l_quantity, CAST(sum(rank) AS BIGINT) AS rank_sum, min(rank) AS rank_min, count(*) AS ranks, max(n) AS n FROM (
+               SELECT l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_quantity DESC) AS rank, count(*) OVER (PARTITION BY l_linenumber) AS n
+               FROM lineitem) GROUP BY 1, 2""", "", "l_quantity", "l_linenumber rank_sum rank_min ranks n")
     # composed reports
     r.add("m27_view_statistics",
           lambda s, d: bundles.view_statistics(fitq.reach_fan(s, d), fitq.daily(s, d), "1996-01-01", "2000-12-31", fitq.scenarios(s, d), fitq.event_table(s, d), windows=(1, 3)))
