@@ -57,44 +57,43 @@ def add_event_flags(
     missing = set(thresholds) - set(intervals)
     if missing:
         raise KeyError(f"no interval given for {sorted(missing)}")
-    dt = sampling_interval_days(df, ts).scalar()
-    out = _in_cells(df, ts)
-    by_time = Window.partitionBy("_cell").orderBy("_us", *tiebreak)
-    out = out.withColumn("_rn", F.row_number().over(by_time))
-    for name, spec in thresholds.items():
-        above = F.coalesce(F.col(flow) >= threshold(df, flow, spec), F.lit(False))
-        need = F.ceil(F.lit(float(intervals[name])) / dt)
-        out = out.withColumn("_below", F.when(~above, F.col("_rn")))
-        out = _flag(out, f"{name}_event", need)
-    return out.drop("_cell", "_us", "_rn")
-
-
-def _cell_edges(df: DataFrame) -> DataFrame:
-    """Whole length of the run at the first and at the last row of every cell."""
-    s = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_below").alias("first"), F.max("_below").alias("last"))
-    # a cell without a row below the threshold joins the runs on both sides of it
-    broken = F.when(F.col("first").isNotNull(), 1).otherwise(0)
-    s = s.withColumn("run", F.sum(broken).over(Window.orderBy("_cell")) - broken)
-    parts = F.array(
-        F.struct(F.col("run").alias("run"), F.coalesce(F.col("first") - 1, F.col("n")).alias("rows")),
-        F.struct((F.col("run") + 1).alias("run"), F.coalesce(F.col("n") - F.col("last"), F.lit(0)).alias("rows")))
-    whole = s.select(F.explode(parts).alias("p")).select("p.*").groupBy("run").agg(F.sum("rows").alias("rows"))
-    head = whole.select("run", F.col("rows").alias("_head"))
-    tail = whole.select((F.col("run") - 1).alias("run"), F.col("rows").alias("_tail"))
-    return s.join(head, "run").join(tail, "run", "left").select("_cell", "_head", "_tail")
-
-
-def _flag(df: DataFrame, out: str, need: Column) -> DataFrame:
+    names = list(thresholds)
     cell = Window.partitionBy("_cell")
-    before = F.max("_below").over(cell.orderBy("_rn"))
-    after = F.min("_below").over(cell.orderBy(F.col("_rn").desc()))
-    df = df.withColumn("_before", before).withColumn("_after", after)
-    length = (F.when(F.col("_before").isNull(), F.col("_head"))
-              .when(F.col("_after").isNull(), F.col("_tail"))
-              .otherwise(F.col("_after") - F.col("_before") - 1))
-    return (df.join(_cell_edges(df), "_cell")
-            .withColumn(out, F.col("_below").isNull() & (length >= need))
-            .drop("_below", "_before", "_after", "_head", "_tail"))
+    out = _in_cells(df, ts).withColumn("_rn", F.row_number().over(cell.orderBy("_us", *tiebreak)))
+    above = {n: F.coalesce(F.col(flow) >= threshold(df, flow, thresholds[n]), F.lit(False)) for n in names}
+    out = out.withColumns({f"_below_{n}": F.when(~above[n], F.col("_rn")) for n in names})
+    out = out.withColumn("_dt", sampling_interval_days(df, ts).scalar())
+    edges = _cell_edges(out, names)
+    # the nearest rows below the threshold on either side, inside the cell
+    out = out.withColumns({f"_before_{n}": F.max(f"_below_{n}").over(cell.orderBy("_rn")) for n in names})
+    out = out.withColumns({f"_after_{n}": F.min(f"_below_{n}").over(cell.orderBy(F.col("_rn").desc())) for n in names})
+    out = out.join(edges, "_cell")
+    flags = {}
+    for n in names:
+        length = (F.when(F.col(f"_before_{n}").isNull(), F.col(f"_head_{n}"))
+                  .when(F.col(f"_after_{n}").isNull(), F.col(f"_tail_{n}"))
+                  .otherwise(F.col(f"_after_{n}") - F.col(f"_before_{n}") - 1))
+        flags[f"{n}_event"] = F.col(f"_below_{n}").isNull() & (length >= F.ceil(F.lit(float(intervals[n])) / F.col("_dt")))
+    return out.withColumns(flags).select(*df.columns, *flags)
+
+
+def _cell_edges(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Whole length of the run at the first and at the last row of every cell, per threshold.
+
+    Works on one row per cell. A cell without a row below the threshold is full and joins the
+    run before it with the run after it.
+    """
+    s = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), *[
+        f(f"_below_{n}").alias(f"{side}_{n}") for n in names for f, side in ((F.min, "first"), (F.max, "last"))])
+    by_cell = Window.orderBy("_cell")
+    for n in names:
+        full = F.col(f"first_{n}").isNull()
+        broken, tail = F.when(full, 0).otherwise(1), F.when(~full, F.col("n") - F.col(f"last_{n}"))
+        s = s.withColumn("run", F.sum(broken).over(by_cell) - broken)
+        s = s.withColumn("carried", F.coalesce(F.last(tail, True).over(by_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        s = s.withColumn(f"_head_{n}", F.col("carried") + F.sum(F.coalesce(F.col(f"first_{n}") - 1, F.col("n"))).over(Window.partitionBy("run")))
+        s = s.withColumn(f"_tail_{n}", F.coalesce(F.lead(f"_head_{n}").over(by_cell), tail))
+    return s.select("_cell", *[f"{side}_{n}" for n in names for side in ("_head", "_tail")])
 
 
 def daily_events(df: DataFrame, spec: float | str, min_days: float, flow: str = "flow_m3d", keys: Sequence[str] = (),

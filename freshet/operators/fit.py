@@ -21,8 +21,8 @@ def _attach(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add one row of group values to every row of the group."""
     if keys:
         return df.join(other, list(keys), "left")
-    row = other.select(F.struct(*other.columns).alias("row")).scalar()  # one row: no grouping keys
-    return df.select("*", *[row[c].alias(c) for c in other.columns])
+    row = other.select(F.struct(*other.columns)).scalar()  # one row: no grouping keys
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
 
 
 def core_metrics(pairs: DataFrame, keys: Sequence[str] = (), obs: str = "obs", pred: str = "pred") -> DataFrame:

@@ -35,14 +35,13 @@ def with_cell(df: DataFrame, keys: Sequence[str], value: str, cells: int = CELLS
     w = _warp(F.col(value).cast("double"))
     span = [F.min(w).alias("_lo"), F.max(w).alias("_hi")]
     if keys:
-        df = df.join(df.groupBy(*keys).agg(*span), list(keys))
-        lo, hi = F.col("_lo"), F.col("_hi")
+        df = df.join(df.groupBy(*keys).agg(F.struct(*span).alias("_span")), list(keys))
     else:
-        s = df.agg(F.struct(*span).alias("s")).scalar()
-        lo, hi = s["_lo"], s["_hi"]
+        df = df.withColumn("_span", df.agg(F.struct(*span)).scalar())
+    lo, hi = F.col("_span._lo"), F.col("_span._hi")
     share = F.coalesce(F.try_divide(w - lo, hi - lo), F.lit(0.0))
     cell = F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")
-    return df.withColumn("_cell", cell).drop("_lo", "_hi")
+    return df.withColumn("_cell", cell).drop("_span")
 
 
 def _cell_starts(df: DataFrame, keys: Sequence[str], weight: Column, descending: bool = False) -> DataFrame:
