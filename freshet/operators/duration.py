@@ -118,6 +118,14 @@ def flow_stratified(
     )
 
 
+def choose_flow(external: DataFrame | None, model: DataFrame | None, prefer: str = "auto") -> DataFrame | None:
+    """Flow to stratify by: the preferred source when present, else the model, else the gauge."""
+    sources = {"external": external, "model": model}
+    if sources.get(prefer) is not None:
+        return sources[prefer]
+    return model if model is not None else external
+
+
 def stratified_total(curve: DataFrame, keys: Sequence[str] = (), mode: str = "median") -> DataFrame:
     """Both regimes of a stratified curve in one: their median, or their outer extents."""
     half = F.lit(0.5)

@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 FILE = "struct<path:string, size:long, mtime:double, sha256:string, kind:string>"
 
-# fixed values: record layout; free-form parts stay JSON text
+# fixed values: the argument fields of the step kinds
+CHOICE = ("name string, src string, out string, op string, mode string, lower double, upper double, mean double, bound double, "
+          "factor double, delta double, value string, ratio double, mgL double, source string, renormalize boolean")
+_CHOICE = "struct<" + ", ".join(f"{n}:{t}" for n, t in (x.split() for x in CHOICE.split(", "))) + ">"
+_LISTS = {"targets": f"array<{_CHOICE}>", "ops": f"array<{_CHOICE}>", "outputs": f"array<{_CHOICE}>", "mgL_values": f"map<string, {_CHOICE}>"}
+ARGS_SCHEMA = CHOICE + "".join(f", {n} {t}" for n, t in _LISTS.items())
+_ARGS = _CHOICE[:-1] + "".join(f", {n}:{t}" for n, t in _LISTS.items()) + ">"
+
+# fixed values: record layout; free-form parts stay JSON text, step arguments too unless typed
 LEDGER_SCHEMA = f"""schema_version string, id long, run_id long, name string, created_at string, base_txtinout string,
     realization_folder string, results_dir string, parameters map<string,string>,
     engine struct<module:string, version:string, seed:string, N:string, run_id:long>,
@@ -17,12 +25,7 @@ LEDGER_SCHEMA = f"""schema_version string, id long, run_id long, name string, cr
     steps array<struct<name:string, module:string, args:string, started_at:string, ended_at:string,
         inputs:array<{FILE}>, outputs:array<{FILE}>, notes:string, extra:string>>,
     status string, error string, outputs_summary string, returncode int, _corrupt_record string"""
-
-# fixed values: the argument fields of the step kinds
-CHOICE = ("name string, src string, out string, op string, mode string, lower double, upper double, mean double, bound double, "
-          "factor double, delta double, value string, ratio double, mgL double, source string, renormalize boolean")
-_CHOICE = "struct<" + ", ".join(f"{n}:{t}" for n, t in (x.split() for x in CHOICE.split(", "))) + ">"
-ARGS_SCHEMA = f"{CHOICE}, targets array<{_CHOICE}>, ops array<{_CHOICE}>, outputs array<{_CHOICE}>, mgL_values map<string, {_CHOICE}>"
+TYPED_LEDGER_SCHEMA = LEDGER_SCHEMA.replace("args:string", f"args:{_ARGS}")
 
 # fixed values: step names that stand for a transform
 TRANSFORMS = ["transform_compute_base_soil_vars", "transform_perturb_relative", "transform_split_with_bounds",
@@ -30,12 +33,18 @@ TRANSFORMS = ["transform_compute_base_soil_vars", "transform_perturb_relative",
               "transform_interpolate_years_wide", "transform_write_chm_from_df"]
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON lines to records; blank and broken lines are left out."""
-    record = F.from_json(column, LEDGER_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+def parse_lines(lines: DataFrame, column: str = "value", typed_args: bool = False) -> DataFrame:
+    """JSON lines to records; blank and broken lines are left out.
+
+    ``typed_args`` reads the step arguments into columns in the same pass, which ``choices``
+    uses; otherwise they stay text, as a replay needs them.
+    """
+    record = F.from_json(column, TYPED_LEDGER_SCHEMA if typed_args else LEDGER_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     # inline is a generator: each line is parsed once, however many fields are used
     rec = lines.where(F.length(F.trim(column)) > 0).select(F.inline(F.array(record)))
-    return rec.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # a broken line yields nothing at all; one odd argument leaves the rest of its record readable
+    kept = F.col("_corrupt_record").isNull() | F.coalesce(F.col("id").cast("string"), F.col("name"), F.col("created_at")).isNotNull()
+    return rec.where(kept).drop("_corrupt_record")
 
 
 def timestamp(text: Column | str) -> Column:
@@ -62,14 +71,16 @@ def summary(ledger: DataFrame) -> DataFrame:
     b = lambda s: F.unix_micros(timestamp(s["ended_at"]))
     timed = F.filter("steps", lambda s: a(s).isNotNull() & b(s).isNotNull() & (b(s) >= a(s)))
     secs = F.aggregate(timed, F.lit(0.0), lambda acc, s: acc + (b(s) - a(s)) / 1e6)
-    r = ledger.withColumn("_secs", F.when(F.size(timed) > 0, secs)).withColumn("_t", timestamp("created_at"))
-    main = r.agg(
-        F.count(F.lit(1)).alias("n_records"), F.count("id").alias("n_ids"),
-        F.count_distinct(F.coalesce(F.to_json("engine"), F.lit("{}"))).alias("engine_variants"),
-        F.count_distinct("run_id").alias("n_runs"), F.min("_t").alias("created_min"), F.max("_t").alias("created_max"),
-        F.avg("_secs").alias("duration_avg"), F.min("_secs").alias("duration_min"), F.max("_secs").alias("duration_max"))
-    inputs = unique_inputs(ledger).agg(F.count(F.lit(1)))
-    return main.withColumn("n_inputs", inputs.scalar())
+    # the record itself comes first, then one row per input path, so one pass serves both
+    paths = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.transform("inputs", lambda i: i["path"]), F.array().cast("array<string>")))
+    r = ledger.select("id", "run_id", F.coalesce(F.to_json("engine"), F.lit("{}")).alias("engine"), timestamp("created_at").alias("t"),
+                      F.when(F.size(timed) > 0, secs).alias("secs"), F.posexplode(paths).alias("pos", "path"))
+    own = lambda c: F.when(F.col("pos") == 0, F.col(c))
+    return r.agg(
+        F.count(own("pos")).alias("n_records"), F.count(own("id")).alias("n_ids"), F.count_distinct(own("engine")).alias("engine_variants"),
+        F.count_distinct(own("run_id")).alias("n_runs"), F.min("t").alias("created_min"), F.max("t").alias("created_max"),
+        F.avg(own("secs")).alias("duration_avg"), F.min("secs").alias("duration_min"), F.max("secs").alias("duration_max"),
+        F.count_distinct(F.when(F.col("path") != "", F.col("path"))).alias("n_inputs"))
 
 
 def unique_inputs(ledger: DataFrame, rasters_only: bool = False, by_run: bool = False) -> DataFrame:
@@ -99,7 +110,9 @@ def choices(ledger: DataFrame) -> DataFrame:
     Scale and split choices take their bounds from the sibling step that declared them, the
     last such step winning, else from themselves. A value copied from a source column is NULL.
     """
-    typed = F.transform("steps", lambda s: F.struct(s["name"].alias("name"), F.from_json(s["args"], ARGS_SCHEMA).alias("a")))
+    is_text = ledger.schema["steps"].dataType.elementType["args"].dataType.typeName() == "string"
+    args = (lambda s: F.from_json(s["args"], ARGS_SCHEMA)) if is_text else (lambda s: s["args"])
+    typed = F.transform("steps", lambda s: F.struct(s["name"].alias("name"), args(s).alias("a")))
     # explode of a one-element array keeps the parsed arguments from being parsed again per use
     r = ledger.select("id", _run_id().alias("run_id"), F.explode(F.array(typed)).alias("_s"))
     scale = F.filter("_s", lambda s: (s["name"] == "transform_scale_variable") & (s["a"]["lower"].isNotNull() | s["a"]["upper"].isNotNull()))

@@ -86,7 +86,7 @@ def pair_same_day(daily: DataFrame, q: DataFrame, pred: str = "p50", start: str
             .withColumn("pred", F.col(pred)))
 
 
-def neighbourhood(series: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
+def neighbourhood(series: DataFrame, k: int, columns: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
     """For every day within k days of a series row: those rows, as an array (at most 2k + 1).
 
     Built from the series, which has one row per day, so that the samples, the side that
@@ -94,7 +94,8 @@ def neighbourhood(series: DataFrame, k: int, columns: Sequence[str]) -> DataFram
     """
     row = F.struct(F.col("date").alias("model_date"), *columns).alias("row")
     days = F.explode(F.sequence(F.date_sub("date", k), F.date_add("date", k)))
-    return series.select(row, days.alias("day")).groupBy(F.col("day").alias("date")).agg(F.collect_list("row").alias("_near"))
+    return (series.select(*by, row, days.alias("day")).groupBy(*by, F.col("day").alias("date"))
+            .agg(F.collect_list("row").alias("_near")))
 
 
 def match_local_window(daily: DataFrame, series: DataFrame, k: int = 1, strategy: str = "nearest", pred: str = "p50") -> DataFrame:
@@ -109,16 +110,20 @@ def match_local_window(daily: DataFrame, series: DataFrame, k: int = 1, strategy
             .withColumn("k_days", F.datediff("_b.model_date", "date")).drop("_near", "_b"))
 
 
-def match_nearest_day(daily: DataFrame, series: DataFrame, columns: Sequence[str], tolerance: int = 1) -> DataFrame:
-    """Series row nearest in time within a tolerance of days; the later day wins a tie."""
-    near = neighbourhood(series, tolerance, columns)
+def match_nearest_day(daily: DataFrame, series: DataFrame, columns: Sequence[str], tolerance: int = 1,
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Series row nearest in time within a tolerance of days; the later day wins a tie.
+
+    With ``by`` the series holds several named series and every sample meets each of them.
+    """
+    near = neighbourhood(series, tolerance, columns, by)
     rows = daily.where(F.col("obs").isNotNull()).join(near, "date")
 
     def order(r: Column) -> Column:
         apart = F.datediff(r["model_date"], "date")
         return F.struct(F.abs(apart).alias("gap"), (-apart).alias("later"), r.alias("row"))
 
-    return rows.withColumn("_b", F.array_min(F.transform("_near", order))).select(*daily.columns, "_b.row.*")
+    return rows.withColumn("_b", F.array_min(F.transform("_near", order))).select(*by, *daily.columns, "_b.row.*")
 
 
 def pair_scenarios(scenarios: DataFrame, baseline: DataFrame, base: str = "p50", value: str = "value") -> DataFrame:

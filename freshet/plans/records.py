@@ -71,8 +71,8 @@ def ledger_lines(s, d):
     return lines.select(F.explode(out_lines).alias("value"))
 
 
-def parsed(s, d):
-    return ledger.parse_lines(ledger_lines(s, d))
+def parsed(s, d, typed_args=False):
+    return ledger.parse_lines(ledger_lines(s, d), typed_args=typed_args)
 
 
 def _lines(df, folder, line_no, value):
@@ -183,9 +183,9 @@ def register(r: Registry) -> None:
     body = 'SELECT id, run_id, CAST(pos AS INTEGER) AS pos, transform, "in" AS src, out AS dst, source, renorm, lower, upper, value FROM choice'
     named = lambda df: df.withColumnRenamed("in", "src").withColumnRenamed("out", "dst")
     cols = "id run_id pos transform src dst source renorm"
-    r.add("l2_parameter_choices", lambda s, d: named(ledger.choices(parsed(s, d))), body, "ev_step choice", "lower upper value", cols)
-    r.add("l4_realization_choices", lambda s, d: named(ledger.realization(parsed(s, d), 17)), body + " WHERE id = 17", "ev_step choice", "lower upper value", cols)
-    r.add("l3_run_targets", lambda s, d: ledger.run_targets(parsed(s, d)), """
+    r.add("l2_parameter_choices", lambda s, d: named(ledger.choices(parsed(s, d, True))), body, "ev_step choice", "lower upper value", cols)
+    r.add("l4_realization_choices", lambda s, d: named(ledger.realization(parsed(s, d, True), 17)), body + " WHERE id = 17", "ev_step choice", "lower upper value", cols)
+    r.add("l3_run_targets", lambda s, d: ledger.run_targets(parsed(s, d, True)), """
         SELECT run_id, CASE WHEN transform LIKE 'op\\_%' ESCAPE '\\' THEN 'op' ELSE transform END AS kind, out AS target, arg_max(lower, id) AS lower0, CAST(count(*) AS BIGINT) AS n,
                coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources,
                max(struct_pack(id := id, lower := lower, upper := upper)).lower AS lower, max(struct_pack(id := id, lower := lower, upper := upper)).upper AS upper

@@ -204,6 +204,10 @@ def register(r: Registry) -> None:
           """SELECT s.*, load_kg / nullif(coalesce(f.q, flow_cms * 86400), 0) / 0.001 AS conc_mgl FROM sim s LEFT JOIN (
                SELECT CAST(date AS DATE) AS date, sum(flow_m3d) AS q FROM flow WHERE month(date) <= 3 GROUP BY 1) f
              ON f.date = s.date""", "sim flow", "conc_mgl", key)
+    r.add("j2_load_to_concentration_ensemble_flow",
+          lambda s, d: pairing.load_to_concentration(views.sim(s, d), "load_kg", ensemble.mean_daily_flow(views.sim(s, d)), False),
+          """SELECT s.*, load_kg / nullif(f.q, 0) / 0.001 AS conc_mgl FROM sim s LEFT JOIN (
+               SELECT rch, date, avg(flow_cms * 86400) AS q FROM sim GROUP BY 1, 2) f ON f.rch = s.rch AND f.date = s.date""", "sim", "conc_mgl", key)
     r.add("j8_envelope_with_flow",
           lambda s, d: ensemble.fan(views.sim(s, d), ["rch"], "load_kg", [50])
           .join(ensemble.external_daily_flow(views.flow(s, d)), "date")

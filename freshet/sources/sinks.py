@@ -90,9 +90,11 @@ def write_lines(lines: DataFrame, path: str, by: str = "run_no", mode: str = "ov
     lines.hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)
 
 
-def append_ledger(records: DataFrame, path: str) -> None:
-    """Append one JSON line per record."""
+def append_ledger(records: DataFrame, path: str, copies: str | None = None) -> None:
+    """Append one JSON line per record, and with ``copies`` also store each under its own name."""
     records.write.mode("append").option("ignoreNullFields", "false").json(path)
+    if copies is not None:
+        records.withColumn("realization", F.col("name")).write.mode("append").partitionBy("realization").json(copies)
 
 
 def ledger_records(runs: DataFrame, schema_version: str = "1") -> DataFrame:

@@ -51,8 +51,8 @@ def read_flow(spark: SparkSession, path: str, value: str, date: str = "date", se
         F.col(date).try_cast("timestamp_ntz").alias("date"), number(value).alias("flow_m3d"))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lines(spark.read.text(path))
+def read_ledger(spark: SparkSession, path: str, typed_args: bool = False) -> DataFrame:
+    return parse_lines(spark.read.text(path), typed_args=typed_args)
 
 
 def fingerprints(spark: SparkSession, path: str | Sequence[str], with_hash: bool = True, kind: str | None = None) -> DataFrame:
