@@ -60,7 +60,7 @@ def paired_duration(bands: DataFrame, keys: Sequence[str], ref: str = "p50",
 
 def measured_on_paired(daily: DataFrame, paired: DataFrame) -> DataFrame:
     """Samples at the rank of their day."""
-    return daily.where(F.col("obs").isNotNull()).join(paired.select("date", "x"), "date")
+    return daily.where(F.col("obs").isNotNull()).join(F.broadcast(paired.select("date", "x")), "date")  # one row per day
 
 
 def measured_on_order(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

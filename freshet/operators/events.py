@@ -25,7 +25,7 @@ TIME_CELLS = 1 << 18
 
 def _in_cells(df: DataFrame, ts: str) -> DataFrame:
     """Attach ``_us`` (time in microseconds) and ``_cell``, a slice of the record's time range."""
-    return with_cell(df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), [], "_us", TIME_CELLS)
+    return with_cell(df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), "_us", TIME_CELLS)
 
 
 def sampling_interval_days(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -178,6 +178,6 @@ def outlier_days(
 def tag_flow_outliers(flow: DataFrame, **options) -> DataFrame:
     """Attach the outlier flag of its day to every row."""
     days = outlier_days(flow, **options).select("date", "is_outlier")
-    return (flow.withColumn("_ts", F.col("date")).withColumn("date", F.to_date("date")).join(days, "date", "left")
+    return (flow.withColumn("_ts", F.col("date")).withColumn("date", F.to_date("date")).join(F.broadcast(days), "date", "left")  # one row per calendar day
             .withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False)))
             .drop("date").withColumnRenamed("_ts", "date"))

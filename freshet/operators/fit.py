@@ -141,7 +141,7 @@ def lagged_fit(daily: DataFrame, series: DataFrame, max_lag: int = 2, pred: str
     lags = range(-max_lag, max_lag + 1)
     shifts = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag(pred, k).over(w).alias("pred")) for k in lags])
     shifted = series.withColumn("_s", shifts).select("date", F.explode("_s").alias("s")).select("date", "s.*")
-    return core_metrics(daily.join(shifted, "date"), ["lag"]).select("lag", "n", "r", "r2", "rmse", "mae", "nse")
+    return core_metrics(daily.join(F.broadcast(shifted), "date"), ["lag"]).select("lag", "n", "r", "r2", "rmse", "mae", "nse")
 
 
 def best_lag(by_lag: DataFrame, choose_by: str = "r") -> DataFrame:
@@ -185,7 +185,7 @@ def data_usage(q: DataFrame, daily: DataFrame, start: str | None = None, end: st
         n(ok & inside(F.col("date"))).alias("wf"))
     obs = per.agg(F.max("t").alias("measured_days_total"), F.max("f").alias("measured_days_finite"),
                   F.max("w").alias("measured_days_windowed"), F.max("wf").alias("measured_days_windowed_finite"))
-    paired = (daily.where(ok & inside(F.col("date"))).join(q.where(F.col(pred).isNotNull()).select("date"), "date")
+    paired = (daily.where(ok & inside(F.col("date"))).join(F.broadcast(q.where(F.col(pred).isNotNull()).select("date")), "date")
               .agg(F.count(F.lit(1)).alias("paired_days_used")))
     pct = lambda a, b: F.coalesce(100 * div(a, b), F.lit(0.0))
     return (_attach(_attach(sim, obs, []), paired, [])

@@ -30,18 +30,17 @@ def _warp(v: Column) -> Column:
     return F.signum(v) * F.log1p(F.abs(v))
 
 
-def with_cell(df: DataFrame, keys: Sequence[str], value: str, cells: int = CELLS) -> DataFrame:
-    """Attach ``_cell``: position of the value within the group's range, low to high."""
+def with_cell(df: DataFrame, value: str, cells: int = CELLS) -> DataFrame:
+    """Attach ``_cell``: position of the value within the range of the column, low to high.
+
+    All groups share one range, so no group has to be brought together to find its own.
+    """
     w = _warp(F.col(value).cast("double"))
-    span = [F.min(w).alias("_lo"), F.max(w).alias("_hi")]
-    if keys:
-        df = df.join(df.groupBy(*keys).agg(F.struct(*span).alias("_span")), list(keys))
-    else:
-        df = df.withColumn("_span", df.agg(F.struct(*span)).scalar())
-    lo, hi = F.col("_span._lo"), F.col("_span._hi")
+    span = df.agg(F.struct(F.min(w).alias("lo"), F.max(w).alias("hi"))).scalar()
+    lo, hi = F.col("_span.lo"), F.col("_span.hi")
     share = F.coalesce(F.try_divide(w - lo, hi - lo), F.lit(0.0))
     cell = F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")
-    return df.withColumn("_cell", cell).drop("_span")
+    return df.withColumn("_span", span).withColumn("_cell", cell).drop("_span")
 
 
 def _cell_starts(df: DataFrame, keys: Sequence[str], weight: Column, descending: bool = False) -> DataFrame:
@@ -69,7 +68,7 @@ def exact_rank(
     tie = list(tiebreak) or [c for c in df.columns if c not in keys]
     rows = df.where(F.col(value).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(SALTS)).cast("int"))
     part = [*keys, value, "_salt"]
-    tally = with_cell(rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")), keys, value, cells)
+    tally = with_cell(rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")), value, cells)
     starts = _cell_starts(tally, keys, F.col("_n"), descending).drop("_in_cell")
     first = F.col(value).desc() if descending else F.col(value)
     before = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(first, "_salt")) - F.col("_n")
@@ -88,7 +87,7 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
-    celled = with_cell(tally, keys, "_v", cells)
+    celled = with_cell(tally, "_v", cells)
     starts = _cell_starts(celled, keys, F.col("_n"))
     # the wanted positions: the two neighbours of p * (n - 1) for every p
     spots = []
@@ -103,6 +102,8 @@ def exact_quantiles(
         .where(F.size("_spots") > 0)
         .select(*keys, "_cell", "_start", "_spots")
     )
+    if not keys:
+        wanted = F.broadcast(wanted)  # at most two rows per quantile
     w = Window.partitionBy(*keys, "_cell").orderBy("_v")
     picked = (
         celled.join(wanted, [*keys, "_cell"])

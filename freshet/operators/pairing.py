@@ -1,7 +1,8 @@
 """Joins between sparse lab samples, gauge flow and model series.
 
-Day-window joins explode the few days around a sample and use an equality join, so Spark
-hashes on the day instead of comparing every sample with every model day.
+Samples are the side that grows. Model series and gauge flow have one row per calendar day,
+a size set by the simulated years and not by the data, so those tables are broadcast and
+the samples stay where they are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def samples_to_load(
     elif negative == "zero":
         s = s.withColumn("conc", F.when(F.col("conc") < 0, F.lit(0.0)).otherwise(F.col("conc")))
     daily = external_daily_flow(flow, "mean")
-    joined = s.join(daily, "date", "left")
+    joined = s.join(F.broadcast(daily), "date", "left")
     if nonnum == "drop":
         joined = joined.where(F.col("conc").isNotNull() & F.col("flow_m3d").isNotNull())
     elif nonnum in ("zero", "half_MDL"):
@@ -76,13 +77,18 @@ def measured_period_total(daily: DataFrame, freq: str, months: Sequence[int] | N
     return means.join(days, "date").withColumn("obs_total", F.col("obs") * F.col("n_days"))
 
 
-def pair_same_day(daily: DataFrame, q: DataFrame, pred: str = "p50", start: str | None = None, end: str | None = None) -> DataFrame:
-    """Observed and predicted on the same day, both present; every station stays a row."""
+def pair_same_day(daily: DataFrame, q: DataFrame, pred: str = "p50", start: str | None = None, end: str | None = None,
+                  by: Sequence[str] = ()) -> DataFrame:
+    """Observed and predicted on the same day, both present; every station stays a row.
+
+    ``q`` is one series by date; with ``by`` (such as rch) samples and series share those keys too.
+    """
     if start is not None:
         daily = daily.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         daily = daily.where(F.col("date") <= F.lit(end).cast("date"))
-    return (daily.join(q, "date").where(F.col("obs").isNotNull() & F.col(pred).isNotNull())
+    q = q if by else F.broadcast(q)
+    return (daily.join(q, [*by, "date"]).where(F.col("obs").isNotNull() & F.col(pred).isNotNull())
             .withColumn("pred", F.col(pred)))
 
 
@@ -101,7 +107,7 @@ def neighbourhood(series: DataFrame, k: int, columns: Sequence[str | Column], by
 def match_local_window(daily: DataFrame, series: DataFrame, k: int = 1, strategy: str = "nearest", pred: str = "p50") -> DataFrame:
     """Model value for each sample within k days: nearest in value (earliest on ties) or the mean."""
     near = neighbourhood(series.where(F.col(pred).isNotNull()), k, [F.col(pred).alias("m")])
-    rows = daily.where(F.col("obs").isNotNull()).join(near, "date")
+    rows = daily.where(F.col("obs").isNotNull()).join(F.broadcast(near), "date")
     if strategy == "mean":
         total = F.aggregate("_near", F.lit(0.0), lambda acc, r: acc + r["m"])
         return rows.withColumn("pred", total / F.size("_near")).withColumn("k_days", F.lit(0)).drop("_near")
@@ -117,6 +123,7 @@ def match_nearest_day(daily: DataFrame, series: DataFrame, columns: Sequence[str
     With ``by`` the series holds several named series and every sample meets each of them.
     """
     near = neighbourhood(series, tolerance, columns, by)
+    near = near if by else F.broadcast(near)
     rows = daily.where(F.col("obs").isNotNull()).join(near, "date")
 
     def order(r: Column) -> Column:
@@ -164,7 +171,7 @@ def flag_deviation(daily: DataFrame, q: DataFrame, event_days: DataFrame, factor
 
     The model base is p90, replaced by p50 and then the mean where missing throughout.
     """
-    out = daily.join(q.select("date", "p90", "p50", "mean"), "date", "left")
+    out = daily.join(F.broadcast(q.select("date", "p90", "p50", "mean")), "date", "left")
     any_p90 = out.agg(F.count("p90")).scalar() > 0
     any_p50 = out.agg(F.count("p50")).scalar() > 0
     base = F.when(any_p90, F.col("p90")).when(any_p50, F.col("p50")).otherwise(F.col("mean"))
@@ -172,5 +179,5 @@ def flag_deviation(daily: DataFrame, q: DataFrame, event_days: DataFrame, factor
     days = event_days.select("date").distinct().withColumn("_event", F.lit(True))
     label = (F.when(F.col("_event"), "flow-outlier")
              .when((ratio >= factor) | (ratio <= 1.0 / factor), "deviation").otherwise("kept"))
-    return (out.join(days, "date", "left").withColumn("ratio", ratio).withColumn("label", label)
+    return (out.join(F.broadcast(days), "date", "left").withColumn("ratio", ratio).withColumn("label", label)
             .drop("_event", "p90", "p50", "mean"))

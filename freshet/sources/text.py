@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from freshet.functions.nulls import finite
 
 HEADER_LINES = 9
+BROADCAST_BLOCKS = 200_000  # about 30 MB
 
 # fixed values: names of the 63 reach-output fields, in file order
 REACH_FIELDS = (
@@ -34,7 +35,8 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     Spark reads a large file in blocks. A line's place inside its block follows from the row
     id, and a table of one row per block adds the lines of the blocks before it, so lines are
-    numbered without moving or sorting them.
+    numbered without moving or sorting them. The block table is broadcast up to
+    ``BROADCAST_BLOCKS`` rows; above that Spark joins it by shuffle.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
@@ -42,6 +44,9 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     blocks = raw.groupBy("file_path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file_path").orderBy("block")) - F.col("n")
     blocks = blocks.select("file_path", "block", "first", before.alias("before"))
+    # every scan partition holds parts of whole blocks, so this bounds the number of blocks
+    if raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
     return (raw.join(blocks, ["file_path", "block"])
             .select("file_path", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "value"))
 
