@@ -363,6 +363,8 @@ def register(r: Registry) -> None:
           """SELECT CAST(r AS INTEGER) AS run_no, step_no, pos, name, CASE WHEN pos = 4 THEN NULL WHEN r = 1 THEN 'all_lower' ELSE 'all_upper' END AS source,
                     CASE WHEN pos = 4 THEN standard WHEN r = 1 THEN lower ELSE upper END AS value FROM params, generate_series(1, 2) t(r)""", "params", "value", over)
     r.add("r3_overrides_extreme", lambda s, d: scenario.overrides(params(s, d), "extreme"), "SELECT * FROM extreme", "params extreme", "value", over)
+    r.add("j9_overrides_with_bounds", lambda s, d: scenario.with_defaults(scenario.overrides(params(s, d), "extreme"), params(s, d)),
+          "SELECT e.*, p.standard, p.lower, p.upper FROM extreme e JOIN params p ON p.pos = e.pos", "params extreme", "value standard lower upper", over)
     r.add("r4_overrides_random", lambda s, d: scenario.overrides(params(s, d), "random", 200, 7))
     r.add("r5_bounded_parameters", lambda s, d: scenario.bounded(params(s, d)),
           "SELECT step_no, name, lower, upper FROM params WHERE lower IS NOT NULL AND upper IS NOT NULL AND lower <> upper", "params", "lower upper", "step_no name")

@@ -72,6 +72,14 @@ def fingerprints(spark: SparkSession, path: str | Sequence[str], with_hash: bool
     return small.unionByName(large)
 
 
+def upstream_files(spark: SparkSession, folder: str, pattern: str, others: Sequence[str] = ()) -> DataFrame:
+    """Paths of the inputs of a job: the files of a folder matching a pattern, and single named files."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    if others:
+        listed = listed.unionByName(spark.createDataFrame([(o,) for o in others], "path string"))
+    return listed.distinct()
+
+
 def write_runs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parsed runs as parquet by ``run_no``; a large run is split over several files."""
     df.hint("rebalance", "run_no").write.mode(mode).partitionBy("run_no").parquet(path)

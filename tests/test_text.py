@@ -102,6 +102,7 @@ def test_samples_flow_and_fingerprint(spark, tmp_path):
     import hashlib
     r = tables.fingerprints(spark, str(tmp_path / "q.csv"), kind="csv").first()
     assert r["sha256"] == hashlib.sha256((tmp_path / "q.csv").read_bytes()).hexdigest() and r["kind"] == "csv" and r["size"] == 33
+    assert tables.upstream_files(spark, str(tmp_path), "q*.csv", ["zones.shp"]).count() == 2
     assert tables.fingerprints(spark, str(tmp_path / "q.csv"), False).first()["sha256"] is None
 
 
