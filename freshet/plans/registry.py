@@ -15,6 +15,7 @@ class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
+        self.body: dict[str, str] = {}
 
     def add(self, name: str, fn: Query, sql: str | None = None, ctes: str = "", doubles: str = "", others: str = "",
             digits: int = DIGITS) -> None:
@@ -29,4 +30,5 @@ class Registry:
 
         self.queries[name] = run
         if sql is not None:
+            self.body[name] = sql
             self.sql[name] = rsql(sql, ctes, doubles, others, digits)
