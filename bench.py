@@ -14,7 +14,7 @@ from freshet.plans.catalog import catalog
 from freshet.session import get_spark
 
 HEADLINE = """
-p16_measured_policies a1_resample_sum_month a2_flow_weighted_mean a1_resample_complete_weeks a3_fan_monthly a3_fan_daily
+p16_measured_half_mdl_zero a1_resample_sum_month a2_flow_weighted_mean a1_resample_complete_weeks a3_fan_monthly a3_fan_daily
 a4_bands_half_the_runs a5_mean_daily_flow a7_erosion_monthly j1_samples_to_load_as_na_zero j2_load_to_concentration_own_flow
 j5_local_window_nearest_3 j6_nearest_day m11_pairwise_metrics m1_to_m10_metrics_by_station m14_band_coverage_nearest_day
 m19_best_lag_by_r m20_local_window_summary_1 a21_distribution_all_samples m22_shift_set_both m24_event_shift

@@ -13,11 +13,15 @@ from freshet.operators.resample import spine
 from freshet.operators.select import threshold_fraction
 
 
-def threshold(df: DataFrame, value: str, spec: float | str) -> Column:
-    """A number, or the percentile named by a token, as a scalar."""
-    if isinstance(spec, (int, float)) and not isinstance(spec, bool):
-        return F.lit(float(spec))
-    return exact_quantiles(df, [], value, {"q": threshold_fraction(spec)}).scalar()
+def thresholds_of(df: DataFrame, value: str, specs: dict[str, float | str]) -> Column:
+    """All thresholds as one struct: numbers as given, percentile tokens from a single pass."""
+    tokens = {n: threshold_fraction(v) for n, v in specs.items() if isinstance(v, str)}
+    if tokens:
+        names = {n: f"t{i}" for i, n in enumerate(tokens)}
+        row = exact_quantiles(df, [], value, {names[n]: p for n, p in tokens.items()})
+        found = row.select(F.struct(*names.values())).scalar()
+        return F.struct(*[(found[names[n]] if n in tokens else F.lit(float(v))).alias(n) for n, v in specs.items()])
+    return F.struct(*[F.lit(float(v)).alias(n) for n, v in specs.items()])
 
 
 TIME_CELLS = 1 << 18
@@ -60,7 +64,8 @@ def add_event_flags(
     names = list(thresholds)
     cell = Window.partitionBy("_cell")
     out = _in_cells(df, ts).withColumn("_rn", F.row_number().over(cell.orderBy("_us", *tiebreak)))
-    above = {n: F.coalesce(F.col(flow) >= threshold(df, flow, thresholds[n]), F.lit(False)) for n in names}
+    out = out.withColumn("_cut", thresholds_of(df, flow, thresholds))
+    above = {n: F.coalesce(F.col(flow) >= F.col("_cut")[n], F.lit(False)) for n in names}
     out = out.withColumns({f"_below_{n}": F.when(~above[n], F.col("_rn")) for n in names})
     out = out.withColumn("_dt", sampling_interval_days(df, ts).scalar())
     edges = _cell_edges(out, names)

@@ -366,6 +366,12 @@ def register(r: Registry) -> None:
     r.add("j9_overrides_with_bounds", lambda s, d: scenario.with_defaults(scenario.overrides(params(s, d), "extreme"), params(s, d)),
           "SELECT e.*, p.standard, p.lower, p.upper FROM extreme e JOIN params p ON p.pos = e.pos", "params extreme", "value standard lower upper", over)
     r.add("r4_overrides_random", lambda s, d: scenario.overrides(params(s, d), "random", 200, 7))
+    r.add("r4_random_draws_within_bounds",
+          lambda s, d: scenario.with_defaults(scenario.overrides(params(s, d), "random", 200, 7), params(s, d)).groupBy("name").agg(
+              F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values"),
+              F.bool_and(F.col("value").between(F.col("lower"), F.col("upper")) | (F.col("lower") == F.col("upper"))).alias("inside")),
+          "SELECT name, CAST(200 AS BIGINT) AS n, CAST(CASE WHEN lower = upper THEN 1 ELSE 200 END AS BIGINT) AS n_values, TRUE AS inside FROM params",
+          "params", "", "name n n_values inside")
     r.add("r5_bounded_parameters", lambda s, d: scenario.bounded(params(s, d)),
           "SELECT step_no, name, lower, upper FROM params WHERE lower IS NOT NULL AND upper IS NOT NULL AND lower <> upper", "params", "lower upper", "step_no name")
 

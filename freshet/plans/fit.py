@@ -382,10 +382,11 @@ def register(r: Registry) -> None:
 
     r.add("w4_event_flags_gauge", flags, flags_sql(dt_sql), "gauge", "", "event_id flag_name flag")
     r.add("w4_event_flags_daily", flow_events, "SELECT date, is_event FROM ev", EV, "", "date is_event")
+    tokens = {"q1": "q1", "q50": "q50", "q3": "q3", "p90": "p90", "95pct": "95pct"}
     r.add("p17_threshold_tokens",
-          lambda s, d: views.gauge(s, d).select(F.explode(F.array(*[
-              F.struct(F.lit(t).alias("token"), (F.col("q") >= events.threshold(views.gauge(s, d), "q", t)).cast("int").alias("above"))
-              for t in ("q1", "q50", "q3", "p90", "95pct")])).alias("e")).select("e.*").groupBy("token").agg(F.sum("above").alias("n")),
+          lambda s, d: views.gauge(s, d).withColumn("cut", events.thresholds_of(views.gauge(s, d), "q", tokens)).select(F.explode(F.array(*[
+              F.struct(F.lit(t).alias("token"), (F.col("q") >= F.col("cut")[t]).cast("int").alias("above")) for t in tokens]))
+              .alias("e")).select("e.*").groupBy("token").agg(F.sum("above").alias("n")),
           " UNION ALL ".join(f"SELECT '{t}' AS token, CAST(sum(CAST(q >= (SELECT quantile_cont(q, {p}) FROM gauge) AS INTEGER)) AS BIGINT) AS n FROM gauge"
                              for t, p in (("q1", 0.25), ("q50", 0.5), ("q3", 0.75), ("p90", 0.9), ("95pct", 0.95))),
           "gauge", "", "token n")

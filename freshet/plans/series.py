@@ -43,31 +43,18 @@ def register(r: Registry) -> None:
     r.add("p8_area_hectares", lambda s, d: select.area_hectares(views.sub(s, d)),
           "SELECT *, area_km2 * 100 AS area_ha FROM sub", "sub", "area_ha", "sub date")
 
-    def policies(s, d):
-        m = views.measured(s, d)
-        out = None
-        for nonnum in ("as_na", "drop", "zero", "half_MDL"):
-            for negative in ("keep", "drop", "zero"):
-                c = select.clean_measured(m, "value", nonnum, negative)
-                g = c.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.count("value_num").alias("n_num"),
-                                             F.sum("value_num").alias("total"))
-                g = g.select("station", F.lit(nonnum).alias("nonnum"), F.lit(negative).alias("negative"),
-                             "n", "n_num", "total")
-                out = g if out is None else out.unionByName(g)
-        return out
-
-    parts = []
-    for nonnum in ("as_na", "drop", "zero", "half_MDL"):
-        for negative in ("keep", "drop", "zero"):
-            v = "CASE WHEN v < 0 THEN 0.0 ELSE v END" if negative == "zero" else "v"
-            fill = {"zero": "0.0", "half_MDL": "0.1"}.get(nonnum)
-            v = f"coalesce({v}, {fill})" if fill else v
-            keep = ["TRUE"] + (["(v IS NULL OR v >= 0)"] if negative == "drop" else []) \
-                + (["v IS NOT NULL"] if nonnum == "drop" else [])
-            parts.append(f"""SELECT station, '{nonnum}' AS nonnum, '{negative}' AS negative, count(*) AS n,
-                         count({v}) AS n_num, sum({v}) AS total FROM cleaned WHERE {' AND '.join(keep)} GROUP BY 1""")
-    r.add("p16_measured_policies", policies, " UNION ALL ".join(parts), "measured cleaned", "total",
-          "station nonnum negative n n_num")
+    def policy(nonnum, negative):
+        return lambda s, d: select.clean_measured(views.measured(s, d), "value", nonnum, negative).groupBy("station", "analyte").agg(
+            F.count(F.lit(1)).alias("n"), F.count("value_num").alias("n_num"), F.sum("value_num").alias("total"))
+
+    for nonnum, negative in (("as_na", "keep"), ("as_na", "drop"), ("drop", "drop"), ("zero", "zero"), ("half_MDL", "zero")):
+        v = "CASE WHEN v < 0 THEN 0.0 ELSE v END" if negative == "zero" else "v"
+        fill = {"zero": "0.0", "half_MDL": "0.1"}.get(nonnum)
+        v = f"coalesce({v}, {fill})" if fill else v
+        keep = ["TRUE"] + (["(v IS NULL OR v >= 0)"] if negative == "drop" else []) + (["v IS NOT NULL"] if nonnum == "drop" else [])
+        r.add(f"p16_measured_{nonnum.lower()}_{negative}", policy(nonnum, negative),
+              f"SELECT station, analyte, count(*) AS n, count({v}) AS n_num, sum({v}) AS total FROM cleaned WHERE {' AND '.join(keep)} GROUP BY 1, 2",
+              "measured cleaned", "total", "station analyte n n_num")
 
     def how(s, d):
         names = views.sim(s, d).select(F.explode(F.array(*[F.lit(x) for x in (
