@@ -115,7 +115,8 @@ def sub_lines(s, d):
     cells = [pad(fields[n], 10) if n in fields else F.substring(bad.get(n, F.lit("     0.000")), 1, 10) for n in list(text.SUB_DOUBLES)[1:]]
     value = F.concat(F.lit("BIGSUB "), F.lpad(F.col("sub").cast("string"), 4, " "), F.lpad(F.lit("0"), 9, " "), F.lpad(F.lit("1.7"), 5, " "), F.lit(" "),
                      pad(F.col("area_km2"), 9), *cells)
-    return _lines(x, F.lit("/data/out_run1/output.sub"), _line_no("sub"), value)
+    folder = run_folder((F.col("sub") % 7 + 1).cast("string"))
+    return _lines(x, F.concat(folder, F.lit("output.sub")), _line_no("sub"), value)
 
 
 def register(r: Registry) -> None:

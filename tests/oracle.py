@@ -44,9 +44,8 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], out
 
 
-def compare(spark, con, name, fn, sql, sf_dir):
+def compare(con, df, sql):
     """Returns (ok, message)."""
-    df = fn(spark, sf_dir)
     c1, r1 = rows_of(df.columns, df.collect())
     cur = con.execute(sql)
     types = {x[0]: str(x[1]) for x in cur.description}
@@ -85,7 +84,7 @@ def main() -> int:
         t = time.time()
         try:
             if name in sqls:
-                ok, msg = compare(spark, con, name, fn, sqls[name], sf_dir)
+                ok, msg = compare(con, fn(spark, sf_dir), sqls[name])
             else:
                 ok, msg = True, f"{len(fn(spark, sf_dir).collect())} rows, no SQL"
         except Exception as e:  # noqa: BLE001
