@@ -25,6 +25,13 @@ def bounded_quantiles(value: Column | str, probs: Sequence[float]) -> Column:
     return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
 
 
+def quantile_of(values: Column | str, p: float) -> Column:
+    """Linear-interpolated quantile of a sorted array."""
+    pos = F.lit(float(p)) * (F.size(values) - 1)
+    lo, hi = F.get(values, F.floor(pos).cast("int")), F.get(values, F.ceil(pos).cast("int"))
+    return lo + (hi - lo) * (pos - F.floor(pos))
+
+
 def _warp(v: Column) -> Column:
     # monotone and close to logarithmic, so a few extreme values do not swallow the cells
     return F.signum(v) * F.log1p(F.abs(v))
