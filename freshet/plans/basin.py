@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.operators import balance, duration, ensemble, events, rolling, scenario, select, zones
+from freshet.operators import balance, duration, ensemble, rolling, scenario, select, zones
 from freshet.plans import fit as fitq
 from freshet.plans import views
 from freshet.plans.registry import Registry

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from freshet.operators import balance, compare, fit, ledger, order, resample, select
@@ -177,6 +178,8 @@ def register(r: Registry) -> None:
                avg(CASE WHEN secs > 0 THEN secs END) AS duration_avg, CAST(min(CASE WHEN secs > 0 THEN secs END) AS DOUBLE) AS duration_min, CAST(max(CASE WHEN secs > 0 THEN secs END) AS DOUBLE) AS duration_max,
                count(DISTINCT event_type) + count(DISTINCT user_id) AS n_inputs FROM ev_step""", "ev_step", "duration_avg duration_min duration_max",
           "n_records n_ids engine_variants n_runs created_min created_max n_inputs")
+    r.add("l1_run_ids", lambda s, d: ledger.run_ids(parsed(s, d)),
+          "SELECT user_id AS run_id, count(*) AS n_records FROM ev_step WHERE event_type <> 'error' GROUP BY 1", "ev_step", "", "run_id n_records")
     r.add("l1_step_durations", lambda s, d: ledger.steps(parsed(s, d)).where("pos = 0"),
           "SELECT event_id AS id, user_id AS run_id, 'transform_scale_variable' AS step, CAST(CASE WHEN secs >= 0 THEN secs END AS DOUBLE) AS seconds FROM ev_step",
           "ev_step", "seconds", "id run_id step")
@@ -336,7 +339,5 @@ def report_sql(r: Registry, windows, scenarios: bool) -> str:
 
 
 def _top(df):
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("rch").orderBy(F.col("sed_out").desc(), "date"))
     return df.withColumn("rank", rank).where(F.col("rank") <= 3)

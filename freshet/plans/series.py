@@ -155,6 +155,9 @@ def register(r: Registry) -> None:
           lambda s, d: select.station_lookup(views.measured(s, d)).select("analyte", F.concat_ws("|", "stations").alias("stations")),
           "SELECT analyte, string_agg(DISTINCT station, '|' ORDER BY station) AS stations FROM measured GROUP BY 1",
           "measured", "", "analyte stations")
+    r.add("p15_series_labels",
+          lambda s, d: views.table(s, d, "part").select("p_type", ensemble.sanitise(F.concat_ws(" - ", "p_brand", "p_type")).alias("label")).distinct(),
+          "SELECT DISTINCT p_type, lower(trim(regexp_replace(p_brand || ' - ' || p_type, '[^0-9A-Za-z]+', '_', 'g'), '_')) AS label FROM part", "", "", "p_type label")
     r.add("a11_reach_list", lambda s, d: select.reach_list(views.sim(s, d)),
           "SELECT rch, count(DISTINCT run_id) AS n_runs FROM sim GROUP BY 1", "sim", "", "rch n_runs")
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import balance, scenario, zones
+from freshet.operators import balance, duration, scenario, zones
+from freshet.sources import tables
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -153,3 +154,16 @@ def test_balance_signs(spark):
         balance.channel_balance(r, s, "SED", "Z")
     with pytest.raises(ValueError):
         balance.channel_balance(r, s, "XX")
+
+
+def test_population_table_without_years(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("OBJECTID;GRIDCODE;Area;Bname\n1;7;12.5;\n2;9;3.25;\n")
+    df = tables.read_population(spark, str(tmp_path / "p.csv"))
+    assert [r["GRIDCODE"] for r in df.orderBy("GRIDCODE").collect()] == [7, 9]
+    with pytest.raises(ValueError, match="No integer year columns"):
+        zones.interpolate_years(zones.normalise_years(df, "GRIDCODE"), 1970, 1980, "GRIDCODE")
+
+
+def test_flow_source_choice():
+    assert duration.choose_flow("gauge", "model") == "model" and duration.choose_flow("gauge", "model", "external") == "gauge"
+    assert duration.choose_flow("gauge", None, "model") == "gauge" and duration.choose_flow(None, None) is None
