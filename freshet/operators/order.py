@@ -37,13 +37,15 @@ def _warp(v: Column) -> Column:
     return F.signum(v) * F.log1p(F.abs(v))
 
 
-def with_cell(df: DataFrame, value: str, cells: int = CELLS) -> DataFrame:
+def with_cell(df: DataFrame, value: str, cells: int = CELLS, rows: DataFrame | None = None) -> DataFrame:
     """Attach ``_cell``: position of the value within the range of the column, low to high.
 
-    All groups share one range, so no group has to be brought together to find its own.
+    All groups share one range, so no group has to be brought together to find its own. The
+    range is read from ``rows`` when ``df`` is an aggregate of them, which needs no shuffle.
     """
     w = _warp(F.col(value).cast("double"))
-    span = df.agg(F.struct(F.min(w).alias("lo"), F.max(w).alias("hi"))).scalar()
+    source = df if rows is None else rows
+    span = source.agg(F.struct(F.min(w).alias("lo"), F.max(w).alias("hi"))).scalar()
     lo, hi = F.col("_span.lo"), F.col("_span.hi")
     share = F.coalesce(F.try_divide(w - lo, hi - lo), F.lit(0.0))
     cell = F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")
@@ -75,7 +77,7 @@ def exact_rank(
     tie = list(tiebreak) or [c for c in df.columns if c not in keys]
     rows = df.where(F.col(value).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(SALTS)).cast("int"))
     part = [*keys, value, "_salt"]
-    tally = with_cell(rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")), value, cells)
+    tally = with_cell(rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")), value, cells, rows)
     starts = _cell_starts(tally, keys, F.col("_n"), descending).drop("_in_cell")
     first = F.col(value).desc() if descending else F.col(value)
     before = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(first, "_salt")) - F.col("_n")
@@ -90,11 +92,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with the linear-interpolated quantiles named in ``probs``."""
     keys = list(keys)
-    tally = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    celled = with_cell(tally, "_v", cells)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    tally = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    celled = with_cell(tally, "_v", cells, rows)
     starts = _cell_starts(celled, keys, F.col("_n"))
     # the wanted positions: the two neighbours of p * (n - 1) for every p
     spots = []
