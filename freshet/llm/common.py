@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,35 +43,37 @@ def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocked(docs: DataFrame, block_chars: int, *cols: str) -> tuple[DataFrame, int]:
-    """Add `block`, a number below the returned count, so that a block holds about block_chars characters.
+def blocked(docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
+    """(id, text, block): documents in blocks of about block_bytes of their file, whatever the size of the input.
 
-    A block is dealt by id and text, so copies under other ids are spread. Its size doesn't depend on the input's; one
-    document is never split.
+    A block is part of one file, dealt by id and text, so two scans give the same blocks. A frame that isn't a scan of files is
+    written first. One document is never split.
     """
-    total = docs.agg(F.sum(F.length(cols[1]))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    return docs.select(*cols, F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(n)).cast("int").alias("block")), n
+    try:
+        own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n"))
+    except AnalysisException:
+        own = saved(docs.select(F.col(id).alias("id"), F.col(text).alias("text")))
+        own = own.select("id", "text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n"))
+    part = F.pmod(F.xxhash64("id", "text"), F.ceil(F.col("n") / block_bytes).cast("long"))
+    return own.select("id", "text", F.xxhash64("f", part).alias("block"))
 
 
-def packed(docs: DataFrame, split: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
-    """(block, pack): the rows of each block in compressed pieces, to be moved with few bytes and opened by `unpacked`."""
+def packed(docs: DataFrame) -> DataFrame:
+    """(block, pack): the rows of each block in compressed pieces, to be moved in few bytes and opened by `unpacked`."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for batch in batches:
             t = pa.table(batch)
             of = t["block"].to_numpy()
-            order = np.argsort(of, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0]) if len(of) else np.array([], int)
-            for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
-                part = t.take(pa.array(order[a:b])).drop_columns("block").combine_chunks()
+            for b in np.unique(of):
+                part = t.filter(pa.array(of == b)).drop_columns("block").combine_chunks()
                 out = pa.BufferOutputStream()
                 with pa.ipc.new_stream(out, part.schema, options=options) as w:
                     w.write_table(part)
-                yield pa.record_batch({"block": pa.array([of[order[a]]], pa.int32()), "pack": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+                yield pa.record_batch({"block": pa.array([b], pa.int64()), "pack": pa.array([out.getvalue().to_pybytes()], pa.binary())})
 
-    return docs.mapInArrow(pack, "block int, pack binary")
+    return docs.mapInArrow(pack, "block long, pack binary")
 
 
 def unpacked(packs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
@@ -76,6 +81,55 @@ def unpacked(packs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
         yield from pa.ipc.open_stream(p.as_buffer())
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column; empty for null."""
-    return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+def squeezed(items: list[bytes]) -> bytes:
+    """Many short byte strings as one compressed value; `opened` gives the list back."""
+    lengths = np.fromiter(map(len, items), np.uint32, len(items))
+    return zstandard.compress(len(items).to_bytes(4, "little") + lengths.tobytes() + b"".join(items), 3)
+
+
+def opened(value: bytes) -> list[bytes]:
+    raw = zstandard.decompress(value)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+
+
+def distinct_words(docs: DataFrame, split: Callable[[str, object], dict[bytes, int]], buckets: int) -> DataFrame:
+    """(bucket, block, words, counts): the distinct words of each block with counts, squeezed by bucket of a word's hash.
+
+    docs: from blocked(). split: a document's words and counts, from text and id. All rows of a bucket hold all that a word needs.
+    """
+
+    def rows(found: dict[int, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for block, own in found.items():
+            by: dict[int, list[bytes]] = {}
+            for w in sorted(own):
+                by.setdefault(zlib.crc32(w) % buckets, []).append(w)
+            yield pa.record_batch({
+                "bucket": pa.array(list(by), pa.int32()), "block": pa.array([block] * len(by), pa.int64()),
+                "words": pa.array([squeezed(x) for x in by.values()], pa.binary()),
+                "counts": pa.array([zstandard.compress(np.array([own[w] for w in x], np.int64).tobytes()) for x in by.values()], pa.binary())})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, dict[bytes, int]] = {}
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                for block, id, text in zip(part["block"].to_pylist(), part["id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    own = found.setdefault(block, {})
+                    for w, n in split(text or "", id).items():
+                        own[w] = own.get(w, 0) + n
+                if sum(map(len, found.values())) > 1_000_000:
+                    yield from rows(found)
+                    found = {}
+        yield from rows(found)
+
+    return docs.mapInArrow(find, "bucket int, block long, words binary, counts binary")
+
+
+def summed(rows: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int]]:
+    """The words of each row of a bucket, and all of them with their counts."""
+    lists, total = [opened(w) for w in rows["words"].to_pylist()], {}
+    for words_, counts in zip(lists, rows["counts"].to_pylist(), strict=True):
+        for w, n in zip(words_, np.frombuffer(zstandard.decompress(counts), np.int64).tolist(), strict=True):
+            total[w] = total.get(w, 0) + n
+    return lists, total

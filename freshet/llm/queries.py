@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.llm import lines, merkle, mixing, urls
+from freshet.llm import bpe, lines, merkle, mixing, ppm, urls
 
-QUERIES = {f.__name__: f for f in (lines.op3_quality_rules, merkle.op4_fingerprints, mixing.op5_mixing, urls.op10_url_filters)}
+QUERIES = {f.__name__: f for f in (ppm.op1_ppm, lines.op3_quality_rules, merkle.op4_fingerprints, mixing.op5_mixing, bpe.op8_bpe, urls.op10_url_filters)}
 SQL = {"op3_quality_rules": lines.SQL, "op4_fingerprints": merkle.SQL, "op5_mixing": mixing.SQL, "op10_url_filters": urls.SQL}
