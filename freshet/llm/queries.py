@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.llm import bpe, lines, merkle, mixing, ppm, toxicity, urls
+from freshet.llm import bpe, language, lines, merkle, mixing, ppm, toxicity, urls
 
-QUERIES = {f.__name__: f for f in (ppm.op1_ppm, lines.op3_quality_rules, merkle.op4_fingerprints, mixing.op5_mixing, bpe.op8_bpe, toxicity.op9_toxicity, urls.op10_url_filters)}
+QUERIES = {f.__name__: f for f in (ppm.op1_ppm, language.op2_language, lines.op3_quality_rules, merkle.op4_fingerprints, mixing.op5_mixing, bpe.op8_bpe, toxicity.op9_toxicity, urls.op10_url_filters)}
 SQL = {"op3_quality_rules": lines.SQL, "op4_fingerprints": merkle.SQL, "op5_mixing": mixing.SQL, "op10_url_filters": urls.SQL}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from freshet.llm.common import table
 
 #: Labelled documents that the model is fitted on, at most; features of the model; grades above 0; where rejection starts.
-SAMPLE, FEATURES, GRADES, REJECT = 20_000, 4096, 3, 0.5
+SAMPLE, FEATURES, GRADES, REJECT = 20_000, 4096, 3, 0.4
 HASH = 1 << 20
 #: A word counts as often as it is distinct evidence: grades of the labelled come from this share of telling words.
 MIN_DOCS = 8
