@@ -28,7 +28,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     total = share * F.sum("source_size").over(W.partitionBy())
     level = (total - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
     s = s.withColumn("level", level)
-    reached = F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(W.partitionBy())
+    # levels fall from the first source that stays below its cap
+    reached = F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(W.partitionBy())
     return s.withColumn("target", F.coalesce(F.least("top", F.col("weight") * reached), "top")).select("source", "source_size", "target")
 
 
@@ -103,7 +104,7 @@ weighed AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS
     2.0::DOUBLE * source_size AS top FROM sizes),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY top / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
-aims AS (SELECT source, source_size, coalesce(least(top, weight * (min(level) FILTER (level <= top / weight) OVER ())), top) AS target FROM levels),
+aims AS (SELECT source, source_size, coalesce(least(top, weight * (max(level) FILTER (level <= top / weight) OVER ())), top) AS target FROM levels),
 parts AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-9)::INT AS whole FROM aims),
 more AS (SELECT *, greatest(0, target - whole * source_size) AS more FROM parts),
 cells AS (SELECT source, draw // 1048576 AS cell, sum(size) AS words FROM rows_ GROUP BY ALL),
