@@ -13,6 +13,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from freshet.operators import zones
+from freshet.sources import sinks
+
 PARAM_SCHEMA = ("step_no int, pos int, type string, target string, src string, name string, op string, "
                 "standard double, lower double, upper double, renormalize boolean")
 
@@ -89,7 +92,7 @@ def _runs(params: DataFrame, spark: SparkSession, n: int) -> DataFrame:
     ranked = params.withColumn("is_bounded", b == 1).withColumn("bit", F.sum(b).over(order) - 1)
     cols = [*params.columns, "is_bounded", "bit"]
     listed = ranked.agg(F.collect_list(F.struct(*cols)).alias("p"))
-    runs = spark.range(n).select((F.col("id") + 1).cast("int").alias("run_no"))
+    runs = spark.range(n).select((F.col("id") + 1).alias("run_no"))
     return runs.withColumn("p", F.explode(listed.scalar())).select("run_no", "p.*")
 
 
@@ -101,13 +104,13 @@ def _out(df: DataFrame, value: Column, source: Column) -> DataFrame:
 
 def overrides_mean(params: DataFrame) -> DataFrame:
     """One run with every parameter at its standard value."""
-    return params.select(F.lit(1).alias("run_no"), "step_no", "pos", "name", "op", "src", F.col("standard").alias("value"),
+    return params.select(F.lit(1).cast("long").alias("run_no"), "step_no", "pos", "name", "op", "src", F.col("standard").alias("value"),
                          F.lit("standard").alias("source"))
 
 
 def overrides_minmax(params: DataFrame) -> DataFrame:
     """Two runs: every bounded parameter at its lower, then at its upper bound."""
-    both = params.withColumn("is_bounded", is_bounded()).withColumn("run_no", F.explode(F.array(F.lit(1), F.lit(2))))
+    both = params.withColumn("is_bounded", is_bounded()).withColumn("run_no", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
     low = F.col("run_no") == 1
     return _out(both, F.when(low, F.col("lower")).otherwise(F.col("upper")),
                 F.when(low, "all_lower").otherwise("all_upper"))
@@ -116,8 +119,8 @@ def overrides_minmax(params: DataFrame) -> DataFrame:
 def overrides_extreme(params: DataFrame) -> DataFrame:
     """Every combination of bounds; the last parameter changes fastest."""
     k = bounded(params).count()  # rows of the specification
-    if k > 30:
-        raise ValueError(f"{k} bounded parameters give 2**{k} runs")
+    if k > 62:
+        raise ValueError(f"run numbers can't hold 2**{k} runs")
     spark = params.sparkSession
     df = _runs(params, spark, 1 << k)
     high = F.expr(f"shiftright(run_no - 1, {k - 1} - cast(bit as int)) & 1") == 1
@@ -126,8 +129,9 @@ def overrides_extreme(params: DataFrame) -> DataFrame:
 
 
 def hash_uniform(*parts: Column) -> Column:
-    """Uniform number in [0, 1) fixed by its inputs, so a lost task redraws the same value."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
+    """Uniform number in [0, 1) fixed by its inputs, so a lost task redraws the same value: 13 hex digits of their MD5."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def overrides_random(params: DataFrame, draws: int, seed: int = 0) -> DataFrame:
@@ -164,11 +168,15 @@ def per_run(over: DataFrame, names: Sequence[str]) -> DataFrame:
 def base_by_run(base: DataFrame, runs: DataFrame) -> DataFrame:
     """Every zone row once per run with the run's parameters.
 
-    The zone rows are multiplied in place by run number and then meet the parameters in an
-    equality join, so no task ever holds the product.
+    The zone rows are multiplied in place by run number, in two steps of about the root of the number of runs, and then meet
+    the parameters in an equality join, so neither a row nor a task ever holds the product.
     """
-    last = runs.agg(F.max("run_no")).scalar()
-    return base.withColumn("run_no", F.explode(F.sequence(F.lit(1), last))).join(runs, "run_no")
+    last = runs.agg(F.max("run_no").cast("long")).scalar()
+    steps = base.withColumn("_last", last).withColumn("_w", F.ceil(F.sqrt("_last")).cast("long"))
+    steps = steps.withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_last") - 1) / F.col("_w")).cast("long"))))
+    lo = F.sequence(F.lit(1).cast("long"), F.least("_w", F.col("_last") - F.col("_hi") * F.col("_w")))
+    steps = steps.withColumn("_lo", F.explode(lo)).withColumn("run_no", F.col("_hi") * F.col("_w") + F.col("_lo"))
+    return steps.drop("_last", "_w", "_hi", "_lo").join(runs, "run_no")
 
 
 def with_defaults(over: DataFrame, params: DataFrame) -> DataFrame:
@@ -259,29 +267,63 @@ def split_fixed(df: DataFrame, src: str, ratios: dict[str, float]) -> DataFrame:
     return df.withColumns({n: F.col(src) * float(r) for n, r in ratios.items()})
 
 
-def run_from_spec(base: DataFrame, spec: dict[str, Any], mode: str | None = None, draws: int = 1, seed: int = 0,
-                  target: str = "chm") -> DataFrame:
-    """Zone rows of every run after the operations and splits of a specification."""
-    spark = base.sparkSession
-    params = params_from_spec(spark, spec)
-    over = overrides(params, mode or spec.get("mode", "mean"), draws, seed)
-    over = over.withColumn("_p", F.concat(F.lit("_p"), "pos"))
-    rows = [r for r in spec_rows(spec) if r[3] == target and r[2] in ("ops", "split")]
+#: Step types of a specification, and the table that each works on where it names none.
+STEP_TARGETS = {"ops": "chm", "split": "chm", "write_chm": "chm", "interpolate_years_wide": "point", "build_point": "point", "write_point_dat": "point"}
+
+
+def run_from_spec(base: DataFrame, spec: dict[str, Any], mode: str | None = None, draws: int = 1, seed: int = 0, target: str = "chm",
+                  soil_lines: DataFrame | None = None, areas: DataFrame | None = None) -> DataFrame:
+    """Every run of the steps of a specification that work on ``target``, in their order; an unknown step type fails.
+
+    ``chm``: zone rows after operations and splits; write_chm turns them into lines of the soil files ``soil_lines``. ``point``: a
+    table of population by year, which is interpolated once for all runs; build_point makes the loads of each run, write_point_dat
+    their lines.
+    """
+    for t in spec.get("transforms", []):
+        if t["type"] not in STEP_TARGETS:
+            raise ValueError(f"unknown step type {t['type']!r}")
+    params = params_from_spec(base.sparkSession, spec)
+    over = overrides(params, mode or spec.get("mode", "mean"), draws, seed).withColumn("_p", F.concat(F.lit("_p"), "pos"))
+    rows = [r for r in spec_rows(spec) if r[3] == target]
     wide = over.groupBy("run_no").pivot("_p", [f"_p{r[1]}" for r in rows]).agg(F.first("value", True))
-    out = base_by_run(base, wide)
-    for step in sorted({r[0] for r in rows}):
-        mine = [r for r in rows if r[0] == step]
-        if mine[0][2] == "ops":
+    drop = [f"_p{r[1]}" for r in rows]
+    out = base_by_run(base, wide) if target == "chm" else base
+    for step, t in enumerate(spec.get("transforms", []), start=1):
+        kind, mine = t["type"], [r for r in rows if r[0] == step]
+        if (t.get("target", "chm") if kind in ("ops", "split") else STEP_TARGETS[kind]) != target:
+            continue
+        if kind in ("ops", "split") and "run_no" not in out.columns:
+            out = base_by_run(out, wide)
+        if kind == "ops":
             for r in mine:
                 has_value = r[7] is not None or (r[8] is not None and r[9] is not None and r[8] != r[9])
                 out = apply_ops(out, [{"op": r[6], "src": r[4], "out": r[5]}], {r[5]: f"_p{r[1]}"} if has_value else None)
-        else:
+        elif kind == "split":
             total = sum((F.col(f"_p{r[1]}") for r in mine[1:]), F.col(f"_p{mine[0][1]}"))
             for r in mine:
                 frac = F.col(f"_p{r[1]}")
                 if r[10]:
                     frac = F.coalesce(F.try_divide(frac, total), frac)
                 out = out.withColumn(r[5], F.col(r[4]) * frac)
-    return out.drop(*[f"_p{r[1]}" for r in rows])
-
-
+        elif kind == "write_chm":
+            if soil_lines is None:
+                raise ValueError("write_chm needs the lines of the soil files")
+            out = sinks.soil_file_lines(soil_lines, sinks.soil_replacements(out, t["label_map"], t["id_col"]))
+        elif kind == "interpolate_years_wide":
+            if "run_no" in out.columns:
+                raise ValueError("interpolation comes before steps that differ by run")
+            ident = t.get("id_col", "GRIDCODE")
+            out = zones.interpolate_years(zones.normalise_years(out, ident), int(t["year_start"]), int(t["year_end"]), ident)
+        elif kind == "build_point":
+            ident = t.get("id_col", "GRIDCODE")
+            by_run = out if "run_no" in out.columns else base_by_run(out, wide)
+            value = {r[5]: F.col(f"_p{r[1]}") for r in mine}
+            litres = value.pop("wastewater_lppd")
+            columns = ["YEAR", "FLOYR", *[c for c in t.get("out_columns") or zones.POINT_COLUMNS if c not in ("YEAR", "FLOYR")]]
+            out = zones.point_loads(by_run.withColumn("_litres", litres), value, columns=columns, id_col=ident, digits=int(t.get("round_to", 6)),
+                                    litres_col="_litres", keys=["run_no"])
+        else:
+            ident = t.get("id_col", "GRIDCODE")
+            out = sinks.point_file_lines(out, areas, t.get("start_year"), t.get("end_year"), t.get("columns_order") or zones.POINT_COLUMNS,
+                                         ["run_no", ident], id_col=ident)
+    return out.drop(*drop)

@@ -230,12 +230,12 @@ def resolve_litres(spec: float | dict | None) -> float:
     return float(spec)
 
 
-def point_loads(long: DataFrame, concentrations: dict[str, float | dict | None], litres: float | dict | None = None,
+def point_loads(long: DataFrame, concentrations: dict[str, float | dict | Column | None], litres: float | dict | None = None,
                 columns: Sequence[str] = POINT_COLUMNS, id_col: str = "zone_id", digits: int = 6,
-                fill_missing: bool = False, litres_col: str | None = None) -> DataFrame:
+                fill_missing: bool = False, litres_col: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Waste water flow (m3/day) and pollutant loads (kg/day) per zone and year.
 
-    A concentration is a number or {mgL | mean | standard}; without one the load is 0. With
+    A concentration is a number, a column or {mgL | mean | standard}; without one the load is 0. With
     ``fill_missing`` the columns that have no concentration are added as 0.
     """
     lpd = F.col(litres_col) if litres_col else F.lit(resolve_litres(litres))
@@ -244,11 +244,11 @@ def point_loads(long: DataFrame, concentrations: dict[str, float | dict | None],
     for name, spec in concentrations.items():
         if isinstance(spec, dict):
             spec = next((spec[k] for k in ("mgL", "mean", "standard") if spec.get(k) is not None), None)
-        made[name] = F.lit(0.0) if spec is None else F.bround(F.lit(float(spec)) * lpd * pop / 1_000_000.0, digits)
+        made[name] = F.lit(0.0) if spec is None else F.bround((spec if isinstance(spec, Column) else F.lit(float(spec))) * lpd * pop / 1_000_000.0, digits)
     if fill_missing:
         for c in columns:
             made.setdefault(c, F.lit(0.0))
-    return long.select(id_col, *[made[c].alias(c) for c in columns if c in made])
+    return long.select(*keys, id_col, *[made[c].alias(c) for c in columns if c in made])
 
 
 def soil_units(df: DataFrame, n_col: str, p_col: str) -> DataFrame:

@@ -62,7 +62,7 @@ SQL["params"] = """
            CASE WHEN r_regionkey = 4 THEN avg(c_acctbal) / 5000 - 0.25 ELSE avg(c_acctbal) / 5000 + 0.5 END AS upper
     FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey"""
 SQL["extreme"] = """
-    SELECT CAST(run + 1 AS INTEGER) AS run_no, step_no, pos, name, CASE WHEN pos = 4 THEN standard WHEN (run >> (3 - pos)) & 1 = 1 THEN upper ELSE lower END AS value,
+    SELECT CAST(run + 1 AS BIGINT) AS run_no, step_no, pos, name, CASE WHEN pos = 4 THEN standard WHEN (run >> (3 - pos)) & 1 = 1 THEN upper ELSE lower END AS value,
            CASE WHEN pos = 4 THEN NULL WHEN (run >> (3 - pos)) & 1 = 1 THEN 'extreme_upper' ELSE 'extreme_lower' END AS source
     FROM params, generate_series(0, 15) t(run)"""
 
@@ -358,14 +358,18 @@ def register(r: Registry) -> None:
     # scenarios
     over = "run_no step_no pos name source"
     r.add("r1_overrides_mean", lambda s, d: scenario.overrides(params(s, d), "mean"),
-          "SELECT CAST(1 AS INTEGER) AS run_no, step_no, pos, name, 'standard' AS source, standard AS value FROM params", "params", "value", over)
+          "SELECT CAST(1 AS BIGINT) AS run_no, step_no, pos, name, 'standard' AS source, standard AS value FROM params", "params", "value", over)
     r.add("r2_overrides_minmax", lambda s, d: scenario.overrides(params(s, d), "lower_upper"),
-          """SELECT CAST(r AS INTEGER) AS run_no, step_no, pos, name, CASE WHEN pos = 4 THEN NULL WHEN r = 1 THEN 'all_lower' ELSE 'all_upper' END AS source,
+          """SELECT CAST(r AS BIGINT) AS run_no, step_no, pos, name, CASE WHEN pos = 4 THEN NULL WHEN r = 1 THEN 'all_lower' ELSE 'all_upper' END AS source,
                     CASE WHEN pos = 4 THEN standard WHEN r = 1 THEN lower ELSE upper END AS value FROM params, generate_series(1, 2) t(r)""", "params", "value", over)
     r.add("r3_overrides_extreme", lambda s, d: scenario.overrides(params(s, d), "extreme"), "SELECT * FROM extreme", "params extreme", "value", over)
     r.add("j9_overrides_with_bounds", lambda s, d: scenario.with_defaults(scenario.overrides(params(s, d), "extreme"), params(s, d)),
           "SELECT e.*, p.standard, p.lower, p.upper FROM extreme e JOIN params p ON p.pos = e.pos", "params extreme", "value standard lower upper", over)
-    r.add("r4_overrides_random", lambda s, d: scenario.overrides(params(s, d), "random", 200, 7))
+    draw = "('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    r.add("r4_overrides_random", lambda s, d: scenario.overrides(params(s, d), "random", 200, 7), f"""
+        SELECT r AS run_no, step_no, pos, name, CASE WHEN pos = 4 THEN NULL ELSE 'random' END AS source, CASE WHEN pos = 4 THEN standard
+          ELSE lower + (upper - lower) * {draw.format("'7|' || r || '|' || step_no || '|' || pos || '|' || name")} END AS value FROM params, generate_series(1, 200) t(r)""",
+          "params", "value", over)
     r.add("r4_random_draws_within_bounds",
           lambda s, d: scenario.with_defaults(scenario.overrides(params(s, d), "random", 200, 7), params(s, d)).groupBy("name").agg(
               F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values"),
@@ -381,7 +385,7 @@ def register(r: Registry) -> None:
             "zone_id", "run_no", (F.col("v0") * F.col("n")).alias("n"), (F.col("v0") * F.col("p")).alias("p"))
 
     r.add("r6_corner_perturbations", corners,
-          """SELECT c_custkey AS zone_id, CAST(r AS INTEGER) AS run_no, c_acctbal * CASE WHEN r > 2 THEN 1.25 ELSE 0.75 END AS n,
+          """SELECT c_custkey AS zone_id, CAST(r AS BIGINT) AS run_no, c_acctbal * CASE WHEN r > 2 THEN 1.25 ELSE 0.75 END AS n,
                     c_acctbal * CASE WHEN r % 2 = 0 THEN 1.5 ELSE 0.5 END AS p FROM customer, generate_series(1, 4) t(r)""", "", "n p", "zone_id run_no")
     SQL["wide"] = "SELECT run_no, " + ", ".join(f"max(CASE WHEN name = '{n}' THEN value END) AS p{n}" for n in NAMES) + " FROM extreme GROUP BY 1"
 
@@ -412,13 +416,15 @@ def register(r: Registry) -> None:
     r.add("p11_random_perturbations", lambda s, d: scenario.perturb(
         base(s, d).withColumn("run_no", F.explode(F.sequence(F.lit(1), F.lit(5)))),
         scenario.perturbations(s.range(1, 6).select(F.col("id").cast("int").alias("run_no")), [{"name": "v0", "bound": 0.2}], 11),
-        [{"name": "v0", "mode": "relative"}]))
+        [{"name": "v0", "mode": "relative"}]), f"""
+        SELECT c_custkey AS zone_id, CAST(r AS INTEGER) AS run_no, c_acctbal * (1 + (2 * {draw.format("'11|' || r || '|v0'")} - 1) * 0.2) AS v0
+        FROM customer, generate_series(1, 5) t(r)""", "", "v0", "zone_id run_no")
 
     def split(renorm):
         def run(s, d):
             ratios = scenario.overrides(params(s, d), "extreme").select("run_no", F.lit(1).alias("step_no"), "name", F.col("value").alias("ratio"))
             f = scenario.split_fractions(ratios, renorm)
-            return scenario.split_column(base(s, d).withColumn("run_no", F.explode(F.sequence(F.lit(1), F.lit(16)))), "v0", f, NAMES)
+            return scenario.split_column(base(s, d).withColumn("run_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(16).cast("long")))), "v0", f, NAMES)
         return run
 
     total = "(pv1 + pv2 + pv3 + pv4 + pv5)"
@@ -437,9 +443,33 @@ def register(r: Registry) -> None:
     r.add("r7_run_from_spec", lambda s, d: scenario.run_from_spec(base(s, d), spec), """
         SELECT zone_id, run_no, n, n2, n2 * a / (a + 0.5) AS a, n2 * 0.5 / (a + 0.5) AS b FROM (
           SELECT zone_id, run_no, n, n + 4 AS n2, a FROM (
-            SELECT c_custkey AS zone_id, CAST(r AS INTEGER) AS run_no, c_acctbal * CASE WHEN r > 2 THEN 1.5 ELSE 0.5 END AS n,
+            SELECT c_custkey AS zone_id, CAST(r AS BIGINT) AS run_no, c_acctbal * CASE WHEN r > 2 THEN 1.5 ELSE 0.5 END AS n,
                    CASE WHEN r % 2 = 0 THEN 0.75 ELSE 0.25 END AS a FROM customer, generate_series(1, 4) t(r)))""", "", "n n2 a b", "zone_id run_no")
 
+    point_spec = {"mode": "minmax", "transforms": [
+        {"type": "interpolate_years_wide", "id_col": "zone_id", "year_start": 1990, "year_end": 2000},
+        {"type": "build_point", "id_col": "zone_id", "wastewater_lppd": 150.0, "mgL_values": {"NO3YR": {"standard": 10.0, "lower": 5.0, "upper": 20.0}},
+         "out_columns": ["YEAR", "FLOYR", "NO3YR"]},
+        {"type": "ops", "ops": [{"op": "set", "src": "zone_id", "out": "ignored"}]},
+        {"type": "write_point_dat", "id_col": "zone_id", "start_year": 1995, "end_year": 1999, "columns_order": ["YEAR", "FLOYR", "NO3YR"]}]}
+
+    def supplied(s, d):
+        c = views.table(s, d, "customer")
+        return c.select(F.col("c_custkey").alias("zone_id"), F.lit(None).cast("double").alias("popul_sum_1990"), (F.col("c_custkey") * 100.0).alias("popul_sum_1995"))
+
+    r.add("r7_point_run_from_spec", lambda s, d: scenario.run_from_spec(supplied(s, d), point_spec, target="point"), """
+        SELECT CAST(c_custkey AS INTEGER) AS zone_id, CAST(r AS BIGINT) AS run_no, CAST(i AS INTEGER) AS line_no, CASE i
+                 WHEN 1 THEN ' TITLE LINE 1 - Subbasin ID ' || c_custkey || ' | Simulation Years: 1995-1999 | DRAINAGE_AREA (km²): 0.000'
+                 WHEN 2 THEN ' TITLE LINE 2 - Source: model' WHEN 3 THEN ' TITLE LINE 3 - Units: kg/day' WHEN 4 THEN ' TITLE LINE 4 - Period: 1995-1999'
+                 WHEN 5 THEN ' TITLE LINE 5 - ' WHEN 6 THEN ' YEAR' || lpad('FLOYR', 17, ' ') || lpad('NO3YR', 17, ' ')
+                 ELSE printf('%5d', CAST(1995 + i - 7 AS INTEGER)) || ' ' || printf('%16.10E', c_custkey * 15.0::DOUBLE) || ' '
+                      || printf('%16.10E', round(CASE WHEN r = 1 THEN 5 ELSE 20 END * 150 * c_custkey * 100 / 1e6, 6)::DOUBLE) END AS line
+        FROM customer, generate_series(1, 2) t(r), generate_series(1, 11) u(i)""", "", "", "zone_id run_no line_no line")
+    r.add("k2_signed_numbers", lambda s, d: views.table(s, d, "customer").select("c_custkey", sinks.scientific16(F.col("c_acctbal") * 1e-120).alias("small"),
+                                                                               sinks.scientific16(F.col("c_acctbal")).alias("plain")), """
+        SELECT c_custkey, CASE WHEN length(printf('%.9E', c_acctbal * 1e-120)) <= 16 THEN lpad(printf('%.9E', c_acctbal * 1e-120), 16, ' ') ELSE printf('%.8E', c_acctbal * 1e-120) END AS small,
+               CASE WHEN c_acctbal < 0 THEN printf('%.9E', c_acctbal) ELSE printf('%16.10E', c_acctbal) END AS plain FROM customer""", "", "", "c_custkey small plain")
+
     def experiments(s, d):
         c = views.table(s, d, "customer")
         v = F.struct(F.col("c_mktsegment").alias("name"), F.array(F.col("c_name")).alias("sources"), F.struct(

@@ -37,7 +37,8 @@ def soil_file_lines(lines: DataFrame, replacements: DataFrame, pperco: float | N
     padded = F.lpad(new, F.greatest(F.length(field), F.length(new)), " ")
     changed = F.concat(F.substr(text, F.lit(1), colon), padded, F.substr(text, colon + F.length(field) + 1))
     line = F.when(hit.isNotNull() & (F.length(field) > 0), changed).otherwise(text)
-    name = F.concat(F.lpad(F.col("hru_id").cast("string"), 9, "0"), F.lit(".chm"))
+    ident = F.col("hru_id").cast("string")
+    name = F.concat(F.lpad(ident, F.greatest(F.lit(9), F.length(ident)), "0"), F.lit(".chm"))
     return out.select("run_no", name.alias("file_name"), "line_no", line.alias("line"))
 
 
@@ -49,8 +50,10 @@ def soil_replacements(zones: DataFrame, label_map: dict[str, str], id_col: str =
 
 
 def scientific16(v: Column) -> Column:
-    """Sixteen characters in scientific form with ten decimals."""
-    return F.lpad(F.format_string("%.10E", v), 16, " ")
+    """Scientific form with ten decimals, or as many as sixteen characters hold; right-aligned, never cut."""
+    forms = [F.format_string(f"%.{n}E", v) for n in range(10, -1, -1)]
+    text = F.coalesce(*[F.when(F.length(f) <= 16, f) for f in forms], forms[-1])
+    return F.lpad(text, F.greatest(F.lit(16), F.length(text)), " ")
 
 
 def point_file_lines(loads: DataFrame, areas: DataFrame | None = None, start: int | None = None, end: int | None = None,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.nulls import number
 from freshet.operators.ledger import parse_lines
 
-HASH_LIMIT = 2 * 1024 ** 3
 
 
 def whole_id(c: Column) -> Column:
@@ -58,18 +60,28 @@ def read_ledger(spark: SparkSession, path: str, typed_args: bool = False) -> Dat
 def fingerprints(spark: SparkSession, path: str | Sequence[str], with_hash: bool = True, kind: str | None = None) -> DataFrame:
     """Path, size, modification time and SHA-256 of input files.
 
-    Files are hashed one per row inside the executors; content beyond the 2 GB a row can hold
-    is not read and its hash is NULL.
+    Files of any size are hashed inside the executors, one path per row, in chunks of 1 MiB.
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.format("binaryFile").load(paths)
-    meta = [F.col("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime")]
+    meta = df.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
     label = F.lit(kind).cast("string").alias("kind")
     if not with_hash:
-        return df.select(*meta, F.lit(None).cast("string").alias("sha256"), label)
-    small = df.where(F.col("length") < HASH_LIMIT).select(*meta, F.sha2("content", 256).alias("sha256"), label)
-    large = df.where(F.col("length") >= HASH_LIMIT).select(*meta, F.lit(None).cast("string").alias("sha256"), label)
-    return small.unionByName(large)
+        return meta.select("*", F.lit(None).cast("string").alias("sha256"), label)
+    return meta.mapInArrow(_hashed, "path string, size long, mtime double, sha256 string").select("*", label)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for uri in batch["path"].to_pylist():
+            store, inside = pa_fs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with store.open_input_stream(inside) as f:
+                while chunk := f.read(1 << 20):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield pa.record_batch({**{c: batch[c] for c in batch.schema.names}, "sha256": pa.array(found, pa.string())})
 
 
 def upstream_files(spark: SparkSession, folder: str, pattern: str, others: Sequence[str] = ()) -> DataFrame:

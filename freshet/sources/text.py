@@ -10,24 +10,26 @@ from pyspark.sql import functions as F
 from freshet.functions.nulls import finite
 
 HEADER_LINES = 9
-BROADCAST_BLOCKS = 200_000  # about 30 MB
 
 # fixed values: names of the 63 reach-output fields, in file order
-REACH_FIELDS = (
-    ["object type", "RCH", "GIS", "MON", "AREAkm2", "FLOW_INcms", "FLOW_OUTcms", "EVAPcms", "TLOSScms",
-     "SED_INtons", "SED_OUTtons", "SEDCONCmg/L"]
-    + [f"{n}_{side}kg" for n in ("ORGN", "ORGP", "NO3", "NH4", "NO2", "MINP", "CHLA", "CBOD", "DISOX") for side in ("IN", "OUT")]
-    + ["SOLPST_INmg", "SOLPST_OUTmg", "SORPST_INmg", "SORPST_OUTmg", "REACTPSTmg", "VOLPSTmg", "SETTLPSTmg", "RESUSP_PSTmg",
-       "DIFFUSEPSTmg", "REACBEDPSTmg", "BURYPSTmg", "BED_PSTmg", "BACTP_OUTct", "BACTLP_OUTct", "CMETAL#1kg", "CMETAL#2kg",
-       "CMETAL#3kg", "TOT_Nkg", "TOT_Pkg", "NO3ConcMg/l", "WTMPdegc"]
-    + [f"Salt{i}" for i in range(1, 11)] + ["SAR", "EC"]
-)
+REACH_FIELDS = [
+    "object type", "RCH", "GIS", "MON", "AREAkm2", "FLOW_INcms", "FLOW_OUTcms", "EVAPcms", "TLOSScms",
+    "SED_INtons", "SED_OUTtons", "SEDCONCmg/L",
+    "ORGN_INkg", "ORGN_OUTkg", "ORGP_INkg", "ORGP_OUTkg", "NO3_INkg", "NO3_OUTkg", "NH4_INkg", "NH4_OUTkg",
+    "NO2_INkg", "NO2_OUTkg", "MINP_INkg", "MINP_OUTkg", "CHLA_INkg", "CHLA_OUTkg", "CBOD_INkg", "CBOD_OUTkg",
+    "DISOX_INkg", "DISOX_OUTkg", "SOLPST_INmg", "SOLPST_OUTmg", "SORPST_INmg", "SORPST_OUTmg", "REACTPSTmg", "VOLPSTmg",
+    "SETTLPSTmg", "RESUSP_PSTmg", "DIFFUSEPSTmg", "REACBEDPSTmg", "BURYPSTmg", "BED_PSTmg", "BACTP_OUTct", "BACTLP_OUTct",
+    "CMETAL#1kg", "CMETAL#2kg", "CMETAL#3kg", "TOT_Nkg", "TOT_Pkg", "NO3ConcMg/l", "WTMPdegc",
+    "Salt1", "Salt2", "Salt3", "Salt4", "Salt5", "Salt6", "Salt7", "Salt8", "Salt9", "Salt10", "SAR", "EC",
+]
 REACH_DROPPED = ["object type", "total_days", "GIS", "MON", "AREAkm2", "YEAR"]
 
 # fixed values: character offsets of the sub-basin fields
 SUB_INTS = {"SUB": (7, 11), "GIS": (11, 20), "MON": (20, 25)}
-SUB_DOUBLES = {"AREA": (26, 35), **{name: (35 + 10 * i, 45 + 10 * i) for i, name in enumerate(
-    ["PRECIP", "SNOMELT", "PET", "ET", "SW", "PERC", "SURQ", "GW_Q", "WYLD", "SYLD", "ORGN", "ORGP", "NSURQ", "SOLP", "SEDP"])}}
+SUB_DOUBLES = {
+    "AREA": (26, 35), "PRECIP": (35, 45), "SNOMELT": (45, 55), "PET": (55, 65), "ET": (65, 75), "SW": (75, 85), "PERC": (85, 95),
+    "SURQ": (95, 105), "GW_Q": (105, 115), "WYLD": (115, 125), "SYLD": (125, 135), "ORGN": (135, 145), "ORGP": (145, 155),
+    "NSURQ": (155, 165), "SOLP": (165, 175), "SEDP": (175, 185)}
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -35,8 +37,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     Spark reads a large file in blocks. A line's place inside its block follows from the row
     id, and a table of one row per block adds the lines of the blocks before it, so lines are
-    numbered without moving or sorting them. The block table is broadcast up to
-    ``BROADCAST_BLOCKS`` rows; above that Spark joins it by shuffle.
+    numbered without sorting them. Spark picks the join with the block table by its size.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
@@ -44,9 +45,6 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     blocks = raw.groupBy("file_path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file_path").orderBy("block")) - F.col("n")
     blocks = blocks.select("file_path", "block", "first", before.alias("before"))
-    # every scan partition holds parts of whole blocks, so this bounds the number of blocks
-    if raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
     return (raw.join(blocks, ["file_path", "block"])
             .select("file_path", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "value"))
 
