@@ -59,6 +59,11 @@ def pieces(path: str) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def width(path: str) -> np.dtype:
+    """The smallest number type that holds the vocabulary's ids."""
+    return np.dtype(np.uint16 if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.int32)
+
+
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of each text, one row for each row of docs; none for null and empty texts.
 
@@ -76,12 +81,12 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     def encoded(rows: pa.Table) -> pa.Table:
         lists, total = summed(rows)
         words = list(total)
-        t = _tokenizer(path)
+        t, form = _tokenizer(path), width(path)
         ids = {}
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
+        for i in range(0, len(words), 5000):
+            some = words[i : i + 5000]
             for w, e in zip(some, t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, np.int32).tobytes()
+                ids[w] = np.array(e.ids, form).tobytes()
         return pa.table({"block": rows["block"], "words": rows["words"], "ids": pa.array([squeezed([ids[w] for w in x]) for x in lists], pa.binary())})
 
     answers = asked.groupBy("bucket").applyInArrow(encoded, "block long, words binary, ids binary")
@@ -93,8 +98,10 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
             for word, ids in zip(opened(w), opened(x), strict=True):
                 if at.setdefault(word.decode(), len(own)) == len(own):
                     own.append(ids)
-        n = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        start, flat = np.cumsum(n) - n, np.frombuffer(b"".join(own), np.int32)
+        form = width(path)
+        n = np.fromiter(map(len, own), np.int64, len(own)) // form.itemsize
+        start, flat = np.cumsum(n) - n, np.frombuffer(b"".join(own), form)
+        del own
         for batch in unpacked(texts["pack"]):
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 docs_ = [np.array([at[w] for w in split(t or "", path)], np.int64) for t in part["text"].to_pylist()]
@@ -103,10 +110,12 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
                 ids = flat[np.repeat(start[word] - upto + n[word], n[word]) + np.arange(upto[-1] if len(upto) else 0)]
                 ends = np.cumsum([len(d) for d in docs_])
                 offsets = np.r_[0, np.r_[0, upto][ends]].astype(np.int32)
-                yield pa.record_batch({"id": part["id"], "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))})
+                yield pa.record_batch({"id": part["id"], "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))})
 
     def join(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(joined(key, texts, found), pa.schema([("id", texts_type(texts)), ("ids", pa.list_(pa.int32()))]))
+        out = pa.Table.from_batches(joined(key, texts, found), pa.schema([("id", texts_type(texts)), ("ids", pa.list_(pa.int32()))]))
+        pa.default_memory_pool().release_unused()
+        return out
 
     def texts_type(texts: pa.Table) -> pa.DataType:
         return next((b.schema.field("id").type for b in unpacked(texts["pack"])), pa.int64())
