@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from freshet.llm.common import table
 
 #: Labelled documents that the model is fitted on, at most; features of the model; grades above 0; where rejection starts.
-SAMPLE, FEATURES, GRADES, REJECT = 20_000, 4096, 3, 0.4
+SAMPLE, FEATURES, GRADES, REJECT = 12_000, 4096, 3, 0.4
 HASH = 1 << 20
 #: A word counts as often as it is distinct evidence: grades of the labelled come from this share of telling words.
 MIN_DOCS = 8
@@ -51,47 +51,36 @@ class Ordinal:
         return np.diff(np.c_[np.zeros(len(raw)), upto, np.ones(len(raw))], axis=1)
 
 
-def _matrix(rows: list[dict[int, int]], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = {h: i for i, h in enumerate(columns.tolist())}
-    r, c, v = [], [], []
-    for i, x in enumerate(rows):
-        for h, n in x.items():
-            if (j := at.get(h)) is not None:
-                r.append(i), c.append(j), v.append(np.log1p(n))
-    return np.array(r, int), np.array(c, int), np.array(v)
-
-
-def severity(rows: list[dict[int, int]], toxic: np.ndarray, telling: np.ndarray, n_grades: int = GRADES) -> np.ndarray:
-    """Grades of labelled documents: 0 for label 0; toxic ones 1 to n_grades by how many telling words they have, in equal parts."""
-    ids = set(telling.tolist())
-    amount = np.array([sum(n for h, n in x.items() if h in ids) for x in rows], float)
-    out = np.zeros(len(rows), int)
+def severity(amount: np.ndarray, toxic: np.ndarray, n_grades: int = GRADES) -> np.ndarray:
+    """Grades of labelled documents: 0 for label 0; toxic ones 1 to n_grades by their amount of telling words, in equal parts."""
+    out = np.zeros(len(toxic), int)
     if toxic.any():
         cuts = np.quantile(amount[toxic == 1], [k / n_grades for k in range(1, n_grades)])
         out[toxic == 1] = 1 + np.searchsorted(cuts, amount[toxic == 1], side="right")
     return out
 
 
-def fit(rows: list[dict[int, int]], toxic: np.ndarray, n_features: int = FEATURES, n_grades: int = GRADES, steps: int = 300) -> Ordinal:
+def fit(row: np.ndarray, word: np.ndarray, times: np.ndarray, toxic: np.ndarray, n_features: int = FEATURES, n_grades: int = GRADES, steps: int = 300) -> Ordinal:
     """Maximum likelihood of grades with an L2 penalty, by full gradient steps with momentum.
 
-    Features are the words whose presence tells most about the label, among those in MIN_DOCS documents or more. The telling words that grade
-    toxic documents are those at least ten times as frequent among them. Without both labels every document gets grade 0.
+    row, word, times: sparse word counts. Features are the words whose presence tells most about the label, among those in MIN_DOCS
+    documents or more. The telling words that grade toxic documents are those at least ten times as frequent among them. Without both
+    labels every document gets grade 0.
     """
-    n, n1 = len(rows), int(toxic.sum())
+    n, n1 = len(toxic), int(toxic.sum())
     if not n1 or n1 == n:
         return Ordinal({}, np.full(n_grades, 50.0))
-    docs, pos = np.zeros(HASH, np.int64), np.zeros(HASH, np.int64)
-    for x, y in zip(rows, toxic.tolist(), strict=True):
-        h = np.fromiter(x, np.int64, len(x))
-        docs[h] += 1
-        pos[h] += y
-    rate1, rate0 = (pos + 0.5) / (n1 + 1), (docs - pos + 0.5) / (n - n1 + 1)
-    odds = np.log(rate1 / rate0)
+    docs = np.bincount(word, minlength=HASH)
+    pos = np.bincount(word[toxic[row] == 1], minlength=HASH)
+    odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((docs - pos + 0.5) / (n - n1 + 1))
     gain = np.where(docs >= MIN_DOCS, np.abs(odds) * docs * np.abs(pos / np.maximum(docs, 1) - n1 / n), 0)
     columns = np.sort(np.argsort(-gain, kind="stable")[: min(n_features, int((gain > 0).sum()))])
-    grade = severity(rows, toxic, np.flatnonzero((docs >= MIN_DOCS) & (odds > np.log(10))), n_grades)
-    r, c, v = _matrix(rows, columns)
+    telling = (docs >= MIN_DOCS) & (odds > np.log(10))
+    grade = severity(np.bincount(row, times * telling[word], n), toxic, n_grades)
+    at = np.full(HASH, -1, np.int32)
+    at[columns] = np.arange(len(columns))
+    own = at[word] >= 0
+    r, c, v = row[own], at[word[own]], np.log1p(times[own])
     w, t = np.zeros(len(columns)), np.linspace(1.0, 2.0, n_grades)
     vw, vt = np.zeros_like(w), np.zeros_like(t)
     penalty, rate = 1e-4, 2.0
@@ -110,28 +99,29 @@ def fit(rows: list[dict[int, int]], toxic: np.ndarray, n_features: int = FEATURE
 
 
 def learned(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Ordinal:
-    """Fit on at most about `sample` labelled documents: all of the rarer label up to half of it, then of the other, by a hash of the id.
+    """Fit on at most about `sample` labelled documents: toxic ones up to a quarter, by a hash of the id.
 
     Only hashed word counts of sampled documents reach the driver. Labels that are null are left out.
     """
     own = labels.where(F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1.0, sample / 2 / n) for y, n in counts.items()}
-    spare = sample - sum(min(n, sample / 2) for n in counts.values())
-    share = {y: min(1.0, p + spare / counts[y]) if p < 1 else p for y, p in share.items()}
+    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+    share = {1: min(1.0, sample / 4 / max(toxic, 1)), 0: min(1.0, (sample - min(toxic, sample / 4)) / max(clean, 1))}
     drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("toxicity")), F.lit(1_000_000)) / 1e6
-    picked = own.where(F.when(F.col("y") == 1, drawn < share.get(1, 0)).otherwise(drawn < share.get(0, 0)))
+    picked = own.where(F.when(F.col("y") == 1, drawn < share[1]).otherwise(drawn < share[0]))
     # an integer for each sampled row: a bounded side
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked) if sum(counts.values()) else picked, "id")
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch["text"].to_pylist()]
-            yield pa.record_batch({"id": batch["id"].cast(pa.string()), "y": batch["y"], "h": pa.array([list(x) for x in found], pa.list_(pa.int32())), "n": pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))})
-
-    got = texts.mapInArrow(hashed, "id string, y int, h array<int>, n array<int>").toArrow().sort_by("id")
-    rows = [dict(zip(h, n, strict=True)) for h, n in zip(got["h"].to_pylist(), got["n"].to_pylist(), strict=True)]
-    return fit(rows, got["y"].to_numpy())
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                found = [features(t) for t in part["text"].to_pylist()]
+                yield pa.record_batch({"id": part["id"].cast(pa.string()), "y": part["y"], "h": pa.array([list(x) for x in found], pa.list_(pa.int32())), "n": pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))})
+
+    got = texts.mapInArrow(hashed, "id string, y int, h array<int>, n array<int>").toArrow().sort_by("id").combine_chunks()
+    lists = [got[c].combine_chunks() for c in ("h", "n")]
+    row = np.repeat(np.arange(len(got)), np.diff(lists[0].offsets.to_numpy())) if len(got) else np.array([], int)
+    return fit(row, *(x.flatten().to_numpy() for x in lists), got["y"].to_numpy())
 
 
 def graded(docs: DataFrame, model: Ordinal, text: str = "text", reject: float = REJECT) -> DataFrame:
