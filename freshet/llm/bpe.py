@@ -64,8 +64,21 @@ def width(path: str) -> np.dtype:
     return np.dtype(np.uint16 if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.int32)
 
 
-def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(id, ids): the token ids of each text, one row for each row of docs; none for null and empty texts.
+def texts_of(ids: pa.Array, path: str) -> pa.Array:
+    """The text of each list of ids: ids are joined with the vocabulary's pieces, and the pieces of a list with each other."""
+    flat = pieces(path).take(ids.flatten())
+    counts = np.nan_to_num(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64)
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)]), flat), b"")
+    try:
+        out = joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        out = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+    return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.string()))
+
+
+def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, back: bool = False) -> DataFrame:
+    """(id, ids): the token ids of each text, one row for each row of docs; none for null and empty texts. back: also `decoded`,
+    the text of these ids.
 
     Documents lie in blocks. The distinct words of each block go to buckets by hash; there each distinct word of the corpus is
     encoded once, and its ids return to the blocks that asked. In a block the words of each document are replaced by ids in their
@@ -110,17 +123,18 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
                 ids = flat[np.repeat(start[word] - upto + n[word], n[word]) + np.arange(upto[-1] if len(upto) else 0)]
                 ends = np.cumsum([len(d) for d in docs_])
                 offsets = np.r_[0, np.r_[0, upto][ends]].astype(np.int32)
-                yield pa.record_batch({"id": part["id"], "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))})
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                yield pa.record_batch({"id": part["id"], "ids": lists} | ({"decoded": texts_of(lists, path)} if back else {}))
 
     def join(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        out = pa.Table.from_batches(joined(key, texts, found), pa.schema([("id", texts_type(texts)), ("ids", pa.list_(pa.int32()))]))
+        out = pa.Table.from_batches(joined(key, texts, found), pa.schema([("id", texts_type(texts)), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 3 if back else 2]))
         pa.default_memory_pool().release_unused()
         return out
 
     def texts_type(texts: pa.Table) -> pa.DataType:
         return next((b.schema.field("id").type for b in unpacked(texts["pack"])), pa.int64())
 
-    out = packed(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, f"id {kind}, ids array<int>")
+    out = packed(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, f"id {kind}, ids array<int>" + ", decoded string" * back)
     return out.withColumnRenamed("id", id)
 
 
@@ -133,21 +147,13 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, to: st
 
     @F.arrow_udf("string")
     def text(x: pa.Array) -> pa.Array:
-        x = x.cast(pa.list_(pa.int32()))
-        flat = pieces(path).take(x.flatten())
-        counts = np.nan_to_num(pc.list_value_length(x).to_numpy(zero_copy_only=False)).astype(np.int64)
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)]), flat), b"")
-        try:
-            out = joined.cast(pa.string())
-        except pa.ArrowInvalid:
-            out = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
-        return pc.if_else(x.is_valid(), out, pa.scalar(None, pa.string()))
+        return texts_of(x.cast(pa.list_(pa.int32())), path)
 
     return encoded.withColumn(to, text(F.col(ids)))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    out = decode(encode(table(sf_dir, "documents", spark)))
+    out = encode(table(sf_dir, "documents", spark), back=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))

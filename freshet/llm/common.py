@@ -43,7 +43,7 @@ def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocked(docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = 12_000_000) -> DataFrame:
+def blocked(docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
     """(id, text, block): documents in blocks of about block_bytes of their file, whatever the size of the input.
 
     A block is part of one file, dealt by id and text, so two scans give the same blocks. A frame that isn't a scan of files is
@@ -118,7 +118,7 @@ def distinct_words(docs: DataFrame, split: Callable[[str, object], dict[bytes, i
                     own = found.setdefault(block, {})
                     for w, n in split(text or "", id).items():
                         own[w] = own.get(w, 0) + n
-                if sum(map(len, found.values())) > 500_000:
+                if sum(map(len, found.values())) > 800_000:
                     yield from rows(found)
                     found = {}
         yield from rows(found)
