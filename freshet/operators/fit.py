@@ -25,11 +25,16 @@ def _attach(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_row", row).select(*df.columns, "_row.*")
 
 
-def core_metrics(pairs: DataFrame, keys: Sequence[str] = (), obs: str = "obs", pred: str = "pred") -> DataFrame:
-    """All moment-based metrics, one row per group."""
+def core_metrics(pairs: DataFrame, keys: Sequence[str] = (), obs: str = "obs", pred: str = "pred", agreement: bool = True) -> DataFrame:
+    """All moment-based metrics, one row per group.
+
+    Only the index of agreement needs the mean of the observations beside each pair; without it one pass is enough.
+    """
     y, m = F.col(obs), F.col(pred)
     p = pairs.where(y.isNotNull() & m.isNotNull())
-    if keys:
+    if not agreement:
+        p = p.withColumn("_ybar", F.lit(None).cast("double"))
+    elif keys:
         p = p.join(p.groupBy(*keys).agg(F.avg(y).alias("_ybar")), list(keys))
     else:
         p = p.withColumn("_ybar", p.agg(F.avg(y)).scalar())
@@ -38,7 +43,7 @@ def core_metrics(pairs: DataFrame, keys: Sequence[str] = (), obs: str = "obs", p
         F.count(F.lit(1)).alias("n"),
         F.avg(y).alias("_my"), F.avg(m).alias("_mm"),
         F.stddev_pop(y).alias("_sy"), F.stddev_pop(m).alias("_sm"), F.covar_pop(y, m).alias("_cov"),
-        F.sum((y - m) * (y - m)).alias("_sse"), F.sum((y - ybar) * (y - ybar)).alias("_sso"),
+        F.sum((y - m) * (y - m)).alias("_sse"), (F.count(F.lit(1)) * F.var_pop(y)).alias("_sso"),
         F.sum(F.abs(y - m)).alias("_sad"), F.sum(y - m).alias("_sd"), F.sum(y).alias("_sumy"),
         F.sum(F.pow(F.abs(m - ybar) + F.abs(y - ybar), F.lit(2))).alias("_pe"), F.avg(F.abs(y)).alias("_absy"),
     )
@@ -132,30 +137,38 @@ def percentile_band_deviation(bands: DataFrame, keys: Sequence[str] = (), center
 def correlation_with(daily: DataFrame, extras: DataFrame, value: str = "value", name: str = "name") -> DataFrame:
     """r and number of pairs between all samples and each extra series."""
     pairs = daily.join(extras.select(name, "date", F.col(value).alias("pred")), "date")
-    return core_metrics(pairs, [name]).select(name, "r", "n")
+    return core_metrics(pairs, [name], agreement=False).select(name, "r", "n")
 
 
-def lagged_fit(daily: DataFrame, series: DataFrame, max_lag: int = 2, pred: str = "p50") -> DataFrame:
-    """Metrics for every shift of the model series by -max_lag..max_lag rows."""
-    w = Window.orderBy("date") if "rch" not in series.columns else Window.partitionBy("rch").orderBy("date")
-    lags = range(-max_lag, max_lag + 1)
-    shifts = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag(pred, k).over(w).alias("pred")) for k in lags])
-    shifted = series.withColumn("_s", shifts).select("date", F.explode("_s").alias("s")).select("date", "s.*")
-    return core_metrics(daily.join(F.broadcast(shifted), "date"), ["lag"]).select("lag", "n", "r", "r2", "rmse", "mae", "nse")
+def lagged_fit(daily: DataFrame, series: DataFrame, max_lag: int = 2, pred: str = "p50", keys: Sequence[str] = ()) -> DataFrame:
+    """Metrics for every shift of the model series by -max_lag..max_lag days of the calendar, within the span of the series.
 
+    ``keys`` tell several series apart, such as reaches; samples that carry a key meet their own series only. Days without a
+    model value stay empty when shifted.
+    """
+    keys = list(keys)
+    ends = series.groupBy(*keys).agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+    lags = F.explode(F.array(*[F.lit(k) for k in range(-max_lag, max_lag + 1)]))
+    moved = series.select(*keys, "date", F.col(pred).alias("pred"), lags.alias("lag"))
+    moved = _attach(moved.withColumn("date", F.date_add("date", F.col("lag"))), ends, keys)
+    moved = moved.where(F.col("date").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    shared = [k for k in keys if k in daily.columns]
+    pairs = daily.select(*shared, "date", "obs").join(moved, [*shared, "date"])
+    return core_metrics(pairs, [*keys, "lag"], agreement=False).select(*keys, "lag", "n", "r", "r2", "rmse", "mae", "nse")
 
-def best_lag(by_lag: DataFrame, choose_by: str = "r") -> DataFrame:
+
+def best_lag(by_lag: DataFrame, choose_by: str = "r", keys: Sequence[str] = ()) -> DataFrame:
     """The shift with the highest r or NSE; the first one wins a tie, a missing score loses."""
     score = F.coalesce(F.col("nse" if choose_by.lower() == "nse" else "r"), F.lit(float("-inf")))
     best = F.max_by(F.struct("lag", "r", "r2", "rmse", "mae", "nse"), F.struct(score, -F.col("lag")))
-    return by_lag.agg(best.alias("b")).select(
-        F.col("b.lag").alias("best_lag_days"), F.lit("NSE" if choose_by.lower() == "nse" else "r").alias("metric"),
+    return by_lag.groupBy(*keys).agg(best.alias("b")).select(
+        *keys, F.col("b.lag").alias("best_lag_days"), F.lit("NSE" if choose_by.lower() == "nse" else "r").alias("metric"),
         "b.r", "b.r2", "b.rmse", "b.mae", "b.nse")
 
 
 def local_window_summary(matched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Fit and lag spread of local-window matches."""
-    core = core_metrics(matched, keys).select(*keys, "n", "rmse", "mae", "bias", "nse")
+    core = core_metrics(matched, keys, agreement=False).select(*keys, "n", "rmse", "mae", "bias", "nse")
     lag = exact_quantiles(matched, keys, "k_days", {"median_lag_days": 0.5, "_q25": 0.25, "_q75": 0.75})
     lag = lag.select(*keys, "median_lag_days", (F.col("_q75") - F.col("_q25")).alias("iqr_lag_days"))
     zero = matched.groupBy(*keys).agg(F.avg(F.when(F.col("k_days") == 0, 1.0).otherwise(0.0)).alias("fraction_zero_lag"))
@@ -164,7 +177,10 @@ def local_window_summary(matched: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
 def data_usage(q: DataFrame, daily: DataFrame, start: str | None = None, end: str | None = None,
                any_of: Sequence[str] = ("p05", "p50", "p95"), pred: str = "p50") -> DataFrame:
-    """How many model, sample and paired days a view uses; samples count by the largest series."""
+    """How many model, sample and paired days a view uses; samples count by the largest series.
+
+    Model days are those of the calendar from the first to the last, with a value or not.
+    """
     def inside(c: Column) -> Column:
         ok = F.lit(True)
         if start is not None:
@@ -175,9 +191,12 @@ def data_usage(q: DataFrame, daily: DataFrame, start: str | None = None, end: st
 
     present = F.coalesce(*[F.col(c) for c in any_of]).isNotNull()
     n = lambda cond: F.count(F.when(cond, 1))
+    a, b = F.min("date").cast("date"), F.max("date").cast("date")
+    from_ = a if start is None else F.greatest(a, F.lit(start).cast("date"))
+    upto = b if end is None else F.least(b, F.lit(end).cast("date"))
+    span = lambda x, y: F.coalesce(F.greatest(F.date_diff(y, x) + 1, F.lit(0)), F.lit(0)).cast("long")
     sim = q.agg(
-        F.count(F.lit(1)).alias("sim_days_total"), n(present).alias("sim_days_finite"),
-        n(inside(F.col("date"))).alias("sim_days_windowed"),
+        span(a, b).alias("sim_days_total"), n(present).alias("sim_days_finite"), span(from_, upto).alias("sim_days_windowed"),
         n(present & inside(F.col("date"))).alias("sim_days_windowed_finite"))
     ok = F.col("obs").isNotNull()
     per = daily.groupBy("station", "analyte").agg(

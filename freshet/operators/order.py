@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 1 << 16
-SALTS = 64
+SALTS = 4096
 
 
 def bounded_quantiles(value: Column | str, probs: Sequence[float]) -> Column:
@@ -69,22 +69,29 @@ def exact_rank(
 ) -> DataFrame:
     """Attach ``rank`` (1..n by value) and ``n`` per group.
 
-    Equal values are counted before anything is ordered and are split over ``SALTS`` parts by
-    a hash of their ``tiebreak`` columns, so a value held by a third of all rows (zeros often
-    are) is ranked by many tasks. Ties rank in the order of that hash, then of the columns.
+    Equal rows are counted and numbered as one row. Equal values are counted before anything is ordered and are split over
+    ``SALTS`` parts by a hash of their ``tiebreak`` columns, so a value held by a third of all rows (zeros often are) is ranked
+    by many tasks, whether its rows differ or not. Ties rank in the order of that hash, then of the columns.
     """
     keys = list(keys)
     tie = list(tiebreak) or [c for c in df.columns if c not in keys]
-    rows = df.where(F.col(value).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(SALTS)).cast("int"))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(SALTS)).cast("int"))
     part = [*keys, value, "_salt"]
-    tally = with_cell(rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")), value, cells, rows)
+    tally = with_cell(rows.groupBy(*part).agg(F.sum("_c").alias("_n")), value, cells, df.where(F.col(value).isNotNull()))
     starts = _cell_starts(tally, keys, F.col("_n"), descending).drop("_in_cell")
     first = F.col(value).desc() if descending else F.col(value)
     before = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(first, "_salt")) - F.col("_n")
     placed = tally.withColumn("_before", before).join(starts, [*keys, "_cell"]).select(
         *part, (F.col("_start") + F.col("_before")).alias("_from"), F.col("_total").alias("n"))
-    rn = F.row_number().over(Window.partitionBy(*part).orderBy(*tie))
-    return rows.withColumn("_rn", rn).join(placed, part).withColumn("rank", F.col("_from") + F.col("_rn")).drop("_salt", "_rn", "_from")
+    inside = Window.partitionBy(*part).orderBy(*tie, *[c for c in df.columns if c not in [*tie, *part]]).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_rn", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(placed, part)
+    # equal rows take the numbers from _from + _rn + 1 on, in two steps of about the root of their count
+    width = F.ceil(F.sqrt("_c")).cast("long")
+    out = out.withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / width).cast("long"))))
+    out = out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(width, F.col("_c") - F.col("_hi") * width))))
+    rank = F.col("_from") + F.col("_rn") + F.col("_hi") * width + F.col("_k")
+    return out.select(*df.columns, "n", rank.alias("rank"))
 
 
 def exact_quantiles(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.functions.calendar import bucket, bucket_origin, in_months
+from freshet.functions.calendar import bucket, in_months
 from freshet.functions.nulls import div
 
 # fixed values: variables whose usual aggregation differs from the name rule
@@ -46,10 +46,12 @@ def resample(
 ) -> DataFrame:
     """Group rows of each series into calendar buckets; ``date`` becomes the bucket label.
 
-    ``flow_weighted_mean`` divides by all flow of the bucket, also where the value is NULL.
+    Buckets of several days, weeks, months or years start with the first day of each series, or with ``origin``, such as
+    ``bucket_origin(df)``, which all series share. ``flow_weighted_mean`` divides by all flow of the bucket, also where the
+    value is NULL.
     """
     if n > 1 and origin is None:
-        origin = bucket_origin(df, date)
+        df, origin = df.withColumn("_origin", _first_day(keys, date)), F.col("_origin")
     if how == "flow_weighted_mean" and flow is None:
         how = "mean"
     aggs = []
@@ -68,6 +70,10 @@ def resample(
     )
 
 
+def _first_day(keys: Sequence[str], date: str) -> Column:
+    return F.min(F.col(date).cast("date")).over(Window.partitionBy(*keys))
+
+
 def spine(df: DataFrame, keys: Sequence[str] = (), date: str = "date") -> DataFrame:
     """Every calendar day between the first and last day of each series."""
     d = F.col(date).cast("date")
@@ -79,7 +85,9 @@ def with_empty_buckets(out: DataFrame, source: DataFrame, keys: Sequence[str], f
                        date: str = "date") -> DataFrame:
     """Add the buckets that hold no row, as NULL, so each series is complete over its span."""
     days = spine(source, keys, date)
-    origin = bucket_origin(source, date) if n > 1 else None
+    origin = None
+    if n > 1:
+        days, origin = days.withColumn("_origin", _first_day(keys, "date")), F.col("_origin")
     labels = days.select(*keys, bucket("date", freq, n, origin).alias("date")).distinct()
     return labels.join(out, [*keys, "date"], "left")
 

@@ -51,13 +51,13 @@ def shift_set(pairs: DataFrame, keys: Sequence[str] = ("scenario",), agg: str =
     s = s.withColumn("normalized_mean_delta", div("mean_delta", "baseline_mean"))
     if agg == "median":
         s = s.drop("mean_delta", "mean_delta_pct", "normalized_mean_delta")
-    fit = core_metrics(p, keys, "overlay", "base").select(*keys, "rmse", "r")
+    fit = core_metrics(p, keys, "overlay", "base", agreement=False).select(*keys, "rmse", "r")
     return _attach(s, fit, keys)
 
 
 def overlay_metrics(pairs: DataFrame, keys: Sequence[str] = ("scenario",)) -> DataFrame:
     """r, R2, MAE, RMSE, bias and median absolute error of scenario against baseline."""
-    fit = core_metrics(pairs, keys, "overlay", "base").select(*keys, "n", "r", "r2", "mae", "rmse", "bias")
+    fit = core_metrics(pairs, keys, "overlay", "base", agreement=False).select(*keys, "n", "r", "r2", "mae", "rmse", "bias")
     med = pairs.groupBy(*keys).agg(_median(F.abs(F.col("overlay") - F.col("base"))).alias("medae"))
     return _attach(fit, med, keys).withColumnRenamed("n", "n_pairs")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,23 +11,6 @@ from pyspark.sql import functions as F
 from freshet.operators import ensemble, fit, pairing, resample, select, shift
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store a small, often reused frame once so that a report does not rebuild it per section.
-
-    The folder is the session's spark.checkpoint.dir, shared by all executors. Only a local
-    session without one gets a temporary folder; elsewhere the frame is left as it is.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and sc.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        if folder is None:
-            return df
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _long(df: DataFrame, section: str, name: str | None = None) -> DataFrame:
     """Every number of a frame as (section, name, metric, value)."""
     skip = {name} if name else set()
@@ -47,15 +29,15 @@ def view_statistics(
 
     ``q`` is the fan of one reach with mean, min, max and percentiles per date; ``daily`` has
     the samples per station, analyte and day; ``extras`` the named series (scenario, date,
-    value); ``events`` the day table of flow events.
+    value); ``events`` the day table of flow events. Nothing runs before the result is asked for; sections share the shuffles of
+    the frames that they have in common.
     """
-    q, daily = cut(q), cut(daily)
     usage = _long(fit.data_usage(q, daily, start, end), "data_usage")
     view = lambda df: select.time_slice(df, start, end)
     obs = view(daily)
-    pairs = cut(pairing.pair_same_day(obs, q))
+    pairs = pairing.pair_same_day(obs, q)
     qv = view(q)
-    lw = [(k, cut(pairing.match_local_window(obs, q, k, strategy))) for k in windows]
+    lw = [(k, pairing.match_local_window(obs, q, k, strategy)) for k in windows]
     near = pairing.match_nearest_day(obs, qv, ["min", "p05", "p25", "p50", "p75", "p95", "max", "mean"])
     parts = [
         usage,
@@ -75,8 +57,8 @@ def view_statistics(
         _long(shift.envelope_widths(qv.withColumn("scenario", F.lit("baseline")).drop("min", "max"), qv, "p50"), "baseline_envelope", "scenario"),
     ]
     if extras is not None:
-        ex = cut(view(extras))
-        sp = cut(pairing.pair_scenarios(ex, qv))
+        ex = view(extras)
+        sp = pairing.pair_scenarios(ex, qv)
         parts += [
             _long(fit.correlation_with(obs, ex, name="scenario"), "extras", "scenario"),
             _long(shift.shift_set(sp, agg=shift_agg), "overlay_comparison", "scenario"),

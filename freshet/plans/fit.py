@@ -237,8 +237,8 @@ def register(r: Registry) -> None:
           "SELECT scenario, n, r FROM (" + metrics_sql("(SELECT scenario, obs, overlay AS pred FROM daily JOIN scen ON scen.date = daily.date) c", "scenario") + ")",
           f"{Q3} {DAILY} scen", "r", "scenario n")
     lag_src = """(SELECT lag, obs, pred FROM daily JOIN (
-        SELECT date, unnest([-2, -1, 0, 1, 2]) AS lag, unnest([lead(p50, 2) OVER w, lead(p50, 1) OVER w, p50, lag(p50, 1) OVER w, lag(p50, 2) OVER w]) AS pred
-        FROM q3 WINDOW w AS (ORDER BY date)) z ON z.date = daily.date) l"""
+        SELECT CAST(date + lag AS DATE) AS date, lag, p50 AS pred FROM q3, (SELECT unnest([-2, -1, 0, 1, 2])::INTEGER AS lag)
+        WHERE date + lag BETWEEN (SELECT min(date) FROM q3) AND (SELECT max(date) FROM q3)) z ON z.date = daily.date) l"""
     lag_sql = "SELECT CAST(lag AS INTEGER) AS lag, n, r, r2, rmse, mae, nse FROM (" + metrics_sql(lag_src, "lag") + ")"
     r.add("m19_lagged_fit", lambda s, d: fit.lagged_fit(daily(s, d), reach_fan(s, d)), lag_sql, f"{Q3} {DAILY}", "r r2 rmse mae nse", "lag n")
     for by in ("r", "nse"):
@@ -246,6 +246,22 @@ def register(r: Registry) -> None:
               f"""SELECT lag AS best_lag_days, '{'NSE' if by == 'nse' else 'r'}' AS metric, r, r2, rmse, mae, nse
                   FROM ({lag_sql}) ORDER BY coalesce({by}, '-inf'::DOUBLE) DESC, lag LIMIT 1""",
               f"{Q3} {DAILY}", "r r2 rmse mae nse", "best_lag_days metric")
+
+    def every_fan(s, d):
+        """Daily fans of all reaches."""
+        load = views.sim(s, d).select("run_id", "rch", "date", (F.col("load_kg") / 1000).alias("v"))
+        return ensemble.fan(load, ["rch"], "v", (50,))
+
+    every = "(SELECT rch, date, quantile_cont(load_kg / 1000, 0.5) AS p50 FROM sim WHERE load_kg IS NOT NULL GROUP BY 1, 2)"
+    every_lag = metrics_sql(f"""(SELECT rch, lag, obs, pred FROM daily JOIN (
+        SELECT rch, CAST(date + lag AS DATE) AS date, lag, p50 AS pred FROM (SELECT *, min(date) OVER w AS a, max(date) OVER w AS b FROM {every} WINDOW w AS (PARTITION BY rch)),
+          (SELECT unnest([-2, -1, 0, 1, 2])::INTEGER AS lag) WHERE date + lag BETWEEN a AND b) z ON z.date = daily.date) l""", "rch, lag")
+    every_fit = lambda s, d: fit.lagged_fit(daily(s, d), every_fan(s, d), keys=["rch"])
+    r.add("m19_lagged_fit_all_reaches", every_fit, f"SELECT rch, CAST(lag AS INTEGER) AS lag, n, r, r2, rmse, mae, nse FROM ({every_lag})", f"sim {DAILY}", "r r2 rmse mae nse", "rch lag n")
+    r.add("m19_best_lag_all_reaches", lambda s, d: fit.best_lag(every_fit(s, d), "r", ["rch"]), f"""
+        SELECT rch, CAST(lag AS INTEGER) AS best_lag_days, 'r' AS metric, r, r2, rmse, mae, nse FROM (
+          SELECT *, row_number() OVER (PARTITION BY rch ORDER BY coalesce(r, '-inf'::DOUBLE) DESC, lag) AS k FROM ({every_lag})) WHERE k = 1""",
+          f"sim {DAILY}", "r r2 rmse mae nse", "rch best_lag_days metric")
     for k in (1, 3):
         body = metrics_sql(f"({window_sql(k)}) lw")
         r.add(f"m20_local_window_summary_{k}",
@@ -258,7 +274,8 @@ def register(r: Registry) -> None:
              "measured_days_windowed measured_days_windowed_finite paired_days_used")
     w = "date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"
     r.add("m21_data_usage", lambda s, d: fit.data_usage(reach_fan(s, d), daily(s, d), "1996-01-01", "1999-12-31"), f"""
-        WITH a AS (SELECT count(*) AS sim_days_total, count(p50) AS sim_days_finite, count(*) FILTER (WHERE {w}) AS sim_days_windowed,
+        WITH a AS (SELECT date_diff('day', min(date)::DATE, max(date)::DATE) + 1 AS sim_days_total, count(p50) AS sim_days_finite,
+                          greatest(0, date_diff('day', greatest(min(date)::DATE, DATE '1996-01-01'), least(max(date)::DATE, DATE '1999-12-31')) + 1) AS sim_days_windowed,
                           count(p50) FILTER (WHERE {w}) AS sim_days_windowed_finite FROM q3),
         b AS (SELECT max(t) AS measured_days_total, max(f) AS measured_days_finite, max(w) AS measured_days_windowed,
                      max(wf) AS measured_days_windowed_finite FROM (

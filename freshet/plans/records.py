@@ -180,8 +180,9 @@ def register(r: Registry) -> None:
           "n_records n_ids engine_variants n_runs created_min created_max n_inputs")
     r.add("l1_run_ids", lambda s, d: ledger.run_ids(parsed(s, d)),
           "SELECT user_id AS run_id, count(*) AS n_records FROM ev_step WHERE event_type <> 'error' GROUP BY 1", "ev_step", "", "run_id n_records")
-    r.add("l1_step_durations", lambda s, d: ledger.steps(parsed(s, d)).where("pos = 0"),
-          "SELECT event_id AS id, user_id AS run_id, 'transform_scale_variable' AS step, CAST(CASE WHEN secs >= 0 THEN secs END AS DOUBLE) AS seconds FROM ev_step",
+    r.add("l1_step_durations", lambda s, d: ledger.steps(parsed(s, d)),
+          """SELECT event_id AS id, user_id AS run_id, step, CAST(CASE WHEN p = 0 AND secs >= 0 THEN secs END AS DOUBLE) AS seconds FROM ev_step, (VALUES (0, 'transform_scale_variable'),
+             (1, 'scale_choices'), (2, 'ops_choices'), (3, 'point_mgL_choices'), (4, 'transform_split_with_bounds'), (5, 'split_choices'), (6, 'perturbation_choices')) z(p, step)""",
           "ev_step", "seconds", "id run_id step")
     cols = "id run_id pos transform in out source renorm"
     body = 'SELECT id, run_id, CAST(pos AS INTEGER) AS pos, transform, "in" AS src, out AS dst, source, renorm, lower, upper, value FROM choice'
@@ -288,6 +289,7 @@ def report_sql(r: Registry, windows, scenarios: bool) -> str:
     usage = ("sim_days_total sim_days_finite sim_days_windowed sim_days_windowed_finite measured_days_total measured_days_finite measured_days_windowed "
              "measured_days_windowed_finite paired_days_used sim_usage_percent measured_usage_percent paired_usage_percent")
     whole = b["m21_data_usage"].replace("date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'", "TRUE")
+    whole = whole.replace("DATE '1996-01-01'", "DATE '0001-01-01'").replace("DATE '1999-12-31'", "DATE '9999-12-31'")
     summary = "n mean sd var min max p05 p25 median p75 p95"
 
     def spread(v: str, source: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.calendar import bucket
 from freshet.functions.nulls import div
+from freshet.functions.calendar import bucket_origin
 from freshet.operators import ensemble, pairing, resample, select
 from freshet.plans import views
 from freshet.plans.registry import Registry
@@ -79,7 +80,7 @@ def register(r: Registry) -> None:
     def rs(freq, n=1, how="sum", **kw):
         return lambda s, d: resample.resample(views.sim(s, d), ["run_id", "rch"], ["load_kg"], freq, n, how, **kw)
 
-    first = "(SELECT min(date) FROM sim)"
+    first = "first_day"
     sunday = "CAST(date_trunc('week', {0}) + INTERVAL 6 DAY AS DATE)"
     months_apart = f"((year(date) - year({first})) * 12 + month(date) - month({first}))"
     labels = {
@@ -93,8 +94,10 @@ def register(r: Registry) -> None:
     for (freq, n), label in labels.items():
         name = {"D": "day", "W": "week", "M": "month", "A": "year"}[freq]
         r.add(f"a1_resample_sum_{n}{name}" if n > 1 else f"a1_resample_sum_{name}", rs(freq, n),
-              f"SELECT run_id, rch, {label} AS bucket, sum(load_kg) AS load_kg FROM sim GROUP BY 1, 2, 3".replace("AS bucket", "AS date")
+              f"SELECT run_id, rch, {label} AS bucket, sum(load_kg) AS load_kg FROM (SELECT *, min(date) OVER (PARTITION BY run_id, rch) AS first_day FROM sim) GROUP BY 1, 2, 3".replace("AS bucket", "AS date")
               .replace("GROUP BY 1, 2, 3", "GROUP BY run_id, rch, 3"), "sim", "load_kg", key)
+    r.add("a1_resample_shared_origin", lambda s, d: resample.resample(views.sim(s, d), ["run_id", "rch"], ["load_kg"], "D", 5, "sum", origin=bucket_origin(views.sim(s, d))),
+          f"SELECT run_id, rch, {labels['D', 5]} AS date, sum(load_kg) AS load_kg FROM (SELECT *, (SELECT min(date) FROM sim) AS first_day FROM sim) GROUP BY run_id, rch, 3", "sim", "load_kg", key)
     r.add("a1_resample_mean_month", rs("M", 1, "mean"),
           "SELECT run_id, rch, last_day(s.date) AS date, avg(load_kg) AS load_kg FROM sim s GROUP BY 1, 2, 3", "sim", "load_kg", key)
     r.add("a2_flow_weighted_mean", rs("M", 1, "flow_weighted_mean", flow="flow_cms"),

@@ -59,11 +59,11 @@ def test_coverage_grows_with_band(spark):
     assert fit.coverage(holes).first()["coverage100"] is None
 
 
-def test_lag_is_in_rows_and_ties_take_the_first(spark):
+def test_lag_is_in_days_and_ties_take_the_first(spark):
     q = spark.createDataFrame([(DAY + dt.timedelta(days=2 * i), float(v)) for i, v in enumerate([1, 5, 2, 8, 3, 9])], "date date, p50 double")
     obs = spark.createDataFrame([("s", "a", DAY + dt.timedelta(days=2 * (i + 1)), float(v)) for i, v in enumerate([1, 5, 2, 8, 3])], "station string, analyte string, date date, obs double")
     best = fit.best_lag(fit.lagged_fit(obs, q)).first()
-    assert best["best_lag_days"] == 1 and best["r"] == pytest.approx(1.0)
+    assert best["best_lag_days"] == 2 and best["r"] == pytest.approx(1.0)
     flat = fit.lagged_fit(obs, q.withColumn("p50", F.lit(1.0)))
     assert fit.best_lag(flat).first()["best_lag_days"] == -2
 
@@ -96,3 +96,17 @@ def test_view_statistics_sections(spark):
     assert rows[("same_day", "", "n")] == 20 and rows[("event_context", "", "event_days")] == 12
     assert {"data_usage", "log_space", "global_lag", "local_window_K1", "local_window_K2", "extras", "band_deviation", "measured_vs_series",
             "overlay_comparison", "overlay_full_series", "baseline_summary"} <= {k[0] for k in rows}
+
+
+def test_lags_by_reach_and_calendar(spark):
+    """Two reaches, each fitting its own samples one day later; a gap in the series isn't jumped."""
+    import datetime as dt
+
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(n)
+    days = [n for n in range(60) if not 20 <= n < 40]
+    q = spark.createDataFrame([(r, day(n), float((n * 7 * r) % 23)) for r in (1, 2) for n in days], "rch int, date date, p50 double")
+    obs = spark.createDataFrame([(r, day(n + 1), float((n * 7 * r) % 23)) for r in (1, 2) for n in days], "rch int, date date, obs double")
+    best = {x.rch: x for x in fit.best_lag(fit.lagged_fit(obs, q, keys=["rch"]), keys=["rch"]).collect()}
+    assert {r: (x.best_lag_days, round(x.r, 6)) for r, x in best.items()} == {1: (1, 1.0), 2: (1, 1.0)}
+    n = {x.lag: x.n for x in fit.lagged_fit(obs.where("rch = 1").drop("rch"), q.where("rch = 1").drop("rch")).collect()}
+    assert n == {-2: 20 + 20 - 6, -1: 20 + 20 - 4, 0: 20 + 20 - 2, 1: 39, 2: 20 + 20 - 3}

@@ -54,3 +54,12 @@ def test_rank_does_not_depend_on_layout(spark):
 def test_rank_of_dates_as_numbers(spark):
     df = spark.range(100).withColumn("v", (F.col("id") % 10).cast("double"))
     assert exact_rank(df, [], "v", ["id"]).agg(F.max("rank")).first()[0] == 100
+
+
+def test_equal_rows_are_numbered_without_a_hot_task(spark):
+    """A third of all rows are equal in every column: their numbers follow each other and come from one counted row."""
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    out = exact_rank(df, [], "v")
+    rows = sorted((r["rank"], r["v"], r["n"]) for r in out.collect())
+    assert [r[0] for r in rows] == list(range(1, 901)) and {r[2] for r in rows} == {900}
+    assert [r[1] for r in rows] == sorted(r[1] for r in rows)
