@@ -167,28 +167,39 @@ def _by_bucket(df: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str)
     return df.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(go, schema)
 
 
+def _met(rows: pa.Table) -> np.ndarray:
+    """For each pair of a bucket's rows, whether they also meet in a bucket with a smaller number."""
+    own, here = rows["buckets"].combine_chunks(), rows["bucket"][0].as_py()
+    n = len(own)
+    number, row = own.flatten().to_numpy(), np.repeat(np.arange(n), np.diff(own.offsets.to_numpy()))
+    below = number < here
+    number, row = number[below], row[below]
+    order = np.argsort(number, kind="stable")
+    number, row = number[order], row[order]
+    start = np.flatnonzero(np.r_[True, np.diff(number) != 0]) if len(number) else np.array([], int)
+    size = np.diff(np.r_[start, len(number)])
+    met = np.zeros((n, n), bool)
+    for k in np.argsort(-size, kind="stable"):
+        if size[k] < 2:
+            break
+        i = row[start[k] : start[k] + size[k]]
+        met[np.ix_(i, i)] = True
+        if size[k] == n:
+            break
+    return met
+
+
 def _candidates(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket's rows whose samples agree often enough and which don't meet in a bucket with a smaller number."""
-    sig, here = _numbers(rows["sig"]), rows["bucket"][0].as_py()
-    own = rows["buckets"].to_pylist()
+    sig, open_ = _numbers(rows["sig"]), ~_met(rows)
     left, right = [], []
     for i in range(len(sig) - 1):
-        j = i + 1 + np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= MAYBE * SAMPLES)
-        left.append(np.full(len(j), i))
-        right.append(j)
-    a, b = (np.concatenate([*x, np.array([], int)]).astype(int) for x in (left, right))
-    if not len(a):
-        return a, b
-    width = max(map(len, own))
-    known = np.full((len(own), width), np.iinfo(np.int64).max)
-    for i, o in enumerate(own):
-        known[i, : len(o)] = o
-    earlier = np.zeros(len(a), bool)
-    for c in range(0, len(a), 20_000):
-        x, y = known[a[c : c + 20_000]], known[b[c : c + 20_000]]
-        for k in range(width):
-            earlier[c : c + 20_000] |= (x[:, k] < here) & (y == x[:, k : k + 1]).any(axis=1)
-    return a[~earlier], b[~earlier]
+        j = i + 1 + np.flatnonzero(open_[i, i + 1 :])
+        if len(j):
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= MAYBE * SAMPLES]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    return tuple(np.concatenate([*x, np.array([], int)]).astype(int) for x in (left, right))
 
 
 def _live(rows: pa.Table) -> pa.Table:
@@ -343,15 +354,13 @@ def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", simil
     """
     documents, classes = joined(docs, id, text, similar)
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("key"))).alias("first")
-    keep = saved(classes.groupBy("comp").agg(first).select(F.col("first.key").alias("_key"), F.col("first.first_id").alias("_first")))
+    keep = saved(classes.groupBy("comp").agg(first).select(F.struct(F.col("first.first_id").alias("id"), F.col("first.key").alias("key")).alias("_row")))
     key = F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(normal(F.col(text)))))
-    rows = docs.withColumn("_own", key)
-    kept = rows.join(keep, (F.col("_own") == F.col("_key")) & F.col(id).eqNullSafe(F.col("_first")), "left_semi")
-    again = kept.groupBy("_own").agg(F.count("*").alias("n")).where("n > 1")
-    # equal ids and equal words: any one of the rows, by its number in the scan
-    kept = kept.join(again.select(F.col("_own").alias("_again")), F.col("_own") == F.col("_again"), "left")
-    once = kept.where("_again is null").drop("_again").unionByName(kept.where("_again is not null").drop("_again").dropDuplicates(["_own"]))
-    return once.drop("_own").unionByName(rows.where("_own is null").drop("_own"))
+    rows = docs.withColumn("_key", key)
+    # id and key as one value, in which nulls are equal: the join's partitioning serves the removal of repeated rows too
+    some = rows.where("_key is not null").withColumn("_row", F.struct(F.col(id).alias("id"), F.col("_key").alias("key")))
+    once = some.join(keep, "_row", "left_semi").dropDuplicates(["_row"])
+    return once.select(*docs.columns).unionByName(rows.where("_key is null").select(*docs.columns))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
