@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from freshet.llm.common import n_words, table
+from freshet.llm.common import n_words, saved, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP, SEED, CELLS = 1.5, 2.0, "mix-1", 4096
@@ -77,7 +77,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     c, f = coarse.withColumnRenamed("_source", "cs"), last.withColumnRenamed("_source", "fs")
     plan = aims.join(c, F.col("source").eqNullSafe(F.col("cs")), "left").join(f, F.col("source").eqNullSafe(F.col("fs")), "left")
     limit = F.coalesce(F.col("cut_cell").cast("long") * 2**20 + F.col("cut_sub").cast("long") * 2**8, F.lit(0).cast("long"))
-    plan = plan.select(F.col("source").alias("_of"), "source_size", "target", "whole", limit.alias("_limit"))
+    # written, so that its size is known and documents needn't move to meet it where it is small
+    plan = saved(plan.select(F.col("source").alias("_of"), "source_size", "target", "whole", limit.alias("_limit")))
     out = rows.join(plan, F.col("_source").eqNullSafe(F.col("_of")))
     copies = (F.col("whole") + F.when(F.col("_draw") < F.col("_limit"), 1).otherwise(0)).cast("int")
     return out.withColumn("copies", copies).drop("_draw", "_cell", "_source", "_of", "_limit", "whole")
