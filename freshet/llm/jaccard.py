@@ -105,7 +105,7 @@ def _follow(node: np.ndarray, sig: np.ndarray, children: float) -> tuple[np.ndar
 
 
 def split(sets: DataFrame, children: float = CHILDREN) -> DataFrame:
-    """(node, key, above) of the children of each (node, key, sig, size)."""
+    """(node, key, above) of the children of each (node, key, sig, size), each pair once, as a set follows a sample only once."""
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +113,7 @@ def split(sets: DataFrame, children: float = CHILDREN) -> DataFrame:
                 row, child = _follow(batch["node"].to_numpy().view(np.uint64), _numbers(batch["sig"]), children)
                 yield pa.record_batch({"node": pa.array(child), "key": batch["key"].take(pa.array(row)), "above": batch["size"].take(pa.array(row))})
 
-    return sets.select("node", "key", "sig", "size").mapInArrow(follow, "node long, key binary, above long").dropDuplicates(["node", "key"])
+    return sets.select("node", "key", "sig", "size").mapInArrow(follow, "node long, key binary, above long")
 
 
 def buckets(sets: DataFrame, runs: int, children: float = CHILDREN, limit: int = LIMIT, levels: int = LEVELS) -> DataFrame:
