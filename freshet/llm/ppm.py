@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import blocked, distinct_words, opened, packed, saved, summed, table, unpacked
 
-#: Bytes of context. A context and symbol stay in the trie if they make up MIN_SHARE of all positions, so each order has at
-#: most 1 / MIN_SHARE of them: that bounds what is broadcast, for any corpus. What is left out adds to its context's escape.
-ORDER, MIN_SHARE = 6, 2.0**-19
+#: Bytes of context. Orders up to LOW have at most 256^(LOW + 1) entries for any corpus and are sent to every task; entries of higher
+#: orders lie in the bucket of the last LOW + 1 bytes of their context, which all their longer contexts share.
+ORDER, LOW = 6, 2
 END = b"\n"
 LOG = np.log10(np.e)
 
@@ -46,16 +46,40 @@ def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return s[own], context[own], np.minimum(at[own], ORDER), of[own]
 
 
-def entries(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trie entries, order << 56 | context << 8 | symbol, with their counts."""
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol with its context as one number, bytes of context << 56 | context << 8 | symbol, and its word."""
     symbol, context, known, of = positions(words)
-    keys, sums = [], []
-    for k in range(ORDER + 1):
-        own = known >= k
-        key, at = np.unique((context[own] & ((1 << 8 * k) - 1)) << 8 | symbol[own], return_inverse=True)
-        keys.append(key | k << 56)
-        sums.append(np.bincount(at, counts[of[own]], len(key)).astype(np.int64))
-    return np.concatenate(keys), np.concatenate(sums)
+    return known << 56 | context << 8 | symbol, of
+
+
+def summed_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    key, at = np.unique(keys, return_inverse=True)
+    return key, np.bincount(at, counts, len(key)).astype(np.int64)
+
+
+def rolled(gram: np.ndarray, counts: np.ndarray, orders: range = range(ORDER + 1)) -> tuple[np.ndarray, np.ndarray]:
+    """Trie entries of these orders, order << 56 | context << 8 | symbol, with their counts."""
+    made = []
+    for k in orders:
+        own = gram >> 56 >= k
+        made.append(summed_up(gram[own] & ((1 << 8 * (k + 1)) - 1) | k << 56, counts[own]))
+    return np.concatenate([x for x, _ in made]), np.concatenate([n for _, n in made])
+
+
+def entries(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All trie entries of words with counts."""
+    gram, of = grams(words)
+    return rolled(gram, counts[of])
+
+
+def pressed(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences, compressed; `unpressed` gives them back."""
+    return zstandard.compress(np.diff(keys, prepend=0).astype(np.int64).tobytes(), 3)
+
+
+def unpressed(value: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(value), np.int64))
 
 
 class Trie:
@@ -84,10 +108,15 @@ class Trie:
             for to, x in ((self.entry, e), (self.count, c), (self.node, at), (self.total, full), (self.lost, full - sums(c)), (self.distinct, n.astype(np.float64)), (self.shorter, sums(above))):
                 to.append(x)
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word."""
-        symbol, context, known, of = positions(words)
-        return np.bincount(of, self.symbols(symbol, context, known), len(words))
+    @classmethod
+    def whole(cls, key: np.ndarray, count: np.ndarray) -> Trie:
+        """Of entries none of which is left out."""
+        return cls(key, count, *summed_up(key >> 8, count))
+
+    def grams(self, gram: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol."""
+        parts = [gram[i : i + 500_000] for i in range(0, len(gram), 500_000)]
+        return np.concatenate([np.zeros(0)] + [self.symbols(x & 255, x >> 8 & ((1 << 8 * ORDER) - 1), x >> 56) for x in parts])
 
     def symbols(self, symbol: np.ndarray, context: np.ndarray, known: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol after its context."""
@@ -135,18 +164,77 @@ def adaptive(words: np.ndarray, p: np.ndarray) -> float:
         return float(np.where(fresh, escape, np.log10((before - 0.5) / n)).sum())
 
 
-def score(docs: DataFrame, id: str = "doc_id", text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
+def read(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Tokens of each text, and the grams of all texts with the number of their text."""
+    split = [tokens((t or "").encode()) for t in texts]
+    gram, of = grams([w for t in split for w in t])
+    return split, gram, np.repeat(np.arange(len(split)), [len(t) for t in split])[of]
+
+
+def distinct_grams(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, keys, counts): the distinct grams of each block with their training counts, in buckets by the end of the context.
+
+    docs: from blocked(). All rows of a bucket hold all that orders above LOW need.
+    """
+
+    def reduced(raw: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of grams << 1 | training."""
+        marked, n = np.unique(np.concatenate(raw), return_counts=True)
+        first = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
+        return marked[first] >> 1, np.add.reduceat(n * (marked & 1), first) if len(first) else n
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw: dict[int, list[np.ndarray]] = {}
+        done: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting = 0
+
+        def reduce() -> None:
+            for block, x in raw.items():
+                done.setdefault(block, []).append(reduced(x))
+            raw.clear()
+
+        for batch in batches:
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                _, gram, of = read(part["text"].to_pylist())
+                train = np.array([not held_out(i) for i in part["id"].to_pylist()], np.int64)
+                gram = gram << 1 | train[of]
+                block = part["block"].to_numpy()
+                for b in np.unique(block).tolist():
+                    raw.setdefault(b, []).append(gram[(block == b)[of]])
+                waiting += len(gram)
+                if waiting > 3_000_000:
+                    reduce()
+                    waiting = 0
+        reduce()
+        for b in list(done):
+            key, n = (np.concatenate(x) for x in zip(*done.pop(b), strict=True))
+            key, n = summed_up(key, n)
+            bucket = ((key >> 8 & ((1 << 8 * (LOW + 1)) - 1)) * 0x9E3779B1 >> 12) % buckets
+            order = np.argsort(bucket, kind="stable")
+            key, n, bucket = key[order], n[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            keys, counts = np.split(key, cuts), np.split(n, cuts)
+            yield pa.record_batch({
+                "bucket": pa.array(bucket[np.r_[0, cuts]], pa.int32()), "block": pa.array([b] * len(keys), pa.int64()),
+                "keys": pa.array([pressed(x) for x in keys], pa.binary()), "counts": pa.array([zstandard.compress(x.tobytes(), 3) for x in counts], pa.binary())})
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(find, "bucket int, block long, keys binary, counts binary")
+
+
+def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, pretrained, adaptive) of every row of docs.
 
-    Words of each block of documents are counted once and meet in buckets by hash. From the counts of all training words
-    comes the trie, by a distributed sum over its entries; each distinct word is then scored once, and the scores return to the blocks,
-    where each document's words are added up. A text's probability is that of its words and end, contexts reaching back
+    Words and grams (a byte and its context) of each block of documents are counted once and meet in buckets by hash. A bucket of grams
+    has all training counts of its contexts, whatever their number, and none is left out; it scores each distinct gram once. The answers return to
+    the blocks, where each document's bytes and words are added up. A text's probability is that of its words and end, contexts reaching back
     to the space before the word: `pretrained` by the trie alone, `adaptive` with the document's own words above it, `score` by a
     model that is either with equal chance. Null texts are empty: an end alone. A null id is learned from. Without training rows all bytes are
     equally likely. Repeated rows are learned from as often as they occur.
     """
     spark, kind = docs.sparkSession, docs.schema[id].dataType.simpleString()
     own = blocked(docs, id, text)
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def counted(t: str, id: object) -> dict[bytes, int]:
         out: dict[bytes, int] = {}
@@ -155,65 +243,89 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", min_share: fl
             out[w] = out.get(w, 0) + step
         return out
 
-    asked = saved(distinct_words(own, counted, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-    def grown(rows: pa.Table) -> pa.Table:
-        total = {w: n for w, n in summed(rows)[1].items() if n}
-        words, counts = list(total), np.array(list(total.values()), np.float64)
-        made = [entries(words[i : i + 50_000], counts[i : i + 50_000]) for i in range(0, len(words), 50_000)]
-        keys = np.concatenate([np.array([-1, -2]), *[k for k, _ in made]]).astype(np.int64)
-        return pa.table({"key": keys, "n": np.concatenate([np.array([counts.sum(), len(words)]), *[n for _, n in made]]).astype(np.int64)})
-
-    trie = asked.select("bucket", "words", "counts").groupBy("bucket").applyInArrow(grown, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    trie = saved(trie)
-    first = trie.agg(F.sum(F.when(F.col("key") == -1, F.col("n"))).alias("all"), F.sum(F.when(F.col("key") == -2, F.col("n"))).alias("distinct"),
-                     F.sum(F.when(F.col("key").between(0, (1 << 56) - 1), F.col("n"))).alias("positions")).first()
-    n_all, n_distinct, n_positions = (x or 0 for x in first)
-    enough = F.col("n") >= min_share * n_positions
-    kept = trie.where((F.col("key") >= 0) & enough).toArrow()
-    nodes = trie.where("key >= 0").groupBy(F.shiftright("key", 8).alias("node")).agg(F.sum("n").alias("n")).where(enough).toArrow()
-    model = spark.sparkContext.broadcast(Trie(*(x.to_numpy() for x in (kept["key"], kept["n"], nodes["node"], nodes["n"]))))
+    asked = saved(distinct_words(own, counted, buckets))
+    asked_grams = saved(distinct_grams(own, buckets))
+
+    def counts_of(rows: pa.Table) -> pa.Table:
+        n = [x for x in summed(rows)[1].values() if x]
+        return pa.table({"n": pa.array([sum(n)], pa.int64()), "v": pa.array([len(n)], pa.int64())})
+
+    first = asked.select("bucket", "words", "counts").groupBy("bucket").applyInArrow(counts_of, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    n_all, n_distinct = (x or 0 for x in first)
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for keys, counts in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                key, n = unpressed(keys), np.frombuffer(zstandard.decompress(counts), np.int64)
+                key, n = key[n > 0], n[n > 0]
+                low = np.minimum(key >> 56, LOW) << 56 | key & ((1 << 8 * (LOW + 1)) - 1)
+                total = summed_up(*(np.concatenate(x) for x in zip(total, summed_up(low, n), strict=True)))
+        yield pa.record_batch({"key": pa.array(total[0]), "n": pa.array(total[1])})
+
+    low = asked_grams.select("keys", "counts").mapInArrow(lowest, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    shared = spark.sparkContext.broadcast(rolled(low["key"].to_numpy(), low["n"].to_numpy(), range(LOW + 1)))
+
+    def scored_grams(rows: pa.Table) -> pa.Table:
+        keys = [unpressed(x) for x in rows["keys"].to_pylist()]
+        counts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in rows["counts"].to_pylist()])
+        gram, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, counts, len(gram)).astype(np.int64)
+        high = rolled(gram[n > 0], n[n > 0], range(LOW + 1, ORDER + 1))
+        p = Trie.whole(*(np.concatenate(x) for x in zip(shared.value, high, strict=True))).grams(gram)
+        parts = np.split(p[at], np.cumsum([len(x) for x in keys])[:-1])
+        return pa.table({"block": rows["block"], "keys": rows["keys"], "values": pa.array([zstandard.compress(x.tobytes(), 1) for x in parts], pa.binary())})
 
     def scored(rows: pa.Table) -> pa.Table:
         lists, total = summed(rows)
-        words, n = list(total), np.fromiter(total.values(), np.float64, len(total))
-        p = np.concatenate([np.array([])] + [model.value.score(words[i : i + 20_000]) for i in range(0, len(words), 20_000)])
-        at = {w: i for i, w in enumerate(words)}
-        base = np.log10((n + 1) / (n_all + n_distinct + 1))
         values = []
         for x in lists:
-            i = np.array([at[w] for w in x])
-            values.append(zstandard.compress(np.r_[base[i], p[i], n[i] > 0].tobytes()))
+            n = np.fromiter((total[w] for w in x), np.float64, len(x))
+            values.append(zstandard.compress(np.r_[np.log10((n + 1) / (n_all + n_distinct + 1)), n > 0].tobytes()))
         return pa.table({"block": rows["block"], "words": rows["words"], "values": pa.array(values, pa.binary())})
 
     answers = asked.groupBy("bucket").applyInArrow(scored, "block long, words binary, values binary")
+    answers = answers.unionByName(asked_grams.groupBy("bucket").applyInArrow(scored_grams, "block long, keys binary, values binary"), allowMissingColumns=True)
 
-    def added(key: tuple, texts: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
+    def added(texts: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
         at: dict[bytes, int] = {}
-        rows = []
-        for w, v in zip(found["words"].to_pylist(), found["values"].to_pylist(), strict=True):
-            for word in opened(w):
+        rows, keys, chances = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for w, g, v in zip(found["words"].to_pylist(), found["keys"].to_pylist(), found["values"].to_pylist(), strict=True):
+            v = np.frombuffer(zstandard.decompress(v))
+            if w is None:
+                keys.append(unpressed(g)), chances.append(v)
+                continue
+            own = opened(w)
+            for word in own:
                 at.setdefault(word, len(at))
-            rows.append((opened(w), np.frombuffer(zstandard.decompress(v)).reshape(3, -1)))
-        value = np.zeros((3, len(at)))
+            rows.append((own, v.reshape(2, -1)))
+        value = np.zeros((2, len(at)))
         for words, v in rows:
             value[:, [at[w] for w in words]] = v
-        for batch in unpacked(texts["pack"]):
-            ids = batch["id"].to_pylist()
-            sums = []
-            for t in batch["text"].to_pylist():
-                own = np.array([at[w] for w in tokens((t or "").encode())])
-                base, plain, n_known = value[:, own].sum(axis=1)
-                adapted = adaptive(own, value[1, own])
-                sums.append([len(own), base, np.logaddexp(plain / LOG, adapted / LOG) * LOG + np.log10(0.5), n_known, plain, adapted])
-            x = np.array(sums).reshape(-1, 6)
-            yield pa.record_batch({
-                "id": batch["id"], "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": pa.array(x[:, 0].astype(np.int64)), "n_known": pa.array(x[:, 3].astype(np.int64)),
-                "train_tokens": pa.array(np.full(len(ids), n_all, np.int64)), "base_score": pa.array(x[:, 1]), "score": pa.array(x[:, 2]),
-                "pretrained": pa.array(x[:, 4]), "adaptive": pa.array(x[:, 5])})
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key, chance = key[order], np.concatenate(chances)[order]
+        for whole in unpacked(texts["pack"]):
+            for batch in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
+                ids = batch["id"].to_pylist()
+                split, gram, of = read(batch["text"].to_pylist())
+                starts = np.r_[True, (gram[:-1] & 255 == 32) | (np.diff(of) > 0)]
+                p = np.add.reduceat(chance[np.searchsorted(key, gram)], np.flatnonzero(starts))
+                sums, begin = [], 0
+                for t in split:
+                    own, of_words = np.array([at[w] for w in t]), p[begin : begin + len(t)]
+                    begin += len(t)
+                    base, n_known = value[:, own].sum(axis=1)
+                    plain, adapted = of_words.sum(), adaptive(own, of_words)
+                    sums.append([len(own), base, np.logaddexp(plain / LOG, adapted / LOG) * LOG + np.log10(0.5), n_known, plain, adapted])
+                x = np.array(sums).reshape(-1, 6)
+                yield pa.record_batch({
+                    "id": batch["id"], "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": pa.array(x[:, 0].astype(np.int64)), "n_known": pa.array(x[:, 3].astype(np.int64)),
+                    "train_tokens": pa.array(np.full(len(ids), n_all, np.int64)), "base_score": pa.array(x[:, 1]), "score": pa.array(x[:, 2]),
+                    "pretrained": pa.array(x[:, 4]), "adaptive": pa.array(x[:, 5])})
 
     def add(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(added(key, texts, found)))
+        return pa.Table.from_batches(list(added(texts, found)))
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, pretrained double, adaptive double"
     return packed(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, schema).withColumnRenamed("id", id)

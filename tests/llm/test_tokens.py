@@ -97,3 +97,14 @@ def test_adaptive_is_a_distribution():
         before = ppm.adaptive(np.array(past, int), p[past]) if past else 0.0
         total = sum(10 ** (ppm.adaptive(np.array([*past, w]), p[[*past, w]]) - before) for w in range(3))
         assert total == pytest.approx(1)
+
+
+def test_rare_contexts_are_kept(spark):
+    """A name met twice in 1.5 MB of other text: each of its contexts, with a few counts, is in the trie."""
+    rng = np.random.default_rng(0)
+    train = [i for i in range(1000) if not ppm.held_out(i)][:60]
+    held = next(i for i in range(1000) if ppm.held_out(i))
+    fill = ["".join(chr(97 + c) for c in rng.integers(0, 10, 6)) for _ in range(500)]
+    docs = [(i, " ".join(fill[k] for k in rng.integers(0, 500, 3600))) for i in train] + [(train[0], "zyqxwvk"), (train[1], "zyqxwvk"), (held, "zyqxwvk")]
+    out = ppm.score(spark.createDataFrame(docs, "doc_id long, text string")).where(f"doc_id = {held}").first()
+    assert out.pretrained > -12  # the first letter and the end are rare; all that follows the name's first letters is known
