@@ -32,9 +32,10 @@ def held_out(id: object) -> bool:
 def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their contexts (last byte lowest), bytes of context there are, and each symbol's word.
 
-    A word is followed by a space, its own last symbol; contexts start with the space before the word. The end stands alone.
+    A word is followed by a space, its own last symbol, unless it ends in the end; contexts start with the space before the word. A text is
+    read as one long word, its own words joined by spaces, so that contexts run across them.
     """
-    parts = [b" " + w + (b"" if w == END else b" ") for w in words]
+    parts = [b" " + w + (b"" if w.endswith(END) else b" ") for w in words]
     s = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
     n = np.fromiter(map(len, parts), np.int64, len(parts))
     of = np.repeat(np.arange(len(parts)), n)
@@ -148,8 +149,9 @@ class Trie:
 def adaptive(words: np.ndarray, p: np.ndarray) -> float:
     """log10 probability of a document whose own words so far are a level above the trie.
 
-    words: the document's words as numbers; p: their log10 probability by the trie. A word seen c times among n words, d of them
-    distinct, has probability (c - 1/2) / n; the rest, d / 2n, escapes to the trie, from which words seen are excluded.
+    words: the document's words as numbers; p: their log10 probability by the trie where they stand. After n words, d of them distinct, a
+    word seen c times has probability (c - 1/2) / n, and each word, seen or not, has d / 2n of the trie's besides. As that needs no
+    probability of other words in the same place, it is a distribution for any contexts.
     """
     n = np.arange(len(words), dtype=np.float64)
     order = np.argsort(words, kind="stable")
@@ -158,17 +160,16 @@ def adaptive(words: np.ndarray, p: np.ndarray) -> float:
     before[order] = np.arange(len(words)) - np.maximum.accumulate(np.where(new_run, np.arange(len(words)), 0))
     fresh = before == 0
     distinct = np.cumsum(fresh) - fresh
-    seen = np.cumsum(np.where(fresh, 10.0**p, 0.0)) - np.where(fresh, 10.0**p, 0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        escape = np.where(n > 0, np.log10(distinct / 2 / n), 0.0) + p - np.log10(np.maximum(1 - seen, 1e-12))
-        return float(np.where(fresh, escape, np.log10((before - 0.5) / n)).sum())
+        by_trie = np.where(n > 0, np.log(distinct / 2 / n), 0.0) + p / LOG
+        own = np.where(fresh, -np.inf, np.log((before - 0.5) / n))
+        return float((np.logaddexp(by_trie, own) * LOG).sum())
 
 
 def read(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Tokens of each text, and the grams of all texts with the number of their text."""
     split = [tokens((t or "").encode()) for t in texts]
-    gram, of = grams([w for t in split for w in t])
-    return split, gram, np.repeat(np.arange(len(split)), [len(t) for t in split])[of]
+    return split, *grams([b" ".join(t) for t in split])
 
 
 def distinct_grams(docs: DataFrame, buckets: int) -> DataFrame:
@@ -228,7 +229,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     Words and grams (a byte and its context) of each block of documents are counted once and meet in buckets by hash. A bucket of grams
     has all training counts of its contexts, whatever their number, and none is left out; it scores each distinct gram once. The answers return to
     the blocks, where each document's bytes and words are added up. A text's probability is that of its words and end, contexts reaching back
-    to the space before the word: `pretrained` by the trie alone, `adaptive` with the document's own words above it, `score` by a
+    over words to the space before the text: `pretrained` by the trie alone, `adaptive` with the document's own words above it, `score` by a
     model that is either with equal chance. Null texts are empty: an end alone. A null id is learned from. Without training rows all bytes are
     equally likely. Repeated rows are learned from as often as they occur.
     """

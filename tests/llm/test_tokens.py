@@ -108,3 +108,53 @@ def test_rare_contexts_are_kept(spark):
     docs = [(i, " ".join(fill[k] for k in rng.integers(0, 500, 3600))) for i in train] + [(train[0], "zyqxwvk"), (train[1], "zyqxwvk"), (held, "zyqxwvk")]
     out = ppm.score(spark.createDataFrame(docs, "doc_id long, text string")).where(f"doc_id = {held}").first()
     assert out.pretrained > -12  # the first letter and the end are rare; all that follows the name's first letters is known
+
+
+def _plain(texts, text):
+    """log10 probability of a text by partial matching with exclusion over whole running texts, from dictionaries."""
+    def run(t):
+        return b" " + b" ".join(ppm.tokens(t.encode()))
+
+    seen = {}
+    for t in map(run, texts):
+        for i in range(1, len(t)):
+            for k in range(min(ppm.ORDER, i) + 1):
+                c = seen.setdefault(t[i - k : i], Counter())
+                c[t[i]] += 1
+    t, out = run(text), 0.0
+    for i in range(1, len(t)):
+        gone, p = set(), 1.0
+        for k in range(min(ppm.ORDER, i), -1, -1):
+            c = {s: n for s, n in seen.get(t[i - k : i], {}).items() if s not in gone}
+            whole = sum(c.values())
+            if t[i] in c:
+                p *= (c[t[i]] - 0.5) / whole
+                break
+            if c:
+                p *= len(c) / 2 / whole
+            gone |= set(c)
+        else:
+            p /= 256 - len(gone)
+        out += math.log10(p)
+    return out
+
+
+def test_contexts_run_across_words(spark):
+    train = [i for i in range(100) if not ppm.held_out(i)]
+    held = [i for i in range(200) if ppm.held_out(i)]
+    prose = ["the cat sat on the mat", "The cat  ran to the old house\non the hill", "a house on the hill is old", "", "on the mat sat a cat"] * 3
+    asked = ["the cat sat on the old mat", "mat the on sat old cat the", "zebra caf\u00e9", ""]
+    rows = [*zip(train, prose), *zip(held, asked)]
+    got = {r.doc_id: r.pretrained for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in zip(held, asked)] == pytest.approx([_plain(prose, t) for t in asked])
+    assert got[held[0]] > got[held[1]] + 3
+
+
+def test_adaptive_is_a_distribution_in_any_place():
+    """The trie's probabilities of the next word differ from those that the words before had in their places."""
+    before = np.log10(np.array([[0.5, 0.3, 0.2], [0.1, 0.1, 0.8], [0.2, 0.7, 0.1]]))
+    here = np.log10(np.array([0.05, 0.05, 0.9]))
+    for past in ([], [0], [0, 0, 1], [2, 1]):
+        p = [before[i, w] for i, w in enumerate(past)]
+        old = ppm.adaptive(np.array(past, int), np.array(p)) if past else 0.0
+        assert sum(10 ** (ppm.adaptive(np.array([*past, w]), np.array([*p, here[w]])) - old) for w in range(3)) == pytest.approx(1)
