@@ -53,8 +53,8 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+", " "))
 
 
-def frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(id, host, text_hash, removed_words, removed_lines) of each distinct document that has a line above the limits.
+def line_hits(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Each distinct document (id, host, text_hash) with each of its lines above the limits: line, words, times.
 
     Lines with a word are normalised and hashed to 64 bits; each distinct line of a document counts once for its host, so
     documents are rows with different id or text. The counts are aggregated before they move. Only lines above the limits are
@@ -69,10 +69,24 @@ def frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host
     often = own.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     often = often.join(of_host, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n_docs") > min_share * F.col("host_docs"))
     often = often.select(F.col("host").alias("often_host"), "line")
-    hit = own.join(often, (F.col("host").eqNullSafe(F.col("often_host"))) & (own.line == often.line))
+    return own.join(often, (F.col("host").eqNullSafe(F.col("often_host"))) & (own.line == often.line)).drop("often_host").drop(often.line)
+
+
+def frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(id, host, text_hash, removed_words, removed_lines) of each distinct document that has a line above the limits."""
+    hit = line_hits(docs, id, text, host, min_docs, min_share)
     return hit.groupBy("id", "host", "text_hash").agg(F.sum("words").alias("removed_words"), F.sum("times").alias("removed_lines"))
 
 
+def without_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """All rows and columns of docs, the text without its lines above the limits. Lines without a word stay; null texts stay null."""
+    gone = line_hits(docs, id, text, host, min_docs, min_share).groupBy("id", "host", "text_hash").agg(F.collect_list("line").alias("_gone"))
+    gone = gone.select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "_gone")
+    out = docs.join(gone, F.col(id).eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_host")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left")
+    left = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("_gone", F.xxhash64(normal_line(x))))
+    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+
+
 def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
             min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of docs: id, the base counts, removed_words, removed_lines, base_failed, kept.
