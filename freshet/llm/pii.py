@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from freshet.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is trained on, at most, and tokens of each; probability from which a span is added; rounds of messages.
-SAMPLE, TOKENS, SURE, ROUNDS = 3000, 60, 0.9, 15
+#: Documents that the field is trained on, at most, and tokens of each; probability from which a span is added; rounds of
+#: messages after which a document that doesn't converge is left.
+SAMPLE, TOKENS, SURE, ROUNDS = 3000, 60, 0.9, 1000
 LABELS = 1 + len(KINDS)
 Span = tuple[str, int, int]
 
@@ -82,15 +83,15 @@ N_SHAPES = 24
 class Graph:
     """Tokens of many documents: those with a digit or @, the only ones that can bear a label.
 
-    Edges: neighbouring words (chain), and each token with the one before it in its document that is repeated or similar (skip): equal
-    without case and punctuation, equal digits, equal last seven digits, or equal name before @. So a token met k times has k - 1
-    edges of a sort.
+    Edges: neighbouring words (chain), and each token with a hub for all tokens of its document that are equal without case and
+    punctuation, or have equal digits, equal last seven digits, or an equal name before @ (skip). So a token met k times has k edges of
+    a sort, and any two occurrences are two edges apart. A hub's label is given where a pattern labels one of its tokens.
     """
 
     def __init__(self, texts: list[str | None]) -> None:
         self.base: list[list[Span]] = []
         self.doc, self.start, self.end, self.label, self.tokens = [], [], [], [], []
-        chain, skip = [], []
+        chain, skip, self.hub_doc = [], [], []
         for d, text in enumerate(texts):
             if not text:
                 self.base.append([])
@@ -98,7 +99,7 @@ class Graph:
             spans = patterns(text)
             self.base.append(spans)
             by_start = sorted((a, b, KINDS.index(k) + 1) for k, a, b in spans)
-            last: dict[tuple[str, str], int] = {}
+            met: dict[tuple[str, str], list[int]] = {}
             at, before = 0, None
             for w, m in enumerate(_WORD.finditer(text)):
                 word = m[0]
@@ -123,11 +124,18 @@ class Graph:
                 if "@" in token:
                     keys.append(("name", token.lower().partition("@")[0]))
                 for key in keys:
-                    if key in last and (last[key], i) not in skip[-4:]:
-                        skip.append((last[key], i))
-                    last[key] = i
+                    met.setdefault(key, []).append(i)
+            for members in {tuple(x): None for x in met.values() if len(x) > 1}:
+                skip += [(i, len(self.hub_doc)) for i in members]
+                self.hub_doc.append(d)
         self.chain, self.skip = (np.array(x, int).reshape(-1, 2) for x in (chain, skip))
         self.label = np.array(self.label, int)
+        self.labels = np.zeros((len(self.hub_doc), LABELS), int)
+        np.add.at(self.labels, (self.skip[:, 1], self.label[self.skip[:, 0]]), 1)
+
+    def shared(self, counts: np.ndarray) -> np.ndarray:
+        """A hub's label, from counts of its tokens' labels: the most frequent one of a pattern; 0 without any."""
+        return np.where(counts[:, 1:].any(axis=1), 1 + counts[:, 1:].argmax(axis=1), 0)
 
     def shapes(self) -> np.ndarray:
         out = np.zeros((len(self.tokens), N_SHAPES), np.float32)
@@ -144,11 +152,12 @@ class Field:
 
     def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
         """Probabilities of labels by loopy message passing; tokens inside base spans are given."""
-        unary = g.shapes() @ self.unary
-        given = g.label > 0
+        unary = np.concatenate([g.shapes() @ self.unary, np.zeros((len(g.hub_doc), LABELS))])
+        label, doc = np.r_[g.label, g.shared(g.labels)], np.array([*g.doc, *g.hub_doc], int)
+        given = label > 0
         unary[given] = -60.0
-        unary[given, g.label[given]] = 0.0
-        edges = np.concatenate([g.chain, g.skip])
+        unary[given, label[given]] = 0.0
+        edges = np.concatenate([g.chain, g.skip + [0, len(g.tokens)]])
         pair = np.concatenate([np.repeat(p[None], n, 0) for p, n in ((self.chain, len(g.chain)), (self.skip, len(g.skip)))])
         n = len(edges)
         source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
@@ -156,17 +165,22 @@ class Field:
         back = np.r_[np.arange(n, 2 * n), np.arange(n)]
         message = np.zeros((2 * n, LABELS))
         belief = unary.astype(float)
-        for _ in range(rounds if n else 0):
-            x = (belief[source] - message[back])[:, :, None] + both
+        open_ = np.arange(2 * n)  # messages of documents that haven't converged
+        for _ in range(rounds):
+            if not len(open_):
+                break
+            x = (belief[source[open_]] - message[back[open_]])[:, :, None] + both[open_]
             top = x.max(axis=1)
             new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - message).max()
-            message = 0.5 * message + 0.5 * new
-            belief = unary.astype(float)
-            np.add.at(belief, target, message)
-            if change < 1e-3:
-                break
+            change = np.zeros(len(g.base))
+            np.maximum.at(change, doc[source[open_]], np.abs(new - message[open_]).max(axis=1))
+            message[open_] = 0.5 * message[open_] + 0.5 * new
+            nodes = np.unique(target[open_])
+            belief[nodes] = unary[nodes]
+            np.add.at(belief, target[open_], message[open_])
+            open_ = open_[change[doc[source[open_]]] >= 1e-3]
+        belief = belief[: len(g.tokens)]
         p = np.exp(belief - belief.max(axis=1, keepdims=True)) if len(belief) else belief
         return p / p.sum(axis=1, keepdims=True)
 
@@ -191,7 +205,7 @@ class Field:
 def fit(shapes: np.ndarray, left: np.ndarray, right: np.ndarray, skip: np.ndarray, label: np.ndarray, steps: int = 400) -> Field:
     """Pseudo-likelihood: each label from the token's shape and its neighbours' labels, multinomial, with an L2 penalty.
 
-    left, right, skip: counts of neighbours' labels. Without tokens all potentials are 0, and no span is added.
+    left, right, skip: counts of neighbours' labels; a hub's is that of its other tokens. Without tokens all potentials are 0, and no span is added.
     """
     unary, pairs = np.zeros((N_SHAPES, LABELS)), np.zeros((3, LABELS, LABELS))
     if not len(label):
@@ -230,8 +244,10 @@ def trained(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int
             near = np.zeros((3, len(g.tokens), LABELS), np.int8)
             np.add.at(near[0], (g.chain[:, 1], g.label[g.chain[:, 0]]), 1)
             np.add.at(near[1], (g.chain[:, 0], g.label[g.chain[:, 1]]), 1)
-            for a, b in ((0, 1), (1, 0)):
-                np.add.at(near[2], (g.skip[:, a], g.label[g.skip[:, b]]), 1)
+            token, hub = g.skip.T
+            others = g.labels[hub]
+            others[np.arange(len(token)), g.label[token]] -= 1
+            np.add.at(near[2], (token, g.shared(others)), 1)
             x = g.shapes()
             mark = np.array([zlib.crc32(f"{t} {i}".encode()) for i, t in enumerate(g.tokens)], np.int64)
             x[mark % 2 == 0, 1:] = 0

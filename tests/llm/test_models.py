@@ -104,6 +104,17 @@ def test_field_is_consistent():
     assert pii.masked(text, [*base, *added]) == "call [PHONE] now, or [PHONE] from here, not 777-1234; see [PHONE]."
 
 
+def test_far_repeats_are_consistent():
+    """Sixty repeats, each as sure as the first, and the same in whatever batch."""
+    unary = np.zeros((pii.N_SHAPES, pii.LABELS))
+    unary[0, 0] = 1.0
+    field = pii.Field(unary, np.eye(pii.LABELS) * 0.5, np.eye(pii.LABELS) * 6.0)
+    text = "call +1 (375) 555-4393" + " or else 555-4393" * 60
+    alone = field.spans([text, "see 555-4393"])
+    assert [len(added) for _, added in alone] == [60, 0]
+    assert field.spans(["12 34 56 78 " * 40, None, text])[2] == alone[0]
+
+
 def test_messages_are_exact_on_chains():
     """Without loops, message passing gives the marginals of the enumerated distribution."""
     import itertools
