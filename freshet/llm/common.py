@@ -29,6 +29,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name with underscores before it until no column of df has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := "_" + name).lower() in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import table, words
+from freshet.llm.common import table, unused, words
 
 WINDOW = 5
-#: A line goes if more than MIN_DOCS documents of its host have it, and more than MIN_SHARE of them.
-MIN_DOCS, MIN_SHARE = 10, 0.002
+#: A line goes if more than MIN_DOCS distinct documents of its host have it, however many the host has.
+MIN_DOCS = 10
 #: A document is depleted if less than MIN_LEFT of its words, or fewer than MIN_WORDS words, are left.
 MIN_LEFT, MIN_WORDS = 0.3, 10
 
@@ -53,50 +53,56 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+", " "))
 
 
-def line_hits(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Each distinct document (id, host, text_hash) with each of its lines above the limits: line, words, times.
+def line_hits(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """Each distinct document (id, host, text_hash) with each of its lines above the limit: line, words, times.
 
     Lines with a word are normalised and hashed to 64 bits; each distinct line of a document counts once for its host, so
-    documents are rows with different id or text. The counts are aggregated before they move. Only lines above the limits are
-    joined back; a very frequent line is a skewed key of that join, which adaptive execution splits.
+    documents are rows with different id or text, and repeated rows are one document. The counts are aggregated before they move.
+    Only lines above the limit are joined back; a very frequent line is a skewed key of that join, which adaptive execution
+    splits. Each row also has a line without a hash: its sum tells how often the row is repeated.
     """
-    h = F.xxhash64(F.col(text))
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    own = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), h.alias("text_hash"),
-                      F.explode(F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))).alias("l"))
+    lines = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
+    own = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), F.xxhash64(F.col(text)).alias("text_hash"),
+                      F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).alias("words"))), lines)).alias("l"))
     own = own.groupBy("id", "host", "text_hash", "l.line").agg(F.sum("l.words").alias("words"), F.count("*").alias("times"))
-    of_host = docs.select(F.col(id), F.col(host).alias("h"), h.alias("t")).groupBy("h").agg(F.count("*").alias("host_docs"))
-    often = own.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    often = often.join(of_host, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n_docs") > min_share * F.col("host_docs"))
+    often = own.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     often = often.select(F.col("host").alias("often_host"), "line")
-    return own.join(often, (F.col("host").eqNullSafe(F.col("often_host"))) & (own.line == often.line)).drop("often_host").drop(often.line)
-
-
-def frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(id, host, text_hash, removed_words, removed_lines) of each distinct document that has a line above the limits."""
-    hit = line_hits(docs, id, text, host, min_docs, min_share)
+    hits = own.join(often, (F.col("host").eqNullSafe(F.col("often_host"))) & (own.line == often.line)).drop("often_host").drop(often.line)
+    again = own.where("line is null and times > 1").select(*[F.col(c).alias("again_" + c) for c in ("id", "host", "text_hash")], F.col("times").alias("rows"))
+    same = F.lit(True)
+    for c in ("id", "host", "text_hash"):
+        same &= F.col(c).eqNullSafe(F.col("again_" + c))
+    rows = F.coalesce("rows", F.lit(1))
+    return hits.join(again, same, "left").select("id", "host", "text_hash", "line", *[(F.col(c) / rows).cast("long").alias(c) for c in ("words", "times")])
+
+
+def frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(id, host, text_hash, removed_words, removed_lines) of each distinct document that has a line above the limit."""
+    hit = line_hits(docs, id, text, host, min_docs)
     return hit.groupBy("id", "host", "text_hash").agg(F.sum("words").alias("removed_words"), F.sum("times").alias("removed_lines"))
 
 
-def without_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """All rows and columns of docs, the text without its lines above the limits. Lines without a word stay; null texts stay null."""
-    gone = line_hits(docs, id, text, host, min_docs, min_share).groupBy("id", "host", "text_hash").agg(F.collect_list("line").alias("_gone"))
-    gone = gone.select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "_gone")
-    out = docs.join(gone, F.col(id).eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_host")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left")
-    left = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("_gone", F.xxhash64(normal_line(x))))
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+def without_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """All rows and columns of docs, the text without its lines above the limit. Lines without a word stay; null texts stay null."""
+    key, of, at, lost = unused(docs, "id", "host", "hash", "gone")
+    gone = line_hits(docs, id, text, host, min_docs).groupBy("id", "host", "text_hash").agg(F.collect_list("line").alias(lost))
+    gone = gone.select(F.col("id").alias(key), F.col("host").alias(of), F.col("text_hash").alias(at), lost)
+    out = docs.join(gone, F.col(id).eqNullSafe(F.col(key)) & F.col(host).eqNullSafe(F.col(of)) & (F.xxhash64(F.col(text)) == F.col(at)), "left")
+    left = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(lost, F.xxhash64(normal_line(x))))
+    return out.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
 
 
-def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
-            min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
+def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT,
+            min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of docs: id, the base counts, removed_words, removed_lines, base_failed, kept.
 
     kept: the base rules hold and the document isn't depleted by the removal of frequent lines. Null and empty texts have no
-    words and fail the base rules. Null hosts are one host. Repeated rows get equal results.
+    words and fail the base rules. Null hosts are one host. Repeated rows are one document and each gets its result.
     """
     base = base_rules(docs.select(F.col(id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text")))
     base = base.withColumn("text_hash", F.xxhash64("text")).drop("text")
-    gone = frequent_lines(docs, id, text, host, min_docs, min_share).select(
+    gone = frequent_lines(docs, id, text, host, min_docs).select(
         F.col("id").alias("gid"), F.col("host").alias("gh"), F.col("text_hash").alias("gt"), "removed_words", "removed_lines")
     out = base.join(gone, F.col("id").eqNullSafe(F.col("gid")) & F.col("host").eqNullSafe(F.col("gh")) & (F.col("text_hash") == F.col("gt")), "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("removed_words", "removed_lines")})
@@ -116,13 +122,11 @@ k AS (SELECT *, len(w) AS n_words, row_number() OVER () AS k FROM d),
 win AS (SELECT k, i, w[i:i+4] AS g FROM (SELECT k, w, unnest(range(1, n_words::INT - 3)) AS i FROM k WHERE n_words >= 5)),
 twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY k),
-ln AS (SELECT k, doc_id, source, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT k, doc_id, source, unnest(string_split(text, chr(10))) AS l FROM k)
+ln AS (SELECT k, doc_id, text, source, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT k, doc_id, text, source, unnest(string_split(text, chr(10))) AS l FROM k)
        WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY k),
-norm AS (SELECT k, source, trim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l, n FROM ln),
-host AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-often AS (SELECT n.source, l FROM norm n JOIN host h ON n.source IS NOT DISTINCT FROM h.source GROUP BY n.source, l
-          HAVING count(DISTINCT k) > {MIN_DOCS} AND count(DISTINCT k) > {MIN_SHARE} * max(docs)),
+norm AS (SELECT k, doc_id, text, source, trim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l, n FROM ln),
+often AS (SELECT source, l FROM norm GROUP BY source, l HAVING count(DISTINCT {{'id': doc_id, 'text': text}}) > {MIN_DOCS}),
 gone AS (SELECT k, sum(n) AS removed_words, count(*) AS removed_lines FROM norm n JOIN often o ON n.source IS NOT DISTINCT FROM o.source AND n.l = o.l GROUP BY k),
 o AS (SELECT doc_id, n_words::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words, coalesce(removed_lines, 0)::BIGINT AS removed_lines

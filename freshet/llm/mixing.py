@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from freshet.llm.common import n_words, saved, table
+from freshet.llm.common import n_words, saved, table, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP, SEED, CELLS = 1.5, 2.0, "mix-1", 4096
@@ -49,8 +49,11 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     aggregated before they move, so a source with a third of all rows is 4096 rows. Null and empty texts have size 0. Rows
     with equal id and text share one draw and go together. Sources without words have target 0 and are taken 0 times.
     """
-    clash = [c for c in ("size", "source_size", "target", "copies") if c in docs.columns]
-    rows = docs.drop(*clash).withColumns({"size": n_words(F.col(text)), "_draw": draw(seed, id, text), "_source": F.col(source)})
+    (own,) = unused(docs, "row")
+    clash = ("size", "source_size", "target", "copies")
+    columns = [F.col(f"{own}.`{c}`").alias(c) for c in docs.columns if c.lower() not in clash]
+    # the caller's row is one column until the end, so that its names are free
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own), n_words(F.col(text)).alias("size"), draw(seed, id, text).alias("_draw"), F.col(source).alias("_source"))
     rows = rows.withColumn("_cell", F.floor(F.col("_draw") / 2**20).cast("int"))
     narrow = rows.select("_source", "_draw", "_cell", "size")
     cells = narrow.groupBy("_source", "_cell").agg(F.sum("size").alias("words"))
@@ -81,12 +84,12 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     plan = saved(plan.select(F.col("source").alias("_of"), "source_size", "target", "whole", limit.alias("_limit")))
     out = rows.join(plan, F.col("_source").eqNullSafe(F.col("_of")))
     copies = (F.col("whole") + F.when(F.col("_draw") < F.col("_limit"), 1).otherwise(0)).cast("int")
-    return out.withColumn("copies", copies).drop("_draw", "_cell", "_source", "_of", "_limit", "whole")
+    return out.select(*columns, "size", "source_size", "target", copies.alias("copies"))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of the mix: each document as often as `copies` says."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(unused(mixed, "copy")[0])).select(*columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from freshet.llm.common import table
 
 #: Host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Host labels from which the listed pages of the query come.
-SPAM = r"(^|\.)(cheap-pills|casino-win|adult-x|free-bets|spam-farm|ads-track)\."
+#: Words of abuse. A page that holds one of them in its content is listed by the query.
+TERMS = ["idiot", "moron", "scum", "stupid", "worthless", "disgusting", "pathetic", "loser", "trash", "clown"]
 LANES = 8
 
 
@@ -29,10 +29,14 @@ def path(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host without a leading www., path without end slashes, query without campaign fields; neither scheme nor fragment."""
+    """Host without a leading www., path without end slashes, query without campaign and empty fields; neither scheme nor fragment.
+
+    The ? stands only before a field that is left, so a URL without a query, with an empty one and with campaign fields alone are equal.
+    """
     query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
-    kept = F.regexp_replace(F.concat(F.lit("&"), query), r"&(utm_[a-z]+|ref)=[^&]*", "")
-    return F.concat(F.regexp_replace(host(url), r"^www\.", ""), F.regexp_replace(path(url), r"/+$", ""), F.regexp_replace(kept, r"^&", "?"))
+    fields = F.filter(F.split(query, "&"), lambda f: (f != "") & ~f.rlike(r"^(utm_[a-z]+|ref)="))
+    kept = F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise("")
+    return F.concat(F.regexp_replace(host(url), r"^www\.", ""), F.regexp_replace(path(url), r"/+$", ""), kept)
 
 
 def ruled(df: DataFrame, url: str, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -83,27 +87,30 @@ def listed_urls(pages: DataFrame, listed: DataFrame, url: str = "url", id: str =
     return page.select("id", "url", "maybe", F.coalesce("found", F.lit(False)).alias("on_list"))
 
 
-def spam_list(pages: DataFrame) -> DataFrame:
-    """The list that the query uses: canonical URLs of all pages on hosts with a label of SPAM."""
-    return pages.where(host(F.col("url")).rlike(SPAM)).select(canonical(F.col("url")).alias("canonical"))
+def abusive(pages: DataFrame, url: str = "url", html: str = "html", terms: list[str] = TERMS) -> DataFrame:
+    """A list of `canonical` URLs: those of all pages that hold a term as a word, in any case. The URL itself has no say.
+
+    Null pages hold none. Every address of a listed page is on the list, whatever its scheme, fragment or campaign fields.
+    """
+    return pages.where(F.col(html).rlike(r"(?i)\b(" + "|".join(terms) + r")\b")).select(canonical(F.col(url)).alias("canonical"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page: the rule's verdict, else block if the URL is on the list."""
+    """page_id, host, path, rule, verdict of every page: the rule's verdict, else block if the URL is on the list of abusive pages."""
     pages = table(sf_dir, "pages", spark)
-    out = ruled(listed_urls(pages, spam_list(pages)), "url")
+    out = ruled(listed_urls(pages, abusive(pages)), "url")
     verdict = F.coalesce("rule_verdict", F.when(F.col("on_list"), "block").otherwise("allow"))
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", verdict.alias("verdict"), "on_list")
 
 
 _HOST = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-_QUERY = r"coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '')"
+_FIELDS = r"list_filter(string_split(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), ''), '&'), lambda f: f <> '' AND NOT regexp_matches(f, '^(utm_[a-z]+|ref)='))"
 SQL = rf"""
-WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),
+WITH p AS (SELECT page_id, url, html, {_HOST} AS host, {_PATH} AS path, {_FIELDS} AS fields FROM pages),
 c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
-          || regexp_replace(regexp_replace('&' || {_QUERY}, '&(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '?') AS canonical FROM p),
-l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{SPAM}') AND canonical <> ''),
+          || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END AS canonical FROM p),
+l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(html, '(?i)\b({"|".join(TERMS)})\b') AND canonical <> ''),
 r AS (SELECT c.*, l.canonical IS NOT NULL AS on_list,
         CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
              WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'

@@ -31,8 +31,8 @@ def edge_dir(spark, tmp_path_factory, edge):
 
     top = tmp_path_factory.mktemp("edge")
     pq.write_table(edge.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow(), top / "documents.parquet")
-    pages = [(1, None, ""), (None, "http://www.cheap-pills.example.com/en/a/?utm_x=1&b=2#c", None), (3, "no scheme", ""), (4, "HTTPS://A.Example.NET/en/x", ""),
-             (5, "x://net", ""), (6, "x://example.com/de/", ""), (7, "x://a.org/fr/?://b", ""), (8, "https://cheap-pills.example.com/en/a?b=2", ""), (9, "", ""),
+    pages = [(1, None, ""), (None, "http://www.cheap-pills.example.com/en/a/?utm_x=1&b=2#c", None), (3, "no scheme", "scum"), (4, "HTTPS://A.Example.NET/en/x", ""),
+             (5, "x://net", ""), (6, "x://example.com/de/", ""), (7, "x://a.org/fr/?://b", ""), (8, "https://cheap-pills.example.com/en/a?b=2", "what a LOSER"), (9, "", ""),
              (10, "a://notexample.net/en/", ""), (10, "a://notexample.net/en/", "")]
     pq.write_table(spark.createDataFrame(pages, "page_id long, url string, html string").toArrow(), top / "pages.parquet")
     pq.write_table(spark.createDataFrame([], "doc_id long, quality int, toxic int").toArrow(), top / "labels.parquet")

@@ -121,7 +121,8 @@ def test_mix(spark, seed):
     rng = random.Random(seed)
     names = [None, "", "é", "z"] + [f"s{i}" for i in range(rng.choice((1, 9)))]
     rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), rng.choice(names[: rng.randrange(2, len(names) + 1)])) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit("x"), "_of": F.lit(1), "words": F.lit(1)})
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns(
+        {"size": F.lit("x"), **{c: F.lit(1) for c in ("_of", "words", "whole", "_limit", "_cell", "_draw", "_source", "_row", "_copy", "more", "source")[:-1]}})
     out = mixing.mix(df).collect()
     assert len(out) == len(rows)
     sizes = defaultdict(int)
@@ -157,12 +158,20 @@ def test_repeated_words(spark):
 
 
 def test_frequent_lines(spark):
-    rows = [(i, f"own words {' '.join(str(i) for _ in range(12))}\nShared  LINE {i % 10} here", "h") for i in range(40)]
-    rows += [(100 + i, "shared line 5 HERE\nshared line 6 here\nshared line 7 here a b c d e f", "h") for i in range(3)] + [(200, "Shared line 1 here", "other")]
-    got = {r.doc_id: r for r in lines.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(got[i].removed_words == 4 and got[i].kept == (not got[i].base_failed) for i in range(40))
-    assert got[100].removed_words == 8 and got[100].n_words - 8 < lines.MIN_WORDS and not got[100].kept
-    assert got[200].removed_words == 0
+    rows = [(i, f"own words {' '.join('abcdefghijklmnop'[int(d)] * 3 for d in f'{i:02}' * 6)}\nShared  LINE {'abcdefghij'[i % 10]} here", "h") for i in range(120)]
+    rows += [(1000 + i, "shared line f HERE\nshared line g here\nshared line h here a b c d e", "h") for i in range(3)] + [(2000, "Shared line b here", "other")]
+    rows += [rows[0]] * 5 + [rows[120]] * 4  # repeated rows are one document
+    got = defaultdict(list)
+    for r in lines.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        got[r.doc_id].append(r)
+    assert sum(map(len, got.values())) == len(rows) and all(len(set(x)) == 1 for x in got.values())
+    one = {k: x[0] for k, x in got.items()}
+    assert all(one[i].removed_words == 4 and one[i].removed_lines == 1 and one[i].kept == (not one[i].base_failed) for i in range(120))
+    assert one[1000].removed_words == 8 and one[1000].n_words - 8 < lines.MIN_WORDS and not one[1000].kept
+    assert one[2000].removed_words == 0
+    # a line of one document repeated is not frequent
+    same = spark.createDataFrame([(1, "a b c d e f g h i j k", "h")] * 40, "doc_id long, text string, source string")
+    assert {(r.removed_words, r.kept) for r in lines.quality(same).collect()} == {(0, True)}
 
 
 def test_edits_are_located(spark):
@@ -200,3 +209,16 @@ def test_bloom_has_no_misses(spark):
     assert sum(r.on_list for r in got) == 500 == sum(r.on_list and r.maybe for r in got)
     assert 500 <= sum(r.maybe for r in got) < 560
     assert not any(r.maybe for r in urls.listed_urls(pages, listed.limit(0)).collect())
+
+
+def test_canonical_urls(spark):
+    same = ["x://h.e/a", "y://www.H.e/a/?", "x://h.e/a?utm_source=feed", "x://h.e/a?ref=1&utm_x=2#top", "x://h.e/a//#t", "x://h.e/a?&"]
+    other = ["x://h.e/a?b=1", "x://h.e/a?b=1&utm_x=2", "x://h.e/A", "x://h.e/", "x://h.e", None, "none"]
+    got = [r.c for r in spark.createDataFrame([(u,) for u in same + other], "url string").select(urls.canonical(F.col("url")).alias("c")).collect()]
+    assert set(got[:6]) == {"h.e/a"} and got[6] == got[7] == "h.e/a?b=1" and got[8] == "h.e/A" and got[9] == got[10] == "h.e" and got[11] in (None, "") and got[12] == ""
+
+
+def test_list_comes_from_content(spark):
+    rows = [(1, "x://a.e/1", "You <b>Idiot</b>"), (2, "y://www.a.e/1?utm_x=1", "fine"), (3, "x://a.e/2", "idiotic"), (4, None, "scum"), (5, "x://b.e/1", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.id: r.on_list for r in urls.listed_urls(pages, urls.abusive(pages)).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
