@@ -53,43 +53,43 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+", " "))
 
 
+def document(text: str, host: str) -> Column:
+    """What tells documents with one id apart."""
+    return F.xxhash64(F.col(host), F.col(text))
+
+
 def line_hits(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Each distinct document (id, host, text_hash) with each of its lines above the limit: line, words, times.
+    """Each distinct document (id, doc: hash of host and text) with each of its lines above the limit: line, words, times.
 
-    Lines with a word are normalised and hashed to 64 bits; each distinct line of a document counts once for its host, so
-    documents are rows with different id or text, and repeated rows are one document. The counts are aggregated before they move.
+    Lines with a word are normalised and hashed with their host to 64 bits; each distinct line of a document counts once for its host, so
+    documents are rows with different id, host or text, and repeated rows are one document. The counts are aggregated before they move.
     Only lines above the limit are joined back; a very frequent line is a skewed key of that join, which adaptive execution
     splits. Each row also has a line without a hash: its sum tells how often the row is repeated.
     """
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    lines = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
-    own = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), F.xxhash64(F.col(text)).alias("text_hash"),
+    lines = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col(host), normal_line(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
+    own = docs.select(F.col(id).alias("id"), document(text, host).alias("doc"),
                       F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).alias("words"))), lines)).alias("l"))
-    own = own.groupBy("id", "host", "text_hash", "l.line").agg(F.sum("l.words").alias("words"), F.count("*").alias("times"))
-    often = own.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    often = often.select(F.col("host").alias("often_host"), "line")
-    hits = own.join(often, (F.col("host").eqNullSafe(F.col("often_host"))) & (own.line == often.line)).drop("often_host").drop(often.line)
-    again = own.where("line is null and times > 1").select(*[F.col(c).alias("again_" + c) for c in ("id", "host", "text_hash")], F.col("times").alias("rows"))
-    same = F.lit(True)
-    for c in ("id", "host", "text_hash"):
-        same &= F.col(c).eqNullSafe(F.col("again_" + c))
-    rows = F.coalesce("rows", F.lit(1))
-    return hits.join(again, same, "left").select("id", "host", "text_hash", "line", *[(F.col(c) / rows).cast("long").alias(c) for c in ("words", "times")])
+    own = own.groupBy("id", "doc", "l.line").agg(F.sum("l.words").alias("words"), F.count("*").alias("times"))
+    often = own.where("line is not null").groupBy("line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs).select("line")
+    again = own.where("line is null and times > 1").select(F.col("id").alias("again_id"), F.col("doc").alias("again_doc"), F.col("times").alias("rows"))
+    hits = own.join(often, "line").join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("doc") == F.col("again_doc")), "left")
+    return hits.select("id", "doc", "line", *[(F.col(c) / F.coalesce("rows", F.lit(1))).cast("long").alias(c) for c in ("words", "times")])
 
 
 def frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, host, text_hash, removed_words, removed_lines) of each distinct document that has a line above the limit."""
+    """(id, doc, removed_words, removed_lines) of each distinct document that has a line above the limit."""
     hit = line_hits(docs, id, text, host, min_docs)
-    return hit.groupBy("id", "host", "text_hash").agg(F.sum("words").alias("removed_words"), F.sum("times").alias("removed_lines"))
+    return hit.groupBy("id", "doc").agg(F.sum("words").alias("removed_words"), F.sum("times").alias("removed_lines"))
 
 
 def without_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """All rows and columns of docs, the text without its lines above the limit. Lines without a word stay; null texts stay null."""
-    key, of, at, lost = unused(docs, "id", "host", "hash", "gone")
-    gone = line_hits(docs, id, text, host, min_docs).groupBy("id", "host", "text_hash").agg(F.collect_list("line").alias(lost))
-    gone = gone.select(F.col("id").alias(key), F.col("host").alias(of), F.col("text_hash").alias(at), lost)
-    out = docs.join(gone, F.col(id).eqNullSafe(F.col(key)) & F.col(host).eqNullSafe(F.col(of)) & (F.xxhash64(F.col(text)) == F.col(at)), "left")
-    left = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(lost, F.xxhash64(normal_line(x))))
+    key, at, lost = unused(docs, "id", "doc", "gone")
+    gone = line_hits(docs, id, text, host, min_docs).groupBy("id", "doc").agg(F.collect_list("line").alias(lost))
+    gone = gone.select(F.col("id").alias(key), F.col("doc").alias(at), lost)
+    out = docs.join(gone, F.col(id).eqNullSafe(F.col(key)) & (document(text, host) == F.col(at)), "left")
+    left = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(lost, F.xxhash64(F.col(host), normal_line(x))))
     return out.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
 
 
@@ -100,15 +100,13 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str =
     kept: the base rules hold and the document isn't depleted by the removal of frequent lines. Null and empty texts have no
     words and fail the base rules. Null hosts are one host. Repeated rows are one document and each gets its result.
     """
-    base = base_rules(docs.select(F.col(id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text")))
-    base = base.withColumn("text_hash", F.xxhash64("text")).drop("text")
-    gone = frequent_lines(docs, id, text, host, min_docs).select(
-        F.col("id").alias("gid"), F.col("host").alias("gh"), F.col("text_hash").alias("gt"), "removed_words", "removed_lines")
-    out = base.join(gone, F.col("id").eqNullSafe(F.col("gid")) & F.col("host").eqNullSafe(F.col("gh")) & (F.col("text_hash") == F.col("gt")), "left")
+    base = base_rules(docs.select(F.col(id).alias("id"), document(text, host).alias("doc"), F.col(text).alias("text"))).drop("text")
+    gone = frequent_lines(docs, id, text, host, min_docs).select(F.col("id").alias("gid"), F.col("doc").alias("gd"), "removed_words", "removed_lines")
+    out = base.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("doc") == F.col("gd")), "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("removed_words", "removed_lines")})
     left = F.col("n_words") - F.col("removed_words")
     kept = ~F.col("base_failed") & ((F.col("removed_words") == 0) | ((left >= min_words) & (left >= min_left * F.col("n_words"))))
-    return out.withColumn("kept", kept).drop("gid", "gh", "gt", "host", "text_hash").withColumnRenamed("id", id)
+    return out.withColumn("kept", kept).drop("gid", "gd", "doc").withColumnRenamed("id", id)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
