@@ -11,6 +11,7 @@ EDGE = [
     (7, "ünïcödé ñandú 漢字 \U0001f600 don't  stop\u00a0here 123 4567", "es", "b", 40), (8, "one", "fr", "b", 3), (9, "one", "fr", "c", 3),
     (10, "a b c d e f g a b c d e f g", "en", "c", 27), (-3, "<|endoftext|> x<|endoftext|>\r\n\r\n  y", "en", "c", 20),
 ]
+VECTORS = "vec_id long, embedding array<float>, label int"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -36,6 +37,8 @@ def edge_dir(spark, tmp_path_factory, edge):
              (10, "a://notexample.net/en/", ""), (10, "a://notexample.net/en/", "")]
     pq.write_table(spark.createDataFrame(pages, "page_id long, url string, html string").toArrow(), top / "pages.parquet")
     pq.write_table(spark.createDataFrame([], "doc_id long, quality int, toxic int").toArrow(), top / "labels.parquet")
+    vectors = [(i, [i % 3 / 2, 1.0, i % 5 / 4], i % 2) for i in range(0, 110, 2)] + [(100, None, 1), (150, [1.0, None, 1.0], 0), (None, [1.0, 1.0], 1), (200, [1.0], None)]
+    pq.write_table(spark.createDataFrame(vectors, VECTORS).toArrow(), top / "embeddings.parquet")
     return str(top)
 
 
@@ -47,4 +50,5 @@ def none_dir(spark, tmp_path_factory, none):
     pq.write_table(none.toArrow(), top / "documents.parquet")
     pq.write_table(spark.createDataFrame([], "page_id long, url string, html string").toArrow(), top / "pages.parquet")
     pq.write_table(spark.createDataFrame([], "doc_id long, quality int, toxic int").toArrow(), top / "labels.parquet")
+    pq.write_table(spark.createDataFrame([], VECTORS).toArrow(), top / "embeddings.parquet")
     return str(top)
