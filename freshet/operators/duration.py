@@ -58,9 +58,9 @@ def paired_duration(bands: DataFrame, keys: Sequence[str], ref: str = "p50",
             .select(*keys, "date", "rank", "x", *columns))
 
 
-def measured_on_paired(daily: DataFrame, paired: DataFrame) -> DataFrame:
-    """Samples at the rank of their day."""
-    return daily.where(F.col("obs").isNotNull()).join(F.broadcast(paired.select("date", "x")), "date")  # one row per day
+def measured_on_paired(daily: DataFrame, paired: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Samples at the rank of their day in the curve of their own keys."""
+    return daily.where(F.col("obs").isNotNull()).join(paired.select(*by, "date", "x"), [*by, "date"])
 
 
 def measured_on_order(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -77,12 +77,13 @@ def flow_stratified(
 
     ``loads`` has (date, l_min, l_mean, l_max), ``flow`` has (date, flow_m3d). The regime comes
     from the flow threshold, or from ``event_days`` (date, is_event). Bins close on the right.
-    Fewer than five days give no curve.
+    Fewer than five days give no curve. Flow and event days are those of a key where they carry it, else of all series.
     """
     keys = list(keys)
+    of_flow = [*[k for k in keys if k in flow.columns], "date"]
     trio = F.array_sort(F.array("l_min", "l_mean", "l_max"))
     days = (
-        loads.join(flow, [*keys, "date"])
+        loads.join(flow, of_flow)
         .where(F.col("l_min").isNotNull() & F.col("l_mean").isNotNull() & F.col("l_max").isNotNull()
                & F.col("flow_m3d").isNotNull())
         .withColumn("_t", trio)
@@ -90,8 +91,9 @@ def flow_stratified(
                 F.col("_t")[2].alias("l_max"))
     )
     if event_days is not None:
-        marks = event_days.where("is_event").select(*keys, "date", F.lit(True).alias("_e"))
-        days = days.join(marks, [*keys, "date"], "left").withColumn("_event", F.coalesce("_e", F.lit(False))).drop("_e")
+        on = [*[k for k in keys if k in event_days.columns], "date"]
+        marks = event_days.where("is_event").select(*on, F.lit(True).alias("_e"))
+        days = days.join(marks, on, "left").withColumn("_event", F.coalesce("_e", F.lit(False))).drop("_e")
     elif isinstance(threshold, str):
         cut = days.groupBy(*keys).agg(F.percentile("flow_m3d", F.lit(threshold_fraction(threshold))).alias("_cut"))
         days = days.join(cut, keys) if keys else days.withColumn("_cut", cut.scalar())

@@ -134,10 +134,10 @@ def percentile_band_deviation(bands: DataFrame, keys: Sequence[str] = (), center
     return _attach(half, wide, keys)
 
 
-def correlation_with(daily: DataFrame, extras: DataFrame, value: str = "value", name: str = "name") -> DataFrame:
-    """r and number of pairs between all samples and each extra series."""
-    pairs = daily.join(extras.select(name, "date", F.col(value).alias("pred")), "date")
-    return core_metrics(pairs, [name], agreement=False).select(name, "r", "n")
+def correlation_with(daily: DataFrame, extras: DataFrame, value: str = "value", name: str = "name", keys: Sequence[str] = ()) -> DataFrame:
+    """r and number of pairs between all samples and each extra series of their keys."""
+    pairs = daily.join(extras.select(*keys, name, "date", F.col(value).alias("pred")), [*keys, "date"])
+    return core_metrics(pairs, [*keys, name], agreement=False).select(*keys, name, "r", "n")
 
 
 def lagged_fit(daily: DataFrame, series: DataFrame, max_lag: int = 2, pred: str = "p50", keys: Sequence[str] = ()) -> DataFrame:
@@ -176,8 +176,8 @@ def local_window_summary(matched: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
 
 def data_usage(q: DataFrame, daily: DataFrame, start: str | None = None, end: str | None = None,
-               any_of: Sequence[str] = ("p05", "p50", "p95"), pred: str = "p50") -> DataFrame:
-    """How many model, sample and paired days a view uses; samples count by the largest series.
+               any_of: Sequence[str] = ("p05", "p50", "p95"), pred: str = "p50", keys: Sequence[str] = ()) -> DataFrame:
+    """How many model, sample and paired days a view uses; samples count by the largest series. One row for each series with model days.
 
     Model days are those of the calendar from the first to the last, with a value or not.
     """
@@ -195,19 +195,20 @@ def data_usage(q: DataFrame, daily: DataFrame, start: str | None = None, end: st
     from_ = a if start is None else F.greatest(a, F.lit(start).cast("date"))
     upto = b if end is None else F.least(b, F.lit(end).cast("date"))
     span = lambda x, y: F.coalesce(F.greatest(F.date_diff(y, x) + 1, F.lit(0)), F.lit(0)).cast("long")
-    sim = q.agg(
+    sim = q.groupBy(*keys).agg(
         span(a, b).alias("sim_days_total"), n(present).alias("sim_days_finite"), span(from_, upto).alias("sim_days_windowed"),
         n(present & inside(F.col("date"))).alias("sim_days_windowed_finite"))
     ok = F.col("obs").isNotNull()
-    per = daily.groupBy("station", "analyte").agg(
+    per = daily.groupBy(*keys, "station", "analyte").agg(
         F.count(F.lit(1)).alias("t"), n(ok).alias("f"), n(inside(F.col("date"))).alias("w"),
         n(ok & inside(F.col("date"))).alias("wf"))
-    obs = per.agg(F.max("t").alias("measured_days_total"), F.max("f").alias("measured_days_finite"),
+    obs = per.groupBy(*keys).agg(F.max("t").alias("measured_days_total"), F.max("f").alias("measured_days_finite"),
                   F.max("w").alias("measured_days_windowed"), F.max("wf").alias("measured_days_windowed_finite"))
-    paired = (daily.where(ok & inside(F.col("date"))).join(F.broadcast(q.where(F.col(pred).isNotNull()).select("date")), "date")
-              .agg(F.count(F.lit(1)).alias("paired_days_used")))
+    paired = (daily.where(ok & inside(F.col("date"))).join(q.where(F.col(pred).isNotNull()).select(*keys, "date"), [*keys, "date"])
+              .groupBy(*keys).agg(F.count(F.lit(1)).alias("paired_days_used")))
     pct = lambda a, b: F.coalesce(100 * div(a, b), F.lit(0.0))
-    return (_attach(_attach(sim, obs, []), paired, [])
+    return (_attach(_attach(sim, obs, keys), paired, keys)
+            .fillna(0, ["measured_days_total", "measured_days_finite", "measured_days_windowed", "measured_days_windowed_finite", "paired_days_used"])
             .withColumn("sim_usage_percent", pct("sim_days_windowed_finite", "sim_days_total"))
             .withColumn("measured_usage_percent", pct("measured_days_windowed_finite", "measured_days_total"))
             .withColumn("paired_usage_percent",
@@ -241,11 +242,12 @@ def residual_moments(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                     slope.alias("slope"), (F.col("_my") - slope * F.col("_mm")).alias("intercept"))
 
 
-def residual_histogram(pairs: DataFrame, bins: int = 30) -> DataFrame:
-    """Equal-width histogram of obs - pred; the last bin includes its upper edge."""
-    r = pairs.where(F.col("obs").isNotNull() & F.col("pred").isNotNull()).select((F.col("obs") - F.col("pred")).alias("e"))
-    span = r.agg(F.struct(F.min("e").alias("lo"), F.max("e").alias("hi")).alias("s")).scalar()
-    width = (span["hi"] - span["lo"]) / bins
-    b = F.least(F.floor(F.coalesce(div(F.col("e") - span["lo"], width), F.lit(0.0))), F.lit(bins - 1))
-    return (r.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("bin_lo", span["lo"] + F.col("bin") * width))
+def residual_histogram(pairs: DataFrame, bins: int = 30, keys: Sequence[str] = ()) -> DataFrame:
+    """Equal-width histogram of obs - pred of each series; the last bin includes its upper edge."""
+    keys = list(keys)
+    r = pairs.where(F.col("obs").isNotNull() & F.col("pred").isNotNull()).select(*keys, (F.col("obs") - F.col("pred")).alias("e"))
+    r = _attach(r, r.groupBy(*keys).agg(F.min("e").alias("_lo"), F.max("e").alias("_hi")), keys)
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    b = F.least(F.floor(F.coalesce(div(F.col("e") - F.col("_lo"), width), F.lit(0.0))), F.lit(bins - 1))
+    return (r.groupBy(*keys, b.cast("int").alias("bin"), "_lo", width.alias("_w")).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("bin_lo", F.col("_lo") + F.col("bin") * F.col("_w")).drop("_lo", "_w"))

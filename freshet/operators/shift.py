@@ -63,18 +63,20 @@ def overlay_metrics(pairs: DataFrame, keys: Sequence[str] = ("scenario",)) -> Da
 
 
 def stratified_widths(pairs: DataFrame, baseline: DataFrame, base: str = "p50", keys: Sequence[str] = ("scenario",)) -> DataFrame:
-    """Relative width on days with a low (<= q10) and high (>= q90) baseline, and their ratio."""
-    q = baseline.agg(F.percentile(base, F.array(F.lit(0.1), F.lit(0.9)))).scalar()
-    p = with_deltas(pairs)
+    """Relative width on days with a low (<= q10) and high (>= q90) baseline of their series, and their ratio."""
+    by = [k for k in keys if k in baseline.columns]
+    q = baseline.groupBy(*by).agg(F.percentile(base, F.array(F.lit(0.1), F.lit(0.9))).alias("_q"))
+    p = _attach(with_deltas(pairs), q, by)
     s = p.groupBy(*keys).agg(
-        _median(F.when(F.col("base") <= q[0], F.col("rel"))).alias("relative_width_low"),
-        _median(F.when(F.col("base") >= q[1], F.col("rel"))).alias("relative_width_high"))
+        _median(F.when(F.col("base") <= F.col("_q")[0], F.col("rel"))).alias("relative_width_low"),
+        _median(F.when(F.col("base") >= F.col("_q")[1], F.col("rel"))).alias("relative_width_high"))
     return s.withColumn("relative_width_event_contrast", div("relative_width_high", "relative_width_low"))
 
 
 def event_shift(pairs: DataFrame, days: DataFrame, keys: Sequence[str] = ("scenario",)) -> DataFrame:
     """Widths, pair counts and shifts on event days (``is_buffered``) against other days."""
-    p = with_deltas(pairs).join(days.select("date", "is_buffered"), "date", "left")
+    on = [*[k for k in keys if k in days.columns], "date"]
+    p = with_deltas(pairs).join(days.select(*on, "is_buffered"), on, "left")
     ev = F.coalesce(F.col("is_buffered"), F.lit(False))
     known = F.col("is_buffered").isNotNull()
     non = known & ~ev
@@ -92,7 +94,8 @@ def event_shift(pairs: DataFrame, days: DataFrame, keys: Sequence[str] = ("scena
 
 def envelope_widths(pairs: DataFrame, bands: DataFrame, value: str = "overlay", keys: Sequence[str] = ("scenario",)) -> DataFrame:
     """Width of the ensemble envelope on the paired days and share of the series inside it."""
-    p = pairs.join(bands.select("date", F.col("min").alias("_a"), F.col("max").alias("_b")), "date", "left")
+    on = [*[k for k in keys if k in bands.columns], "date"]
+    p = pairs.join(bands.select(*on, F.col("min").alias("_a"), F.col("max").alias("_b")), on, "left")
     width = F.abs(F.col("_b") - F.col("_a"))
     v = F.col(value)
     ok = v.isNotNull() & width.isNotNull()

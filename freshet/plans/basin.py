@@ -135,7 +135,7 @@ def base(s, d):
 
 def loads(s, d):
     """Flow-stratified input: daily load band of the sampled reach."""
-    return fitq.reach_fan(s, d).select("date", F.col("min").alias("l_min"), F.col("mean").alias("l_mean"), F.col("max").alias("l_max"))
+    return fitq.reach_fan(s, d).select(*fitq.KEYS, "date", F.col("min").alias("l_min"), F.col("mean").alias("l_mean"), F.col("max").alias("l_max"))
 
 
 def _roll(col: str, order: str, win: int, how: str, part: str = "run_id") -> str:
@@ -250,9 +250,9 @@ def register(r: Registry) -> None:
     r.add("w21_net_sediment_curve", lambda s, d: duration.net_sediment_curve(views.sim(s, d)),
           dur("SELECT rch, sed_in - sed_out AS v FROM sim QUALIFY run_id = min(run_id) OVER (PARTITION BY rch)", "rch"), "sim", "value", "rch level")
     r.add("w9_band_duration_order",
-          lambda s, d: duration.band_duration_order(fitq.reach_fan(s, d), [], ["min", "p05", "p50", "p95", "max"]),
-          " UNION ALL ".join(f"SELECT '{b}' AS band, * FROM ({dur(f'SELECT {b} AS v FROM q3', '', up)})" for b in ("min", "p05", "p50", "p95", "max")),
-          fitq.Q3, "value", "band level")
+          lambda s, d: duration.band_duration_order(fitq.reach_fan(s, d), fitq.KEYS, ["min", "p05", "p50", "p95", "max"]),
+          " UNION ALL ".join(f"SELECT '{b}' AS band, * FROM ({dur(f'SELECT {fitq.K}, {b} AS v FROM q3', fitq.K, up)})" for b in ("min", "p05", "p50", "p95", "max")),
+          fitq.Q3, "value", "rch variable band level")
     r.add("w7_exceedance_of_samples",
           lambda s, d: duration.empirical_exceedance(select.clean_measured(views.measured(s, d)).where("value_num is not null")
                                                      .select("station", F.col("value_num").alias("v")), ["station"], "v"),
@@ -260,39 +260,41 @@ def register(r: Registry) -> None:
                     100.0 * row_number() OVER (PARTITION BY station ORDER BY v DESC) / (count(*) OVER (PARTITION BY station) + 1) AS exceedance
              FROM cleaned WHERE v IS NOT NULL""", "measured cleaned", "v exceedance", "station rank n")
     band = "min p05 p25 p50 p75 p95 max"
-    paired = """SELECT date, rank, 100.0 * rank / (n + 1) AS x, min, p05, p25, p50, p75, p95, max FROM (
-        SELECT *, CAST(row_number() OVER (ORDER BY {ref} DESC, date) AS INTEGER) AS rank, count(*) OVER () AS n FROM q3)"""
+    paired = """SELECT rch, variable, date, rank, 100.0 * rank / (n + 1) AS x, min, p05, p25, p50, p75, p95, max FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY rch, variable ORDER BY {ref} DESC, date) AS INTEGER) AS rank, count(*) OVER (PARTITION BY rch, variable) AS n FROM q3)"""
     for name, ref, col in (("median", "p50", "p50"), ("mean", "mean", "mean"), ("midpoint", "mid", "(min + max) / 2")):
-        r.add(f"w10_paired_duration_{name}", lambda s, d, ref=ref: duration.paired_duration(fitq.reach_fan(s, d), [], ref),
-              paired.format(ref=col), fitq.Q3, f"x {band}", "date rank")
+        r.add(f"w10_paired_duration_{name}", lambda s, d, ref=ref: duration.paired_duration(fitq.reach_fan(s, d), fitq.KEYS, ref),
+              paired.format(ref=col), fitq.Q3, f"x {band}", "rch variable date rank")
     r.add("w11_samples_on_paired_axis",
-          lambda s, d: duration.measured_on_paired(fitq.daily(s, d), duration.paired_duration(fitq.reach_fan(s, d), [])),
-          f"SELECT station, analyte, d.date AS date, obs, x FROM daily d JOIN ({paired.format(ref='p50')}) p ON p.date = d.date WHERE obs IS NOT NULL",
-          f"{fitq.Q3} {fitq.DAILY}", "obs x", "station analyte date")
+          lambda s, d: duration.measured_on_paired(fitq.sited(s, d), duration.paired_duration(fitq.reach_fan(s, d), fitq.KEYS), fitq.KEYS),
+          f"SELECT rch, variable, station, analyte, date, obs, x FROM sited JOIN ({paired.format(ref='p50')}) p USING (rch, variable, date) WHERE obs IS NOT NULL",
+          f"{fitq.Q3} {fitq.SITED}", "obs x", "rch variable station analyte date")
     # equal values may take their ranks in any order, so the samples are compared by value
     r.add("w11_samples_on_own_rank", lambda s, d: duration.measured_on_order(fitq.daily(s, d)),
           """SELECT obs, row_number() OVER (ORDER BY obs) AS rank, count(*) OVER () AS n,
                     100.0 * row_number() OVER (ORDER BY obs) / (count(*) OVER () + 1) AS x FROM daily WHERE obs IS NOT NULL""",
           fitq.DAILY, "obs x", "rank n")
     strat = """
-        SELECT round((b - 0.5) * 0.05, 9) AS x_mid, regime, quantile_cont(min, 0.5) AS y_min, quantile_cont(mean, 0.5) AS y_mean,
+        SELECT rch, variable, round((b - 0.5) * 0.05, 9) AS x_mid, regime, quantile_cont(min, 0.5) AS y_min, quantile_cont(mean, 0.5) AS y_mean,
                quantile_cont(max, 0.5) AS y_max, count(*) AS n_days FROM (
           SELECT *, ceil(round(rank / (n + 1.0) / 0.05, 9)) AS b FROM (
             SELECT q3.*, CASE WHEN {event} THEN 'event' ELSE 'non-event' END AS regime,
-                   row_number() OVER (ORDER BY f.flow_m3d DESC, q3.date) AS rank, count(*) OVER () AS n
-            FROM q3 JOIN flow_day f ON f.date = q3.date {more})) GROUP BY ALL"""
-    thr = "f.flow_m3d >= (SELECT quantile_cont(flow_m3d, 0.75) FROM flow_day WHERE date IN (SELECT date FROM q3))"
+                   row_number() OVER (PARTITION BY q3.rch, q3.variable ORDER BY f.flow_m3d DESC, q3.date) AS rank, count(*) OVER (PARTITION BY q3.rch, q3.variable) AS n
+            FROM q3 JOIN flow_day f ON f.date = q3.date {more}) WHERE n >= 5) GROUP BY ALL"""
+    thr = "f.flow_m3d >= c.cut"
+    cuts = """JOIN (SELECT rch, variable, quantile_cont(flow_m3d, 0.75) AS cut FROM q3 JOIN flow_day USING (date) GROUP BY 1, 2) c
+              ON c.rch = q3.rch AND c.variable = q3.variable"""
     st = f"{fitq.Q3} flow flow_day"
-    r.add("w12_flow_stratified_threshold", lambda s, d: duration.flow_stratified(loads(s, d), fitq.flow_day(s, d)),
-          strat.format(event=thr, more=""), st, "x_mid y_min y_mean y_max", "regime n_days")
+    r.add("w12_flow_stratified_threshold", lambda s, d: duration.flow_stratified(loads(s, d), fitq.flow_day(s, d), fitq.KEYS),
+          strat.format(event=thr, more=cuts), st, "x_mid y_min y_mean y_max", "rch variable regime n_days")
     r.add("w12_flow_stratified_events",
-          lambda s, d: duration.flow_stratified(loads(s, d), fitq.flow_day(s, d), event_days=fitq.flow_events(s, d)),
-          strat.format(event="e.is_event", more="LEFT JOIN ev e ON e.date = q3.date"), f"{fitq.Q3} {fitq.EV}", "x_mid y_min y_mean y_max", "regime n_days")
+          lambda s, d: duration.flow_stratified(loads(s, d), fitq.flow_day(s, d), fitq.KEYS, event_days=fitq.flow_events(s, d)),
+          strat.format(event="e.is_event", more="LEFT JOIN ev e ON e.date = q3.date"), f"{fitq.Q3} {fitq.EV}", "x_mid y_min y_mean y_max", "rch variable regime n_days")
     for mode, lo, hi in (("median", "quantile_cont(y_min, 0.5)", "quantile_cont(y_max, 0.5)"), ("extents", "min(y_min)", "max(y_max)")):
         r.add(f"w12_flow_stratified_total_{mode}",
-              lambda s, d, mode=mode: duration.stratified_total(duration.flow_stratified(loads(s, d), fitq.flow_day(s, d)), [], mode),
-              f"SELECT x_mid, {lo} AS y_min, quantile_cont(y_mean, 0.5) AS y_mean, {hi} AS y_max FROM ({strat.format(event=thr, more='')}) GROUP BY 1",
-              st, "x_mid y_min y_mean y_max")
+              lambda s, d, mode=mode: duration.stratified_total(duration.flow_stratified(loads(s, d), fitq.flow_day(s, d), fitq.KEYS), fitq.KEYS, mode),
+              f"SELECT rch, variable, x_mid, {lo} AS y_min, quantile_cont(y_mean, 0.5) AS y_mean, {hi} AS y_max FROM ({strat.format(event=thr, more=cuts)}) GROUP BY 1, 2, 3",
+              st, "x_mid y_min y_mean y_max", "rch variable")
 
     # zones
     r.add("z1_normalised_years", lambda s, d: zones.years_long(population(s, d)),

@@ -242,8 +242,8 @@ def register(r: Registry) -> None:
                (SELECT count(*) FROM w) AS matched, (SELECT count(*) FROM w) - count(w.path) AS missing_in_realization
         FROM p LEFT JOIN w ON w.path = p.path GROUP BY 1""", "", "", "name linked extra_in_realization matched missing_in_realization")
     r.add("u2_common_band_days",
-          lambda s, d: fitq.reach_fan(s, d).where("mean is not null and min is not null and max is not null").join(fitq.flow_day(s, d), "date", "left_semi").select("date"),
-          "SELECT date FROM q3 WHERE date IN (SELECT date FROM flow_day)", "sim reach_load q3 flow flow_day", "", "date")
+          lambda s, d: fitq.reach_fan(s, d).where("mean is not null and min is not null and max is not null").join(fitq.flow_day(s, d), "date", "left_semi").select(*fitq.KEYS, "date"),
+          "SELECT rch, variable, date FROM q3 WHERE date IN (SELECT date FROM flow_day)", "sim reach_load q3 flow flow_day", "", "rch variable date")
     r.add("t2_top_months_per_reach",
           lambda s, d: _top(resample.resample(balance.join_sub(views.sim(s, d), views.sub(s, d)), ["rch"], ["sed_out"], "M", 1, "sum")),
           """SELECT rch, date, sed_out FROM (SELECT rch, last_day(s.date) AS date, sum(sed_out) AS sed_out FROM sim s GROUP BY 1, 2)
@@ -257,29 +257,34 @@ def register(r: Registry) -> None:
                FROM lineitem) GROUP BY 1, 2""", "", "l_quantity", "l_linenumber rank_sum rank_min ranks n")
     # composed reports: the same sections, each from the SQL of its own query
     r.add("m27_view_statistics",
-          lambda s, d: bundles.view_statistics(fitq.reach_fan(s, d), fitq.daily(s, d), extras=fitq.scenarios(s, d), events=fitq.event_table(s, d), windows=(1, 3)),
-          report_sql(r, (1, 3), True), f"{fitq.PAIRS} nearest scen spairs {fitq.EV}", "value", "section name metric")
+          lambda s, d: bundles.view_statistics(fitq.reach_fan(s, d), fitq.sited(s, d), extras=fitq.scenarios(s, d), events=fitq.event_table(s, d), windows=(1, 3), keys=fitq.KEYS),
+          report_sql(r, (1, 3), True), f"{fitq.PAIRS} nearest scen spairs {fitq.EV}", "value", "rch variable section name metric")
     SQL["sim_month"] = f"""
-        SELECT run_id, last_day(s.date) AS date, sum(load_kg) AS v FROM sim s WHERE rch = 3 AND {_VIEW.format('s.date')} GROUP BY 1, 2"""
-    swap = {"reach_load": "sim_month", "daily": "daily_month"}
-    SQL["daily_month"] = f"""
-        SELECT station, analyte, last_day(date) AS date, avg(obs) AS obs FROM (
-          SELECT station, analyte, date, avg(CASE WHEN v < 0 THEN 0.0 ELSE v END) AS obs FROM cleaned
-          WHERE {_VIEW.format('date')} AND ts <= TIMESTAMP '2000-12-31' GROUP BY 1, 2, 3) GROUP BY 1, 2, last_day(date)"""
-    chain = ["sim", "reach_load", "q3", "measured", "cleaned", "daily", "pairs", "nearest"]
+        SELECT run_id, rch, variable, last_day(date) AS date, sum(v) AS v FROM (
+          SELECT run_id, rch, s.date AS date, unnest(['load', 'tot_n']) AS variable, unnest([load_kg / 1000, tot_n]) AS v FROM sim s WHERE {_VIEW.format('s.date')})
+        GROUP BY 1, 2, 3, 4"""
+    swap = {"reach_load": "sim_month", "sited": "sited_month"}
+    SQL["sited_month"] = f"""
+        SELECT rch, variable, d.station AS station, d.analyte AS analyte, date, obs FROM (
+          SELECT station, analyte, last_day(date) AS date, avg(obs) AS obs FROM (
+            SELECT station, analyte, CAST(date AS DATE) AS date, avg(CASE WHEN v < 0 THEN 0.0 ELSE v END) AS obs FROM (SELECT *, TRY_CAST(value AS DOUBLE) AS v FROM samples)
+            WHERE {_VIEW.format('date::DATE')} AND date <= TIMESTAMP '2000-12-31' GROUP BY 1, 2, 3) GROUP BY 1, 2, last_day(date)) d
+        JOIN sites ON sites.station = d.station AND sites.analyte = d.analyte"""
+    chain = ["sim", "reach_load", "q3", *fitq.SITED.split(), "pairs", "nearest"]
     head = ", ".join(f"{n} AS ({SQL[swap.get(n, n)]})" for n in chain)
     r.add("m28_evaluate_fit",
-          lambda s, d: bundles.evaluate_fit(views.sim(s, d), views.measured(s, d), "load_kg", 3, "M", 1, "sum", "1996-01-01", "2000-12-31", [3, 4, 5, 6, 7, 8]),
-          f"WITH {head} {report_sql(r, (1,), False)}", "", "value", "section name metric", 3)
+          lambda s, d: bundles.evaluate_fit(views.sim(s, d).withColumn("load", F.col("load_kg") / 1000), views.samples(s, d), ["load", "tot_n"], None, "M", 1, "sum",
+                                            "1996-01-01", "2000-12-31", [3, 4, 5, 6, 7, 8], sites=fitq.sites(s, d)),
+          f"WITH {head} {report_sql(r, (1,), False)}", "", "value", "rch variable section name metric", 3)
 
 
 _VIEW = "{0} BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND month({0}) BETWEEN 3 AND 8"
 
 
-def _section(section: str, metrics: str, body: str, name: str = "''") -> str:
+def _section(section: str, metrics: str, body: str, name: str = "''", keys: str = "rch, variable") -> str:
     labels = ", ".join(f"'{m}'" for m in metrics.split())
     cells = ", ".join(f"CAST({m} AS DOUBLE)" for m in metrics.split())
-    return f"SELECT '{section}' AS section, {name} AS name, unnest([{labels}]) AS metric, unnest([{cells}]) AS value FROM ({body})"
+    return f"SELECT {keys}, '{section}' AS section, {name} AS name, unnest([{labels}]) AS metric, unnest([{cells}]) AS value FROM ({body})"
 
 
 def report_sql(r: Registry, windows, scenarios: bool) -> str:
@@ -293,12 +298,12 @@ def report_sql(r: Registry, windows, scenarios: bool) -> str:
     summary = "n mean sd var min max p05 p25 median p75 p95"
 
     def spread(v: str, source: str) -> str:
-        return f"""SELECT count({v}) AS n, avg({v}) AS mean, stddev_pop({v}) AS sd, var_pop({v}) AS var, min({v}) AS min, max({v}) AS max,
+        return f"""SELECT rch, variable, count({v}) AS n, avg({v}) AS mean, stddev_pop({v}) AS sd, var_pop({v}) AS var, min({v}) AS min, max({v}) AS max,
             quantile_cont({v}, 0.05) AS p05, quantile_cont({v}, 0.25) AS p25, quantile_cont({v}, 0.5) AS median, quantile_cont({v}, 0.75) AS p75,
-            quantile_cont({v}, 0.95) AS p95 FROM {source}"""
+            quantile_cont({v}, 0.95) AS p95 FROM {source} GROUP BY 1, 2"""
 
-    log = "SELECT n AS n_pos, r AS r_log, r2 AS r2_log, rmse AS rmse_log10, mae AS mae_log10, nse AS nse_log, d AS d_log FROM (" + fitq.metrics_sql(
-        "(SELECT log10(obs) AS obs, log10(pred) AS pred FROM pairs WHERE obs > 0 AND pred > 0) lg") + ")"
+    log = "SELECT rch, variable, n AS n_pos, r AS r_log, r2 AS r2_log, rmse AS rmse_log10, mae AS mae_log10, nse AS nse_log, d AS d_log FROM (" + fitq.metrics_sql(
+        "(SELECT rch, variable, log10(obs) AS obs, log10(pred) AS pred FROM pairs WHERE obs > 0 AND pred > 0) lg", fitq.K) + ")"
     names = "band_width_mean band_width_rel_pct band_asymmetry band_rmse_vs_mean"
     both = " ".join(f"{p}_{n}" for p in ("p50", "p90") for n in names.split())
     local = "n rmse mae bias nse median_lag_days iqr_lag_days fraction_zero_lag"
@@ -306,21 +311,21 @@ def report_sql(r: Registry, windows, scenarios: bool) -> str:
     parts = [
         _section("data_usage", usage, whole),
         _section("same_day", f"n {fitq.FULL}", b["m11_pairwise_metrics"]),
-        _section("same_day", " ".join(fit.COVERAGE), f"SELECT {cov} FROM pairs"),
+        _section("same_day", " ".join(fit.COVERAGE), f"SELECT rch, variable, {cov} FROM pairs GROUP BY 1, 2"),
         _section("log_space", "n_pos r_log r2_log rmse_log10 mae_log10 nse_log d_log", log),
         _section("distribution_paired_observed", summary, spread("obs", "pairs")),
         _section("distribution_paired_predicted", summary, spread("pred", "pairs")),
-        _section("distribution_observed", summary, spread("obs", "daily")),
+        _section("distribution_observed", summary, spread("obs", "sited")),
         _section("distribution_predicted", summary, spread("p50", "q3")),
         _section("global_lag", "best_lag_days r r2 rmse mae nse", b["m19_best_lag_by_r"]),
         *[_section(f"local_window_K{k}", local, b[f"m20_local_window_summary_{k}"]) for k in windows],
         _section("band_deviation", names, b["m15_band_deviation"]),
         _section("band_deviation", both, b["m16_percentile_band_deviation"]),
         _section("measured_vs_series", "coverage50 coverage90 coverage100 coverage_minmax",
-                 f"SELECT {cov}, avg(CASE WHEN obs BETWEEN min AND max THEN 1.0 ELSE 0.0 END) AS coverage_minmax FROM nearest"),
+                 f"SELECT rch, variable, {cov}, avg(CASE WHEN obs BETWEEN min AND max THEN 1.0 ELSE 0.0 END) AS coverage_minmax FROM nearest GROUP BY 1, 2"),
         _section("baseline_summary", "median mean sd relative_width relative_width_mean", b["m26_baseline_summary"]),
-        _section("baseline_envelope", env, """SELECT quantile_cont(abs(max - min), 0.5) AS median_w, avg(abs(max - min)) AS mean_w,
-            quantile_cont(abs(max - min), 0.9) AS p90_w, avg(CASE WHEN p50 BETWEEN min AND max THEN 1.0 ELSE 0.0 END) AS coverage_fraction FROM q3""", "'baseline'"),
+        _section("baseline_envelope", env, """SELECT rch, variable, quantile_cont(abs(max - min), 0.5) AS median_w, avg(abs(max - min)) AS mean_w,
+            quantile_cont(abs(max - min), 0.9) AS p90_w, avg(CASE WHEN p50 BETWEEN min AND max THEN 1.0 ELSE 0.0 END) AS coverage_fraction FROM q3 GROUP BY 1, 2""", "'baseline'"),
     ]
     if scenarios:
         shift = ("n_pairs median_delta median_delta_pct relative_width baseline_min baseline_max baseline_mean baseline_p50 baseline_p90 overlay_min overlay_max "
@@ -335,7 +340,7 @@ def report_sql(r: Registry, windows, scenarios: bool) -> str:
                      "delta_event_pairs_mean delta_non_event_pairs_mean event_ratio", b["m24_event_shift"], "scenario"),
             _section("event_context", "event_days buffered_days non_event_days selected_days all_days", """
                 SELECT count(*) FILTER (WHERE is_event) AS event_days, count(*) FILTER (WHERE is_buffered) AS buffered_days,
-                       count(*) FILTER (WHERE NOT is_buffered) AS non_event_days, count(*) AS selected_days, count(*) AS all_days FROM evdays"""),
+                       count(*) FILTER (WHERE NOT is_buffered) AS non_event_days, count(*) AS selected_days, count(*) AS all_days FROM evdays""", "''", "NULL::INTEGER AS rch, NULL::VARCHAR AS variable"),
         ]
     return " UNION ALL ".join(parts)
 

@@ -193,9 +193,9 @@ def register(r: Registry) -> None:
           "SELECT *, load_kg / nullif(flow_cms * 86400, 0) / 0.001 AS conc_mgl FROM sim", "sim", "conc_mgl", key)
     r.add("j2_load_to_concentration_gauge_flow",
           lambda s, d: pairing.load_to_concentration(
-              views.sim(s, d), "load_kg", ensemble.external_daily_flow(select.season(views.flow(s, d), [1, 2, 3])), True),
+              views.sim(s, d), "load_kg", ensemble.external_daily_flow(views.flow(s, d).where("flow_m3d >= 25000")), True),
           """SELECT s.*, load_kg / nullif(coalesce(f.q, flow_cms * 86400), 0) / 0.001 AS conc_mgl FROM sim s LEFT JOIN (
-               SELECT CAST(date AS DATE) AS date, sum(flow_m3d) AS q FROM flow WHERE month(date) <= 3 GROUP BY 1) f
+               SELECT CAST(date AS DATE) AS date, sum(flow_m3d) AS q FROM flow WHERE flow_m3d >= 25000 GROUP BY 1) f
              ON f.date = s.date""", "sim flow", "conc_mgl", key)
     r.add("j2_load_to_concentration_ensemble_flow",
           lambda s, d: pairing.load_to_concentration(views.sim(s, d), "load_kg", ensemble.mean_daily_flow(views.sim(s, d)), False),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIGITS = 5
@@ -79,12 +79,26 @@ SQL["cleaned"] = """
         SELECT station, analyte, CAST(date AS DATE) AS date, date AS ts, TRY_CAST(value AS DOUBLE) AS v FROM measured"""
 SQL["daily"] = """
         SELECT station, analyte, date, avg(CASE WHEN v < 0 THEN 0.0 ELSE v END) AS obs FROM cleaned GROUP BY 1, 2, 3"""
-SQL["reach_load"] = "SELECT run_id, date, load_kg / 1000 AS v FROM sim WHERE rch = 3"
+SQL["reach_load"] = """
+        SELECT run_id, rch, date, unnest(['load', 'tot_n']) AS variable, unnest([load_kg / 1000, tot_n]) AS v FROM sim"""
 SQL["q3"] = """
-        SELECT date, min(v) AS min, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.25) AS p25,
+        SELECT rch, variable, date, min(v) AS min, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.25) AS p25,
                quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.9) AS p90,
                quantile_cont(v, 0.95) AS p95, max(v) AS max, avg(v) AS mean, count(v) AS n_values
-        FROM reach_load GROUP BY 1"""
+        FROM reach_load GROUP BY 1, 2, 3"""
+SQL["samples"] = """
+        SELECT o_orderpriority || '/' || (o_custkey % 17 + 1)::VARCHAR AS station, o_orderstatus AS analyte, o_orderdate AS date,
+               CASE WHEN o_totalprice >= 15000 AND o_totalprice < 20000 THEN 'LC'
+                    ELSE CAST((o_totalprice - 15000) / 1000 AS VARCHAR) END AS value
+        FROM orders"""
+SQL["stations"] = "SELECT DISTINCT o_orderpriority || '/' || (o_custkey % 17 + 1)::VARCHAR AS station, o_orderstatus AS analyte, CAST(o_custkey % 17 + 1 AS INTEGER) AS rch FROM orders"
+SQL["sites"] = """
+        SELECT station, rch, variable, analyte FROM stations JOIN (VALUES ('load', 'F'), ('load', 'O'), ('tot_n', 'P'), ('tot_n', 'F')) t(variable, analyte) USING (analyte)"""
+SQL["sited"] = """
+        SELECT rch, variable, d.station AS station, d.analyte AS analyte, date, obs FROM (
+          SELECT station, analyte, CAST(date AS DATE) AS date, avg(CASE WHEN v < 0 THEN 0.0 ELSE v END) AS obs FROM (
+            SELECT *, TRY_CAST(value AS DOUBLE) AS v FROM samples) GROUP BY 1, 2, 3) d
+        JOIN sites ON sites.station = d.station AND sites.analyte = d.analyte"""
 SQL["flow_day"] = "SELECT CAST(date AS DATE) AS date, sum(flow_m3d) AS flow_m3d FROM flow GROUP BY 1"
 
 
@@ -116,6 +130,24 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lc, "LC").otherwise(((x - 15000) / 1000).cast("string")).alias("value"))
 
 
+def _station() -> Column:
+    return F.concat("o_orderpriority", F.lit("/"), (F.col("o_custkey") % 17 + 1).cast("string"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lab samples under the names of their sampling points, 85 in number."""
+    x = F.col("o_totalprice")
+    lc = (x >= 15000) & (x < 20000)
+    return table(spark, sf_dir, "orders").select(
+        _station().alias("station"), F.col("o_orderstatus").alias("analyte"), F.col("o_orderdate").alias("date"),
+        F.when(lc, "LC").otherwise(((x - 15000) / 1000).cast("string")).alias("value"))
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analytes and the reach of each sampling point."""
+    return table(spark, sf_dir, "orders").select(_station().alias("station"), F.col("o_orderstatus").alias("analyte"), (F.col("o_custkey") % 17 + 1).cast("int").alias("rch")).distinct()
+
+
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gauge flow, several rows per day."""
     return table(spark, sf_dir, "lineitem").select(

@@ -110,3 +110,22 @@ def test_lags_by_reach_and_calendar(spark):
     assert {r: (x.best_lag_days, round(x.r, 6)) for r, x in best.items()} == {1: (1, 1.0), 2: (1, 1.0)}
     n = {x.lag: x.n for x in fit.lagged_fit(obs.where("rch = 1").drop("rch"), q.where("rch = 1").drop("rch")).collect()}
     assert n == {-2: 20 + 20 - 6, -1: 20 + 20 - 4, 0: 20 + 20 - 2, 1: 39, 2: 20 + 20 - 3}
+
+
+def test_view_statistics_by_key_are_those_of_each_series(spark):
+    rng = np.random.default_rng(9)
+    days = [DAY + dt.timedelta(days=i) for i in range(50)]
+    fans = [(r, v, d, *map(float, np.sort(rng.random(7))), float(rng.random())) for r in (1, 2) for v in ("a", "b") for d in days]
+    q = spark.createDataFrame(fans, "rch int, variable string, date date, min double, p05 double, p25 double, p50 double, p75 double, p95 double, max double, mean double")
+    obs = spark.createDataFrame([(r, v, "s", "x", d, float(rng.random())) for r in (1, 2) for v in ("a", "b") if (r, v) != (2, "b") for d in days[:: 2 + r]],
+                                "rch int, variable string, station string, analyte string, date date, obs double")
+    ex = spark.createDataFrame([(r, v, n, d, float(rng.random())) for r in (1, 2) for v in ("a", "b") for n in ("s1", "s2") for d in days], "rch int, variable string, scenario string, date date, value double")
+    whole = {}
+    for r in bundles.view_statistics(q, obs, extras=ex, windows=(2,), keys=["rch", "variable"]).collect():
+        whole.setdefault((r.rch, r.variable), {})[r.section, r.name, r.metric] = r.value
+    for k, v in ((1, "a"), (2, "a")):
+        pick = lambda df: df.where((F.col("rch") == k) & (F.col("variable") == v)).drop("rch", "variable")  # noqa: B023, E731
+        one = {(r["section"], r["name"], r["metric"]): r["value"] for r in bundles.view_statistics(pick(q), pick(obs), extras=pick(ex), windows=(2,)).collect()}
+        assert whole[k, v].keys() == one.keys()
+        assert all((x is None) == (one[m] is None) and (x is None or x == pytest.approx(one[m])) for m, x in whole[k, v].items())
+    assert whole[2, "b"]["data_usage", "", "paired_days_used"] == 0 and ("same_day", "", "r") not in whole[2, "b"]

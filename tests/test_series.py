@@ -171,12 +171,31 @@ def test_nearest_day_ties_go_later_and_nearest_value_ties_go_first(spark):
     assert pairing.match_local_window(s, q, 1, "mean").first()["pred"] == 5.0
 
 
-def test_proxy_lookup():
-    m = {"TOT_N": {100: ["A"], 90: ["B", "C"], 70: ["D"], 5: ["E"]}, "Other": {1: ["X"], 3: ["Y"]}}
-    assert pairing.resolve_proxies(m, "TOT_N") == [(1, "A"), (2, "B"), (2, "C"), (3, "D")]
-    assert pairing.resolve_proxies(m, " tot_n ") == pairing.resolve_proxies(m, "TOT_N")
-    assert pairing.resolve_proxies(m, "other_kg") == [(1, "X"), (3, "Y")]
-    assert pairing.resolve_proxies(m, "zzz") == []
+def test_proxy_lookup(spark):
+    m = spark.createDataFrame([("TOT_N", 1, 100, "A"), ("TOT_N", 1, 90, "B"), ("TOT_N", 1, 90, "C"), ("TOT_N", 1, 70, "D"), ("TOT_N", 1, 5, "E"), ("Other", 2, 1, "X"), ("Other", 2, 3, "Y"),
+                               ("o", 3, 50, "late")], "entry string, pos int, weight int, analyte string")
+    names = spark.createDataFrame([(v,) for v in ("TOT_N", " tot_n ", "other_kg", "zzz", "OT", "", None)], "variable string")
+    got = {}
+    for r in pairing.resolve_proxies(m, names).collect():
+        got.setdefault(r.variable, []).append((r.category, r.analyte))
+    heavy = [(1, "A"), (2, "B"), (2, "C"), (3, "D")]
+    assert {v: sorted(x) for v, x in got.items()} == {"TOT_N": heavy, " tot_n ": heavy, "other_kg": [(1, "X"), (3, "Y")], "OT": heavy}
+
+
+def test_samples_meet_their_own_reach_and_variable(spark):
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)
+    q = spark.createDataFrame([(r, v, day(i), float(100 * r + 10 * len(v) + i), 1.0, 2.0) for r in (1, 2) for v in ("a", "bb") for i in range(6)], "rch int, variable string, date date, p50 double, p90 double, mean double")
+    daily = spark.createDataFrame([(f"s{r}", a, day(3), 100.0 * r) for r in (1, 2, 3) for a in ("x", "y")], "station string, analyte string, date date, obs double")
+    sites = spark.createDataFrame([("s1", "x", 1, "a"), ("s1", "y", 1, "bb"), ("s2", "x", 2, "a"), ("s2", "x", 2, "bb")], "station string, analyte string, rch int, variable string")
+    at, keys = pairing.at_sites(daily, sites), ["rch", "variable"]
+    want = {(1, "a", "x"): 113.0, (1, "bb", "y"): 123.0, (2, "a", "x"): 213.0, (2, "bb", "x"): 223.0}
+    assert {(r.rch, r.variable, r.analyte): r.pred for r in pairing.pair_same_day(at, q, by=keys).collect()} == want
+    assert {(r.rch, r.variable, r.analyte): (r.pred, r.k_days) for r in pairing.match_local_window(at, q, 2, by=keys).collect()} == {k: (v - 2, -2) for k, v in want.items()}
+    assert {(r.rch, r.variable, r.analyte): r.p50 for r in pairing.match_nearest_day(at, q.where(F.col("date") != day(3)), ["p50"], by=keys).collect()} == {k: v + 1 for k, v in want.items()}
+    holes = q.withColumn("p90", F.when(F.col("rch") == 1, F.col("p90")))
+    events = spark.createDataFrame([(day(3), 2)], "date date, rch int")
+    flags = {(r.rch, r.variable): (r.ratio, r.label) for r in pairing.flag_deviation(at, holes, events, by=keys).collect()}
+    assert flags[1, "a"] == (100.0, "deviation") and flags[2, "bb"] == (200.0 / 223.0, "flow-outlier")
 
 
 def test_stratified_curve_needs_five_days(spark):
