@@ -64,15 +64,17 @@ def line_hits(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str
     Lines with a word are normalised and hashed with their host to 64 bits; each distinct line of a document counts once for its host, so
     documents are rows with different id, host or text, and repeated rows are one document. The counts are aggregated before they move.
     Only lines above the limit are joined back; a very frequent line is a skewed key of that join, which adaptive execution
-    splits. Each row also has a line without a hash: its sum tells how often the row is repeated.
+    splits. The sums of repeated rows are divided by how often the row is there.
     """
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     lines = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col(host), normal_line(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
     own = docs.select(F.col(id).alias("id"), document(text, host).alias("doc"),
-                      F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).alias("words"))), lines)).alias("l"))
+                      F.explode(lines).alias("l"))
     own = own.groupBy("id", "doc", "l.line").agg(F.sum("l.words").alias("words"), F.count("*").alias("times"))
-    often = own.where("line is not null").groupBy("line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs).select("line")
-    again = own.where("line is null and times > 1").select(F.col("id").alias("again_id"), F.col("doc").alias("again_doc"), F.col("times").alias("rows"))
+    # every line has a word; asking for both sums lets this and the join share one shuffle of the lines
+    often = own.groupBy("line").agg(F.count("*").alias("n_docs"), F.sum("words").alias("w"), F.sum("times").alias("t"))
+    often = often.where((F.col("n_docs") > min_docs) & (F.col("w") > 0) & (F.col("t") > 0)).select("line")
+    again = docs.groupBy(F.col(id).alias("again_id"), document(text, host).alias("again_doc")).agg(F.count("*").alias("rows")).where("rows > 1")
     hits = own.join(often, "line").join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("doc") == F.col("again_doc")), "left")
     return hits.select("id", "doc", "line", *[(F.col(c) / F.coalesce("rows", F.lit(1))).cast("long").alias(c) for c in ("words", "times")])
 
