@@ -28,77 +28,98 @@ TIME_CELLS = 1 << 18
 
 
 def _in_cells(df: DataFrame, ts: str) -> DataFrame:
-    """Attach ``_us`` (time in microseconds) and ``_cell``, a slice of the record's time range."""
+    """Attach ``_us`` (time in microseconds) and ``_cell``, a slice of the time range of all records."""
     return with_cell(df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), "_us", TIME_CELLS)
 
 
-def sampling_interval_days(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Median gap between consecutive timestamps, in days.
+def sampling_interval_days(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """Median gap between consecutive timestamps of each gauge (``keys``), in days.
 
     Gaps inside a time cell come from a window over that cell; the gap into a cell is taken
-    from the last timestamp of the cell before it, on one summary row per cell.
+    from the last timestamp of the gauge's cell before it, on one summary row per gauge and cell. A gauge with any part of all
+    rows is many cells. Without keys there is one gauge. Rows without a time or a key have no gap; one row alone has no interval.
     """
-    b = _in_cells(df.select(ts).where(F.col(ts).isNotNull()), ts)
-    inside = b.select((F.col("_us") - F.lag("_us").over(Window.partitionBy("_cell").orderBy("_us"))).alias("_gap"))
-    ends = b.groupBy("_cell").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
-    between = ends.select((F.col("_first") - F.lag("_last").over(Window.orderBy("_cell"))).alias("_gap"))
+    keys = list(keys)
+    b = df.select(*keys, ts).where(F.col(ts).isNotNull())
+    for k in keys:
+        b = b.where(F.col(k).isNotNull())
+    b = _in_cells(b, ts)
+    inside = b.select(*keys, (F.col("_us") - F.lag("_us").over(Window.partitionBy(*keys, "_cell").orderBy("_us"))).alias("_gap"))
+    ends = b.groupBy(*keys, "_cell").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
+    between = ends.select(*keys, (F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_cell"))).alias("_gap"))
     gaps = inside.unionByName(between).where(F.col("_gap").isNotNull())
-    us = exact_quantiles(gaps, [], "_gap", {"us": 0.5})
-    return us.select((F.col("us") / F.lit(86400.0 * 1e6)).alias("dt_days"))
+    us = exact_quantiles(gaps, keys, "_gap", {"us": 0.5})
+    return us.select(*keys, (F.col("us") / F.lit(86400.0 * 1e6)).alias("dt_days"))
+
+
+def _limits(df: DataFrame, ts: str, flow: str, thresholds: dict[str, float | str], keys: list[str]) -> DataFrame:
+    """(keys, _cut, _dt): thresholds and sampling interval of each gauge."""
+    tokens = {n: threshold_fraction(v) for n, v in thresholds.items() if isinstance(v, str)}
+    steps = sampling_interval_days(df, ts, keys).withColumnRenamed("dt_days", "_dt")
+    if not tokens:
+        return steps.withColumn("_cut", F.struct(*[F.lit(float(v)).alias(n) for n, v in thresholds.items()]))
+    names = {n: f"_t{i}" for i, n in enumerate(tokens)}
+    found = exact_quantiles(df, keys, flow, {names[n]: p for n, p in tokens.items()})
+    cut = F.struct(*[(F.col(names[n]) if n in tokens else F.lit(float(v))).alias(n) for n, v in thresholds.items()])
+    return found.select(*keys, cut.alias("_cut")).join(steps, keys)
 
 
 def add_event_flags(
     df: DataFrame, thresholds: dict[str, float | str], intervals: dict[str, float], ts: str = "ts", flow: str = "q",
-    tiebreak: Sequence[str] = (),
+    tiebreak: Sequence[str] = (), keys: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``<name>_event``: true inside runs of rows at or above a threshold that last long enough.
 
-    A run is made of consecutive rows, whatever the time between them. It counts when its rows
-    cover ``intervals[name]`` days at the median sampling interval. The record is cut into time
-    cells: rows are ordered inside a cell only, and one summary row per cell carries the runs
-    that cross cell edges.
+    ``keys`` tell gauges apart; each has its own percentile thresholds, sampling interval and runs. A run is made of
+    consecutive rows of a gauge, whatever the time between them. It counts when its rows
+    cover ``intervals[name]`` days at the gauge's median sampling interval. The records are cut into time
+    cells: rows are ordered inside a cell of a gauge only, and one summary row per gauge and cell carries the runs
+    that cross cell edges. A gauge of a single row has no interval and no event; nor have rows without a key.
     """
     missing = set(thresholds) - set(intervals)
     if missing:
         raise KeyError(f"no interval given for {sorted(missing)}")
-    names = list(thresholds)
-    cell = Window.partitionBy("_cell")
+    names, keys = list(thresholds), list(keys)
+    cell = Window.partitionBy(*keys, "_cell")
     out = _in_cells(df, ts).withColumn("_rn", F.row_number().over(cell.orderBy("_us", *tiebreak)))
-    out = out.withColumn("_cut", thresholds_of(df, flow, thresholds))
+    if keys:
+        out = out.join(_limits(df, ts, flow, thresholds, keys), keys, "left")
+    else:
+        out = out.withColumn("_cut", thresholds_of(df, flow, thresholds)).withColumn("_dt", sampling_interval_days(df, ts).scalar())
     above = {n: F.coalesce(F.col(flow) >= F.col("_cut")[n], F.lit(False)) for n in names}
     out = out.withColumns({f"_below_{n}": F.when(~above[n], F.col("_rn")) for n in names})
-    out = out.withColumn("_dt", sampling_interval_days(df, ts).scalar())
-    edges = _cell_edges(out, names)
+    edges = _cell_edges(out, names, keys)
     # the nearest rows below the threshold on either side, inside the cell
     out = out.withColumns({f"_before_{n}": F.max(f"_below_{n}").over(cell.orderBy("_rn")) for n in names})
     out = out.withColumns({f"_after_{n}": F.min(f"_below_{n}").over(cell.orderBy(F.col("_rn").desc())) for n in names})
-    out = out.join(edges, "_cell")
+    out = out.join(edges, [*keys, "_cell"], "left")
     flags = {}
     for n in names:
         length = (F.when(F.col(f"_before_{n}").isNull(), F.col(f"_head_{n}"))
                   .when(F.col(f"_after_{n}").isNull(), F.col(f"_tail_{n}"))
                   .otherwise(F.col(f"_after_{n}") - F.col(f"_before_{n}") - 1))
-        flags[f"{n}_event"] = F.col(f"_below_{n}").isNull() & (length >= F.ceil(F.lit(float(intervals[n])) / F.col("_dt")))
+        long = F.col(f"_below_{n}").isNull() & (length >= F.ceil(F.lit(float(intervals[n])) / F.col("_dt")))
+        flags[f"{n}_event"] = F.coalesce(long, F.lit(False)) if keys else long
     return out.withColumns(flags).select(*df.columns, *flags)
 
 
-def _cell_edges(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Whole length of the run at the first and at the last row of every cell, per threshold.
+def _cell_edges(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Whole length of the run at the first and at the last row of every cell of a gauge, per threshold.
 
-    Works on one row per cell. A cell without a row below the threshold is full and joins the
+    Works on one row per gauge and cell. A cell without a row below the threshold is full and joins the
     run before it with the run after it.
     """
-    s = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), *[
+    s = df.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("n"), *[
         f(f"_below_{n}").alias(f"{side}_{n}") for n in names for f, side in ((F.min, "first"), (F.max, "last"))])
-    by_cell = Window.orderBy("_cell")
+    by_cell = Window.partitionBy(*keys).orderBy("_cell")
     for n in names:
         full = F.col(f"first_{n}").isNull()
         broken, tail = F.when(full, 0).otherwise(1), F.when(~full, F.col("n") - F.col(f"last_{n}"))
         s = s.withColumn("run", F.sum(broken).over(by_cell) - broken)
         s = s.withColumn("carried", F.coalesce(F.last(tail, True).over(by_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        s = s.withColumn(f"_head_{n}", F.col("carried") + F.sum(F.coalesce(F.col(f"first_{n}") - 1, F.col("n"))).over(Window.partitionBy("run")))
+        s = s.withColumn(f"_head_{n}", F.col("carried") + F.sum(F.coalesce(F.col(f"first_{n}") - 1, F.col("n"))).over(Window.partitionBy(*keys, "run")))
         s = s.withColumn(f"_tail_{n}", F.coalesce(F.lead(f"_head_{n}").over(by_cell), tail))
-    return s.select("_cell", *[f"{side}_{n}" for n in names for side in ("_head", "_tail")])
+    return s.select(*keys, "_cell", *[f"{side}_{n}" for n in names for side in ("_head", "_tail")])
 
 
 def daily_events(df: DataFrame, spec: float | str, min_days: float, flow: str = "flow_m3d", keys: Sequence[str] = (),

@@ -432,6 +432,22 @@ def register(r: Registry) -> None:
             F.struct(F.lit("fixed").alias("flag_name"), F.col("fixed_event").alias("flag")))).alias("e")).select("event_id", "e.*")
 
     r.add("w4_event_flags_gauge", flags, flags_sql(dt_sql), "gauge", "", "event_id flag_name flag")
+    each_dt = """SELECT station, quantile_cont(epoch_us(ts) - epoch_us(p), 0.5) / 86400e6 AS dt_days FROM (
+               SELECT station, ts, lag(ts) OVER (PARTITION BY station ORDER BY ts) AS p FROM gauges) WHERE p IS NOT NULL GROUP BY 1"""
+    r.add("w2_sampling_interval_by_gauge", lambda s, d: events.sampling_interval_days(views.gauges(s, d), keys=["station"]), each_dt, "gauges", "dt_days", "station", 8)
+
+    def keyed_flags(s, d):
+        out = events.add_event_flags(views.gauges(s, d), {"high": "p75", "fixed": 20.0}, {"high": 0.02, "fixed": 0.05}, tiebreak=["event_id"], keys=["station"])
+        return out.select("event_id", "station", F.explode(F.array(
+            F.struct(F.lit("high").alias("flag_name"), F.col("high_event").alias("flag")),
+            F.struct(F.lit("fixed").alias("flag_name"), F.col("fixed_event").alias("flag")))).alias("e")).select("event_id", "station", "e.*")
+
+    def keyed_sql(name, q, days):
+        return f"""SELECT event_id, station, '{name}' AS flag_name, above AND count(*) OVER (PARTITION BY station, above, run) >= ceil({days} / dt_days) AS flag FROM (
+            SELECT *, row_number() OVER (PARTITION BY station ORDER BY ts, event_id) - row_number() OVER (PARTITION BY station, above ORDER BY ts, event_id) AS run FROM (
+              SELECT *, q >= {q} AS above FROM gauges JOIN (SELECT station, quantile_cont(q, 0.75) AS cut FROM gauges GROUP BY 1) USING (station))) JOIN ({each_dt}) USING (station)"""
+
+    r.add("w4_event_flags_by_gauge", keyed_flags, keyed_sql("high", "cut", 0.02) + " UNION ALL " + keyed_sql("fixed", "20.0", 0.05), "gauges", "", "event_id station flag_name flag")
     r.add("w4_event_flags_daily", flow_events, "SELECT date, is_event FROM ev", EV, "", "date is_event")
     tokens = {"q1": "q1", "q50": "q50", "q3": "q3", "p90": "p90", "95pct": "95pct"}
     r.add("p17_threshold_tokens",

@@ -73,6 +73,7 @@ SQL: dict[str, str] = {
         FROM orders""",
     "flow": "SELECT l_shipdate AS date, l_quantity * 1000 AS flow_m3d FROM lineitem",
     "gauge": "SELECT event_id, ts, value AS q FROM events",
+    "gauges": "SELECT event_id, event_type AS station, ts, value AS q FROM events",
 }
 # views built on the ones above
 SQL["cleaned"] = """
@@ -157,3 +158,8 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irregular high-frequency record."""
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("value").alias("q"))
+
+
+def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Irregular records of several gauges."""
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("station"), "ts", F.col("value").alias("q"))

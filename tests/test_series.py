@@ -222,3 +222,42 @@ def test_origin_is_shared_by_runs(spark):
     df = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0), ("b", dt.date(2020, 1, 3), 1.0)], "run_id string, date date, v double")
     labels = {r["run_id"]: r["date"] for r in resample.resample(df, ["run_id"], ["v"], "D", 5, "sum", origin=bucket_origin(df)).collect()}
     assert labels == {"a": dt.date(2020, 1, 1), "b": dt.date(2020, 1, 1)}
+
+
+def test_events_of_several_gauges(spark, monkeypatch):
+    """Each gauge has its own threshold, interval and runs; one gauge holds half of all rows; runs cross cells."""
+    import random
+
+    from freshet.operators import events
+
+    rng = random.Random(5)
+    rows, at = [], dt.datetime(2020, 1, 1)
+    for i in range(3000):
+        at += dt.timedelta(minutes=rng.choice((1, 5, 5, 5, 60, 600)))
+        rows.append((i, None if i % 97 == 0 else rng.choice(("hot", "hot", "hot", "b", "c")), at, rng.choice((0.0, 1.0, 5.0, 9.0, 9.0, 9.0)) if i % 41 else None))
+    rows.append((3000, "single", at, 9.0))
+    monkeypatch.setattr(events, "TIME_CELLS", 300)
+    df = spark.createDataFrame(rows, "id int, g string, ts timestamp, q double").repartition(7)
+    got = {r.id: (r.hi_event, r.fix_event) for r in events.add_event_flags(df, {"hi": "p50", "fix": 5.0}, {"hi": 0.008, "fix": 0.02}, keys=["g"]).collect()}
+    assert len(got) == len(rows)
+    want = {i: (False, False) for i, g, _, _ in rows if g in (None, "single")}
+    for g in ("hot", "b", "c"):
+        own = sorted((t, i, q) for i, k, t, q in rows if k == g)
+        gaps = sorted((y[0] - x[0]).total_seconds() / 86400 for x, y in zip(own, own[1:]))
+        step = (gaps[(len(gaps) - 1) // 2] + gaps[len(gaps) // 2]) / 2
+        qs = sorted(q for _, _, q in own if q is not None)
+        flags = []
+        for cut, days in (((qs[(len(qs) - 1) // 2] + qs[len(qs) // 2]) / 2, 0.008), (5.0, 0.02)):
+            run, out = [], {}
+            for _, i, q in [*own, (None, None, None)]:
+                if i is not None and q is not None and q >= cut:
+                    run.append(i)
+                    continue
+                out |= {k: len(run) >= -(-days // step) for k in run} | {i: False}
+                run = []
+            flags.append(out)
+        want |= {i: (flags[0][i], flags[1][i]) for _, i, _ in own}
+    assert got == want and 100 < sum(a for a, _ in got.values()) < 2500
+    steps = {r.g: r.dt_days for r in events.sampling_interval_days(df, keys=["g"]).collect()}
+    assert steps.keys() == {"hot", "b", "c"}
+    assert events.add_event_flags(df.limit(0), {"hi": "p50"}, {"hi": 1.0}, keys=["g"]).count() == 0
