@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,39 +25,117 @@ def valid_zones(zones: DataFrame, field: str = "zone_id") -> DataFrame:
     return zones.where(text.isNotNull() & (text != "") & (text != "NA"))
 
 
-def _with_edges(zones: DataFrame) -> DataFrame:
-    ring = F.col("ring")
-    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    return zones.withColumn("_edges", F.arrays_zip(ring.alias("a"), after.alias("b")))
+#: A cell of a cover is split until at most so many edges need a test in it.
+MOST_EDGES = 6
+#: Levels between a cell and its parts, so a cell has 4 ** STEP parts and a pixel one key for each STEP levels.
+STEP = 2
 
 
-def _inside(x: Column, y: Column) -> Column:
+def _edges(zones: DataFrame) -> Column:
+    """All edges of a zone's rings: (i, j, x1, y1, x2, y2), i and j being the numbers of its two corners. Points without a coordinate are left out."""
+    rings = F.col("rings") if "rings" in zones.columns else F.array("ring")
+    known = lambda p: p["x"].isNotNull() & p["y"].isNotNull()
+    rings = F.transform(F.filter(rings, lambda r: r.isNotNull()), lambda r: F.filter(r, known))
+    flat = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p, k: F.struct(
+        p["x"].alias("x1"), p["y"].alias("y1"),
+        F.element_at(r, (k + 1) % F.size(r) + 1).alias("q"), F.when(k + 1 == F.size(r), -k).otherwise(1).alias("step")))))
+    return F.transform(flat, lambda e, i: F.struct(i.alias("i"), (i + e["step"]).alias("j"), e["x1"].alias("x1"), e["y1"].alias("y1"),
+                                                   e["q"]["x"].alias("x2"), e["q"]["y"].alias("y2")))
+
+
+def _crosses(e: Column, x: Column, y: Column) -> Column:
     # even-odd rule; an edge owns its lower end only, so a shared edge counts for one zone
-    def crosses(e: Column) -> Column:
-        x1, y1, x2, y2 = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        spans = (y1 > y) != (y2 > y)
-        return spans & (x < (x2 - x1) * F.try_divide(y - y1, y2 - y1) + x1)
+    spans = (e["y1"] > y) != (e["y2"] > y)
+    return spans & (x < (e["x2"] - e["x1"]) * F.try_divide(y - e["y1"], e["y2"] - e["y1"]) + e["x1"])
+
 
-    return F.size(F.filter("_edges", crosses)) % 2 == 1
+def _clipped(edges: Column, odd: Column, cx: Column, cy: Column, level: Column, cell: float) -> Column:
+    """(odd, edges) of a cell: the edges whose crossing depends on the place in the cell, and whether all others are crossed oddly.
+
+    A ray runs to the right of a pixel. Edges left of the cell are never crossed. A chain of edges that pass the rows of the cell to the
+    right of it, or don't reach them, is crossed as oddly as any line between its ends, so a far line takes its place. One that spans all
+    rows always is crossed and only counted; one outside the rows, or closed, never. What is left are the edges in the cell and a few lines.
+    """
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), level)
+    slack = 1e-6 * side
+    x0, x1, y0, y1 = cx * side - slack, (cx + 1) * side + slack, cy * side - slack, (cy + 1) * side + slack
+    low, high = lambda e: F.least(e["y1"], e["y2"]), lambda e: F.greatest(e["y1"], e["y2"])
+    at = lambda e, y: e["x1"] + (e["x2"] - e["x1"]) * F.try_divide(y - e["y1"], e["y2"] - e["y1"])
+    ends_at = lambda e: (at(e, F.greatest(low(e), y0)), at(e, F.least(high(e), y1)))
+    in_rows = lambda e: (e["y1"] != e["y2"]) & (low(e) <= y1) & (high(e) > y0)
+    spans = lambda e: (low(e) <= y0) & (high(e) > y1)
+    passes = lambda e: F.coalesce(~in_rows(e) | (F.least(*ends_at(e)) > x1), F.lit(True))
+    marked = F.transform(edges, lambda e: F.struct(passes(e).alias("far"), e.alias("e")))
+    meet = lambda a, b: F.coalesce(a["far"] & b["far"] & (a["e"]["j"] == b["e"]["i"]), F.lit(False))
+    far = F.lit(1e300)
+
+    def parts(e: Column) -> Column:
+        begins = F.filter(e, lambda x, k: x["far"] & ((k == 0) | ~meet(F.get(e, k - 1), x)))
+        ends = F.filter(e, lambda x, k: x["far"] & ~meet(x, F.get(e, k + 1)))
+        lines = F.zip_with(begins, ends, lambda a, b: F.struct(a["e"]["i"].alias("i"), b["e"]["j"].alias("j"), far.alias("x1"), a["e"]["y1"].alias("y1"), far.alias("x2"), b["e"]["y2"].alias("y2")))
+        near = F.transform(F.filter(e, lambda x: ~x["far"] & (F.greatest(*ends_at(x["e"])) >= x0)), lambda x: x["e"])
+        return F.struct(F.filter(lines, in_rows).alias("lines"), near.alias("near"))
+
+    def result(p: Column) -> Column:
+        rest = F.array_sort(F.concat(p["near"], F.filter(p["lines"], lambda e: ~spans(e))))
+        return F.struct(((odd + F.size(F.filter(p["lines"], spans))) % 2).alias("odd"), rest.alias("edges"))
+
+    return _let(_let(marked, parts), result)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression on a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def zone_cover(zones: DataFrame, cell: float, field: str = "zone_id") -> tuple[DataFrame, int]:
+    """Quadtree cells that cover each zone, (field, level, cx, cy, odd, edges), and the highest level.
+
+    A cell of level l has the side cell * 2 ** l. It starts about as large as its zone and is split while more than MOST_EDGES edges
+    need a test in it, down to ``cell``. Cells inside a zone carry no edges, cells outside are dropped: their number
+    follows the edges of a zone and not its area, and every zone is covered in its own row, without a shuffle. A zone may have
+    several parts and holes: a column ``rings`` of rings, or one ``ring``. Zones without three points hold nothing.
+    """
+    z = valid_zones(zones, field).select(field, _edges(zones).alias("e")).where(F.size("e") >= 3)
+    x, y = F.col("e.x1"), F.col("e.y1")
+    extent = F.greatest(F.array_max(x) - F.array_min(x), F.array_max(y) - F.array_min(y))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(cell)) / cell))).cast("int")
+    level = (F.ceil(level / STEP) * STEP).cast("int")
+    z = z.withColumn("level", level)
+    top, most = (x or 0 for x in z.agg(F.max("level"), F.max(F.size("e"))).first())
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda c: F.sequence(F.floor(F.array_min(c) / side), F.floor(F.array_max(c) / side))
+    z = z.select(field, "e", "level", span(y).alias("ys"), F.explode(span(x)).alias("cx")).select(field, "e", "level", "cx", F.explode("ys").alias("cy"))
+    z = z.select(field, "level", "cx", "cy", _clipped(F.col("e"), F.lit(0), F.col("cx"), F.col("cy"), F.col("level"), cell).alias("c"))
+    n = 2**STEP
+    for at in range(top if most > MOST_EDGES else 0, 0, -STEP):
+        split = (F.col("level") == at) & (F.size("c.edges") > MOST_EDGES)
+        parts = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.struct(
+            (F.col("level") - STEP).alias("level"), (F.col("cx") * n + k % n).alias("cx"), (F.col("cy") * n + F.floor(k / n)).alias("cy")))
+        own = F.array(F.struct("level", "cx", "cy"))
+        z = z.select(field, "c", split.alias("s"), F.explode(F.when(split, parts).otherwise(own)).alias("k"))
+        deeper = _clipped(F.col("c.edges"), F.col("c.odd"), F.col("k.cx"), F.col("k.cy"), F.col("k.level"), cell)
+        z = z.select(field, "k.level", "k.cx", "k.cy", F.when(F.col("s"), deeper).otherwise(F.col("c")).alias("c"))
+        z = z.where((F.col("c.odd") == 1) | (F.size("c.edges") > 0))
+    return z.where((F.col("c.odd") == 1) | (F.size("c.edges") > 0)).select(field, "level", "cx", "cy", "c.odd", "c.edges"), top
 
 
 def pixels_in_zones(pixels: DataFrame, zones: DataFrame, cell: float, field: str = "zone_id") -> DataFrame:
-    """Pixels with the zone holding their centre.
+    """Pixels with each zone holding their centre; all columns of the pixels and the zone.
 
-    Pixels and zones meet on the square grid cell (side ``cell``) they lie in, an equality
-    join; a cell about as large as a typical zone keeps both the copies of a zone and the
-    candidates of a pixel few. The polygon test itself is one expression on the joined row.
+    Pixels meet the quadtree cells of the zones by equality, under one key for each second level. In a cell inside a zone
+    nothing is tested; in a border cell a pixel is tested against the few edges of the cell. ``cell`` is the smallest side of a cell, well
+    below the smallest zone. Pixels without a place are in no zone.
     """
-    x, y = F.col("ring.x"), F.col("ring.y")
-    span = lambda c: F.sequence(F.floor(F.array_min(c) / cell), F.floor(F.array_max(c) / cell))
-    cells = (
-        _with_edges(valid_zones(zones, field))
-        .select(field, "_edges", span(y).alias("_ys"), F.explode(span(x)).alias("_cx"))
-        .select(field, "_edges", "_cx", F.explode("_ys").alias("_cy"))
-    )
-    p = pixels.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
-    return (p.join(cells, ["_cx", "_cy"]).where(_inside(F.col("x"), F.col("y")))
-            .drop("_edges", "_cx", "_cy"))
+    cover, top = zone_cover(zones, cell, field)
+    bx, by = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
+    keys = F.array(*[F.struct(F.lit(at).alias("level"), F.shiftright(F.col("_bx"), at).alias("cx"), F.shiftright(F.col("_by"), at).alias("cy")) for at in range(0, top + 1, STEP)])
+    p = pixels.withColumns({"_bx": bx.cast("long"), "_by": by.cast("long")})
+    p = p.select(*pixels.columns, F.explode(keys).alias("_k")).select(*pixels.columns, F.col("_k.level").alias("_level"), F.col("_k.cx").alias("_cx"), F.col("_k.cy").alias("_cy"))
+    c = cover.select(field, *[F.col(n).alias("_" + n) for n in ("level", "cx", "cy", "odd", "edges")])
+    hit = p.join(c, ["_level", "_cx", "_cy"])
+    inside = (F.col("_odd") + F.size(F.filter("_edges", lambda e: _crosses(e, F.col("x"), F.col("y"))))) % 2 == 1
+    return hit.where(inside).drop("_level", "_cx", "_cy", "_odd", "_edges")
 
 
 def raster_alias(name: str | Column, mode: str = "year") -> str | Column:

@@ -56,6 +56,12 @@ SQL["pix_zone"] = """
     SELECT *, CAST(u * 5 + v AS INTEGER) AS zone_id FROM (
       SELECT *, floor((200 * x - 7 * y) / 39923) AS u, floor((200 * y - 11 * x) / 39923) AS v FROM pixels)
     WHERE u BETWEEN 0 AND 4 AND v BETWEEN 0 AND 4"""
+SQL["ring_zone"] = """
+    SELECT p.*, zone_id FROM (SELECT *, fu - floor(fu) AS du, fv - floor(fv) AS dv, CAST(floor(fu) * 5 + floor(fv) AS INTEGER) AS k FROM (
+      SELECT *, (200 * x - 7 * y) / 39923 AS fu, (200 * y - 11 * x) / 39923 AS fv FROM pixels) WHERE fu >= 0 AND fu < 5 AND fv >= 0 AND fv < 5) p,
+      unnest([CASE WHEN NOT (du BETWEEN 0.3 AND 0.7 AND dv BETWEEN 0.3 AND 0.7) THEN k END, CASE WHEN du BETWEEN 0.4 AND 0.55 AND dv BETWEEN 0.4 AND 0.55 THEN k + 200 END,
+              CASE WHEN NOT (fu BETWEEN 1.3 AND 3.7 AND fv BETWEEN 1.3 AND 3.7) OR (fu BETWEEN 2.1 AND 2.9 AND fv BETWEEN 2.1 AND 2.9) THEN 100 END]) t(zone_id)
+    WHERE zone_id IS NOT NULL"""
 SQL["params"] = """
     SELECT CAST(r_regionkey + 1 AS INTEGER) AS step_no, CAST(r_regionkey AS INTEGER) AS pos, 'v' || CAST(r_regionkey + 1 AS VARCHAR) AS name,
            avg(c_acctbal) / 5000 AS standard, avg(c_acctbal) / 5000 - 0.25 AS lower,
@@ -107,7 +113,21 @@ def zone_polygons(s, d):
     return n.withColumn("ring", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).withColumn("area_m2", F.lit(39923.0))
 
 
-CELL = 200.0
+CELL = 12.5
+
+
+def ring_zones(s, d):
+    """Zones with holes and several parts: the nations with a hole each, tiny ones, and one zone a thousand times larger with a hole and an island."""
+    n = views.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
+    i, j = F.floor(F.col("k") / 5), F.col("k") % 5
+    corner = lambda a, b: F.struct((200.0 * a + 7.0 * b).alias("x"), (11.0 * a + 200.0 * b).alias("y"))
+    box = lambda u, v, lo, hi: F.array(corner(u + lo, v + lo), corner(u + hi, v + lo), corner(u + hi, v + hi), corner(u + lo, v + hi))
+    zero = F.lit(0.0)
+    holed = n.select(F.col("k").alias("zone_id"), F.array(box(i, j, 0.0, 1.0), box(i, j, 0.3, 0.7)).alias("rings"), F.lit(0.84 * 39923).alias("area_m2"))
+    tiny = n.select((F.col("k") + 200).alias("zone_id"), F.array(box(i, j, 0.4, 0.55)).alias("rings"), F.lit(0.0225 * 39923).alias("area_m2"))
+    large = n.where("k = 0").select((F.col("k") + 100).alias("zone_id"), F.array(box(zero, zero, 0.0, 5.0), box(zero, zero, 1.3, 3.7), box(zero, zero, 2.1, 2.9)).alias("rings"),
+                                    F.lit(19.88 * 39923).alias("area_m2"))
+    return holed.unionByName(tiny).unionByName(large)
 
 
 def params(s, d):
@@ -337,6 +357,11 @@ def register(r: Registry) -> None:
               "zone_id pixels_included_1970 pixels_included_1980 pixels_included_1990")
     r.add("j12_pixels_in_zones", lambda s, d: zones.pixels_in_zones(pixels(s, d), zone_polygons(s, d), CELL),
           "SELECT raster_id, x, y, value, zone_id FROM pix_zone", "pixels pix_zone", "x y value", "raster_id zone_id")
+    r.add("j12_pixels_in_rings", lambda s, d: zones.pixels_in_zones(pixels(s, d), ring_zones(s, d), CELL),
+          "SELECT raster_id, x, y, value, zone_id FROM ring_zone", "pixels ring_zone", "x y value", "raster_id zone_id")
+    r.add("a13_zonal_sum_rings", lambda s, d: zones.zonal_long(pixels(s, d), ring_zones(s, d), CELL),
+          "SELECT zone_id, split_part(raster_id, '_', 2) AS alias, round_even(sum(value), 0) AS stat, CAST(count(*) AS INTEGER) AS pixels_included FROM ring_zone WHERE value <> 0 GROUP BY 1, 2",
+          "pixels ring_zone", "stat", "zone_id alias pixels_included")
     half = "half_width_rel lower_factor upper_factor"
     clip = "SELECT h AS half_width_rel, greatest(0, 1 - h) AS lower_factor, 1 + h AS upper_factor FROM (SELECT greatest(0, least(2, {h})) AS h FROM ({src}))"
     for method, h in (("p95_rel_se", "quantile_cont(abs(se / greatest(abs(value), 1e-12)), 0.95)"), ("rmse_rel_center", "sqrt(avg(se * se)) / greatest(avg(abs(value)), 1e-12)"),
@@ -353,6 +378,10 @@ def register(r: Registry) -> None:
           FROM pix_zone GROUP BY 1)"""
     unc = lambda s, d: zones.zone_uncertainty(pixels(s, d), zone_polygons(s, d), CELL, 20.0)
     r.add("a16_zone_uncertainty", unc, "SELECT * FROM zone_unc", "pixels pix_zone zone_unc", "mean_pixel_var center_mean n_eff sd_zone half_width_rel", "zone_id n_pixels")
+    area = "CASE WHEN zone_id = 100 THEN 19.88 WHEN zone_id >= 200 THEN 0.0225 ELSE 0.84 END * 39923"
+    SQL["ring_unc"] = SQL["zone_unc"].replace("pix_zone", "ring_zone").replace("39923", f"any_value({area})")
+    r.add("a16_zone_uncertainty_rings", lambda s, d: zones.zone_uncertainty(pixels(s, d), ring_zones(s, d), CELL, 20.0), "SELECT * FROM ring_unc", "pixels ring_zone ring_unc",
+          "mean_pixel_var center_mean n_eff sd_zone half_width_rel", "zone_id n_pixels")
     for c, h in (("median", "quantile_cont(half_width_rel, 0.5)"), ("p90", "quantile_cont(half_width_rel, 0.9)"), ("max", "max(half_width_rel)")):
         r.add(f"a16_zone_uncertainty_{c}", lambda s, d, c=c: zones.collapse_zone_uncertainty(unc(s, d), c),
               clip.format(h="h0", src=f"SELECT {h} AS h0 FROM zone_unc"), "pixels pix_zone zone_unc", half)

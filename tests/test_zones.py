@@ -48,6 +48,35 @@ def test_random_pixels_against_brute_force(spark):
     assert got == {i for i, (x, y) in enumerate(pts) if inside(x, y)}
 
 
+def test_rings_holes_and_unequal_zones(spark):
+    """Zones with holes, islands and parts, sizes 1000 times apart, against the plain even-odd rule."""
+    rng = np.random.default_rng(3)
+
+    def blob(cx, cy, r, n):
+        a = np.sort(rng.random(n)) * 2 * np.pi
+        k = r * (0.6 + 0.4 * rng.random(n))
+        return [(float(cx + d * np.cos(t)), float(cy + d * np.sin(t))) for d, t in zip(k, a)]
+
+    shapes = [(0, [blob(0, 0, 1000, 400), blob(50, 50, 300, 100), blob(60, 60, 80, 30), blob(1500, -200, 150, 40)])]
+    shapes += [(i, [blob(float(rng.uniform(-800, 800)), float(rng.uniform(-800, 800)), 1.5, 9)]) for i in range(1, 40)] + [(90, []), (91, None), (92, [[(0.0, 0.0)]])]
+    z = spark.createDataFrame(shapes, f"zone_id int, rings array<{RING}>")
+    pts = np.concatenate([rng.uniform(-1100, 1700, (3000, 2)), *[np.array(r[0][0]) + rng.uniform(-3, 1, (20, 2)) for _, r in shapes[1:40]]])
+    px = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)] + [(-1, None, 0.0)], "id int, x double, y double").withColumn("level", F.lit("own"))
+    got = {(r["id"], r["zone_id"]) for r in zones.pixels_in_zones(px, z, 0.5).collect()}
+    want = set()
+    for zone, rings in shapes:
+        edges = [(p, q) for r in rings or [] for p, q in zip(r, r[1:] + r[:1])]
+        for i, (x, y) in enumerate(pts):
+            if sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in edges) % 2:
+                want.add((i, zone))
+    assert got == want and len({k for _, k in want}) > 30
+    cover, top = zones.zone_cover(z, 0.5)
+    cells = cover.groupBy("zone_id").agg(F.count("*").alias("n"), F.max(F.size("edges")).alias("edges"), F.sum((F.size("edges") == 0).cast("int")).alias("inner")).collect()
+    large = next(c for c in cells if c.zone_id == 0)
+    assert large.n < 8 * 570 and large.inner > 50  # a grid of that cell would have millions
+    assert all(c.edges <= zones.MOST_EDGES for c in cells if c.zone_id) and top <= 14
+
+
 def test_uncertainty(spark):
     px = spark.createDataFrame([("r", 5.0, 5.0, 10.0, 1.0, 9.0), ("r", 6.0, 6.0, 0.0, 2.0, 9.0), ("r", 12.0, 5.0, 4.0, None, 1.0)], "raster_id string, x double, y double, value double, se double, q50 double")
     r = zones.grid_uncertainty(px, "rmse_rel_center").first()
