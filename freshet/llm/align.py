@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from freshet.llm.common import saved, table
+from freshet.llm.common import saved, slices, table
 
 #: Ends that one piece of a merge takes.
 PIECE = 1 << 16
@@ -174,20 +174,6 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(upto)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 400, most: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Ids and texts in slices of at most so many rows, and of few bytes beyond `most`."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, batch.num_rows, rows):
-            part = texts.slice(at, rows).to_pylist()
-            begin = size = 0
-            for k, t in enumerate(part):
-                size += len(t or "")
-                if size > most or k == len(part) - 1:
-                    yield ids.slice(at + begin, k + 1 - begin), part[begin : k + 1]
-                    begin, size = k + 1, 0
-
-
 def aligned(docs: DataFrame, id: str = "doc_id", text: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """(id, a_ids, b_ids, a_counts, b_counts): token ids of both tokenizers, and how many of each every group takes, in order.
 
@@ -198,7 +184,7 @@ def aligned(docs: DataFrame, id: str = "doc_id", text: str = "text", a_path: str
     a_path, b_path = a_path or _path("byte_bpe_50k.json"), b_path or _path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _slices(batches):
+        for ids, texts in slices(batches):
             x = Aligned(texts, a_path, b_path)
             lists = {n: pa.ListArray.from_arrays(np.append(0, np.cumsum(k)).astype(np.int32), pa.array(v.astype(np.int32)))
                      for n, v, k in (("a_ids", x.a, x.n_a), ("b_ids", x.b, x.n_b), ("a_counts", x.ga, x.n_groups), ("b_counts", x.gb, x.n_groups))}
@@ -233,7 +219,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", a_path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [len(of(path)[1]) for of, path in ((byte_level, a_path), (piece_level, b_path))]
         parts, held, block = [], 0, TaskContext.get().partitionId() << 32
-        for ids, texts in _slices(batches):
+        for ids, texts in slices(batches):
             x = Aligned(texts, a_path, b_path)
             pair, times, per = x.pairs()
             parts.append({"id": ids, "n_a": x.n_a, "n_b": x.n_b, "n_groups": x.n_groups, "n_links": x.n_links, "sha": x.digests(*sizes),

@@ -9,10 +9,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import blocked, distinct_words, opened, packed, squeezed, summed, table, unpacked
+from freshet.llm.common import saved, slices, table
+
+#: Text in a block, which asks for each of its distinct words once.
+BLOCK_BYTES = 16_000_000
 
 #: How the vocabulary splits text before merging, and how it shows bytes as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,62 +85,79 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     """(id, ids): the token ids of each text, one row for each row of docs; none for null and empty texts. back: also `decoded`,
     the text of these ids.
 
-    Documents lie in blocks. The distinct words of each block go to buckets by hash; there each distinct word of the corpus is
-    encoded once, and its ids return to the blocks that asked. In a block the words of each document are replaced by ids in their
-    order. What moves is each text once and each word once for each block, both compressed, so a frequent word isn't a hot key. Long texts
-    are whole rows. Other columns are left out.
+    Texts are split once, in blocks of some 16 MB that follow each other in one task. A block numbers its distinct words, and from then on a
+    document is the numbers of its words, written once. The blocks' words are rows; each distinct word of the corpus is
+    encoded once and joined back to the blocks that asked, by position. A frequent word is one row for each block, so it is no hot key, and
+    no text moves. Long texts are whole rows. Other columns are left out.
     """
     path = path or vocabulary()
-    spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
-    own = blocked(docs, id, text)
-    asked = distinct_words(own, lambda t, _: {w.encode(): 1 for w in set(split(t, path))}, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def encoded(rows: pa.Table) -> pa.Table:
-        lists, total = summed(rows)
-        words = list(total)
+    def block_rows(block: int, parts: list[tuple[pa.Array, list[np.ndarray]]], at: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"block": pa.array([block]), "id": pa.nulls(1, parts[0][0].type), "numbers": pa.nulls(1, pa.binary()), "words": pa.array([list(at)], pa.list_(pa.string()))})
+        form = np.uint16 if len(at) <= 1 << 16 else np.uint32
+        for ids, numbers in parts:
+            n = len(numbers)
+            packs = [bytes([form().itemsize]) + zstandard.compress(x.astype(form).tobytes(), 1) for x in numbers]
+            yield pa.record_batch({"block": pa.array(np.full(n, block)), "id": ids, "numbers": pa.array(packs, pa.binary()), "words": pa.nulls(n, pa.list_(pa.string()))})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, at, held, block = [], {}, 0, TaskContext.get().partitionId() << 32
+        for ids, texts in slices(batches):
+            own = []
+            for t in texts:
+                words = split(t, path) if t else []
+                for w in set(words):
+                    at.setdefault(w, len(at))
+                own.append(np.fromiter(map(at.__getitem__, words), np.uint32, len(words)))
+                held += len(t or "")
+            parts.append((ids, own))
+            if held > BLOCK_BYTES:
+                yield from block_rows(block, parts, at)
+                parts, at, held, block = [], {}, 0, block + 1
+        if parts:
+            yield from block_rows(block, parts, at)
+        pa.default_memory_pool().release_unused()
+
+    out = saved(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(number, f"block long, id {kind}, numbers binary, words array<string>"))
+    asked = out.where("words is not null").select(F.col("block").alias("asked_by"), F.posexplode("words").alias("at", "word"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, form = _tokenizer(path), width(path)
-        ids = {}
-        for i in range(0, len(words), 5000):
-            some = words[i : i + 5000]
-            for w, e in zip(some, t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, form).tobytes()
-        return pa.table({"block": rows["block"], "words": rows["words"], "ids": pa.array([squeezed([ids[w] for w in x]) for x in lists], pa.binary())})
-
-    answers = asked.groupBy("bucket").applyInArrow(encoded, "block long, words binary, ids binary")
-
-    def joined(key: tuple, texts: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
-        at: dict[str, int] = {}
-        own: list[bytes] = []
-        for w, x in zip(found["words"].to_pylist(), found["ids"].to_pylist(), strict=True):
-            for word, ids in zip(opened(w), opened(x), strict=True):
-                if at.setdefault(word.decode(), len(own)) == len(own):
-                    own.append(ids)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                words = batch["word"].slice(i, 5000)
+                ids = [np.array(e.ids, form).tobytes() for e in t.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+                yield pa.record_batch({"word": words, "ids": pa.array(ids, pa.binary())})
+
+    known = asked.select("word").distinct().mapInArrow(encoded, "word string, ids binary")
+    answers = asked.join(known, "word").select("asked_by", "at", "ids")
+
+    def joined(texts: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
         form = width(path)
-        n = np.fromiter(map(len, own), np.int64, len(own)) // form.itemsize
-        start, flat = np.cumsum(n) - n, np.frombuffer(b"".join(own), form)
-        del own
-        for batch in unpacked(texts["pack"]):
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                docs_ = [np.array([at[w] for w in split(t or "", path)], np.int64) for t in part["text"].to_pylist()]
-                word = np.concatenate([*docs_, np.array([], np.int64)])
-                upto = np.cumsum(n[word]) if len(word) else word
-                ids = flat[np.repeat(start[word] - upto + n[word], n[word]) + np.arange(upto[-1] if len(upto) else 0)]
-                ends = np.cumsum([len(d) for d in docs_])
-                offsets = np.r_[0, np.r_[0, upto][ends]].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-                yield pa.record_batch({"id": part["id"], "ids": lists} | ({"decoded": texts_of(lists, path)} if back else {}))
+        order = np.argsort(found["at"].to_numpy())
+        own = found["ids"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary())
+        n = pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) // form.itemsize
+        start, flat = np.cumsum(n) - n, np.frombuffer(b"".join(own.to_pylist()), form)
+        for begin in range(0, texts.num_rows, 500):
+            part = texts.slice(begin, 500)
+            docs_ = [np.frombuffer(zstandard.decompress(p[1:]), np.dtype(f"u{p[0]}")).astype(np.int64) for p in part["numbers"].to_pylist()]
+            word = np.concatenate([*docs_, np.array([], np.int64)])
+            upto = np.cumsum(n[word]) if len(word) else word
+            ids = flat[np.repeat(start[word] - upto + n[word], n[word]) + np.arange(upto[-1] if len(upto) else 0)]
+            ends = np.cumsum([len(d) for d in docs_])
+            offsets = np.r_[0, np.r_[0, upto][ends]].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+            yield pa.record_batch({"id": part["id"].combine_chunks(), "ids": lists} | ({"decoded": texts_of(lists, path)} if back else {}))
 
     def join(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        out = pa.Table.from_batches(joined(key, texts, found), pa.schema([("id", texts_type(texts)), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 3 if back else 2]))
+        out = pa.Table.from_batches(joined(texts, found), pa.schema([("id", texts.schema.field("id").type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 3 if back else 2]))
         pa.default_memory_pool().release_unused()
         return out
 
-    def texts_type(texts: pa.Table) -> pa.DataType:
-        return next((b.schema.field("id").type for b in unpacked(texts["pack"])), pa.int64())
-
-    out = packed(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, f"id {kind}, ids array<int>" + ", decoded string" * back)
-    return out.withColumnRenamed("id", id)
+    rows = out.where("words is null").select("block", "id", "numbers")
+    found = rows.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(join, f"id {kind}, ids array<int>" + ", decoded string" * back)
+    return found.withColumnRenamed("id", id)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, to: str = "decoded") -> DataFrame:

@@ -68,6 +68,20 @@ def blocked(docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes
     return own.select("id", "text", F.xxhash64("f", part).alias("block"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 400, most: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts in slices of at most so many rows, and of few bytes beyond `most`."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        for at in range(0, batch.num_rows, rows):
+            part = texts.slice(at, rows).to_pylist()
+            begin = size = 0
+            for k, t in enumerate(part):
+                size += len(t or "")
+                if size > most or k == len(part) - 1:
+                    yield ids.slice(at + begin, k + 1 - begin), part[begin : k + 1]
+                    begin, size = k + 1, 0
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(block, pack): the rows of each block in compressed pieces, to be moved in few bytes and opened by `unpacked`."""
 
