@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import saved, slices, table
+from freshet.llm.common import opened, slices, squeezed, table
 
-#: Text in a block, which asks for each of its distinct words once.
-BLOCK_BYTES = 16_000_000
+#: Text in a block, which asks for each of its distinct words once, and binary digits of a word's number in its block.
+BLOCK_BYTES, PLACES = 48_000_000, 26
 
 #: How the vocabulary splits text before merging, and how it shows bytes as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -81,28 +81,52 @@ def texts_of(ids: pa.Array, path: str) -> pa.Array:
     return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.string()))
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers, frequent ones low, as compressed bytes: one byte below 240, else three; four where three don't reach."""
+    n = len(numbers).to_bytes(4, "little")
+    if len(numbers) and numbers.max() >= 16 << 16:
+        return b"\1" + n + zstandard.compress(numbers.astype(np.uint32).tobytes(), 1)
+    more = numbers >= 240
+    first = np.where(more, 240 + (numbers >> 16), numbers).astype(np.uint8)
+    return b"\0" + n + zstandard.compress(first.tobytes() + (numbers[more] & 0xFFFF).astype(np.uint16).tobytes(), 1)
+
+
+def _numbers(value: bytes) -> np.ndarray:
+    n, raw = int.from_bytes(value[1:5], "little"), zstandard.decompress(value[5:])
+    if value[0]:
+        return np.frombuffer(raw, np.uint32).astype(np.int64)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    more = out >= 240
+    out[more] = (out[more] - 240 << 16) + np.frombuffer(raw, np.uint16, offset=n)
+    return out
+
+
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, back: bool = False) -> DataFrame:
     """(id, ids): the token ids of each text, one row for each row of docs; none for null and empty texts. back: also `decoded`,
     the text of these ids.
 
-    Texts are split once, in blocks of some 16 MB that follow each other in one task. A block numbers its distinct words, and from then on a
-    document is the numbers of its words, written once. The blocks' words are rows; each distinct word of the corpus is
-    encoded once and joined back to the blocks that asked, by position. A frequent word is one row for each block, so it is no hot key, and
-    no text moves. Long texts are whole rows. Other columns are left out.
+    Texts are split once, in blocks of some 48 MB that follow each other in one task. A block numbers its distinct words, and from then on a
+    document is the numbers of its words; one shuffle of them by block serves both what follows. The blocks' words are rows, which meet
+    by word; each distinct word of the corpus is encoded once, and its ids go back to the blocks that asked and are joined by position. A
+    frequent word is one row for each block, so it is no hot key, and no text moves. Long texts are whole rows. Other columns are left out.
     """
     path = path or vocabulary()
     kind = docs.schema[id].dataType.simpleString()
 
     def block_rows(block: int, parts: list[tuple[pa.Array, list[np.ndarray]]], at: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        yield pa.record_batch({"block": pa.array([block]), "id": pa.nulls(1, parts[0][0].type), "numbers": pa.nulls(1, pa.binary()), "words": pa.array([list(at)], pa.list_(pa.string()))})
-        form = np.uint16 if len(at) <= 1 << 16 else np.uint32
-        for ids, numbers in parts:
-            n = len(numbers)
-            packs = [bytes([form().itemsize]) + zstandard.compress(x.astype(form).tobytes(), 1) for x in numbers]
-            yield pa.record_batch({"block": pa.array(np.full(n, block)), "id": ids, "numbers": pa.array(packs, pa.binary()), "words": pa.nulls(n, pa.list_(pa.string()))})
+        if len(at) > 1 << PLACES:
+            raise ValueError("a block has too many distinct words")
+        count = np.bincount(np.concatenate([x for _, own in parts for x in own] + [np.array([], np.int64)]).astype(np.int64), minlength=len(at))
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at))
+        words = [w.encode() for w in at]
+        yield pa.record_batch({"block": pa.array([block]), "id": pa.nulls(1, parts[0][0].type), "numbers": pa.nulls(1, pa.binary()), "words": pa.array([squeezed([words[i] for i in order])], pa.binary())})
+        for ids, own in parts:
+            yield pa.record_batch({"block": pa.array(np.full(len(own), block)), "id": ids, "numbers": pa.array([_small(rank[x]) for x in own], pa.binary()), "words": pa.nulls(len(own), pa.binary())})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, at, held, block = [], {}, 0, TaskContext.get().partitionId() << 32
+        parts, at, held, block = [], {}, 0, TaskContext.get().partitionId() << 14
         for ids, texts in slices(batches):
             own = []
             for t in texts:
@@ -119,44 +143,48 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
             yield from block_rows(block, parts, at)
         pa.default_memory_pool().release_unused()
 
-    out = saved(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(number, f"block long, id {kind}, numbers binary, words array<string>"))
-    asked = out.where("words is not null").select(F.col("block").alias("asked_by"), F.posexplode("words").alias("at", "word"))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words in zip(batch["block"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                own = opened(words) if words is not None else []
+                for i in range(0, len(own), 20_000):
+                    some = own[i : i + 20_000]
+                    yield pa.record_batch({"word": pa.array(some, pa.binary()), "place": pa.array((block << PLACES) + i + np.arange(len(some)))})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, form = _tokenizer(path), width(path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 5000):
-                words = batch["word"].slice(i, 5000)
-                ids = [np.array(e.ids, form).tobytes() for e in t.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-                yield pa.record_batch({"word": words, "ids": pa.array(ids, pa.binary())})
+        for batch in batches:  # equal words follow one another
+            known = batch["word"].dictionary_encode()
+            ids = [np.array(e.ids, form).tobytes() for e in t.encode_batch_fast([w.decode() for w in known.dictionary.to_pylist()], add_special_tokens=False)]
+            found = pa.array(ids, pa.binary()).take(known.indices)
+            yield pa.record_batch({"asked_by": pa.array(batch["place"].to_numpy() >> PLACES), "at": pa.array((batch["place"].to_numpy() & (1 << PLACES) - 1).astype(np.int32)), "ids": found})
 
-    known = asked.select("word").distinct().mapInArrow(encoded, "word string, ids binary")
-    answers = asked.join(known, "word").select("asked_by", "at", "ids")
+    # what becomes of a row is settled in the tasks, so that both sides read the same shuffle
+    blocks = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(number, f"block long, id {kind}, numbers binary, words binary").repartition("block")
+    asked = blocks.mapInArrow(ask, "word binary, place long")
+    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, "asked_by long, at int, ids binary")
 
     def joined(texts: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
         form = width(path)
-        order = np.argsort(found["at"].to_numpy())
-        own = found["ids"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary())
+        own = found["ids"].take(pa.array(np.argsort(found["at"].to_numpy()))).combine_chunks() if found.num_rows else pa.array([], pa.binary())
         n = pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) // form.itemsize
         start, flat = np.cumsum(n) - n, np.frombuffer(b"".join(own.to_pylist()), form)
-        for begin in range(0, texts.num_rows, 500):
-            part = texts.slice(begin, 500)
-            docs_ = [np.frombuffer(zstandard.decompress(p[1:]), np.dtype(f"u{p[0]}")).astype(np.int64) for p in part["numbers"].to_pylist()]
+        for batch in texts.filter(pc.is_valid(texts["numbers"])).to_batches(500):
+            docs_ = [_numbers(p) for p in batch["numbers"].to_pylist()]
             word = np.concatenate([*docs_, np.array([], np.int64)])
             upto = np.cumsum(n[word]) if len(word) else word
             ids = flat[np.repeat(start[word] - upto + n[word], n[word]) + np.arange(upto[-1] if len(upto) else 0)]
             ends = np.cumsum([len(d) for d in docs_])
             offsets = np.r_[0, np.r_[0, upto][ends]].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-            yield pa.record_batch({"id": part["id"].combine_chunks(), "ids": lists} | ({"decoded": texts_of(lists, path)} if back else {}))
+            yield pa.record_batch({"id": batch["id"], "ids": lists} | ({"decoded": texts_of(lists, path)} if back else {}))
 
     def join(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         out = pa.Table.from_batches(joined(texts, found), pa.schema([("id", texts.schema.field("id").type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 3 if back else 2]))
         pa.default_memory_pool().release_unused()
         return out
 
-    rows = out.where("words is null").select("block", "id", "numbers")
-    found = rows.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(join, f"id {kind}, ids array<int>" + ", decoded string" * back)
+    found = blocks.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(join, f"id {kind}, ids array<int>" + ", decoded string" * back)
     return found.withColumnRenamed("id", id)
 
 
