@@ -6,6 +6,7 @@ Group sizes here are bounded by the number of runs: a reach has one row per run
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,28 @@ def _name(p: int) -> str:
     return f"p{p:02d}"
 
 
+def fan_state(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, date, values, total): the sorted values of all runs for each key and day, from which any fan follows.
+
+    Stored, it takes in later runs by ``merge_states`` without the rows of the earlier ones. A run must not be added twice.
+    """
+    return (df.where(F.col(value).isNotNull()).groupBy(*keys, "date")
+            .agg(F.sort_array(F.collect_list(value)).alias("values"), F.sum(value).alias("total")))
+
+
+def merge_states(states: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One state out of several of different runs."""
+    both = reduce(DataFrame.unionByName, states)
+    return both.groupBy(*keys, "date").agg(F.sort_array(F.flatten(F.collect_list("values"))).alias("values"), F.sum("total").alias("total"))
+
+
+def fan_of(state: DataFrame, keys: Sequence[str], percentiles: Sequence[int] = FAN_PERCENTILES) -> DataFrame:
+    """The fan of a stored state."""
+    picks = [quantile_of("values", p / 100.0).alias(_name(p)) for p in percentiles]
+    n = F.size("values").cast("long")
+    return state.select(*keys, "date", F.get("values", F.lit(0)).alias("min"), *picks, F.element_at("values", -1).alias("max"), (F.col("total") / n).alias("mean"), n.alias("n_values"))
+
+
 def fan(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[int] = FAN_PERCENTILES) -> DataFrame:
     """min, max, mean and percentiles across runs for each key and day.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -150,6 +152,20 @@ def register(r: Registry) -> None:
         SELECT CAST(run_id AS INTEGER) AS run_no, 'same' AS run_id, rch, date, load_kg, flow_cms FROM sim WHERE run_id IN ('2', '4', '5')
         QUALIFY row_number() OVER (PARTITION BY rch, date ORDER BY run_id DESC) = 1""", "sim", "load_kg flow_cms", "run_no run_id rch date")
 
+    def stored_runs(s, d):
+        """All runs stored, the fourth replaced, and three read back by a list of numbers."""
+        path = f"{s.conf.get('spark.checkpoint.dir', '') or s.conf.get('spark.sql.warehouse.dir')}/runs-{uuid.uuid4().hex}"
+        no = F.col("run_id").cast("int")
+        x = views.sim(s, d).select(no.alias("run_no"), F.when(no.isin(4, 5), "same").otherwise(F.col("run_id")).alias("run_id"), "rch", "date", "load_kg")
+        tables.write_runs(x, path)
+        tables.write_runs(x.where("run_no = 4").withColumn("load_kg", F.col("load_kg") * 2), path, only_these=True)
+        return tables.read_runs(s, path, s.createDataFrame([(2,), (4,), (5,)], "run_no int"))
+
+    r.add("k5_stored_runs", stored_runs, """
+        SELECT CAST(run_id AS INTEGER) AS run_no, CASE WHEN run_id IN ('4', '5') THEN 'same' ELSE run_id END AS run_id, rch, date, CASE WHEN run_id = '4' THEN 2 ELSE 1 END * load_kg AS load_kg
+        FROM sim s WHERE run_id IN ('2', '4', '5') QUALIFY row_number() OVER (PARTITION BY CASE WHEN s.run_id = '2' THEN 0 ELSE 1 END, rch, date ORDER BY s.run_id DESC) = 1""",
+          "sim", "load_kg", "run_no run_id rch date")
+
     def attributes(s, d):
         c = views.table(s, d, "customer")
         raw = c.select(F.concat(F.col("c_custkey").cast("string"), F.lit(",0")).alias("HRU_GIS"), F.col("c_name").alias("label"),

@@ -136,6 +136,15 @@ def register(r: Registry) -> None:
     r.add("a3_fan_daily", lambda s, d: ensemble.fan(views.sim(s, d), ["rch"], "load_kg"),
           f"SELECT rch, date, {fan_sql} FROM (SELECT rch, date, load_kg AS v FROM sim) AS m GROUP BY 1, 2",
           "sim", fan_cols, "rch date n_values")
+    def merged(s, d):
+        """The first four runs as a stored state would hold them, then the fifth and the last two as they arrive."""
+        x, no = views.sim(s, d), F.col("run_id").cast("int")
+        states = [ensemble.fan_state(x.where(c), ["rch"], "load_kg") for c in (no <= 4, no == 5, no > 5)]
+        return ensemble.fan_of(ensemble.merge_states([ensemble.merge_states(states[:2], ["rch"]), states[2]], ["rch"]), ["rch"])
+
+    r.add("a3_fan_of_later_runs", merged,
+          f"SELECT rch, date, {fan_sql} FROM (SELECT rch, date, load_kg AS v FROM sim) AS m GROUP BY 1, 2",
+          "sim", fan_cols, "rch date n_values")
     band_cols = "min p05 p25 p50 p75 p95 max mean"
     band_sql = FAN_SQL.format(q=_quantiles_sql("v", ensemble.BAND_PERCENTILES))
     r.add("a4_bands_half_the_runs", lambda s, d: ensemble.bands(views.sim(s, d), ["rch"], "load_kg"),

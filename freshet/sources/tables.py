@@ -71,6 +71,27 @@ def fingerprints(spark: SparkSession, path: str | Sequence[str], with_hash: bool
     return meta.mapInArrow(_hashed, "path string, size long, mtime double, sha256 string").select("*", label)
 
 
+def changed_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files of a listing (path, size, mtime) that are new, or differ in size or time from a manifest of fingerprints."""
+    old = manifest.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("sha256").alias("_sha"))
+    same = (listing["path"] == old["path"]) & (listing["size"] == F.col("_size")) & (listing["mtime"] == F.col("_mtime")) & F.col("_sha").isNotNull()
+    return listing.join(old, same, "left_anti")
+
+
+def fingerprints_since(spark: SparkSession, path: str | Sequence[str], manifest: DataFrame, kind: str | None = None) -> DataFrame:
+    """Fingerprints of all files there are now, as ``fingerprints`` gives them; files that stand unchanged in the manifest are not read again.
+
+    Files that are gone are left out, and so are their lines of the manifest. Of repeated lines for a file any one counts.
+    """
+    now = fingerprints(spark, path, with_hash=False, kind=kind)
+    fresh = changed_files(now, manifest)
+    known = manifest.where("sha256 is not null").select("path", "size", "mtime", "sha256").dropDuplicates(["path", "size", "mtime"])
+    kept = now.drop("sha256").join(known, ["path", "size", "mtime"])
+    hashed = fresh.select("path", "size", "mtime").mapInArrow(_hashed, "path string, size long, mtime double, sha256 string")
+    columns = ["path", "size", "mtime", "sha256"]
+    return hashed.select(*columns).unionByName(kept.select(*columns)).withColumn("kind", F.lit(kind).cast("string"))
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
@@ -92,17 +113,38 @@ def upstream_files(spark: SparkSession, folder: str, pattern: str, others: Seque
     return listed.distinct()
 
 
-def write_runs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parsed runs as parquet by ``run_no``; a large run is split over several files."""
-    df.hint("rebalance", "run_no").write.mode(mode).partitionBy("run_no").parquet(path)
+def write_runs(df: DataFrame, path: str, mode: str = "overwrite", only_these: bool = False) -> None:
+    """Parsed runs as parquet by ``run_no``; a large run is split over several files.
+
+    ``only_these``: the runs of df replace those stored under the same number, and all others stay as they are.
+    """
+    out = df.hint("rebalance", "run_no").write.mode(mode).partitionBy("run_no")
+    (out.option("partitionOverwriteMode", "dynamic") if only_these else out).parquet(path)
+
 
+def read_runs(spark: SparkSession, path: str, runs: Sequence[int] | DataFrame | None = None, later_wins: bool = True) -> DataFrame:
+    """Selected runs from the parsed dataset; of rows with the same name and day the later run counts.
 
-def read_runs(spark: SparkSession, path: str, runs: Sequence[int] | None = None, later_wins: bool = True) -> DataFrame:
-    """Selected runs from the parsed dataset; of rows with the same name and day the later run counts."""
+    ``runs``: numbers, or a frame with a column run_no; either way only the folders of these runs are read.
+    """
     df = spark.read.parquet(path)
-    if runs is not None:
+    if isinstance(runs, DataFrame):
+        # the wanted numbers prune folders while the query runs
+        df = df.join(runs.select(F.col("run_no").cast("int").alias("run_no")).where("run_no is not null").distinct(), "run_no").select(*df.columns)
+    elif runs is not None:
         df = df.where(F.col("run_no").isin([int(r) for r in runs]))
-    return latest_rows(df) if later_wins else df
+    return latest_runs(df) if later_wins else df
+
+
+def latest_runs(df: DataFrame, name: str = "run_id", keys: Sequence[str] = ("run_id", "rch", "date"), order: str = "run_no") -> DataFrame:
+    """The rows of the latest run for each key, where only names stored under several numbers are shuffled.
+
+    Names and numbers are read first, two columns of which the number is a folder; rows of a name with one number pass as they are.
+    """
+    several = df.groupBy(name).agg((F.min(order) != F.max(order)).alias("_twice")).where("_twice")
+    twice = several.select(F.col(name).alias("_name"))
+    once = df.join(twice, F.col(name).eqNullSafe(F.col("_name")), "left_anti")
+    return once.unionByName(latest_rows(df.join(twice, F.col(name).eqNullSafe(F.col("_name")), "left_semi"), keys, order))
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str] = ("run_id", "rch", "date"), order: str = "run_no") -> DataFrame:

@@ -219,3 +219,73 @@ def test_reconcile(spark):
     r = spark.createDataFrame([("r1", "a.chm"), ("r1", "z.chm"), ("r1", "x.txt"), ("r2", "q.txt")], "name string, path string")
     got = {x["name"]: (x["matched"], x["linked"], x["missing_in_realization"], x["extra_in_realization"]) for x in compare.reconcile_files(w, r, [r"\.chm$"]).collect()}
     assert got == {"r1": (2, 1, 1, 1), "r2": (2, 0, 2, 0)}
+
+
+def test_equal_frames_are_not_joined(spark):
+    """Digests of buckets: only rows of differing buckets meet; counts and means are those of a plain comparison."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, float(rng.randrange(4)), rng.choice((None, 0.0, 2.0, 5.0))) for i in range(2000)]
+    a = spark.createDataFrame(rows, "k int, x double, y double")
+    other = [(k, x + (k % 97 == 0), y if k % 89 else None) for k, x, y in rows]
+    b = spark.createDataFrame(other, "k int, x double, y2 double")
+    left, right, _ = compare.differing_rows(a, b, ["k"], [("x", "x"), ("y", "y2")])
+    assert {r.k for r in left.collect()} == {r.k for r in right.collect()} and 20 < left.count() < 80
+    left, right, same = compare.differing_rows(a, a, ["k"], [("x", "x"), ("y", "y")])
+    assert left.count() == right.count() == 0 and {r["name"]: r.cells for r in same.collect()} == {"x": 2000, "y": 2000}
+    differs = lambda u, v: u is None or v is None or u != v
+    got = {r["name"]: r for r in compare.difference_metrics(a, b, ["k"], ["x"], [("y", "y2")]).collect()}
+    for name, pairs in (("x", [(p[1], q[1]) for p, q in zip(rows, other)]), ("y vs y2", [(p[2], q[2]) for p, q in zip(rows, other)])):
+        gaps = [abs(u - v) for u, v in pairs if u is not None and v is not None]
+        rel = [abs(u - v) / u for u, v in pairs if u and v is not None]
+        r = got[name]
+        assert r.n_different == sum(differs(u, v) for u, v in pairs) and r.max_abs_diff == max(gaps)
+        assert r.mean_abs_diff == pytest.approx(sum(gaps) / len(gaps)) and r.mean_rel_diff == pytest.approx(sum(rel) / len(rel))
+    assert {r["name"]: r.n_different for r in compare.difference_counts(a, a, ["k"], ["x", "y"]).collect()} == {"x": 0, "y": sum(y is None for _, _, y in rows)}
+
+
+def test_runs_are_replaced_and_pruned(spark, tmp_path):
+    d = dt.date(2020, 1, 1)
+    rows = [(n, "same" if n in (4, 5) else f"r{n}", 1, d + dt.timedelta(i), float(n)) for n in range(1, 7) for i in range(3 if n != 5 else 2)]
+    df = spark.createDataFrame(rows + [(3, None, 1, d, 9.0)], "run_no int, run_id string, rch int, date date, v double")
+    path = str(tmp_path / "runs")
+    tables.write_runs(df, path)
+    tables.write_runs(df.where("run_no = 2").withColumn("v", F.lit(-1.0)), path, only_these=True)
+    stored = spark.read.parquet(path)
+    assert stored.count() == df.count() and {r.v for r in stored.where("run_no = 2").collect()} == {-1.0}
+    spark.createDataFrame([(2,), (4,), (5,), (5,), (77,), (None,)], "run_no int").write.parquet(str(tmp_path / "wanted"))
+    wanted = spark.read.parquet(str(tmp_path / "wanted")).where("run_no < 50")
+    got = {(r.run_no, r.run_id, r.date.day, r.v) for r in tables.read_runs(spark, path, wanted).collect()}
+    assert got == {(2, "r2", i, -1.0) for i in (1, 2, 3)} | {(5, "same", 1, 5.0), (5, "same", 2, 5.0), (4, "same", 3, 4.0)}
+    plan = tables.read_runs(spark, path, wanted, later_wins=False)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    every = tables.read_runs(spark, path)
+    assert every.count() == df.count() - 2 and every.where("run_id is null").count() == 1
+
+
+def test_only_changed_files_are_read_again(spark, tmp_path):
+    import hashlib
+
+    for n in "abcd":
+        (tmp_path / f"{n}.txt").write_text(n * 10)
+    first = tables.fingerprints(spark, str(tmp_path), kind="t").collect()
+    kept = [r for r in first if not r.path.endswith("d.txt")] + [first[0]]
+    fake = [r.asDict() | {"sha256": "known"} for r in kept] + [{"path": "gone", "size": 1, "mtime": 0.0, "sha256": "x", "kind": "t"}]
+    manifest = spark.createDataFrame(fake, "path string, size long, mtime double, sha256 string, kind string")
+    (tmp_path / "b.txt").write_text("changed and longer")
+    (tmp_path / "a.txt").unlink()
+    got = {r.path.rsplit("/", 1)[1]: r.sha256 for r in tables.fingerprints_since(spark, str(tmp_path), manifest, "t").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {"b.txt": sha("changed and longer"), "c.txt": "known", "d.txt": sha("d" * 10)}
+
+
+def test_one_file_for_each_run_and_zone(spark, tmp_path):
+    rows = [(r, f"{z:09}.chm", i, None if i == 3 else f"run {r} zone {z} line {i}") for r in (1, 2) for z in range(5) for i in range(1, 40)]
+    lines = spark.createDataFrame(rows, "run_no int, file_name string, line_no int, line string").repartition(7)
+    sinks.write_text_files(lines, str(tmp_path / "out"))
+    for r in (1, 2):
+        for z in range(5):
+            files = list((tmp_path / "out" / f"run_no={r}" / f"file_name={z:09}.chm").glob("part-*"))
+            assert len(files) == 1
+            assert files[0].read_text().splitlines() == ["" if i == 3 else f"run {r} zone {z} line {i}" for i in range(1, 40)]
