@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 
 FILE = "struct<path:string, size:long, mtime:double, sha256:string, kind:string>"
 
-# fixed values: the argument fields of the step kinds
-CHOICE = ("name string, src string, out string, op string, mode string, lower double, upper double, mean double, bound double, "
-          "factor double, delta double, value string, ratio double, mgL double, source string, renormalize boolean")
-_CHOICE = "struct<" + ", ".join(f"{n}:{t}" for n, t in (x.split() for x in CHOICE.split(", "))) + ">"
-_LISTS = {"targets": f"array<{_CHOICE}>", "ops": f"array<{_CHOICE}>", "outputs": f"array<{_CHOICE}>", "mgL_values": f"map<string, {_CHOICE}>"}
-ARGS_SCHEMA = CHOICE + "".join(f", {n} {t}" for n, t in _LISTS.items())
-_ARGS = _CHOICE[:-1] + "".join(f", {n}:{t}" for n, t in _LISTS.items()) + ">"
-
 # fixed values: record layout; free-form parts stay JSON text, step arguments too unless typed
 LEDGER_SCHEMA = f"""schema_version string, id long, run_id long, name string, created_at string, base_txtinout string,
     realization_folder string, results_dir string, parameters map<string,string>,
@@ -25,7 +17,11 @@ LEDGER_SCHEMA = f"""schema_version string, id long, run_id long, name string, cr
     steps array<struct<name:string, module:string, args:string, started_at:string, ended_at:string,
         inputs:array<{FILE}>, outputs:array<{FILE}>, notes:string, extra:string>>,
     status string, error string, outputs_summary string, returncode int, _corrupt_record string"""
-TYPED_LEDGER_SCHEMA = LEDGER_SCHEMA.replace("args:string", f"args:{_ARGS}")
+VARIANT_LEDGER_SCHEMA = LEDGER_SCHEMA.replace("args:string", "args:variant")
+
+# fixed values: steps that declare bounds, and steps that record choices
+BOUND_STEPS = ["transform_scale_variable", "transform_split_with_bounds"]
+CHOICE_STEPS = ["perturbation_choices", "scale_choices", "ops_choices", "point_mgL_choices", "split_choices"]
 
 # fixed values: step names that stand for a transform
 TRANSFORMS = ["transform_compute_base_soil_vars", "transform_perturb_relative", "transform_split_with_bounds",
@@ -36,10 +32,10 @@ TRANSFORMS = ["transform_compute_base_soil_vars", "transform_perturb_relative",
 def parse_lines(lines: DataFrame, column: str = "value", typed_args: bool = False) -> DataFrame:
     """JSON lines to records; blank and broken lines are left out.
 
-    ``typed_args`` reads the step arguments into columns in the same pass, which ``choices``
-    uses; otherwise they stay text, as a replay needs them.
+    ``typed_args`` reads the step arguments as VARIANT in the same pass, from which ``choices`` takes
+    the few paths it wants; otherwise they stay text, as a replay needs them.
     """
-    record = F.from_json(column, TYPED_LEDGER_SCHEMA if typed_args else LEDGER_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    record = F.from_json(column, VARIANT_LEDGER_SCHEMA if typed_args else LEDGER_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     # inline is a generator: each line is parsed once, however many fields are used
     rec = lines.where(F.length(F.trim(column)) > 0).select(F.inline(F.array(record)))
     # a broken line yields nothing at all; one odd argument leaves the rest of its record readable
@@ -99,49 +95,57 @@ def run_ids(ledger: DataFrame) -> DataFrame:
 
 
 def _choice(kind: Column, src: Column, out: Column, c: Column, value: Column, renorm: Column, bounds: tuple[Column, Column] | None = None) -> Column:
-    lo, hi = bounds if bounds else (c["lower"], c["upper"])
+    lo, hi = bounds if bounds else (_get(c, "lower", "double"), _get(c, "upper", "double"))
     return F.struct(kind.alias("transform"), src.alias("in"), out.alias("out"), lo.alias("lower"), hi.alias("upper"),
-                    value.cast("double").alias("value"), c["source"].alias("source"), renorm.alias("renorm"))
+                    value.cast("double").alias("value"), _get(c, "source").alias("source"), renorm.alias("renorm"))
+
+
+def _get(v: Column, name: str, kind: str = "string") -> Column:
+    """One field of a VARIANT object; NULL where it is absent or of another kind."""
+    return F.try_variant_get(v, f"$.{name}", kind)
 
 
 def choices(ledger: DataFrame) -> DataFrame:
     """Realised parameter choices: (transform, in, out, lower, upper, value, source, renorm) per record.
 
     Scale and split choices take their bounds from the sibling step that declared them, the
-    last such step winning, else from themselves. A value copied from a source column is NULL.
+    last such step winning, else from themselves. A value copied from a source column is NULL. Step arguments are VARIANT, or text that
+    is read as such; only the paths of a step's own kind are taken from them.
     """
     is_text = ledger.schema["steps"].dataType.elementType["args"].dataType.typeName() == "string"
-    args = (lambda s: F.from_json(s["args"], ARGS_SCHEMA)) if is_text else (lambda s: s["args"])
-    typed = F.transform("steps", lambda s: F.struct(s["name"].alias("name"), args(s).alias("a")))
+    args = (lambda s: F.try_parse_json(s["args"])) if is_text else (lambda s: s["args"])
+    typed = F.filter(F.transform("steps", lambda s, i: F.struct(i.alias("pos"), s["name"].alias("name"), args(s).alias("a"))), lambda s: s["name"].isin(*BOUND_STEPS, *CHOICE_STEPS))
     # explode of a one-element array keeps the parsed arguments from being parsed again per use
     r = ledger.select("id", _run_id().alias("run_id"), F.explode(F.array(typed)).alias("_s"))
-    scale = F.filter("_s", lambda s: (s["name"] == "transform_scale_variable") & (s["a"]["lower"].isNotNull() | s["a"]["upper"].isNotNull()))
-    split = F.flatten(F.transform(F.filter("_s", lambda s: s["name"] == "transform_split_with_bounds"),
-                                  lambda s: F.coalesce(s["a"]["outputs"], F.array().cast(f"array<{_CHOICE}>"))))
-    r = r.withColumn("_scale", F.transform(scale, lambda s: F.struct(s["a"]["out"].alias("k"), s["a"]["lower"].alias("lower"), s["a"]["upper"].alias("upper"))))
-    r = r.withColumn("_split", F.transform(split, lambda o: F.struct(o["name"].alias("k"), o["lower"].alias("lower"), o["upper"].alias("upper"))))
-    r = r.select("id", "run_id", "_scale", "_split", F.posexplode("_s").alias("pos", "_st"))
+    scale = F.transform(F.filter("_s", lambda s: s["name"] == BOUND_STEPS[0]), lambda s: F.struct(
+        _get(s["a"], "out").alias("k"), _get(s["a"], "lower", "double").alias("lower"), _get(s["a"], "upper", "double").alias("upper")))
+    split = F.flatten(F.transform(F.filter("_s", lambda s: s["name"] == BOUND_STEPS[1]), lambda s: F.transform(
+        F.coalesce(_get(s["a"], "outputs", "array<variant>"), F.array().cast("array<variant>")),
+        lambda o: F.struct(_get(o, "name").alias("k"), _get(o, "lower", "double").alias("lower"), _get(o, "upper", "double").alias("upper")))))
+    r = r.withColumn("_scale", F.filter(scale, lambda k: k["lower"].isNotNull() | k["upper"].isNotNull())).withColumn("_split", split)
+    r = r.select("id", "run_id", "_scale", "_split", F.explode(F.filter("_s", lambda s: s["name"].isin(*CHOICE_STEPS))).alias("_st"))
     a, name = F.col("_st.a"), F.col("_st.name")
 
     def sibling(where: str, key: Column, own: Column) -> tuple[Column, Column]:
         hit = F.try_element_at(F.filter(where, lambda k: k["k"] == key), F.lit(-1))
-        return (F.when(hit.isNotNull(), hit["lower"]).otherwise(own["lower"]), F.when(hit.isNotNull(), hit["upper"]).otherwise(own["upper"]))
+        return (F.when(hit.isNotNull(), hit["lower"]).otherwise(_get(own, "lower", "double")), F.when(hit.isNotNull(), hit["upper"]).otherwise(_get(own, "upper", "double")))
 
     none = F.lit(None).cast("boolean")
+    each = lambda field, f: F.transform(_get(a, field, "array<variant>"), f)
     rows = (
-        F.when(name == "perturbation_choices", F.transform(a["targets"], lambda t: _choice(
-            F.lit("perturb_relative"), t["name"], t["name"], t, t["delta"], none,
+        F.when(name == "perturbation_choices", each("targets", lambda t: _choice(
+            F.lit("perturb_relative"), _get(t, "name"), _get(t, "name"), t, _get(t, "delta", "double"), none,
             (F.lit(None).cast("double"), F.lit(None).cast("double")))))
         .when(name == "scale_choices", F.array(_choice(
-            F.lit("scale_variable"), a["src"], a["out"], a, a["factor"], none, sibling("_scale", a["out"], a))))
-        .when(name == "ops_choices", F.transform(a["ops"], lambda o: _choice(
-            F.concat(F.lit("op_"), o["op"]), o["src"], o["out"], o, o["value"].try_cast("double"), none)))
-        .when(name == "point_mgL_choices", F.transform(F.map_entries(a["mgL_values"]), lambda e: _choice(
-            F.lit("mgL_point"), F.lit("population"), e["key"], e["value"], e["value"]["mgL"], none)))
-        .when(name == "split_choices", F.transform(a["outputs"], lambda o: _choice(
-            F.lit("split_with_bounds"), F.col("_st.a.src"), o["name"], o, o["ratio"], F.col("_st.a.renormalize"),
-            sibling("_split", o["name"], o)))))
-    return (r.select("id", "run_id", "pos", F.posexplode(rows).alias("item", "c"))
+            F.lit("scale_variable"), _get(a, "src"), _get(a, "out"), a, _get(a, "factor", "double"), none, sibling("_scale", _get(a, "out"), a))))
+        .when(name == "ops_choices", each("ops", lambda o: _choice(
+            F.concat(F.lit("op_"), _get(o, "op")), _get(o, "src"), _get(o, "out"), o, _get(o, "value").try_cast("double"), none)))
+        .when(name == "point_mgL_choices", F.transform(F.map_entries(_get(a, "mgL_values", "map<string, variant>")), lambda e: _choice(
+            F.lit("mgL_point"), F.lit("population"), e["key"], e["value"], _get(e["value"], "mgL", "double"), none)))
+        .when(name == "split_choices", each("outputs", lambda o: _choice(
+            F.lit("split_with_bounds"), _get(a, "src"), _get(o, "name"), o, _get(o, "ratio", "double"), _get(a, "renormalize", "boolean"),
+            sibling("_split", _get(o, "name"), o)))))
+    return (r.select("id", "run_id", F.col("_st.pos").alias("pos"), F.posexplode(rows).alias("item", "c"))
             .select("id", "run_id", "pos", "item", "c.*"))
 
 
