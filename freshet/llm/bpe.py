@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import opened, slices, squeezed, table
 
-#: Text in a block, which asks for each of its distinct words once, and binary digits of a word's number in its block.
-BLOCK_BYTES, PLACES = 48_000_000, 26
+#: Text in a block, which asks for each of its distinct words once, and the parts that words are dealt into by hash.
+BLOCK_BYTES, BUCKETS = 48_000_000, 8192
 
 #: How the vocabulary splits text before merging, and how it shows bytes as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,16 +107,15 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     the text of these ids.
 
     Texts are split once, in blocks of some 48 MB that follow each other in one task. A block numbers its distinct words, and from then on a
-    document is the numbers of its words; one shuffle of them by block serves both what follows. The blocks' words are rows, which meet
-    by word; each distinct word of the corpus is encoded once, and its ids go back to the blocks that asked and are joined by position. A
-    frequent word is one row for each block, so it is no hot key, and no text moves. Long texts are whole rows. Other columns are left out.
+    document is the numbers of its words; one shuffle of them by block serves both what follows. The blocks' words meet in buckets by hash, where
+    each distinct word of the corpus is encoded once; a task reads the blocks' rows of a bucket one after another and holds its distinct words only. The
+    ids go back to the blocks that asked and are joined by position. A frequent word is one entry for each block, so it is no hot key, and no
+    text moves. Long texts are whole rows. Other columns are left out.
     """
     path = path or vocabulary()
     kind = docs.schema[id].dataType.simpleString()
 
     def block_rows(block: int, parts: list[tuple[pa.Array, list[np.ndarray]]], at: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        if len(at) > 1 << PLACES:
-            raise ValueError("a block has too many distinct words")
         count = np.bincount(np.concatenate([x for _, own in parts for x in own] + [np.array([], np.int64)]).astype(np.int64), minlength=len(at))
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(at), np.int64)
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
             yield pa.record_batch({"block": pa.array(np.full(len(own), block)), "id": ids, "numbers": pa.array([_small(rank[x]) for x in own], pa.binary()), "words": pa.nulls(len(own), pa.binary())})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, at, held, block = [], {}, 0, TaskContext.get().partitionId() << 14
+        parts, at, held, block = [], {}, 0, TaskContext.get().partitionId() << 32
         for ids, texts in slices(batches):
             own = []
             for t in texts:
@@ -143,32 +143,50 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
             yield from block_rows(block, parts, at)
         pa.default_memory_pool().release_unused()
 
+    def bucket_of(words: list[bytes]) -> np.ndarray:
+        return np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words in zip(batch["block"].to_pylist(), batch["words"].to_pylist(), strict=True):
                 own = opened(words) if words is not None else []
-                for i in range(0, len(own), 20_000):
-                    some = own[i : i + 20_000]
-                    yield pa.record_batch({"word": pa.array(some, pa.binary()), "place": pa.array((block << PLACES) + i + np.arange(len(some)))})
+                if not own:
+                    continue
+                of = bucket_of(own)
+                order = np.argsort(of, kind="stable")
+                first = np.flatnonzero(np.diff(of[order], prepend=-1))
+                packs = [squeezed([own[i] for i in part]) for part in np.split(order, first[1:])]
+                yield pa.record_batch({"bucket": pa.array(of[order][first]), "block": pa.array(np.full(len(packs), block)), "words": pa.array(packs, pa.binary())})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, form = _tokenizer(path), width(path)
-        for batch in batches:  # equal words follow one another
-            known = batch["word"].dictionary_encode()
-            ids = [np.array(e.ids, form).tobytes() for e in t.encode_batch_fast([w.decode() for w in known.dictionary.to_pylist()], add_special_tokens=False)]
-            found = pa.array(ids, pa.binary()).take(known.indices)
-            yield pa.record_batch({"asked_by": pa.array(batch["place"].to_numpy() >> PLACES), "at": pa.array((batch["place"].to_numpy() & (1 << PLACES) - 1).astype(np.int32)), "ids": found})
+        known: dict[bytes, bytes] = {}  # words of the bucket that the last rows belong to
+        for batch in batches:
+            lists, buckets = [opened(w) for w in batch["words"].to_pylist()], batch["bucket"].to_numpy()
+            fresh = list({w for own in lists for w in own if w not in known})
+            for i in range(0, len(fresh), 5000):
+                some = fresh[i : i + 5000]
+                for w, e in zip(some, t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                    known[w] = np.array(e.ids, form).tobytes()
+            yield pa.record_batch({"asked_by": batch["block"], "bucket": batch["bucket"], "ids": pa.array([squeezed([known[w] for w in own]) for own in lists], pa.binary())})
+            known = {w: x for w, x in known.items() if zlib.crc32(w) % BUCKETS == buckets[-1]} if len(buckets) else known
 
     # what becomes of a row is settled in the tasks, so that both sides read the same shuffle
     blocks = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(number, f"block long, id {kind}, numbers binary, words binary").repartition("block")
-    asked = blocks.mapInArrow(ask, "word binary, place long")
-    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, "asked_by long, at int, ids binary")
+    asked = blocks.mapInArrow(ask, "bucket int, block long, words binary")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "asked_by long, bucket int, ids binary")
 
     def joined(texts: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
         form = width(path)
-        own = found["ids"].take(pa.array(np.argsort(found["at"].to_numpy()))).combine_chunks() if found.num_rows else pa.array([], pa.binary())
-        n = pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) // form.itemsize
-        start, flat = np.cumsum(n) - n, np.frombuffer(b"".join(own.to_pylist()), form)
+        words = [w for x in texts["words"].drop_null().to_pylist() for w in opened(x)]
+        # answers lie by bucket, and in a bucket by the number of the word
+        order = np.argsort(bucket_of(words), kind="stable")
+        ids = [x for pack in found.sort_by("bucket")["ids"].to_pylist() for x in opened(pack)] if found.num_rows else []
+        del words
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // form.itemsize
+        n, start, flat = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), np.frombuffer(b"".join(ids), form)
+        n[order], start[order] = size, np.cumsum(size) - size
+        del ids
         for batch in texts.filter(pc.is_valid(texts["numbers"])).to_batches(500):
             docs_ = [_numbers(p) for p in batch["numbers"].to_pylist()]
             word = np.concatenate([*docs_, np.array([], np.int64)])
