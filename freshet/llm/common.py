@@ -22,7 +22,9 @@ def saved(df: DataFrame) -> DataFrame:
     """The frame written once as Parquet below spark.checkpoint.dir and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     if not (top := spark.conf.get("spark.checkpoint.dir", "")):
-        top = tempfile.mkdtemp(prefix="spark-")
+        alone = spark.conf.get("spark.master", "local").startswith("local") and "cluster" not in spark.conf.get("spark.master", "local")
+        # one machine may use a folder of its own; a cluster without the setting has its warehouse in common
+        top = tempfile.mkdtemp(prefix="spark-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
