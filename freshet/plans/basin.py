@@ -531,16 +531,37 @@ def register(r: Registry) -> None:
                       ELSE ' Phosphorus perc coef  :       15.50' END AS line
         FROM part, generate_series(1, 2) t(r), generate_series(1, 4) u(l)""", "", "", "run_no file_name line_no line")
     areas = lambda s, d: views.table(s, d, "nation").select(F.col("n_nationkey").alias("zone_id"), (F.col("n_nationkey") * 25.0).alias("area_ha"))
-    r.add("k2_point_file_lines",
-          lambda s, d: sinks.point_file_lines(point(s, d), areas(s, d), 1995, 2004, keys=["zone_id"]), f"""
+    point_sql = f"""
         SELECT zone_id, CAST(i AS INTEGER) AS line_no, CASE i
                  WHEN 1 THEN ' TITLE LINE 1 - Subbasin ID ' || zone_id || ' | Simulation Years: 1995-2004 | DRAINAGE_AREA (km²): ' || printf('%.3f', zone_id * 0.25::DOUBLE)
                  WHEN 2 THEN ' TITLE LINE 2 - Source: model' WHEN 3 THEN ' TITLE LINE 3 - Units: kg/day' WHEN 4 THEN ' TITLE LINE 4 - Period: 1995-2004'
                  WHEN 5 THEN ' TITLE LINE 5 - ' ELSE ' YEAR' || lpad('FLOYR', 17, ' ') || lpad('ORGPYR', 17, ' ') || lpad('NO3YR', 17, ' ') || lpad('CBODYR', 17, ' ') || lpad('CHLAYR', 17, ' ') END AS line
         FROM zone_pop, generate_series(1, 6) t(i)
         UNION ALL SELECT zone_id, CAST(YEAR - 1995 + 7 AS INTEGER), printf('%5d', YEAR) || ' ' || printf('%16.10E', FLOYR) || ' ' || printf('%16.10E', ORGPYR) || ' '
-               || printf('%16.10E', NO3YR) || ' ' || printf('%16.10E', CBODYR) || ' ' || printf('%16.10E', CHLAYR) FROM ({psql}) WHERE YEAR BETWEEN 1995 AND 2004""",
-          "zone_pop known yearly", "", "zone_id line_no line")
+               || printf('%16.10E', NO3YR) || ' ' || printf('%16.10E', CBODYR) || ' ' || printf('%16.10E', CHLAYR) FROM ({psql}) WHERE YEAR BETWEEN 1995 AND 2004"""
+    point_lines = lambda s, d: sinks.point_file_lines(point(s, d), areas(s, d), 1995, 2004, keys=["zone_id"])
+    r.add("k2_point_file_lines", point_lines, point_sql, "zone_pop known yearly", "", "zone_id line_no line")
+
+    def point_files(s, d):
+        """The tables as one file for each zone and run, read back whole."""
+        path = views.scratch(s, "point")
+        named = point_lines(s, d).withColumns({"run_no": F.lit(1), "file_name": F.format_string("zone%03d.dat", "zone_id")})
+        sinks.write_text_files(named, path)
+        whole = s.read.text(path, wholetext=True)
+        return whole.select("run_no", "file_name", F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("i", "line")).select(
+            "run_no", "file_name", (F.col("i") + 1).alias("line_no"), "line")
+
+    r.add("k2_point_files", point_files, f"SELECT CAST(1 AS INTEGER) AS run_no, printf('zone%03d.dat', zone_id) AS file_name, line_no, line FROM ({point_sql})",
+          "zone_pop known yearly", "", "run_no file_name line_no line")
+
+    def zone_csv(s, d):
+        """The zonal table written as CSV and read back as text."""
+        path = views.scratch(s, "zones")
+        sinks.write_zone_csv(zones.zonal_wide(pixels(s, d), zone_polygons(s, d), CELL, rasters), path)
+        back = s.read.csv(path, sep=";", header=True)
+        return back.select(F.col("zone_id").cast("int").alias("zone_id"), *[F.col(f"sum_{y}").cast("double") for y in (1970, 1980, 1990)], *[F.col(f"pixels_included_{y}").cast("int") for y in (1970, 1980, 1990)])
+
+    r.add("k4_zone_csv", zone_csv, r.body["a13_zonal_sum"], "pixels pix_zone", "sum_1970 sum_1980 sum_1990", "zone_id pixels_included_1970 pixels_included_1980 pixels_included_1990")
     r.add("k6_zonal_manifest",
           lambda s, d: sinks.zonal_manifest(pixels(s, d), "zones", "sum", "year", "Sub-basin", "values_by_sub-basin").select(
               F.concat_ws("|", "rasters").alias("rasters"), F.col("bounds")[0].alias("x0"), F.col("bounds")[3].alias("y1"), "stat_operation", "layer"),

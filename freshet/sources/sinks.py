@@ -96,11 +96,12 @@ def write_lines(lines: DataFrame, path: str, by: str = "run_no", mode: str = "ov
 def write_text_files(lines: DataFrame, path: str, run: str = "run_no", file: str = "file_name", mode: str = "overwrite") -> None:
     """Model text as one file for each run and file name: path/run=.../file=.../part, its lines in their order.
 
-    ``lines``: (run, file, line_no, line). Lines meet by run and file, both spread over all tasks, and are sorted inside a task, where the
-    files follow one another. A file is one task's work; it is as long as a zone's text. Null lines are empty lines.
+    ``lines``: (run, file, line_no, line). The lines of a file, one zone's text, become one value, so that their order doesn't rest on how
+    rows reach the writer. Null lines are empty lines.
     """
-    parted = lines.select(run, file, "line_no", F.coalesce("line", F.lit("")).alias("line")).repartition(run, file).sortWithinPartitions(run, file, "line_no")
-    parted.select(run, file, "line").write.mode(mode).partitionBy(run, file).text(path)
+    each = F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line"))))
+    texts = lines.groupBy(run, file).agg(F.array_join(F.transform(each, lambda x: x["line"]), "\n").alias("text"))
+    texts.write.mode(mode).partitionBy(run, file).text(path)
 
 
 def append_ledger(records: DataFrame, path: str, copies: str | None = None) -> None:
