@@ -22,6 +22,7 @@ REACH_FIELDS = [
     "CMETAL#1kg", "CMETAL#2kg", "CMETAL#3kg", "TOT_Nkg", "TOT_Pkg", "NO3ConcMg/l", "WTMPdegc",
     "Salt1", "Salt2", "Salt3", "Salt4", "Salt5", "Salt6", "Salt7", "Salt8", "Salt9", "Salt10", "SAR", "EC",
 ]
+# fixed values: columns that a parsed reach table leaves out
 REACH_DROPPED = ["object type", "total_days", "GIS", "MON", "AREAkm2", "YEAR"]
 
 # fixed values: character offsets of the sub-basin fields
