@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from freshet.llm.common import opened, slices, squeezed, table
 
 #: Text in a block, which asks for each of its distinct words once, and the parts that words are dealt into by hash.
-BLOCK_BYTES, BUCKETS = 48_000_000, 8192
+BLOCK_BYTES, BUCKETS = 32_000_000, 8192
 
 #: How the vocabulary splits text before merging, and how it shows bytes as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,7 +106,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     """(id, ids): the token ids of each text, one row for each row of docs; none for null and empty texts. back: also `decoded`,
     the text of these ids.
 
-    Texts are split once, in blocks of some 48 MB that follow each other in one task. A block numbers its distinct words, and from then on a
+    Texts are split once, in blocks of some 32 MB that follow each other in one task. A block numbers its distinct words, and from then on a
     document is the numbers of its words; one shuffle of them by block serves both what follows. The blocks' words meet in buckets by hash, where
     each distinct word of the corpus is encoded once; a task reads the blocks' rows of a bucket one after another and holds its distinct words only. The
     ids go back to the blocks that asked and are joined by position. A frequent word is one entry for each block, so it is no hot key, and no
@@ -116,7 +116,9 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     kind = docs.schema[id].dataType.simpleString()
 
     def block_rows(block: int, parts: list[tuple[pa.Array, list[np.ndarray]]], at: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        count = np.bincount(np.concatenate([x for _, own in parts for x in own] + [np.array([], np.int64)]).astype(np.int64), minlength=len(at))
+        count = np.zeros(len(at), np.int64)
+        for _, own in parts:
+            count += np.bincount(np.concatenate(own), minlength=len(at))
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(at), np.int64)
         rank[order] = np.arange(len(at))
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, form = _tokenizer(path), width(path)
         known: dict[bytes, bytes] = {}  # words of the bucket that the last rows belong to
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             lists, buckets = [opened(w) for w in batch["words"].to_pylist()], batch["bucket"].to_numpy()
             fresh = list({w for own in lists for w in own if w not in known})
             for i in range(0, len(fresh), 5000):
