@@ -165,6 +165,20 @@ def per_run(over: DataFrame, names: Sequence[str]) -> DataFrame:
     return over.groupBy("run_no").pivot("name", list(names)).agg(F.first("value", True))
 
 
+#: Runs whose parameters are sent to every task; those of more runs are spread by run number.
+SENT_RUNS = 100_000
+
+
+def meet_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of many runs with the parameters of their run (one row per run).
+
+    The rows are multiplied by run, which Spark's estimate of their size leaves out, so the side that travels is named here:
+    the runs are counted first, and the rows are never collected to be sent.
+    """
+    few = runs.limit(SENT_RUNS + 1).count() <= SENT_RUNS
+    return rows.join(F.broadcast(runs) if few else runs.hint("shuffle_hash"), "run_no")
+
+
 def base_by_run(base: DataFrame, runs: DataFrame) -> DataFrame:
     """Every zone row once per run with the run's parameters.
 
@@ -176,7 +190,7 @@ def base_by_run(base: DataFrame, runs: DataFrame) -> DataFrame:
     steps = steps.withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_last") - 1) / F.col("_w")).cast("long"))))
     lo = F.sequence(F.lit(1).cast("long"), F.least("_w", F.col("_last") - F.col("_hi") * F.col("_w")))
     steps = steps.withColumn("_lo", F.explode(lo)).withColumn("run_no", F.col("_hi") * F.col("_w") + F.col("_lo"))
-    return steps.drop("_last", "_w", "_hi", "_lo").join(runs, "run_no")
+    return meet_runs(steps.drop("_last", "_w", "_hi", "_lo"), runs)
 
 
 def with_defaults(over: DataFrame, params: DataFrame) -> DataFrame:
@@ -240,7 +254,7 @@ def perturb(df: DataFrame, deltas: DataFrame, targets: Sequence[dict[str, Any]])
     names = [t["name"] for t in targets]
     wide = deltas.groupBy("run_no").pivot("name", names).agg(F.first("delta"))
     wide = wide.select("run_no", *[F.col(n).alias(f"_d_{n}") for n in names])
-    out = df.join(wide, "run_no")
+    out = meet_runs(df, wide)
     for t in targets:
         c, d = F.col(t["name"]), F.col(f"_d_{t['name']}")
         out = out.withColumn(t["name"], c * (1 + d) if t.get("mode", "relative") == "relative" else c + d)
@@ -260,7 +274,7 @@ def split_column(df: DataFrame, src: str, fractions: DataFrame, names: Sequence[
     """Share a source column out over named outputs by the fractions of each row's run."""
     wide = fractions.groupBy("run_no").pivot("name", list(names)).agg(F.first("fraction"))
     wide = wide.select("run_no", *[F.col(n).alias(f"_f_{n}") for n in names])
-    return df.join(wide, "run_no").withColumns({n: F.col(src) * F.col(f"_f_{n}") for n in names}).drop(*[f"_f_{n}" for n in names])
+    return meet_runs(df, wide).withColumns({n: F.col(src) * F.col(f"_f_{n}") for n in names}).drop(*[f"_f_{n}" for n in names])
 
 
 def split_fixed(df: DataFrame, src: str, ratios: dict[str, float]) -> DataFrame:

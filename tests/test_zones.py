@@ -156,6 +156,23 @@ def test_run_from_spec(spark):
     assert scenario.run_from_spec(base, SPEC, "extreme").count() == 16
 
 
+def test_rows_multiplied_by_run_are_never_sent(spark, monkeypatch):
+    """Spark's estimate of the rows leaves out the runs and that of the runs can be anything, so it must not choose the side."""
+    base = spark.range(50).select(F.col("id").alias("zone_id"), F.lit(2.0).alias("v0"))
+    runs = spark.createDataFrame([(1, 0.5), (2, 1.5), (4, 2.5)], "run_no long, v1 double")
+    shares = spark.createDataFrame([(r, n, f) for r in (1, 2, 4) for n, f in (("a", 0.25), ("b", 0.75))], "run_no long, name string, fraction double")
+    want = sorted((z, 2.0, r, v) for z in range(50) for r, v in ((1, 0.5), (2, 1.5), (4, 2.5)))
+    for most, join in ((scenario.SENT_RUNS, "BroadcastHashJoin"), (2, "ShuffledHashJoin")):
+        monkeypatch.setattr(scenario, "SENT_RUNS", most)
+        met = scenario.base_by_run(base, runs)
+        split = scenario.split_column(met.drop("v1"), "v0", shares, ["a", "b"])
+        for df in (met, split):
+            joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+            assert joins and all(join in x and "BuildRight" in x for x in joins)
+        assert sorted(met.select("zone_id", "v0", "run_no", "v1").collect()) == want
+        assert {(r.run_no, r.a, r.b) for r in split.collect()} == {(1, 0.5, 1.5), (2, 0.5, 1.5), (4, 0.5, 1.5)}
+
+
 def test_operations(spark):
     df = spark.createDataFrame([(4.0,)], "a double")
     r = scenario.apply_ops(df, [{"op": "mul", "src": "a", "out": "b"}, {"op": "set", "out": "c", "standard": 7}, {"op": "set", "src": "a", "out": "d"},
