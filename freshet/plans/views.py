@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions.sums import steady_sum
+
 DIGITS = 5
 
 
@@ -112,7 +114,8 @@ SQL["flow_day"] = "SELECT CAST(date AS DATE) AS date, sum(flow_m3d) AS flow_m3d
 
 
 def _base(spark: SparkSession, sf_dir: str, keys: dict[str, str], derived: dict[str, str]) -> DataFrame:
-    sums = [F.expr(f"sum({e})").alias(n) for n, e in _SUMS.items()]
+    # read several times by one plan, so that these must be the same each time
+    sums = [steady_sum(F.expr(e)).alias(n) for n, e in _SUMS.items()]
     g = table(spark, sf_dir, "lineitem").groupBy(*[F.expr(e).alias(k) for k, e in keys.items()]).agg(*sums)
     return g.select(*keys, *[F.expr(e).cast("double").alias(n) for n, e in derived.items()])
 
