@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.calendar import in_months
 from freshet.functions.nulls import div, number
+from freshet.functions.sums import steady_mean
 from freshet.operators.ensemble import SECONDS_PER_DAY, external_daily_flow
 from freshet.operators.resample import period_day_counts, resample
 
@@ -67,7 +68,7 @@ def measured_daily(
         m = m.where(F.col("date") <= F.lit(end).cast("timestamp_ntz"))
     if months:
         m = m.where(in_months("date", months))
-    return m.groupBy("station", "analyte", F.to_date("date").alias("date")).agg(F.avg(value).alias("obs"))
+    return m.groupBy("station", "analyte", F.to_date("date").alias("date")).agg(steady_mean(value).alias("obs"))
 
 
 def measured_period_total(daily: DataFrame, freq: str, months: Sequence[int] | None = None, n: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions.sums import steady_mean, steady_sum
-from freshet.operators import compare, pairing, shift
+from freshet.operators import compare, duration, fit, pairing, shift
 from freshet.plans import fit as fitq
 from freshet.plans import views
 
@@ -54,3 +54,20 @@ def test_runs_of_the_ensemble_lie_inside_it_in_another_order(spark, orders_of_ro
     pairs = pairing.pair_scenarios(fitq.scenarios(spark, a), fitq.reach_fan(spark, b), by=fitq.KEYS)
     got = shift.envelope_widths(pairs, fitq.reach_fan(spark, b), keys=[*fitq.KEYS, "scenario"]).collect()
     assert got and {r.coverage_fraction for r in got} == {1.0}
+
+
+def _samples(spark):
+    """Daily means of the same samples in two orders."""
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(2)}", "F", dt.datetime(1996, 3, 1 + rng.randrange(20)), rng.uniform(0, 400)) for _ in range(4000)]
+    schema = "station string, analyte string, date timestamp_ntz, value_num double"
+    return [pairing.measured_daily(spark.createDataFrame(some, schema).coalesce(1)) for some in (rows, rows[::-1])]
+
+
+def test_daily_means_are_the_same_in_another_order(spark):
+    a, b = _samples(spark)
+    assert a.count() == 40 and a.exceptAll(b).count() == 0
+    # ranks join the values with themselves, a histogram measures from its own least value
+    assert sorted(duration.measured_on_order(a).collect()) == sorted(duration.measured_on_order(b).collect())
+    hist = [sorted(fit.residual_histogram(x.withColumn("pred", F.lit(0.0)), 30, ["station"]).collect()) for x in (a, b)]
+    assert hist[0] == hist[1] and min(r.bin for r in hist[0]) == 0
