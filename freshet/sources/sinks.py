@@ -49,9 +49,9 @@ def soil_replacements(zones: DataFrame, label_map: dict[str, str], id_col: str =
             .select("run_no", "hru_id", "c.*").where(F.col("value").isNotNull()))
 
 
-def scientific16(v: Column) -> Column:
-    """Scientific form with ten decimals, or as many as sixteen characters hold; right-aligned, never cut."""
-    forms = [F.format_string(f"%.{n}E", v) for n in range(10, -1, -1)]
+def scientific16(v: Column, most: int = 10) -> Column:
+    """Scientific form with ten (or ``most``) decimals, or as many as sixteen characters hold; right-aligned, never cut."""
+    forms = [F.format_string(f"%.{n}E", v) for n in range(most, -1, -1)]
     text = F.coalesce(*[F.when(F.length(f) <= 16, f) for f in forms], forms[-1])
     return F.lpad(text, F.greatest(F.lit(16), F.length(text)), " ")
 

@@ -196,6 +196,12 @@ def test_point_file_lines_and_csv(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "lines")).where("run_no = 1").count() == 9
 
 
+def test_most_decimals_hold_for_zero(spark):
+    """A short exponent leaves room for a tenth decimal, which a column of nine decimals must not take."""
+    row = spark.range(1).select(sinks.scientific16(F.lit(0.0)).alias("ten"), sinks.scientific16(F.lit(0.0), 9).alias("nine"), sinks.scientific16(F.lit(-2.5e-120), 9).alias("eight")).first()
+    assert tuple(row) == ("0.0000000000E+00", " 0.000000000E+00", "-2.50000000E-120")
+
+
 def test_manifest(spark, tmp_path):
     p = spark.createDataFrame([("b", 1.0, 2.0), ("a", 3.0, 0.5)], "raster_id string, x double, y double")
     m = sinks.zonal_manifest(p, "z", "sum", "year", "Sub-basin", "layer")
