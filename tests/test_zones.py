@@ -117,6 +117,13 @@ def test_point_loads(spark):
     assert [zones.resolve_litres(x) for x in (None, 80, {"standard": 90}, {"value": 70, "standard": 90}, {"lower": 1})] == [150.0, 80.0, 90.0, 70.0, 150.0]
 
 
+def test_loads_round_as_doubles(spark):
+    """1257.75 people at 4.5 mg/L and 180 L make 1.0187775, whose double lies below the middle of two."""
+    long = spark.createDataFrame([(1, 2002, 1257.75), (2, 2002, 1286.55)], "zone_id int, year int, population double")
+    got = zones.point_loads(long, {"ORGPYR": 4.5}, 180.0).orderBy("zone_id").collect()
+    assert [r.ORGPYR for r in got] == [round(4.5 * 180 * p / 1e6, 6) for p in (1257.75, 1286.55)] == [1.018777, 1.042105]
+
+
 SPEC = {"transforms": [
     {"type": "ops", "ops": [{"op": "mul", "src": "a", "out": "b", "standard": 2.0, "lower": 1.0, "upper": 3.0}, {"op": "add", "src": "b", "out": "c", "lower": 5.0, "upper": 5.0, "standard": 5.0}]},
     {"type": "split", "src": "c", "outputs": [{"name": "x", "standard": 0.5, "lower": 0.2, "upper": 0.8}, {"name": "y", "standard": 0.3}]},
