@@ -6,17 +6,21 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import blocked, distinct_words, opened, packed, saved, summed, table, unpacked
+from freshet.llm.common import opened, saved, slices, squeezed, table
 
 #: Bytes of context. Orders up to LOW have at most 256^(LOW + 1) entries for any corpus and are sent to every task; entries of higher
 #: orders lie in the bucket of the last LOW + 1 bytes of their context, which all their longer contexts share.
 ORDER, LOW = 6, 2
 END = b"\n"
+#: Bytes of texts in a block, and grams that are counted at once.
+BLOCK, AT_ONCE = 32_000_000, 3_000_000
 LOG = np.log10(np.e)
 
 
@@ -42,7 +46,9 @@ def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     at = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
     context = np.zeros(len(s), np.int64)
     for k in range(1, ORDER + 1):
-        context[k:] |= np.where(at[k:] >= k, s[:-k], 0) << (8 * (k - 1))
+        context[k:] |= s[:-k] << (8 * (k - 1))
+    short = np.flatnonzero(at < ORDER)
+    context[short] &= (1 << 8 * at[short]) - 1
     own = at > 0
     return s[own], context[own], np.minimum(at[own], ORDER), of[own]
 
@@ -55,8 +61,10 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def summed_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sums of their counts."""
-    key, at = np.unique(keys, return_inverse=True)
-    return key, np.bincount(at, counts, len(key)).astype(np.int64)
+    order = np.argsort(keys)
+    key = keys[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+    return key[first], np.add.reduceat(counts[order], first).astype(np.int64) if len(key) else first
 
 
 def rolled(gram: np.ndarray, counts: np.ndarray, orders: range = range(ORDER + 1)) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +82,19 @@ def entries(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rolled(gram, counts[of])
 
 
-def pressed(keys: np.ndarray) -> bytes:
-    """Ascending keys by their differences, compressed; `unpressed` gives them back."""
-    return zstandard.compress(np.diff(keys, prepend=0).astype(np.int64).tobytes(), 3)
+def turned(gram: np.ndarray) -> np.ndarray:
+    """Grams with the bytes of their contexts in the opposite order, so that those of like contexts lie together; twice gives them back."""
+    context = (gram >> 8 & ((1 << 8 * ORDER) - 1)).astype("<i8").byteswap().view("<u8") >> np.uint64(64 - 8 * ORDER)
+    return gram >> 56 << 56 | context.astype(np.int64) << 8 | gram & 255
+
+
+def pressed(x: np.ndarray) -> bytes:
+    """Whole numbers by planes of their bytes, compressed; `unpressed` gives them back."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
 
 
 def unpressed(value: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(value), np.int64))
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(value), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 class Trie:
@@ -153,74 +167,158 @@ def adaptive(words: np.ndarray, p: np.ndarray) -> float:
     word seen c times has probability (c - 1/2) / n, and each word, seen or not, has d / 2n of the trie's besides. As that needs no
     probability of other words in the same place, it is a distribution for any contexts.
     """
-    n = np.arange(len(words), dtype=np.float64)
-    order = np.argsort(words, kind="stable")
-    new_run = np.r_[True, np.diff(words[order]) != 0]
+    return float(adaptives(words, p, np.array([len(words)]))[0])
+
+
+def adaptives(words: np.ndarray, p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`adaptive` of documents one after another; sizes: their numbers of words, none 0."""
+    first = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(words))
+    n = (at - first[of]).astype(np.float64)
+    key = of << 32 | words
+    order = np.argsort(key, kind="stable")
+    new_run = np.r_[True, np.diff(key[order]) != 0]
     before = np.empty(len(words))
-    before[order] = np.arange(len(words)) - np.maximum.accumulate(np.where(new_run, np.arange(len(words)), 0))
+    before[order] = at - np.maximum.accumulate(np.where(new_run, at, 0))
     fresh = before == 0
     distinct = np.cumsum(fresh) - fresh
+    distinct -= distinct[first][of]
     with np.errstate(divide="ignore", invalid="ignore"):
         by_trie = np.where(n > 0, np.log(distinct / 2 / n), 0.0) + p / LOG
         own = np.where(fresh, -np.inf, np.log((before - 0.5) / n))
-        return float((np.logaddexp(by_trie, own) * LOG).sum())
-
-
-def read(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Tokens of each text, and the grams of all texts with the number of their text."""
-    split = [tokens((t or "").encode()) for t in texts]
-    return split, *grams([b" ".join(t) for t in split])
-
-
-def distinct_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, keys, counts): the distinct grams of each block with their training counts, in buckets by the end of the context.
-
-    docs: from blocked(). All rows of a bucket hold all that orders above LOW need.
+        return np.add.reduceat(np.logaddexp(by_trie, own) * LOG, first)
+
+
+def running(text: str | None) -> bytes:
+    """A text's tokens joined by spaces."""
+    return b" ".join(tokens((text or "").encode()))
+
+
+def words_of(runs: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Tokens of running texts, each but an end with its space; where in the joined texts each begins; how many each text has."""
+    joined = b"".join(runs)
+    s = np.frombuffer(joined, np.uint8)
+    offsets = np.r_[0, np.flatnonzero((s == 32) | (s == END[0])) + 1]
+    sizes = np.diff(np.searchsorted(offsets, np.cumsum([0, *map(len, runs)])))
+    all_ = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined)])
+    return all_.dictionary_encode(), offsets[:-1], sizes
+
+
+class Block:
+    """Running texts of some rows with their distinct words and grams, and how often training rows hold these."""
+
+    def __init__(self) -> None:
+        self.size = self.waiting = 0
+        self.packs: list[bytes] = []
+        self.words: list[tuple[pa.Array, np.ndarray]] = []
+        self.raw: list[np.ndarray] = []
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: pa.Array, texts: list[str | None]) -> None:
+        runs = [running(t) for t in texts]
+        train = np.array([not held_out(i) for i in ids.to_pylist()], np.int64)
+        part = pa.table({"id": ids, "run": pa.array(runs, pa.binary())})
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+            w.write_table(part)
+        self.packs.append(out.getvalue().to_pybytes())
+        words, _, sizes = words_of(runs)
+        self.words.append((words.dictionary, np.bincount(words.indices.to_numpy(), np.repeat(train, sizes), len(words.dictionary))))
+        gram, of = grams(runs)
+        self.raw.append(gram << 1 | train[of])
+        self.size += sum(map(len, runs))
+        self.waiting += len(gram)
+        if self.waiting > AT_ONCE:
+            self.reduce()
+
+    def reduce(self) -> None:
+        marked = np.concatenate(self.raw)
+        self.raw, self.waiting = [], 0
+        marked.sort()
+        train = (marked & 1).astype(np.int32)
+        marked >>= 1
+        first = np.flatnonzero(np.r_[True, marked[1:] != marked[:-1]])
+        self.found.append((marked[first], np.add.reduceat(train, first)))
+        if sum(len(x) for x, _ in self.words[1:]) > 300_000:
+            self.words = [self.all_words()]
+
+    def all_words(self) -> tuple[pa.Array, np.ndarray]:
+        both = pa.concat_arrays([x for x, _ in self.words]).dictionary_encode()
+        return both.dictionary, np.bincount(both.indices.to_numpy(), np.concatenate([n for _, n in self.words])).astype(np.int64)
+
+    def all_grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """In ranges of grams, to hold little beside them."""
+        longest = max((x for x, _ in self.found), key=len)
+        edges = longest[:: len(longest) // 16 + 1][1:]
+        cuts = [[0, *np.searchsorted(x, edges), len(x)] for x, _ in self.found]
+        parts = [summed_up(*(np.concatenate([x[i][c[k] : c[k + 1]] for x, c in zip(self.found, cuts, strict=True)]) for i in (0, 1))) for k in range(len(edges) + 1)]
+        self.found = []
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def rows(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The texts, and the words and grams in buckets."""
+
+        def made(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            kinds = {"bucket": pa.int32(), "words": pa.binary(), "keys": pa.binary(), "counts": pa.binary(), "pack": pa.binary()}
+            return pa.record_batch({"block": pa.array([block] * n, pa.int64())} | {c: columns[c].cast(k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()})
+
+        def dealt(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The order by bucket, and where in it each begins."""
+            order = np.argsort(bucket, kind="stable")
+            return order, np.flatnonzero(np.diff(bucket[order], prepend=-1))
+
+        for p in self.packs:
+            yield made(pack=pa.array([p], pa.binary()))
+        self.packs = []
+        if self.raw:
+            self.reduce()
+        distinct, count = self.all_words()
+        self.words, own = [], distinct.to_pylist()
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in own), np.int64, len(own))
+        order, starts = dealt(bucket)
+        parts = [sorted(x.tolist(), key=own.__getitem__) for x in np.split(order, starts[1:])]
+        yield made(bucket=pa.array(bucket[order[starts]]), words=pa.array([squeezed([own[i] for i in x]) for x in parts]), counts=pa.array([pressed(count[x]) for x in parts]))
+        del distinct, own, parts
+        key, n = self.all_grams()
+        order = np.argsort(turned(key))
+        key, n = key[order], n[order]
+        bucket = ((key >> 8 & ((1 << 8 * (LOW + 1)) - 1)) * 0x9E3779B1 >> 12) % buckets
+        order, starts = dealt(bucket)
+        keys, counts = np.split(turned(key[order]), starts[1:]), np.split(n[order], starts[1:])
+        yield made(bucket=pa.array(bucket[order[starts]]), keys=pa.array([pressed(x) for x in keys]), counts=pa.array([pressed(x) for x in counts]))
+
+
+def asked(docs: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, words, keys, counts, pack): rows of docs, an id and a text, in blocks of one task each.
+
+    A block has its texts in packs, and its distinct words and grams with their training counts, each in one row of one bucket: words by their
+    hash, grams (as of `turned`) by the end of the context. All rows of a bucket hold all that a word, or orders above LOW, need. Blocks
+    follow how the rows lie in tasks, so the frame is to be written before it is read twice.
     """
 
-    def reduced(raw: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Of grams << 1 | training."""
-        marked, n = np.unique(np.concatenate(raw), return_counts=True)
-        first = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
-        return marked[first] >> 1, np.add.reduceat(n * (marked & 1), first) if len(first) else n
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw: dict[int, list[np.ndarray]] = {}
-        done: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        waiting = 0
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, block = TaskContext.get().partitionId() << 32, Block()
+        for ids, texts in slices(batches, most=500_000):
+            block.add(ids, texts)
+            if block.size > BLOCK:
+                yield from block.rows(number, buckets)
+                number, block = number + 1, Block()
+        if block.packs:
+            yield from block.rows(number, buckets)
+        pa.default_memory_pool().release_unused()
 
-        def reduce() -> None:
-            for block, x in raw.items():
-                done.setdefault(block, []).append(reduced(x))
-            raw.clear()
+    return docs.mapInArrow(ask, "block long, bucket int, words binary, keys binary, counts binary, pack binary")
 
-        for batch in batches:
-            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                _, gram, of = read(part["text"].to_pylist())
-                train = np.array([not held_out(i) for i in part["id"].to_pylist()], np.int64)
-                gram = gram << 1 | train[of]
-                block = part["block"].to_numpy()
-                for b in np.unique(block).tolist():
-                    raw.setdefault(b, []).append(gram[(block == b)[of]])
-                waiting += len(gram)
-                if waiting > 3_000_000:
-                    reduce()
-                    waiting = 0
-        reduce()
-        for b in list(done):
-            key, n = (np.concatenate(x) for x in zip(*done.pop(b), strict=True))
-            key, n = summed_up(key, n)
-            bucket = ((key >> 8 & ((1 << 8 * (LOW + 1)) - 1)) * 0x9E3779B1 >> 12) % buckets
-            order = np.argsort(bucket, kind="stable")
-            key, n, bucket = key[order], n[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            keys, counts = np.split(key, cuts), np.split(n, cuts)
-            yield pa.record_batch({
-                "bucket": pa.array(bucket[np.r_[0, cuts]], pa.int32()), "block": pa.array([b] * len(keys), pa.int64()),
-                "keys": pa.array([pressed(x) for x in keys], pa.binary()), "counts": pa.array([zstandard.compress(x.tobytes(), 3) for x in counts], pa.binary())})
-        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(find, "bucket int, block long, keys binary, counts binary")
+def summed(rows: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int]]:
+    """The words of each row of a bucket, and all of them with their counts."""
+    lists, total = [opened(w) for w in rows["words"].to_pylist()], {}
+    for words, counts in zip(lists, rows["counts"].to_pylist(), strict=True):
+        for w, n in zip(words, unpressed(counts).tolist(), strict=True):
+            total[w] = total.get(w, 0) + n
+    return lists, total
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,42 +332,37 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     equally likely. Repeated rows are learned from as often as they occur.
     """
     spark, kind = docs.sparkSession, docs.schema[id].dataType.simpleString()
-    own = blocked(docs, id, text)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def counted(t: str, id: object) -> dict[bytes, int]:
-        out: dict[bytes, int] = {}
-        step = 0 if held_out(id) else 1
-        for w in tokens(t.encode()):
-            out[w] = out.get(w, 0) + step
-        return out
-
-    asked = saved(distinct_words(own, counted, buckets))
-    asked_grams = saved(distinct_grams(own, buckets))
+    questions = saved(asked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked_words, asked_grams = (questions.where(F.col(c).isNotNull()).select("bucket", "block", c, "counts") for c in ("words", "keys"))
 
     def counts_of(rows: pa.Table) -> pa.Table:
         n = [x for x in summed(rows)[1].values() if x]
         return pa.table({"n": pa.array([sum(n)], pa.int64()), "v": pa.array([len(n)], pa.int64())})
 
-    first = asked.select("bucket", "words", "counts").groupBy("bucket").applyInArrow(counts_of, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    first = asked_words.select("bucket", "words", "counts").groupBy("bucket").applyInArrow(counts_of, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n_all, n_distinct = (x or 0 for x in first)
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            for keys, counts in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                key, n = unpressed(keys), np.frombuffer(zstandard.decompress(counts), np.int64)
+            for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
+                key, n = turned(unpressed(keys.as_py())), unpressed(counts.as_py())
                 key, n = key[n > 0], n[n > 0]
-                low = np.minimum(key >> 56, LOW) << 56 | key & ((1 << 8 * (LOW + 1)) - 1)
-                total = summed_up(*(np.concatenate(x) for x in zip(total, summed_up(low, n), strict=True)))
-        yield pa.record_batch({"key": pa.array(total[0]), "n": pa.array(total[1])})
+                found.append(summed_up(np.minimum(key >> 56, LOW) << 56 | key & ((1 << 8 * (LOW + 1)) - 1), n))
+                size += len(found[-1][0])
+                if size > AT_ONCE // 4:
+                    found = [summed_up(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                    size = 0
+        key, n = summed_up(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 2
+        yield pa.record_batch({"key": pa.array(key), "n": pa.array(n)})
 
     low = asked_grams.select("keys", "counts").mapInArrow(lowest, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     shared = spark.sparkContext.broadcast(rolled(low["key"].to_numpy(), low["n"].to_numpy(), range(LOW + 1)))
 
     def scored_grams(rows: pa.Table) -> pa.Table:
-        keys = [unpressed(x) for x in rows["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in rows["counts"].to_pylist()])
+        keys = [turned(unpressed(x)) for x in rows["keys"].to_pylist()]
+        counts = np.concatenate([unpressed(x) for x in rows["counts"].to_pylist()])
         gram, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, counts, len(gram)).astype(np.int64)
         high = rolled(gram[n > 0], n[n > 0], range(LOW + 1, ORDER + 1))
@@ -279,57 +372,40 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     def scored(rows: pa.Table) -> pa.Table:
         lists, total = summed(rows)
-        values = []
-        for x in lists:
-            n = np.fromiter((total[w] for w in x), np.float64, len(x))
-            values.append(zstandard.compress(np.r_[np.log10((n + 1) / (n_all + n_distinct + 1)), n > 0].tobytes()))
+        values = [pressed(np.fromiter((total[w] for w in x), np.int64, len(x))) for x in lists]
         return pa.table({"block": rows["block"], "words": rows["words"], "values": pa.array(values, pa.binary())})
 
-    answers = asked.groupBy("bucket").applyInArrow(scored, "block long, words binary, values binary")
+    answers = asked_words.groupBy("bucket").applyInArrow(scored, "block long, words binary, values binary")
     answers = answers.unionByName(asked_grams.groupBy("bucket").applyInArrow(scored_grams, "block long, keys binary, values binary"), allowMissingColumns=True)
 
     def added(texts: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
-        at: dict[bytes, int] = {}
-        rows, keys, chances = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        count: dict[bytes, int] = {}
+        keys, chances = [], []
         for w, g, v in zip(found["words"].to_pylist(), found["keys"].to_pylist(), found["values"].to_pylist(), strict=True):
-            v = np.frombuffer(zstandard.decompress(v))
             if w is None:
-                keys.append(unpressed(g)), chances.append(v)
-                continue
-            own = opened(w)
-            for word in own:
-                at.setdefault(word, len(at))
-            rows.append((own, v.reshape(2, -1)))
-        value = np.zeros((2, len(at)))
-        for words, v in rows:
-            value[:, [at[w] for w in words]] = v
-        key = np.concatenate(keys)
-        order = np.argsort(key)
-        key, chance = key[order], np.concatenate(chances)[order]
-        for whole in unpacked(texts["pack"]):
-            for batch in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
-                ids = batch["id"].to_pylist()
-                split, gram, of = read(batch["text"].to_pylist())
-                starts = np.r_[True, (gram[:-1] & 255 == 32) | (np.diff(of) > 0)]
-                p = np.add.reduceat(chance[np.searchsorted(key, gram)], np.flatnonzero(starts))
-                sums, begin = [], 0
-                for t in split:
-                    own, of_words = np.array([at[w] for w in t]), p[begin : begin + len(t)]
-                    begin += len(t)
-                    base, n_known = value[:, own].sum(axis=1)
-                    plain, adapted = of_words.sum(), adaptive(own, of_words)
-                    sums.append([len(own), base, np.logaddexp(plain / LOG, adapted / LOG) * LOG + np.log10(0.5), n_known, plain, adapted])
-                x = np.array(sums).reshape(-1, 6)
-                yield pa.record_batch({
-                    "id": batch["id"], "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": pa.array(x[:, 0].astype(np.int64)), "n_known": pa.array(x[:, 3].astype(np.int64)),
-                    "train_tokens": pa.array(np.full(len(ids), n_all, np.int64)), "base_score": pa.array(x[:, 1]), "score": pa.array(x[:, 2]),
-                    "pretrained": pa.array(x[:, 4]), "adaptive": pa.array(x[:, 5])})
+                keys.append(turned(unpressed(g))), chances.append(np.frombuffer(zstandard.decompress(v)))
+            else:
+                count.update(zip(opened(w), unpressed(v).tolist(), strict=True))
+        key, chance = pd.Index(np.concatenate(keys)), np.concatenate(chances)
+        for batch in (b for p in texts["pack"] for b in pa.ipc.open_stream(p.as_buffer())):
+            runs = batch["run"].to_pylist()
+            words, starts, sizes = words_of(runs)
+            own, n = words.indices.to_numpy(), np.fromiter((count[w] for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+            p = np.add.reduceat(chance[key.get_indexer(grams(runs)[0])], starts)
+            docs = np.cumsum(sizes) - sizes
+            plain, adapted = np.add.reduceat(p, docs), adaptives(own, p, sizes)
+            yield pa.record_batch({
+                "id": batch["id"], "held_out": pa.array([held_out(i) for i in batch["id"].to_pylist()], pa.bool_()), "n_tokens": pa.array(sizes, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((n > 0).astype(np.int64)[own], docs)), "train_tokens": pa.array(np.full(len(runs), n_all, np.int64)),
+                "base_score": pa.array(np.add.reduceat(np.log10((n + 1) / (n_all + n_distinct + 1))[own], docs)),
+                "score": pa.array(np.logaddexp(plain / LOG, adapted / LOG) * LOG + np.log10(0.5)), "pretrained": pa.array(plain), "adaptive": pa.array(adapted)})
 
     def add(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(added(texts, found)))
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, pretrained double, adaptive double"
-    return packed(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, schema).withColumnRenamed("id", id)
+    packs = questions.where("pack is not null").select("block", "pack")
+    return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, schema).withColumnRenamed("id", id)
 
 
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

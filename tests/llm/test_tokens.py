@@ -4,12 +4,15 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from freshet.llm import bpe, ppm
+from freshet.llm.common import opened
 
 
 def test_encode_decode(spark, edge):
@@ -158,3 +161,68 @@ def test_adaptive_is_a_distribution_in_any_place():
         p = [before[i, w] for i, w in enumerate(past)]
         old = ppm.adaptive(np.array(past, int), np.array(p)) if past else 0.0
         assert sum(10 ** (ppm.adaptive(np.array([*past, w]), np.array([*p, here[w]])) - old) for w in range(3)) == pytest.approx(1)
+
+
+def test_a_block_asks_once_whatever_the_splits(spark, tmp_path, monkeypatch):
+    """A file read by several tasks: no block asks for its grams from two of them, and scores are those of one task."""
+    rng = np.random.default_rng(1)
+    some = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(some[k] for k in rng.integers(0, 3000, 300))) for i in range(800)] + [(800, None), (801, ""), (None, "a text without an id")]
+    pq.write_table(spark.createDataFrame(rows, "doc_id long, text string").toArrow(), tmp_path / "docs.parquet", row_group_size=100)
+    kept, saved = [], ppm.saved
+    monkeypatch.setattr(ppm, "saved", lambda df: kept.append(saved(df)) or kept[-1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+        docs = spark.read.parquet(str(tmp_path / "docs.parquet"))
+        assert docs.rdd.getNumPartitions() > 2
+        split = {r.doc_id: r for r in ppm.score(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    asked = [t for t in kept if "keys" in t.columns]
+    assert len(asked) == 1
+    assert asked[0].where("keys is not null").groupBy("block", "bucket").count().agg(F.max("count")).first()[0] == 1
+    whole = {r.doc_id: r for r in ppm.score(docs.coalesce(1)).collect()}
+    assert len(split) == len(rows) and split.keys() == whole.keys()
+    for i, r in whole.items():
+        assert tuple(split[i][1:]) == pytest.approx(tuple(r[1:]), rel=1e-12)
+
+
+def test_many_documents_at_once_score_as_each_alone():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 7, 1, 40, 3])
+    words, p = rng.integers(0, 6, sizes.sum()), np.log10(rng.random(sizes.sum()))
+    cuts = np.cumsum(sizes)[:-1]
+    assert ppm.adaptives(words, p, sizes) == pytest.approx([ppm.adaptive(*x) for x in zip(np.split(words, cuts), np.split(p, cuts), strict=True)])
+
+
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_words_and_grams_of_running_texts(texts):
+    runs = [ppm.running(t) for t in texts]
+    words, starts, sizes = ppm.words_of(runs)
+    want = [ppm.tokens(t.encode()) for t in texts]
+    assert sizes.tolist() == [len(t) for t in want]
+    assert [w.rstrip(b" ") for w in words.to_pylist()] == [w for t in want for w in t]
+    gram, _ = ppm.grams(runs)
+    assert bytes((gram & 255).astype(np.uint8)) == b"".join(runs) and ppm.turned(ppm.turned(gram)).tolist() == gram.tolist()
+    assert ppm.unpressed(ppm.pressed(gram)).tolist() == gram.tolist()
+
+
+def test_a_block_counts_the_same_at_once_and_in_parts(monkeypatch):
+    texts = ["the cat sat on the mat", "The cat  ran", "", None, "on the hill"] * 20
+    found = []
+    for at_once in (10**9, 50):
+        monkeypatch.setattr(ppm, "AT_ONCE", at_once)
+        block = ppm.Block()
+        for i in range(0, 100, 5):
+            block.add(pa.array(range(i, i + 5)), texts[i : i + 5])
+        rows = [r for b in block.rows(7, 3) for r in b.to_pylist()]
+        assert {r["block"] for r in rows} == {7} and sum(r["pack"] is not None for r in rows) == 20
+        keys = {k: n for r in rows if r["keys"] for k, n in zip(ppm.unpressed(r["keys"]).tolist(), ppm.unpressed(r["counts"]).tolist(), strict=True)}
+        words = {w: n for r in rows if r["words"] for w, n in zip(opened(r["words"]), ppm.unpressed(r["counts"]).tolist(), strict=True)}
+        found.append((keys, words))
+    train = [t or "" for i, t in enumerate(texts) if not ppm.held_out(i)]
+    assert found[0] == found[1]
+    assert {w.rstrip(b" "): n for w, n in found[0][1].items()} == Counter(w for t in train for w in ppm.tokens(t.encode()))
+    assert sum(found[0][0].values()) == sum(len(ppm.running(t)) for t in train)
