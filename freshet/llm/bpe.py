@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,10 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import opened, slices, squeezed, table
+from freshet.llm.common import each_of, give_back, joint, lean, opened, slices, squeezed, table
 
 #: Text in a block, which asks for each of its distinct words once, and the parts that words are dealt into by hash.
-BLOCK_BYTES, BUCKETS = 32_000_000, 8192
+BLOCK_BYTES, BUCKETS = 16_000_000, 8192
 
 #: How the vocabulary splits text before merging, and how it shows bytes as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,7 +106,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     """(id, ids): the token ids of each text, one row for each row of docs; none for null and empty texts. back: also `decoded`,
     the text of these ids.
 
-    Texts are split once, in blocks of some 32 MB that follow each other in one task. A block numbers its distinct words, and from then on a
+    Texts are split once, in blocks of some 16 MB that follow each other in one task. A block numbers its distinct words, and from then on a
     document is the numbers of its words; one shuffle of them by block serves both what follows. The blocks' words meet in buckets by hash, where
     each distinct word of the corpus is encoded once; a task reads the blocks' rows of a bucket one after another and holds its distinct words only. The
     ids go back to the blocks that asked and are joined by position. A frequent word is one entry for each block, so it is no hot key, and no
@@ -123,7 +123,9 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
         rank = np.empty(len(at), np.int64)
         rank[order] = np.arange(len(at))
         words = [w.encode() for w in at]
+        at.clear()
         yield pa.record_batch({"block": pa.array([block]), "id": pa.nulls(1, parts[0][0].type), "numbers": pa.nulls(1, pa.binary()), "words": pa.array([squeezed([words[i] for i in order])], pa.binary())})
+        del words, count, order
         for ids, own in parts:
             yield pa.record_batch({"block": pa.array(np.full(len(own), block)), "id": ids, "numbers": pa.array([_small(rank[x]) for x in own], pa.binary()), "words": pa.nulls(len(own), pa.binary())})
 
@@ -143,10 +145,9 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
                 parts, at, held, block = [], {}, 0, block + 1
         if parts:
             yield from block_rows(block, parts, at)
-        pa.default_memory_pool().release_unused()
 
-    def bucket_of(words: list[bytes]) -> np.ndarray:
-        return np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
+    def bucket_of(words: Iterable[bytes]) -> np.ndarray:
+        return np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,22 +175,20 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
             known = {w: x for w, x in known.items() if zlib.crc32(w) % BUCKETS == buckets[-1]} if len(buckets) else known
 
     # what becomes of a row is settled in the tasks, so that both sides read the same shuffle
-    blocks = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(number, f"block long, id {kind}, numbers binary, words binary").repartition("block")
-    asked = blocks.mapInArrow(ask, "bucket int, block long, words binary")
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "asked_by long, bucket int, ids binary")
+    blocks = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(lean(number), f"block long, id {kind}, numbers binary, words binary").repartition("block")
+    asked = blocks.mapInArrow(lean(ask), "bucket int, block long, words binary")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(encoded), "asked_by long, bucket int, ids binary")
 
     def joined(texts: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
         form = width(path)
-        words = [w for x in texts["words"].drop_null().to_pylist() for w in opened(x)]
         # answers lie by bucket, and in a bucket by the number of the word
-        order = np.argsort(bucket_of(words), kind="stable")
-        ids = [x for pack in found.sort_by("bucket")["ids"].to_pylist() for x in opened(pack)] if found.num_rows else []
-        del words
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // form.itemsize
-        n, start, flat = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), np.frombuffer(b"".join(ids), form)
+        order = np.argsort(bucket_of(w for x in texts["words"].drop_null().to_pylist() for w in each_of(x)), kind="stable")
+        packs = [joint(x) for x in found.sort_by("bucket")["ids"].to_pylist()] if found.num_rows else []
+        size = np.concatenate([*(x for x, _ in packs), np.array([], np.uint32)]).astype(np.int64) // form.itemsize
+        n, start, flat = np.empty(len(size), np.int64), np.empty(len(size), np.int64), np.frombuffer(b"".join(x for _, x in packs), form)
         n[order], start[order] = size, np.cumsum(size) - size
-        del ids
-        for batch in texts.filter(pc.is_valid(texts["numbers"])).to_batches(500):
+        del packs, order, size
+        for batch in texts.filter(pc.is_valid(texts["numbers"])).to_batches(200):
             docs_ = [_numbers(p) for p in batch["numbers"].to_pylist()]
             word = np.concatenate([*docs_, np.array([], np.int64)])
             upto = np.cumsum(n[word]) if len(word) else word
@@ -200,8 +199,9 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
             yield pa.record_batch({"id": batch["id"], "ids": lists} | ({"decoded": texts_of(lists, path)} if back else {}))
 
     def join(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()  # of the block before
         out = pa.Table.from_batches(joined(texts, found), pa.schema([("id", texts.schema.field("id").type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 3 if back else 2]))
-        pa.default_memory_pool().release_unused()
+        give_back()
         return out
 
     found = blocks.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(join, f"id {kind}, ids array<int>" + ", decoded string" * back)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import saved, table, words
+from freshet.llm.common import lean, saved, table, words
 
 #: Words of a shingle; Jaccard similarity of a link; samples (minhashes) of a set; samples that a set follows at each node, on average;
 #: sets that are compared with each other at once; levels at most; share of pairs at the threshold to be met.
@@ -113,7 +113,7 @@ def split(sets: DataFrame, children: float = CHILDREN) -> DataFrame:
                 row, child = _follow(batch["node"].to_numpy().view(np.uint64), _numbers(batch["sig"]), children)
                 yield pa.record_batch({"node": pa.array(child), "key": batch["key"].take(pa.array(row)), "above": batch["size"].take(pa.array(row))})
 
-    return sets.select("node", "key", "sig", "size").mapInArrow(follow, "node long, key binary, above long")
+    return sets.select("node", "key", "sig", "size").mapInArrow(lean(follow), "node long, key binary, above long")
 
 
 def buckets(sets: DataFrame, runs: int, children: float = CHILDREN, limit: int = LIMIT, levels: int = LEVELS) -> DataFrame:
@@ -164,7 +164,7 @@ def _by_bucket(df: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str)
         if held:
             yield from work(pa.Table.from_batches(held)).to_batches()
 
-    return df.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(go, schema)
+    return df.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(lean(go), schema)
 
 
 def _met(rows: pa.Table) -> np.ndarray:
@@ -315,7 +315,7 @@ def joined(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: flo
     """
     kind = docs.schema[id].dataType.simpleString()
     norm = docs.select(F.col(id).alias("id"), normal(F.col(text)).alias("norm")).where("norm != ''").withColumn("key", F.unhex(F.md5("norm")))
-    documents = saved(norm.mapInArrow(_each(_sketch, ["sig"]), f"id {kind}, key binary, sig binary"))
+    documents = saved(norm.mapInArrow(lean(_each(_sketch, ["sig"])), f"id {kind}, key binary, sig binary"))
     sets = saved(documents.groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min("id").alias("first_id")))
     meeting = buckets(sets.select("key", "sig"), runs_needed(recall, similar), limit=limit)
     where_ = saved(meeting.groupBy("key").agg(F.sort_array(F.collect_set("bucket")).alias("buckets")))
@@ -325,7 +325,7 @@ def joined(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: flo
     live = saved(_by_bucket(rows, _live, shape))
     wanted = live.select(F.col("key").alias("k"), F.col("first_id").alias("f")).distinct()
     texts = norm.join(wanted, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("f"))).select("key", "norm")
-    members = texts.mapInArrow(_each(_members, ["members"]), "key binary, members binary")
+    members = texts.mapInArrow(lean(_each(_members, ["members"])), "key binary, members binary")
     links = saved(_by_bucket(live.join(members, "key").select("bucket", "key", "sig", "buckets", "copies", "members"), _linked(similar), "key binary, links long, root binary"))
     comps = components(links)
     classes = sets.drop("sig").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(comps, "key", "left")
