@@ -49,11 +49,28 @@ def soil_replacements(zones: DataFrame, label_map: dict[str, str], id_col: str =
             .select("run_no", "hru_id", "c.*").where(F.col("value").isNotNull()))
 
 
+def scientific(v: Column, decimals: int) -> Column:
+    """C's ``%.nE`` of a finite double: its exact value, halves to the even digit.
+
+    ``format_string`` rounds the shortest text of a double, halves up. ``format_number`` rounds the double itself, but halves of whole
+    numbers up. Below 1e-310, where a double holds fewer digits than are asked for, they are those of its shortest text.
+    """
+    # one digit more, a 5 near the middle of two results, and the whole number it stands for
+    longer = F.format_string(f"%.{decimals + 1}E", v)
+    middle, whole = F.abs(longer.try_cast("decimal(19,0)").try_cast("long")), F.abs(v.try_cast("long"))
+    down = F.when((F.abs(v) > 10.0**decimals) & (F.abs(v) < 2.0**62) & (v == F.rint(v)),
+                  longer.contains("5E") & ((whole < middle) | (whole == middle) & longer.rlike(r"[02468]\.?5E")))
+    near = F.when(down, v * (1 - 4e-16)).otherwise(v)  # a little below the middle
+    text = F.call_function("format_number", near, F.lit("0." + "0" * decimals + "E00" if decimals else "0E00"))
+    return F.replace(F.replace(text, F.lit("E"), F.lit("E+")), F.lit("E+-"), F.lit("E-"))
+
+
 def scientific16(v: Column, most: int = 10) -> Column:
     """Scientific form with ten (or ``most``) decimals, or as many as sixteen characters hold; right-aligned, never cut."""
-    forms = [F.format_string(f"%.{n}E", v) for n in range(most, -1, -1)]
-    text = F.coalesce(*[F.when(F.length(f) <= 16, f) for f in forms], forms[-1])
-    return F.lpad(text, F.greatest(F.lit(16), F.length(text)), " ")
+    forms = [scientific(v, n) for n in range(most, min(most, 8) - 1, -1)]  # eight fit beside a sign and an exponent of three digits
+    text = F.coalesce(*[F.when(F.length(f) <= 16, f) for f in forms[:-1]], forms[-1])
+    odd = F.when(F.isnan(v), "NAN").when(v == float("inf"), "INF").when(v == float("-inf"), "-INF")
+    return F.lpad(F.coalesce(odd, text), 16, " ")
 
 
 def point_file_lines(loads: DataFrame, areas: DataFrame | None = None, start: int | None = None, end: int | None = None,

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,24 @@ def test_most_decimals_hold_for_zero(spark):
     assert tuple(row) == ("0.0000000000E+00", " 0.000000000E+00", "-2.50000000E-120")
 
 
+def c_form(x, most=10):
+    """The reference's text of a number."""
+    forms = [f"{x:.{n}E}" for n in range(most, -1, -1)]
+    return next(f for f in forms if len(f) <= 16).rjust(16)
+
+
+def test_scientific_text_rounds_the_double(spark):
+    """Doubles beside or on the middle of two results: one of the file of zone 4, neighbours of halves, whole halves, and halves with a point."""
+    values = [750985.662515, 65.3244781695, -65.3244781695, 4.24392848745e44, -4.24392848745e-44, 9.99999999995e99, 1e-200, -0.0, 0.1]
+    values += [float(x) for x in (282637390005, 282637390015, -3015714664500, 95028703294500, 95028703294501, 95028703294499, 2**62, 1234567890150000000 - 256)]
+    values += [(2826373900050 + k) / 2**10 for k in range(20)] + [-(x + 0.5) for x in (28263739000, 28263739001)]
+    values += [math.nextafter(x, to) for x in (282637390005.0, 65.3244781695, 3.015714664515e18) for to in (0, math.inf)]
+    df = spark.createDataFrame([(x,) for x in values], "v double").select("v", sinks.scientific16(F.col("v")).alias("ten"), sinks.scientific16(F.col("v"), 9).alias("nine"))
+    assert [(r.v, r.ten, r.nine) for r in df.collect()] == [(x, c_form(x), c_form(x, 9)) for x in values]
+    odd = spark.createDataFrame([(math.nan,), (math.inf,), (-math.inf,), (None,)], "v double").select(sinks.scientific16(F.col("v")).alias("t"))
+    assert [r.t for r in odd.collect()] == ["NAN".rjust(16), "INF".rjust(16), "-INF".rjust(16), None]
+
+
 def test_manifest(spark, tmp_path):
     p = spark.createDataFrame([("b", 1.0, 2.0), ("a", 3.0, 0.5)], "raster_id string, x double, y double")
     m = sinks.zonal_manifest(p, "z", "sum", "year", "Sub-basin", "layer")
