@@ -221,6 +221,17 @@ def test_scientific_text_rounds_the_double(spark):
     assert [r.t for r in odd.collect()] == ["NAN".rjust(16), "INF".rjust(16), "-INF".rjust(16), None]
 
 
+def test_point_files_hold_the_rounded_doubles(spark, tmp_path):
+    """Loads beside the middle of two texts, in files of their own zone read back whole."""
+    made = {4: [750985.662515, 3337714.0556], 5: [707910.345275, 282637390005.0]}
+    loads = spark.createDataFrame([(1, z, 1997 + i, x) for z, xs in made.items() for i, x in enumerate(xs)], "run_no int, zone_id int, YEAR int, ORGPYR double")
+    lines = sinks.point_file_lines(loads).withColumn("file_name", F.format_string("zone%03d.dat", "zone_id"))
+    sinks.write_text_files(lines, str(tmp_path / "point"))
+    for z, xs in made.items():
+        text = spark.read.text(str(tmp_path / "point" / "run_no=1" / f"file_name=zone{z:03d}.dat"), wholetext=True).first()["value"]
+        assert text.split("\n")[6:8] == [f" {1997 + i} {c_form(x)}" for i, x in enumerate(xs)]
+
+
 def test_manifest(spark, tmp_path):
     p = spark.createDataFrame([("b", 1.0, 2.0), ("a", 3.0, 0.5)], "raster_id string, x double, y double")
     m = sinks.zonal_manifest(p, "z", "sum", "year", "Sub-basin", "layer")
