@@ -46,9 +46,10 @@ def paired_duration(bands: DataFrame, keys: Sequence[str], ref: str = "p50",
                     columns: Sequence[str] = ("min", "p05", "p25", "p50", "p75", "p95", "max")) -> DataFrame:
     """Days ordered by a reference series, high to low; the bands keep their day.
 
-    ``ref`` names a column, or "mid" for the middle of min and max.
+    ``ref`` names a column, or "mid" for the middle of min and max. Equal sums of doubles differ in their last digits, so days whose
+    references agree in fourteen digits are ties, in the order of their dates.
     """
-    order = (F.col("min") + F.col("max")) / 2 if ref == "mid" else F.col(ref)
+    order = F.format_string("%.13E", (F.col("min") + F.col("max")) / 2 if ref == "mid" else F.col(ref)).cast("double")
     full = bands.withColumn("_ref", order).where(
         F.col("min").isNotNull() & F.col("max").isNotNull() & F.col("_ref").isNotNull())
     w = Window.partitionBy(*keys)

@@ -71,3 +71,14 @@ def test_daily_means_are_the_same_in_another_order(spark):
     assert sorted(duration.measured_on_order(a).collect()) == sorted(duration.measured_on_order(b).collect())
     hist = [sorted(fit.residual_histogram(x.withColumn("pred", F.lit(0.0)), 30, ["station"]).collect()) for x in (a, b)]
     assert hist[0] == hist[1] and min(r.bin for r in hist[0]) == 0
+
+
+def test_days_of_equal_sums_keep_the_order_of_dates(spark):
+    """0.1 + 0.2 lies above 0.3 as a double; a difference in the tenth digit isn't the rounding of a sum."""
+    values = [0.3, 0.1 + 0.2, 0.3 * (1 + 1e-9), 0.3, -0.5, -(0.1 + 0.2), -0.3]
+    bands = spark.createDataFrame([(1, dt.date(2000, 1, 1 + i), x) for i, x in enumerate(values)], "rch int, date date, p50 double").select(
+        "*", F.col("p50").alias("mean"), (F.col("p50") - 1).alias("min"), (F.col("p50") + 1).alias("max"))
+    for ref in ("p50", "mean"):
+        got = duration.paired_duration(bands, ["rch"], ref, ["p50"]).orderBy("rank").collect()
+        assert [r.date.day for r in got] == [3, 1, 2, 4, 6, 7, 5]
+        assert [r.p50 for r in got] == [values[r.date.day - 1] for r in got]  # the bands stay as they are
