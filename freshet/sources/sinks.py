@@ -67,10 +67,14 @@ def scientific(v: Column, decimals: int) -> Column:
 
 def scientific16(v: Column, most: int = 10) -> Column:
     """Scientific form with ten (or ``most``) decimals, or as many as sixteen characters hold; right-aligned, never cut."""
-    forms = [scientific(v, n) for n in range(most, min(most, 8) - 1, -1)]  # eight fit beside a sign and an exponent of three digits
-    text = F.coalesce(*[F.when(F.length(f) <= 16, f) for f in forms[:-1]], forms[-1])
+    most = min(most, 10)  # more never fit
+    forms = {n: scientific(v, n) for n in range(most, min(most, 8) - 1, -1)}  # eight fit beside a sign and an exponent of three digits
+    fits = F.get(F.filter(F.array(*forms.values()), lambda f: F.length(f) <= 16), F.lit(0))
     odd = F.when(F.isnan(v), "NAN").when(v == float("inf"), "INF").when(v == float("-inf"), "-INF")
-    return F.lpad(F.coalesce(odd, text), 16, " ")
+    # exponents that stay at two digits tell what fits without trying
+    text = (F.when((v >= 1e-99) & (v < 9e99), forms[most]).when((v <= -1e-99) & (v > -9e99), forms[min(most, 9)])
+            .otherwise(F.coalesce(odd, fits)))
+    return F.lpad(text, 16, " ")
 
 
 def point_file_lines(loads: DataFrame, areas: DataFrame | None = None, start: int | None = None, end: int | None = None,
